@@ -100,8 +100,7 @@ def merge_by_tree(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]
     top = levels[-1]
     follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
-    def put(place: int, value: int) -> None:
-        leaves[place] = value
+    def lift(place: int) -> None:
         below = leaves
         for level in upper:
             place //= FAN
@@ -111,23 +110,27 @@ def merge_by_tree(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]
             level[place] = least
             below = level
 
+    mask = (1 << 36) - 1
     while (root := min(top)) != NONE:
-        i = root & ((1 << 36) - 1)
+        i = root & mask
         j = follow[i]
-        ids[i] = find((ids[i], ids[j]))[1]
+        ids[i] = merged = find((ids[i], ids[j]))[1]
         ids[j] = -1
         after = follow[i] = follow[j]
-        if j < n - 1:
-            put(j, NONE)
+        leaves[i] = NONE
         if after < n:
             before[after] = i
-            hit = find((ids[i], ids[after]))
-            put(i, (hit[0] << 36) | i if hit else NONE)
-        else:
-            put(i, NONE)
+            leaves[j] = NONE
+            if upper:
+                lift(j)
+            if hit := find((merged, ids[after])):
+                leaves[i] = (hit[0] << 36) | i
+        if upper:
+            lift(i)
         if (p := before[i]) >= 0:
-            hit = find((ids[p], ids[i]))
-            put(p, (hit[0] << 36) | p if hit else NONE)
+            leaves[p] = (hit[0] << 36) | p if (hit := find((ids[p], merged))) else NONE
+            if upper:
+                lift(p)
     return [x for x in ids if x >= 0]
 
 
@@ -171,16 +174,16 @@ class Memo:
     def all(self, words: list[str]) -> list:
         out = list(map(self.young.get, words))
         if None in out:
-            young, old = self.young, self.old
-            for k, x in enumerate(out):
-                if x is None:
-                    w = words[k]
-                    if (x := young.get(w)) is None:
-                        if (x := old.get(w)) is None:
-                            x = self.make(w)
-                        if len(w) <= 64:
-                            young[w] = x
-                    out[k] = x
+            young, old, make = self.young, self.old, self.make
+            missing = {w for w, x in zip(words, out) if x is None}  # noqa: B905
+            for w in missing:
+                if (x := old.get(w)) is None:
+                    x = make(w)
+                young[w] = x
+            out = list(map(young.get, words))
+            for w in missing:
+                if len(w) > 64:
+                    del young[w]
             if len(young) >= self.limit:
                 self.young, self.old = {}, young
         return out
@@ -189,10 +192,11 @@ class Memo:
 class Encoder:
     """Ids of texts by the word vocabulary, or any other: (number, ids joined by a space, decoded text)."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 150_000):
+    def __init__(self, vocab: Vocabulary, limit: int = 300_000):
         self.vocab = vocab
         self.memo = Memo(self.piece, limit)
         self.word_memo = Memo(self.word, limit // 2)
+        self.shown = {i: str(i) for i in vocab.names}
         self.special_text = {s: (1, str(i), s) for s, i in vocab.special.items()}
 
     def ids(self, part: str) -> list[int]:
@@ -213,7 +217,7 @@ class Encoder:
 
     def word(self, word: str) -> tuple[int, str, str]:
         ids = merge_by_tree(self.vocab.symbols(word), self.vocab.merges)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        return len(ids), " ".join([self.shown[i] for i in ids]), self.decode(ids)
 
     def piece(self, part: str) -> tuple[int, str, str]:
         words = self.vocab.pattern.findall(self.vocab.normal(part))
