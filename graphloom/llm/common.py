@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import Scratch
+
+__all__ = ["Scratch", "arrow_map", "held_out", "read_table", "utf8"]
+
 #: Arrow batches that Python workers hold at a time: rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -34,30 +37,5 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-class Scratch:
-    """A folder for intermediate tables below the session's checkpoint folder, which all executors share.
-
-    Written tables cut lineage, so a lost executor costs only the tasks it was running.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            root = "/tmp/checkpoints"  # single-machine sessions only: a cluster names its shared folder
-        self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Removes tables that nothing will read again."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
