@@ -5,9 +5,10 @@ one global order, rare shingles first, and the product is taken in blocks of col
 the shingles of which a partner must have at least one. Overlap counts accumulate over that block, and pairs are
 discarded as soon as the sizes show that they cannot reach the threshold. The rest of the product is exact intersection.
 
-Pairs are taken in two turns. First each class meets one leader of the classes it shares shingles with. Links found that
-way make provisional components, and only pairs that would join two of them are looked at afterwards, so large groups of
-near copies do not give all their pairs. No link between different components is left out, and so components are exact.
+Pairs are taken in turns. At first each class meets a few leaders of the classes it shares shingles with. Links found
+that way make provisional components; in each turn only pairs that would join two of them are looked at, and the last
+turn takes all of those. So large groups of near copies do not give all their pairs, yet no link between different
+components is left out, and components are exact.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ MAX_FREQUENT, LEAST_FREQUENT = 1 << 17, 12
 #: Bits of the filter of documents whose sets are fetched, at most; what passes it wrongly is dropped by a join.
 MAX_FILTER_BITS = 1 << 26
 FLUSH = 1 << 21
+#: Turns with leaders before the one that takes all pairs between components, and leaders that a class meets in each.
+#: After the first turn, columns fall into FAMILIES, each with an order of its own for who leads.
+TURNS, LEADERS, FAMILIES = 3, 8, 8
 
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"shingle", k) | 1 for k in range(WORDS)], np.uint64)
 _MIX = np.uint64(xxhash.xxh64_intdigest(b"mix") | 1)
@@ -217,38 +221,90 @@ def has_bits(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(src: DataFrame, pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar, by exact intersection. rows: (cls, rep, n) of all classes."""
-    pairs = scratch.save(pairs.select("a", "b"), f"pairs{name}")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(rows, "cls").select("rep")
-    wanted = scratch.save(wanted, f"wanted{name}")
-    shared = src.sparkSession.sparkContext.broadcast(membership_filter(wanted, wanted.count()))
-
-    def run(batches):
-        shingler, mask = Shingler(), shared.value
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(has_bits(mask, batch.column(0).to_numpy(zero_copy_only=False))))
-            found = [shingler.shingles(t) for t in utf8(batch.column(1))]
-            if found:
-                yield batch_of("rep cls items", batch.column(0), pa.array([class_of(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()))
-
-    sets = arrow_map(src.select("id", "text"), run, "rep long, cls long, items binary").join(wanted, "rep", "left_semi").dropDuplicates(["cls"]).select("cls", "items")
-    sets = scratch.save(sets, f"sets{name}")
-    both = pairs.join(sets.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
-
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
-            yield batch_of("a b", batch.column(0), batch.column(1)).filter(pa.array(keep, pa.bool_()))
-
-    out = scratch.save(arrow_map(both.select("a", "b", "x", "y"), compare, "a long, b long"), f"links{name}")
-    scratch.drop(f"sets{name}", f"wanted{name}")
-    return out
+class Links:
+    """Checks pairs of classes by exact intersection of their whole sets, which are fetched once each."""
+
+    def __init__(self, src: DataFrame, rows: DataFrame, scratch: Scratch):
+        self.src, self.rows, self.scratch = src, rows, scratch
+        self.sets: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.found: DataFrame | None = None
+        self.turn = 0
+
+    def fetch(self, pairs: DataFrame) -> None:
+        """Sets of the classes in these pairs that are not there yet. rows: (cls, rep, n) of all classes."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
+        wanted = self.scratch.save(wanted.join(self.rows, "cls").select("rep"), f"wanted{self.turn}")
+        count = wanted.count()
+        if self.sets is not None and not count:
+            return
+        shared = self.src.sparkSession.sparkContext.broadcast(membership_filter(wanted, count))
+
+        def run(batches):
+            shingler, mask = Shingler(), shared.value
+            for batch in batches:
+                batch = batch.filter(batch.column(0).is_valid())
+                batch = batch.filter(pa.array(has_bits(mask, batch.column(0).to_numpy(zero_copy_only=False))))
+                found = [shingler.shingles(t) for t in utf8(batch.column(1))]
+                if found:
+                    yield batch_of("rep cls items", batch.column(0), pa.array([class_of(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()))
+
+        sets = arrow_map(self.src.select("id", "text"), run, "rep long, cls long, items binary").join(wanted, "rep", "left_semi").dropDuplicates(["cls"]).select("cls", "items")
+        sets = self.scratch.save(sets, f"sets{self.turn}")
+        self.sets = sets if self.sets is None else self.sets.unionByName(sets)
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Looks at pairs (a, b), a < b, that were not looked at before; whether any is linked."""
+        self.turn += 1
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = self.scratch.save(pairs, f"pairs{self.turn}")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        self.fetch(pairs)
+        both = pairs.join(self.sets.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(self.sets.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
+
+        def compare(batches):
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
+                yield batch_of("a b", batch.column(0), batch.column(1)).filter(pa.array(keep, pa.bool_()))
+
+        found = self.scratch.save(arrow_map(both.select("a", "b", "x", "y"), compare, "a long, b long"), f"links{self.turn}")
+        self.found = found if self.found is None else self.found.unionByName(found)
+        return not found.isEmpty()
+
+
+def open_block(block: DataFrame, part: DataFrame | None) -> DataFrame:
+    """The columns in which more than one component meets: (sh, cls, n, label)."""
+    named = block.withColumn("label", F.col("cls")) if part is None else block.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("sh", "cls", "n", F.coalesce("component", "cls").alias("label"))
+    ends = named.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    return named.join(ends.select("sh"), "sh", "left_semi")
+
+
+def meet_leaders(block: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each class and the leaders it shares most columns with, of other components. A column is led by
+    its first and last class in an order that changes with the turn. Counts are low here, as a class does not lead each
+    column it is in; hence the multiple of the count in the bound."""
+    families = FAMILIES if turn else 1
+    order = F.struct(F.xxhash64(F.col("cls"), F.pmod("sh", F.lit(families)), F.lit(turn)).alias("h"), "cls", "n", "label")
+    ends = block.groupBy("sh").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).filter("lo.cls <> hi.cls")
+    met = block.join(ends, "sh").select("cls", "n", "label", F.explode(F.array("lo", "hi")).alias("l")).filter("l.label <> label").select("cls", "n", F.col("l.cls").alias("lead"), F.col("l.n").alias("m"))
+    counted = met.groupBy("cls", "n", "lead", "m").agg(F.count("*").alias("c")).filter(can_reach(F.col("n"), F.col("m"), 2 * families * F.col("c")))
+    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("c"), "lead"))).filter(F.col("place") <= LEADERS)
+    return best.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+
+
+def meet_all(block: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share a column and can reach the threshold."""
+    left = block.select("sh", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = block.select("sh", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    product = left.join(right, "sh").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_fit(F.col("na"), F.col("nb")))
+    return product.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).filter(can_reach(F.col("na"), F.col("nb"), F.col("c"))).select("a", "b")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,29 +324,19 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lead = incidence(src.select("text"), frequent)
     # columns that only one class leads with make no pairs; common ones are counted ahead, so that no task gets them whole
     w = Window.partitionBy("sh")
-    rare = lead.filter("NOT common").withColumn("lo", F.min(F.struct("cls", "n")).over(w)).withColumn("hi", F.max("cls").over(w))
+    rare = lead.filter("NOT common").withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).filter("lo < hi").select("sh", "cls", "n")
     lead_common = lead.filter("common")
-    leaders = lead_common.groupBy("sh").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max("cls").alias("hi"))
-    columns = ["sh", "cls", "n", "lo", "hi"]
-    both = rare.select(columns).unionByName(lead_common.join(F.broadcast(leaders), "sh").select(columns))
-    block = scratch.save(both.filter("lo.cls < hi").select("sh", "cls", "n", F.col("lo.cls").alias("lead"), F.col("lo.n").alias("lead_n")), "block")
-
-    counted = block.filter("cls <> lead").groupBy("cls", "n", "lead", "lead_n").agg(F.count("*").alias("c")).filter(can_reach(F.col("n"), F.col("lead_n"), F.col("c")))
-    first = counted.groupBy("cls").agg(F.max_by("lead", F.struct("c", F.negate("lead"))).alias("lead")).select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-    links = linked(src, first, rows, scratch, "1")
-    part = scratch.save(components(links, "a", "b"), "part")
-
-    label = F.coalesce("component", "cls")
-    named = block.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("sh", "cls", "n", label.alias("label"))
-    open_columns = named.groupBy("sh").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sh")
-    left = scratch.save(named.join(open_columns, "sh", "left_semi"), "open")
-    one, other = left.select("sh", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), left.select("sh", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    product = one.join(other, "sh").filter((F.col("la") < F.col("lb")) & sizes_fit(F.col("na"), F.col("nb")))
-    counted = product.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).filter(can_reach(F.col("na"), F.col("nb"), F.col("c")))
-    tried = first.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    second = counted.withColumn("p", F.least("a", "b")).withColumn("q", F.greatest("a", "b")).join(tried, ["p", "q"], "left_anti").select("a", "b")
-    all_links = links.unionByName(linked(src, second, rows, scratch, "2"))
-    scratch.drop("block", "open")
+    shared_columns = lead_common.groupBy("sh").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("sh")
+    block = scratch.save(rare.unionByName(lead_common.join(F.broadcast(shared_columns), "sh").select("sh", "cls", "n")), "block")
+
+    links, part = Links(src, rows, scratch), None
+    for turn in range(TURNS):
+        if not links.add(meet_leaders(open_block(block, part), turn)):
+            break
+        part = scratch.save(components(links.found, "a", "b"), f"part{links.turn}")
+    links.add(meet_all(scratch.save(open_block(block, part), "open")))
+    all_links = links.found
+    scratch.drop("block", "open", *(f"sets{k}" for k in range(links.turn + 1)))
 
     found = components(all_links, "a", "b").join(rows.select(F.col("cls").alias("node"), "rep"), "node")
     named = found.join(found.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("cls"), "least")
