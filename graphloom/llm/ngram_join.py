@@ -346,6 +346,12 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one of least id, with all its columns. Repeated rows of that id leave one."""
+    """One document of each component, the one of least id, with all its columns.
+
+    An id names one document: of several rows with that id one stays. Rows without an id stay, once for each text.
+    """
     kept = cluster(docs, id_col, text_col).filter(F.col(id_col).isNull() | (F.col("component_id") == F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    mine = docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    order = F.xxhash64(F.col(text_col))
+    w = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), order)).orderBy(order)
+    return mine.withColumn("_place", F.row_number().over(w)).filter("_place = 1").select(docs.columns)
