@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import Scratch
+from graphloom.plans.session import findable
 
 __all__ = ["Scratch", "arrow_map", "held_out", "read_table", "utf8"]
 
@@ -24,6 +25,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
+    findable(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
