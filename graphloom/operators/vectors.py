@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,43 @@ def top_k(vectors: DataFrame, probe: Sequence[float], k: int, id_col: str, vecto
     """The k most similar vectors, by score and then id; each partition keeps k rows only."""
     score = F.round(cosine(F.col(vector_col), as_vector(probe)), 6) if probe else F.lit(None).cast("double")
     return vectors.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+
+
+def filtered(vectors: DataFrame, kind: str | None = None, ids: Sequence | None = None, project=None) -> DataFrame:
+    """Rows of a type, of ids and of a project; filters come before any similarity."""
+    if kind is not None:
+        vectors = vectors.filter(F.col("type") == kind)
+    if ids is not None:
+        vectors = vectors.filter(F.col("id").isin(list(ids)))
+    if project is not None:
+        vectors = vectors.filter(F.col("project_id") == project)
+    return vectors
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """The k most similar vectors for each query of (query_id, probe), within a group if `by` is given.
+
+    The queries are collected in a size-checked batch and sent to the scan; each task keeps k rows a query.
+    """
+    probes = queries.limit(MAX_QUERIES + 1).collect()
+    if len(probes) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
+    table = F.broadcast(vectors.sparkSession.createDataFrame([(r["query_id"], [float(x) for x in r["probe"]]) for r in probes], f"query_id {queries.schema['query_id'].dataType.simpleString()}, probe array<double>"))
+    scored = vectors.join(table).select("query_id", *([by] if by else []), "id", F.round(cosine(F.col("vector"), F.col("probe")), 6).alias("score"))
+    w = Window.partitionBy("query_id", *([by] if by else [])).orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+MAX_QUERIES = 1000
+
+
+def weighted(hits: DataFrame, linked_ids: Column, names: Column, keywords: Column) -> DataFrame:
+    """Scores raised by 0.3 for chunks of a found entity, 0.15 for an entity's name in the text, 0.2 for a keyword in it."""
+    content = F.lower("content")
+    holds = lambda words: F.coalesce(F.exists(words, lambda w: (w != "") & F.contains(content, F.lower(w))), F.lit(False))
+    boost = F.when(F.array_contains(linked_ids, F.col("id")), 0.3).otherwise(0.0) + F.when(holds(names), 0.15).otherwise(0.0) + F.when(holds(keywords), 0.2).otherwise(0.0)
+    return hits.withColumn("boost", boost).withColumn("weighted", F.round(F.col("score") * (1 + boost), 6))
+
+
+def cut_dimension(vector: Column, dimension: int) -> Column:
+    return F.slice(vector, 1, dimension)
