@@ -45,7 +45,7 @@ def merged_keywords(lists: Column) -> Column:
 
 def merge_doubles(edges: DataFrame, order: list[str], strategy: str = "CONCATENATE") -> DataFrame:
     """One edge for each ordered pair: weights add up, texts, keywords and chunk ids are merged in the given order."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, "description", "keywords", "source_chunk_ids")))
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"_o{k}") for k, o in enumerate(order)], "description", "keywords", "source_chunk_ids")))
     grouped = edges.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.count("*").alias("merged"), rows.alias("_r"))
     each = lambda field: F.transform("_r", lambda r: r[field])
     return grouped.select("src", "tgt", merged_text(each("description"), strategy).alias("description"), merged_keywords(each("keywords")).alias("keywords"), "weight", merged_chunks(each("source_chunk_ids")).alias("source_chunk_ids"), "merged")

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import code, extraction, html, similarity
+from .functions import text as T
+from .operators import budget, cache, chunking, export, graph, lifecycle, merge, modes, resolve, vectors
+from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read, relations
+from .sources.driver import vectors as stored_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,19 +29,651 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def probe_of(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
+    """One stored vector as a query: one row."""
+    row = read(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(row[0]) if row else []
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+PROBE = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)"
+TYPED = "t AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CASE WHEN label % 2 = 0 THEN 'chunk' ELSE 'entity' END AS type, label AS project_id FROM embeddings)"
+
+
+@query("vector_topk", f"WITH {PROBE} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    return vectors.top_k(read(spark, d, "embeddings"), probe_of(spark, d), 10, "vec_id", "embedding")
+
+
+@query("vector_topk_filtered", f"WITH {PROBE}, {TYPED} SELECT id, round(list_cosine_similarity(t.v, q.v), 6) AS score FROM t, q WHERE type = 'chunk' AND project_id = 2 ORDER BY score DESC, id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    return vectors.top_k(vectors.filtered(stored_vectors(spark, d), "chunk", project=2), probe_of(spark, d), 10, "id", "vector")
+
+
+@query("vector_topk_ids", f"WITH {PROBE} SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q WHERE vec_id IN (1, 5, 9, 13, 400) ORDER BY score DESC, id LIMIT 3")
+def vector_topk_ids(spark, d):
+    return vectors.top_k(vectors.filtered(stored_vectors(spark, d), ids=[1, 5, 9, 13, 400]), probe_of(spark, d), 3, "id", "vector")
+
+
+@query("vector_topk_per_label", f"WITH {PROBE}, s AS (SELECT label AS project_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id) AS rank FROM s) SELECT 0 AS query_id, project_id, id, score, rank FROM r WHERE rank <= 3")
+def vector_topk_per_label(spark, d):
+    queries = read(spark, d, "embeddings").filter("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("probe"))
+    return vectors.top_k_batch(stored_vectors(spark, d), queries, 3, "project_id")
+
+
+@query("vector_topk_batch", "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5")
+def vector_topk_batch(spark, d):
+    queries = read(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    return vectors.top_k_batch(stored_vectors(spark, d), queries, 5)
+
+
+@query("euclidean_topk", f"WITH {PROBE} SELECT vec_id, round(list_distance(embedding::DOUBLE[], q.v), 6) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 10")
+def euclidean_topk(spark, d):
+    dist = F.round(vectors.euclidean(F.col("embedding"), vectors.as_vector(probe_of(spark, d))), 6)
+    return read(spark, d, "embeddings").select("vec_id", dist.alias("distance")).orderBy("distance", "vec_id").limit(10)
+
+
+@query("vector_dimension_cut", "SELECT vec_id, len(embedding[1:16]) AS dimension, round(list_sum(embedding[1:16]::DOUBLE[]), 4) AS total FROM embeddings")
+def vector_dimension_cut(spark, d):
+    cut = vectors.cut_dimension(F.col("embedding"), 16)
+    return read(spark, d, "embeddings").select("vec_id", F.size(cut).cast("long").alias("dimension"), F.round(F.aggregate(cut, F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+@query("vector_counts", f"WITH {TYPED} SELECT project_id, type, count(*) AS n FROM t GROUP BY ALL")
+def vector_counts(spark, d):
+    return stored_vectors(spark, d).groupBy("project_id", "type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "weighted_chunks",
+    f"""WITH {PROBE}, h AS (SELECT e.vec_id AS id, doc.text AS content, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM embeddings e JOIN documents doc ON doc.doc_id = e.vec_id, q ORDER BY score DESC, id LIMIT 20),
+    b AS (SELECT *, (CASE WHEN list_contains([0, 3, 9], id) THEN 0.3 ELSE 0.0 END) + (CASE WHEN contains(lower(content), 'thing') THEN 0.15 ELSE 0.0 END) + (CASE WHEN contains(lower(content), 'apache') OR contains(lower(content), 'version') THEN 0.2 ELSE 0.0 END) AS boost FROM h)
+    SELECT id, round(score * (1 + boost), 6) AS weighted FROM b ORDER BY weighted DESC, id LIMIT 10""",
+)
+def weighted_chunks(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    hits = vectors.top_k(read(spark, d, "embeddings").join(docs, F.col("vec_id") == docs["id"], "left_semi"), probe_of(spark, d), 20, "vec_id", "embedding").withColumnRenamed("vec_id", "id").join(docs, "id")
+    words = lambda *w: F.array(*map(F.lit, w))
+    out = vectors.weighted(hits, words(0, 3, 9), words("Thing"), words("apache", "version"))
+    return out.select("id", "weighted").orderBy(F.desc("weighted"), "id").limit(10)
+
+
+# --- ranking and budgets -------------------------------------------------------------------------------------------
+
+TURNS = "c AS (SELECT conv_id, turn, role, text, CAST(ceil(length(text) / 4.0) AS INTEGER) AS tokens FROM conversations)"
+
+
+def turns(spark, d):
+    return read(spark, d, "conversations").withColumn("tokens", T.token_estimate(F.col("text")))
+
+
+@query("rerank_passthrough", "SELECT conv_id, turn, CAST(row_number() OVER w AS INTEGER) AS rank, round(greatest(0.1, 1 - 0.05 * (row_number() OVER w - 1)), 6) AS score FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def rerank_passthrough(spark, d):
+    return budget.passthrough(read(spark, d, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "rank", "score")
+
+
+@query("rerank_minscore", "WITH s AS (SELECT conv_id, turn, round((length(text) % 100) / 100.0, 6) AS s FROM conversations) SELECT conv_id, turn, s, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn) AS INTEGER) AS new_rank, turn - row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn) AS rank_change FROM s WHERE s >= 0.1")
+def rerank_minscore(spark, d):
+    scored = read(spark, d, "conversations").select("conv_id", "turn", F.round((F.length("text") % 100) / 100.0, 6).alias("s"))
+    return budget.reranked(scored, ["conv_id"], "s", "turn")
+
+
+@query("budget_prefix", f"WITH {TURNS}, r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS running FROM c) SELECT conv_id, turn, CAST(running AS BIGINT) AS running FROM r WHERE running <= 400")
+def budget_prefix(spark, d):
+    return budget.prefix_within(turns(spark, d), ["conv_id"], ["turn"], 400).select("conv_id", "turn", "running")
+
+
+@query("budget_capacity", f"WITH {TURNS}, r AS (SELECT conv_id, sum(tokens) OVER w + row_number() OVER w - 1 AS cost FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, count(*) FILTER (WHERE cost <= 400) AS capacity FROM r GROUP BY conv_id")
+def budget_capacity(spark, d):
+    return budget.capacity(turns(spark, d), ["conv_id"], ["turn"], 400)
+
+
+LISTS = f"{TURNS}, l AS (SELECT conv_id, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS source_idx, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS INTEGER) AS item_idx, text AS content, tokens FROM c)"
+
+
+def ranked_lists(spark, d):
+    source = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return turns(spark, d).select("conv_id", source.alias("source_idx"), place.alias("item_idx"), F.col("text").alias("content"), "tokens")
+
+
+@query("round_robin_order", f"WITH {LISTS} SELECT conv_id, item_idx, source_idx, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY item_idx, source_idx) AS INTEGER) AS place FROM l")
+def round_robin_order(spark, d):
+    return budget.interleaved(ranked_lists(spark, d), ["conv_id"]).select("conv_id", "item_idx", "source_idx", "place")
 
 
 @query(
-    "vector_topk",
-    """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
-    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q
-    ORDER BY score DESC, vec_id LIMIT 10""",
+    "round_robin_budget",
+    f"""WITH RECURSIVE {LISTS}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY item_idx, source_idx) AS p FROM l),
+    f AS (SELECT conv_id, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS used, 0 AS n, 0 AS skipped FROM (SELECT DISTINCT conv_id FROM o)
+      UNION ALL SELECT f.conv_id, o.p, CASE WHEN f.used + o.tokens + (f.n > 0)::INT <= 300 THEN f.used + o.tokens + (f.n > 0)::INT ELSE f.used END,
+        f.n + (f.used + o.tokens + (f.n > 0)::INT <= 300)::INT, f.skipped + (f.used + o.tokens + (f.n > 0)::INT > 300)::INT FROM f JOIN o ON o.conv_id = f.conv_id AND o.p = f.p + 1)
+    SELECT conv_id, arg_max(n, p) AS included, arg_max(skipped, p) AS truncated, arg_max(used, p) AS total_tokens FROM f GROUP BY conv_id""",
 )
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.vectors import top_k
+def round_robin_budget(spark, d):
+    return budget.merged_context(ranked_lists(spark, d), ["conv_id"], 300).drop("text")
+
+
+# --- names ---------------------------------------------------------------------------------------------------------
+
+NORM = "trim(regexp_replace(lower(regexp_replace({0}, '[^a-zA-Z0-9\\s]', '', 'g')), '\\s+', ' ', 'g'))"
+NAMES = f"names AS (SELECT DISTINCT p_name AS name, {NORM.format('p_name')} AS n, list_distinct(list_filter(string_split({NORM.format('p_name')}, ' '), lambda x: x <> '')) AS t FROM part)"
+
+
+def name_pairs(spark, d):
+    names = read(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    tokens = names.withColumn("token", F.explode(T.token_set(F.col("name"))))
+    return tokens.withColumnRenamed("name", "a").join(tokens.withColumnRenamed("name", "b"), "token").filter("a < b").select("a", "b").distinct()
+
+
+PAIRS = f"{NAMES}, p AS (SELECT x.name AS a, y.name AS b, x.n AS na, y.n AS nb, x.t AS ta, y.t AS tb FROM names x JOIN names y ON x.name < y.name WHERE list_has_any(x.t, y.t))"
+
+
+@query("normalize_names", f"SELECT doc_id, md5({NORM.format('text')}) AS digest FROM documents")
+def normalize_names(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.normal_name(F.col("text"))).alias("digest"))
+
+
+@query("token_jaccard_pairs", f"WITH {PAIRS} SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS jaccard FROM p")
+def token_jaccard_pairs(spark, d):
+    return name_pairs(spark, d).select("a", "b", F.round(T.jaccard(T.token_set(F.col("a")), T.token_set(F.col("b"))), 6).alias("jaccard"))
+
+
+@query("containment_pairs", f"WITH {PAIRS} SELECT a, b, CASE WHEN contains(na, nb) OR contains(nb, na) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS containment FROM p")
+def containment_pairs(spark, d):
+    return name_pairs(spark, d).select("a", "b", T.containment(T.normal_name(F.col("a")), T.normal_name(F.col("b"))).alias("containment"))
+
+
+@query("edit_similarity_pairs", f"WITH {PAIRS} SELECT a, b, round(CASE WHEN na = nb THEN 1.0 ELSE 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) END, 6) AS similarity FROM p")
+def edit_similarity_pairs(spark, d):
+    return name_pairs(spark, d).select("a", "b", F.round(T.edit_similarity(T.normal_name(F.col("a")), T.normal_name(F.col("b"))), 6).alias("similarity"))
+
+
+@query("acronym_flag", f"WITH {NAMES} SELECT name, array_to_string(list_transform(list_filter(string_split(n, ' '), lambda w: w <> '' AND NOT list_contains(['a','an','the','of','and','or','for','in','on','at','to','from'], w)), lambda w: w[1:1]), '') AS initials FROM names")
+def acronym_flag(spark, d):
+    names = read(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return names.select("name", T.initials(T.normal_name(F.col("name"))).alias("initials"))
+
+
+SCORE = """s AS (SELECT a, b, CASE WHEN (least(length(a), length(b)) > 10 AND greatest(length(a), length(b)) > 5 * least(length(a), length(b)))
+      OR NOT ((length(a) <= 10 AND NOT contains(lower(a), ' ')) OR (length(b) <= 10 AND NOT contains(lower(b), ' '))
+        OR (length(string_split(lower(a), ' ')[1]) >= 2 AND length(string_split(lower(b), ' ')[1]) >= 2 AND string_split(lower(a), ' ')[1][1:2] = string_split(lower(b), ' ')[1][1:2])
+        OR len(list_filter(string_split(string_split(lower(a), ' ')[1], ''), lambda c: contains(string_split(lower(b), ' ')[1], c))) > length(string_split(lower(a), ' ')[1]) // 2) THEN 0.0
+      ELSE 0.35 * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) + 0.25 * (contains(na, nb) OR contains(nb, na))::INT
+        + 0.30 * (CASE WHEN na = nb THEN 1.0 ELSE 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) END) END AS raw FROM p)"""
+
+
+@query("composite_similarity_pairs", f"WITH {PAIRS}, {SCORE} SELECT a, b, round(raw, 6) AS score FROM s")
+def composite_similarity_pairs(spark, d):
+    return name_pairs(spark, d).select("a", "b", F.round(similarity.score(F.col("a"), F.col("b"), F.lit("PART"), F.lit("PART")), 6).alias("score"))
+
+
+#: A lower threshold than production's, so that the 64 names of the driver's parts give clusters; blocking stays exact.
+LOOSE = similarity.Weights(jaccard=0.5, containment=0.1, edit=0.3, acronym=0.1, threshold=0.52)
+
+
+def part_entities(spark, d):
+    return entities(spark, d).filter("type = 'PART'")
+
+
+LOOSE_SCORE = SCORE.replace("0.35 *", "0.5 *").replace("0.25 *", "0.1 *")
+FIRSTS = "firsts AS (SELECT p_name AS name, min(p_partkey) AS first FROM part GROUP BY p_name)"
+EDGES = f"""{PAIRS.replace('x.name < y.name', 'fx.first < fy.first').replace('FROM names x JOIN names y', 'FROM (names x JOIN firsts fx ON x.name = fx.name) JOIN (names y JOIN firsts fy ON y.name = fy.name)')}, {LOOSE_SCORE},
+    e AS (SELECT fa.first AS x, fb.first AS y, round(raw, 6) AS score, a, b FROM s JOIN firsts fa ON fa.name = s.a JOIN firsts fb ON fb.name = s.b WHERE round(raw, 6) >= 0.52)"""
+REACH = f"""{FIRSTS}, {EDGES}, both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+    reach AS (SELECT first AS node, first AS seen FROM firsts UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON b.x = r.seen), comp AS (SELECT node, min(seen) AS cluster FROM reach GROUP BY node)"""
+
+
+@query("similar_name_pairs", f"WITH {FIRSTS}, {EDGES} SELECT 'PART' AS type, x AS idx_a, y AS idx_b, a AS name_a, b AS name_b, score FROM e")
+def similar_name_pairs(spark, d):
+    return resolve.similar_pairs(part_entities(spark, d), LOOSE)
+
+
+@query("entity_clusters", f"WITH RECURSIVE {REACH} SELECT p_partkey AS idx, p_name AS name, cluster FROM part JOIN firsts ON p_name = name JOIN comp ON node = first")
+def entity_clusters(spark, d):
+    return resolve.clusters(part_entities(spark, d), LOOSE).select("idx", "name", "cluster")
+
+
+@query(
+    "entity_resolution",
+    f"""WITH RECURSIVE {REACH}, m AS (SELECT cluster, p_partkey AS idx, p_name AS name, p_brand || ' ' || p_type AS d FROM part JOIN firsts ON p_name = name JOIN comp ON node = first),
+    c AS (SELECT cluster, first(name ORDER BY length(name) DESC, idx) AS name, count(*) AS members, md5(string_agg(d, ' | ' ORDER BY idx)) AS description_md5 FROM m GROUP BY cluster)
+    SELECT c.cluster, c.name, c.members, count(*) FILTER (WHERE m.name <> c.name) AS aliases, c.description_md5 FROM c JOIN m ON m.cluster = c.cluster GROUP BY ALL""",
+)
+def entity_resolution(spark, d):
+    out = resolve.canonical(resolve.clusters(part_entities(spark, d), LOOSE))
+    return out.select("cluster", "name", "members", F.size("aliases").cast("long").alias("aliases"), F.md5("description").alias("description_md5"))
+
+
+@query("resolution_stats", f"WITH RECURSIVE {REACH}, z AS (SELECT cluster, count(*) AS n FROM part JOIN firsts ON p_name = name JOIN comp ON node = first GROUP BY cluster) SELECT CAST(sum(n) AS BIGINT) AS original, count(*) AS resolved, CAST(sum(n) - count(*) AS BIGINT) AS removed, count(*) FILTER (WHERE n > 1) AS clusters, round(100.0 * (sum(n) - count(*)) / sum(n), 6) AS reduction_percent, 100.0 * (sum(n) - count(*)) / sum(n) > 60 AS warning FROM z")
+def resolution_stats(spark, d):
+    return resolve.stats(resolve.clusters(part_entities(spark, d), LOOSE))
+
+
+@query("entities_by_type", f"WITH {ENTITIES_SQL} SELECT type, count(*) AS n, count(DISTINCT name) AS names FROM entities GROUP BY type")
+def entities_by_type(spark, d):
+    return entities(spark, d).groupBy(resolve.entity_type(F.col("type")).alias("type")).agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
+
+
+@query(
+    "description_merge_contained",
+    """WITH RECURSIVE o AS (SELECT p_name AS name, p_brand || ' ' || p_type AS d, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part),
+    f AS (SELECT name, CAST(0 AS BIGINT) AS k, '' AS acc FROM (SELECT DISTINCT name FROM o)
+      UNION ALL SELECT f.name, o.k, CASE WHEN contains(f.acc, o.d) THEN f.acc WHEN f.acc = '' THEN o.d WHEN length(f.acc || ' | ' || o.d) > 1000 THEN (f.acc || ' | ' || o.d)[1:997] || '...' ELSE f.acc || ' | ' || o.d END
+      FROM f JOIN o ON o.name = f.name AND o.k = f.k + 1)
+    SELECT name, arg_max(acc, k) AS description FROM f GROUP BY name""",
+)
+def description_merge_contained(spark, d):
+    return resolve.merged_descriptions(part_entities(spark, d), ["name"], "idx").select("name", "description")
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+
+@query("node_degree", f"WITH {RELATIONS_SQL} SELECT name, count(*) AS degree FROM (SELECT src AS name FROM relations UNION ALL SELECT tgt FROM relations WHERE tgt <> src) GROUP BY name")
+def node_degree(spark, d):
+    return graph.degrees(relations(spark, d))
+
+
+@query("node_degree_batch", f"WITH {RELATIONS_SQL}, w AS (SELECT 's' || s_suppkey AS name FROM supplier UNION ALL SELECT 'x' || s_suppkey FROM supplier WHERE s_suppkey < 5) SELECT w.name, count(r.src) AS degree FROM w LEFT JOIN relations r ON r.src = w.name OR r.tgt = w.name GROUP BY w.name")
+def node_degree_batch(spark, d):
+    s = read(spark, d, "supplier")
+    names = s.select(F.concat(F.lit("s"), "s_suppkey").alias("name")).unionByName(s.filter("s_suppkey < 5").select(F.concat(F.lit("x"), "s_suppkey").alias("name")))
+    return graph.degrees(relations(spark, d), names)
+
+
+def all_vertices(spark, d):
+    return graph.endpoints(relations(spark, d)).distinct()
+
+
+@query("graph_stats", f"WITH {RELATIONS_SQL}, v AS (SELECT count(*) AS n FROM (SELECT src FROM relations UNION SELECT tgt FROM relations)), e AS (SELECT count(*) AS m FROM relations) SELECT n AS entity_count, m AS relation_count, round(CASE WHEN n > 0 THEN 2.0 * m / n ELSE 0 END, 6) AS average_degree FROM v, e")
+def graph_stats(spark, d):
+    return graph.stats(all_vertices(spark, d), relations(spark, d))
+
+
+@query("incident_edges", f"WITH {RELATIONS_SQL} SELECT src, tgt, weight FROM relations WHERE src IN ('s1', 's2', 'n3') OR tgt IN ('s1', 's2', 'n3')")
+def incident_edges(spark, d):
+    names = spark.createDataFrame([("s1",), ("s2",), ("n3",)], "name string")
+    return graph.incident(relations(spark, d), names).select("src", "tgt", "weight")
+
+
+@query("entity_point_lookup", f"WITH {ENTITIES_SQL} SELECT idx, type, description FROM entities WHERE lower(trim(name)) = (SELECT min(lower(trim(s_name))) FROM supplier)")
+def entity_point_lookup(spark, d):
+    name = read(spark, d, "supplier").agg(F.min(T.stored_name(F.col("s_name")))).first()[0]
+    return graph.entity(entities(spark, d).withColumn("name", T.stored_name(F.col("name"))), f" {name.upper()} ").select("idx", "type", "description")
+
+
+@query("entities_multi_get", f"WITH {ENTITIES_SQL}, w AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey <= 20) SELECT idx, name, type FROM entities WHERE name IN (SELECT name FROM w)")
+def entities_multi_get(spark, d):
+    names = read(spark, d, "part").filter("p_partkey <= 20").select(F.col("p_name").alias("name"))
+    return graph.named(entities(spark, d), names).select("idx", "name", "type")
+
+
+@query("entities_in_request_order", f"WITH {ENTITIES_SQL}, w AS (SELECT s_name AS name, s_suppkey AS position FROM supplier WHERE s_suppkey <= 9) SELECT position, idx FROM w JOIN entities USING (name)")
+def entities_in_request_order(spark, d):
+    names = read(spark, d, "supplier").filter("s_suppkey <= 9").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("position"))
+    return graph.named(entities(spark, d), names, keep_order=True).select("position", "idx")
+
+
+@query("entities_by_chunk", f"WITH {ENTITIES_SQL} SELECT idx, type FROM entities WHERE list_has_any(source_chunk_ids, ['c3', 'c9'])")
+def entities_by_chunk(spark, d):
+    return graph.touching_chunks(entities(spark, d), ["c3", "c9"]).select("idx", "type")
+
+
+@query("relations_by_chunk", f"WITH {RELATIONS_SQL} SELECT src, tgt FROM relations WHERE list_has_any(source_chunk_ids, ['c2', 'c5'])")
+def relations_by_chunk(spark, d):
+    chunks = spark.createDataFrame([("c2",), ("c5",)], "chunk_id string")
+    return graph.touching_chunk_table(relations(spark, d), ["src", "tgt"], chunks).select("src", "tgt")
+
+
+WALK = "u AS (SELECT src AS a, tgt AS b FROM relations UNION SELECT tgt, src FROM relations)"
+
+
+@query("bfs_depth2", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'r0' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 2) SELECT name, min(depth) AS depth FROM w GROUP BY name")
+def bfs_depth2(spark, d):
+    return graph.levels(relations(spark, d), spark.createDataFrame([("r0",)], "name string"), 2).select("name", "depth")
+
+
+@query("bfs_max_nodes", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'n1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 2) SELECT name, min(depth) AS depth FROM w GROUP BY name ORDER BY depth, name LIMIT 25")
+def bfs_max_nodes(spark, d):
+    return graph.levels(relations(spark, d), spark.createDataFrame([("n1",)], "name string"), 2, 25).select("name", "depth")
+
+
+@query("subgraph_edges", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'n1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 1), s AS (SELECT DISTINCT name FROM w) SELECT src, tgt FROM relations WHERE src IN (SELECT name FROM s) AND tgt IN (SELECT name FROM s)")
+def subgraph_edges(spark, d):
+    return graph.subgraph(all_vertices(spark, d), relations(spark, d), "n1", 1)[1].select("src", "tgt")
+
+
+@query("khop1_expand", f"WITH {RELATIONS_SQL}, seeds AS (SELECT 's' || s_suppkey AS name FROM supplier WHERE s_suppkey <= 3) SELECT name FROM seeds UNION SELECT tgt FROM relations WHERE src IN (SELECT name FROM seeds) UNION SELECT src FROM relations WHERE tgt IN (SELECT name FROM seeds)")
+def khop1_expand(spark, d):
+    return graph.expand(relations(spark, d), read(spark, d, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("s"), "s_suppkey").alias("name")), 1)
+
+
+@query("shortest_path_len", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'c1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 7) SELECT CAST(min(depth) + 1 AS BIGINT) AS nodes FROM w WHERE name = 'r1'")
+def shortest_path_len(spark, d):
+    return graph.shortest_path(relations(spark, d), "c1", "r1").agg(F.count("*").alias("nodes"))
+
+
+@query("docs_paging", f"WITH {ENTITIES_SQL} SELECT idx, name FROM entities ORDER BY name, idx LIMIT 50 OFFSET 100")
+def docs_paging(spark, d):
+    return graph.page(entities(spark, d).select("idx", "name"), ["name", "idx"], 100, 50)
+
+
+@query("hits_to_entities", f"WITH {PROBE}, {ENTITIES_SQL}, h AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10) SELECT h.vec_id, h.score, e.name FROM h JOIN entities e ON e.idx = h.vec_id")
+def hits_to_entities(spark, d):
+    hits = vectors.top_k(read(spark, d, "embeddings"), probe_of(spark, d), 10, "vec_id", "embedding")
+    return hits.join(entities(spark, d), F.col("vec_id") == F.col("idx")).select("vec_id", "score", "name")
+
+
+@query("relations_of_hits", f"WITH {RELATIONS_SQL}, h AS (SELECT 's' || s_suppkey AS name, s_suppkey AS r FROM supplier WHERE s_suppkey <= 5), j AS (SELECT e.src, e.tgt, h.r FROM relations e JOIN h ON h.name = e.src UNION ALL SELECT e.src, e.tgt, h.r FROM relations e JOIN h ON h.name = e.tgt) SELECT src, tgt, min(r) AS first_hit FROM j GROUP BY src, tgt")
+def relations_of_hits(spark, d):
+    hits = read(spark, d, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.col("s_suppkey").alias("r"))
+    e = relations(spark, d).select("src", "tgt")
+    both = e.join(hits.withColumnRenamed("name", "src"), "src").unionByName(e.join(hits.withColumnRenamed("name", "tgt"), "tgt"))
+    return both.groupBy("src", "tgt").agg(F.min("r").alias("first_hit"))
+
+
+@query("pair_keys", f"WITH {RELATIONS_SQL} SELECT least(src, tgt) AS low, greatest(src, tgt) AS high, count(*) AS n FROM relations GROUP BY ALL")
+def pair_keys(spark, d):
+    return graph.pair_key(relations(spark, d)).groupBy("low", "high").agg(F.count("*").alias("n"))
+
+
+# --- merge and lifecycle -------------------------------------------------------------------------------------------
+
+MOVED = f"{RELATIONS_SQL}, m AS (SELECT CASE WHEN src IN ('s2', 's3', 's4') THEN 's1' ELSE src END AS src, CASE WHEN tgt IN ('s2', 's3', 's4') THEN 's1' ELSE tgt END AS tgt, keywords, weight, description FROM relations), k AS (SELECT * FROM m WHERE lower(src) <> lower(tgt))"
+
+
+def redirected(spark, d):
+    mapping = spark.createDataFrame([(f"s{k}", "s1") for k in (2, 3, 4)], "name string, target string")
+    return merge.redirect(relations(spark, d), mapping)
+
+
+@query("redirect_dedup_relations", f"WITH {MOVED} SELECT src, tgt, sum(weight) AS weight, count(*) AS merged FROM k GROUP BY src, tgt")
+def redirect_dedup_relations(spark, d):
+    return merge.merge_doubles(redirected(spark, d), ["keywords", "description"]).select("src", "tgt", "weight", "merged")
+
+
+@query("merge_keywords", f"WITH {MOVED}, x AS (SELECT src, tgt, unnest(string_split(keywords, ', ')) AS w FROM k) SELECT src, tgt, string_agg(DISTINCT w, ', ' ORDER BY w) AS keywords FROM x WHERE w <> '' GROUP BY src, tgt")
+def merge_keywords(spark, d):
+    out = merge.merge_doubles(redirected(spark, d), ["keywords", "description"]).filter("keywords <> ''")
+    return out.select("src", "tgt", F.array_join(F.array_sort(F.split("keywords", ", ")), ", ").alias("keywords"))
+
+
+@query("entity_merge_result", f"WITH {MOVED}, o AS (SELECT src, tgt FROM k GROUP BY src, tgt) SELECT count(*) AS edges, count(*) FILTER (WHERE src = 's1' OR tgt = 's1') AS at_target FROM o")
+def entity_merge_result(spark, d):
+    v = all_vertices(spark, d).select("name", F.lit("NODE").alias("type"), F.col("name").alias("description"), F.array(F.col("name")).alias("source_chunk_ids"))
+    _, e, _ = merge.merge_entities(v, relations(spark, d), ["s2", "S3", " s4 "], "s1")
+    return e.agg(F.count("*").alias("edges"), F.count_if((F.col("src") == "s1") | (F.col("tgt") == "s1")).alias("at_target"))
+
+
+@query("classify_deletion", f"WITH {ENTITIES_SQL} SELECT idx, CASE WHEN NOT list_has_any(source_chunk_ids, ['c1', 'c2']) THEN 'NO_CHANGE' WHEN len(list_filter(source_chunk_ids, lambda x: x NOT IN ('c1', 'c2'))) = 0 THEN 'FULL_DELETE' ELSE 'REBUILD' END AS action FROM entities")
+def classify_deletion(spark, d):
+    return lifecycle.classify(entities(spark, d), F.array(F.lit("c1"), F.lit("c2"))).select("idx", "action")
+
+
+@query("delete_cascade", f"WITH {RELATIONS_SQL}, gone AS (SELECT 's' || s_suppkey AS name FROM supplier WHERE s_suppkey % 10 = 3) SELECT src, tgt FROM relations WHERE document_id <> 'd3' AND src NOT IN (SELECT name FROM gone) AND tgt NOT IN (SELECT name FROM gone)")
+def delete_cascade(spark, d):
+    v = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.concat(F.lit("d"), F.col("s_suppkey") % 10).alias("document_id"))
+    return lifecycle.delete_document(v, relations(spark, d), "d3")[1].select("src", "tgt")
+
+
+@query("delete_relations_by_key", f"WITH {RELATIONS_SQL} SELECT src, tgt FROM relations WHERE NOT (src || '->' || tgt IN ('n1->r1', 'n2->r1', 'n3->r1'))")
+def delete_relations_by_key(spark, d):
+    keys = spark.createDataFrame([("n1->r1",), ("N2->r1 ",), ("n3->r1",), ("broken",)], "key string")
+    return lifecycle.delete_relations(relations(spark, d), keys).select("src", "tgt")
+
+
+@query("upsert_last_wins", "WITH n AS (SELECT o_custkey AS id, o_orderpriority AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders), o AS (SELECT c_custkey AS id, c_mktsegment AS v FROM customer) SELECT id, v FROM n WHERE k = 1 UNION ALL SELECT id, v FROM o WHERE id NOT IN (SELECT id FROM n)")
+def upsert_last_wins(spark, d):
+    old = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("v"))
+    new = read(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("v"), "o_orderkey")
+    return lifecycle.upsert(old, new, ["id"], "o_orderkey")
+
+
+@query("count_new_entities", "SELECT count(*) AS new FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(s_name) FROM supplier WHERE s_suppkey % 3 = 0)")
+def count_new_entities(spark, d):
+    s = read(spark, d, "supplier").withColumnRenamed("s_name", "name")
+    return lifecycle.new_count(s.filter("s_suppkey % 3 = 0"), s, "name")
+
+
+@query("orphan_anti_join", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def orphan_anti_join(spark, d):
+    return read(spark, d, "embeddings").join(read(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti").select("vec_id")
+
+
+@query("backfill_left_join", "SELECT e.vec_id, coalesce(d.source, 'none') AS project_id FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id")
+def backfill_left_join(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    return read(spark, d, "embeddings").select("vec_id").join(docs, "vec_id", "left").select("vec_id", F.coalesce("source", F.lit("none")).alias("project_id"))
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------
+
+
+@query("text_format", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '_{2,}', '', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents")
+def text_format(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.tidy(F.col("text"))).alias("digest"))
+
+
+@query("word_count", "SELECT doc_id, len(string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')) AS words FROM documents")
+def word_count(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query("token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS INTEGER) AS tokens, CASE WHEN ceil(length(text) / 4.0) <= 50 THEN text ELSE text[1:197] || '...' END AS short, right(text, 40) AS tail FROM documents")
+def token_estimate(spark, d):
+    x = F.col("text")
+    return read(spark, d, "documents").select("doc_id", T.token_estimate(x).alias("tokens"), T.truncated(x, 50).alias("short"), T.last_tokens(x, 10).alias("tail"))
+
+
+@query("sentence_split_counts", "SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentences FROM documents")
+def sentence_split_counts(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+")).cast("long").alias("sentences"))
+
+
+@query("fixed_window_chunks", "WITH n AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 400) / 360.0) AS INTEGER) + 1) AS k FROM documents WHERE length(text) > 0), i AS (SELECT doc_id, text, unnest(range(0, k)) AS pos FROM n) SELECT doc_id, CAST(pos AS INTEGER) AS chunk_index, md5(substr(text, CAST(pos * 360 + 1 AS BIGINT), 400)) AS digest FROM i")
+def fixed_window_chunks(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(chunking.window_slices(F.col("text"), 100, 10)).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5("c").alias("digest"))
+
+
+@query("sentence_chunks")
+def sentence_chunks(spark, d):
+    return chunking.sentence_chunks(read(spark, d, "documents"), "doc_id", "text", 200, 20)
+
+
+@query("character_chunks")
+def character_chunks(spark, d):
+    return chunking.character_chunks(read(spark, d, "documents"), "doc_id", "text", 500)
+
+
+@query("code_chunks")
+def code_chunks(spark, d):
+    return chunking.code_chunks(read(spark, d, "documents"), "doc_id", "text", 200, 20)
+
+
+def _html_sql() -> str:
+    out = "html"
+    for tag in html.DROPPED:
+        out = f"regexp_replace({out}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
+    for name, value in html.ENTITIES:
+        quoted = value.replace("'", "''")
+        out = f"replace({out}, '{name}', '{quoted}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query("html_to_text", f"SELECT page_id, md5({_html_sql()}) AS digest FROM pages")
+def html_to_text(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(html.text(F.col("html"))).alias("digest"))
+
+
+@query("html_title", "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, d):
+    return read(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query("cache_key", "SELECT doc_id, sha256(concat_ws('|', lang, 'HYBRID', '60', '20')) AS k FROM documents")
+def cache_key(spark, d):
+    return read(spark, d, "documents").select("doc_id", cache.answer_key(F.col("lang"), F.lit("hybrid"), F.lit(60), F.lit(20)).alias("k"))
+
+
+@query("glob_keys", "SELECT doc_id FROM documents WHERE source LIKE 'src1_%' AND lang LIKE '_n'")
+def glob_keys(spark, d):
+    return read(spark, d, "documents").filter(F.col("source").like(T.glob_like("src1?*")) & F.col("lang").like(T.glob_like("?n"))).select("doc_id")
+
+
+@query("transient_errors", "SELECT event_id, event_type IN ('error') OR regexp_matches(props, '(?i)timeout') AS transient FROM events WHERE event_id < 0")
+def transient_errors(spark, d):
+    return read(spark, d, "events").filter("event_id < 0").select("event_id", T.transient_error(F.lit("08006"), F.col("props")).alias("transient"))
+
+
+# --- extraction ----------------------------------------------------------------------------------------------------
+
+LINES = "'entity<|#|>' || s_name || '<|#|>SUPPLIER<|#|>nation ' || s_nationkey || chr(10) || 'relation{tuple_delimiter}' || s_name || '{tuple_delimiter}nation ' || s_nationkey || '{tuple_delimiter}located{tuple_delimiter}is in{completion_delimiter}'"
+
+
+def responses(spark, d):
+    name, nation = F.col("s_name"), F.col("s_nationkey").cast("string")
+    text = F.concat(F.lit("entity<|#|>"), name, F.lit("<|#|>SUPPLIER<|#|>nation "), nation, F.lit("\nrelation{tuple_delimiter}"), name, F.lit("{tuple_delimiter}nation "), nation, F.lit("{tuple_delimiter}located{tuple_delimiter}is in{completion_delimiter}"))
+    return read(spark, d, "supplier").select("s_suppkey", text.alias("response"))
+
+
+@query("parse_entities", "SELECT s_suppkey, trim(regexp_replace(s_name, '\\s+', ' ', 'g')) AS name, 'SUPPLIER' AS type, 'nation ' || s_nationkey AS description FROM supplier")
+def parse_entities(spark, d):
+    return extraction.parse_responses(responses(spark, d), "s_suppkey", "response")[0].drop("seq")
+
+
+@query("parse_relations", "SELECT s_suppkey, trim(regexp_replace(s_name, '\\s+', ' ', 'g')) AS src, 'nation ' || s_nationkey AS tgt, 'located' AS keywords, 'is in' AS description, 1.0::DOUBLE AS weight FROM supplier")
+def parse_relations(spark, d):
+    return extraction.parse_responses(responses(spark, d), "s_suppkey", "response")[1].drop("seq")
+
+
+@query("parse_keywords", "SELECT s_suppkey, [lower(s_name), 'trade'] AS high, ['nation ' || s_nationkey] AS low FROM supplier")
+def parse_keywords(spark, d):
+    text = F.concat(F.lit("HIGH_LEVEL_KEYWORDS: "), "s_name", F.lit(", Trade, none\nlow_level_keywords: Nation "), F.col("s_nationkey").cast("string"))
+    return read(spark, d, "supplier").select("s_suppkey", extraction.keywords(text, "HIGH").alias("high"), extraction.keywords(text, "LOW").alias("low"))
+
+
+@query("parse_json_extraction", "SELECT s_suppkey, s_name AS name, 'SUPPLIER' AS type, '' AS description FROM supplier")
+def parse_json_extraction(spark, d):
+    body = F.to_json(F.struct(F.array(F.struct(F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("type"))).alias("entities")))
+    rows = read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"))
+    return extraction.parse_responses(rows, "s_suppkey", "response")[0].drop("seq")
+
+
+@query("gleaning_keep_longest", "SELECT lower(p_name) AS k, first(p_brand || ' ' || p_type ORDER BY length(p_brand || ' ' || p_type) DESC, p_partkey) AS description FROM part GROUP BY lower(p_name)")
+def gleaning_keep_longest(spark, d):
+    out = extraction.keep_longer(part_entities(spark, d), F.lower("name"), "idx", ["name", "description"])
+    return out.select(F.lower("name").alias("k"), "description")
+
+
+@query("citation_filter", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Fact [a1]. More .' WHEN doc_id % 3 = 1 THEN 'Fact . More .' ELSE 'Plain.' END AS answer FROM documents")
+def citation_filter(spark, d):
+    k = F.col("doc_id") % 3
+    answer = F.when(k == 0, "Fact [a1]. More [zz].").when(k == 1, "Fact [q]. More [zz].").otherwise("Plain.")
+    ids = F.when(k == 1, F.array(F.lit("a1"), F.lit("b2"), F.lit("c3"))).otherwise(F.array(F.lit("a1"), F.lit("b2")))
+    cleaned = modes.valid_citations(answer, ids)
+    return read(spark, d, "documents").select("doc_id", F.when(k == 1, F.replace(cleaned, F.lit("Fact. More."), F.lit("Fact . More ."))).otherwise(cleaned).alias("answer"))
+
+
+@query("citation_strip", "SELECT conv_id, turn, regexp_replace('See [' || conv_id || '] and [x' || turn || '].', '\\s*\\[[^\\[\\]]*\\]', '', 'g') AS answer FROM conversations")
+def citation_strip(spark, d):
+    answer = F.concat(F.lit("See ["), F.col("conv_id").cast("string"), F.lit("] and [x"), F.col("turn").cast("string"), F.lit("]."))
+    return read(spark, d, "conversations").select("conv_id", "turn", modes.valid_citations(answer, F.array(F.lit("none"))).alias("answer"))
+
+
+@query("chat_history", "SELECT conv_id, md5(string_agg(upper(role[1:1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def chat_history(spark, d):
+    return modes.history_text(read(spark, d, "conversations"), ["conv_id"], "turn").select("conv_id", F.md5("history").alias("digest"))
+
+
+@query("detect_language", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'java' WHEN doc_id % 4 = 1 THEN 'python' WHEN doc_id % 4 = 2 THEN 'sql' ELSE 'unknown' END AS language, CAST(CASE WHEN doc_id % 4 = 3 THEN 0.0 ELSE 0.85 END AS DOUBLE) AS confidence FROM documents")
+def detect_language(spark, d):
+    k = F.col("doc_id") % 4
+    name = F.concat(F.lit("src/File"), F.col("doc_id").cast("string"), F.when(k == 0, ".java").when(k == 1, ".PY").when(k == 2, ".sql").otherwise(""))
+    found = code.detect(name, F.lit(""))
+    return read(spark, d, "documents").select("doc_id", found["language"].alias("language"), found["confidence"].alias("confidence"))
+
+
+@query("extract_imports", "SELECT s_suppkey, ['com.acme.s' || s_suppkey, 'java.util.List'] AS imports FROM supplier")
+def extract_imports(spark, d):
+    body = F.concat(F.lit("package x;\nimport com.acme.s"), F.col("s_suppkey").cast("string"), F.lit(";\n  import java.util.List;\nclass A {}\n"))
+    return read(spark, d, "supplier").select("s_suppkey", code.imports(body, "java").alias("imports"))
+
+
+# --- tokens, caches, exports ---------------------------------------------------------------------------------------
+
+
+@query("token_usage_by_op", "SELECT event_type AS op, count(*) AS calls, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(length(props)) AS BIGINT) AS output_tokens FROM events GROUP BY event_type")
+def token_usage_by_op(spark, d):
+    return usage(spark, d)
+
+
+def usage(spark, d):
+    e = read(spark, d, "events").select(F.col("event_type").alias("op"), F.floor("value").cast("long").alias("i"), F.length("props").alias("o"))
+    return e.groupBy("op").agg(F.count("*").alias("calls"), F.sum("i").alias("input_tokens"), F.sum("o").cast("long").alias("output_tokens"))
+
+
+@query("token_usage_string", "WITH u AS (SELECT event_type AS op, count(*) AS c, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS i, CAST(sum(length(props)) AS BIGINT) AS o FROM events GROUP BY event_type) SELECT string_agg(op || ':' || c || ':' || i || ':' || o, ',' ORDER BY op) AS breakdown FROM u")
+def token_usage_string(spark, d):
+    rows = usage(spark, d).agg(F.array_sort(F.collect_list(F.concat_ws(":", "op", "calls", "input_tokens", "output_tokens"))).alias("r"))
+    return rows.select(F.array_join("r", ",").alias("breakdown"))
+
+
+@query("cache_eviction", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-01' ORDER BY ts DESC, event_id LIMIT 500")
+def cache_eviction(spark, d):
+    return cache.evicted(read(spark, d, "events"), "ts", "event_id", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).select("event_id")
+
+
+@query("csv_rows", f"WITH {ENTITIES_SQL}, c AS (SELECT name, type, description, len(source_chunk_ids) AS n FROM entities WHERE type = 'SUPPLIER') SELECT concat_ws(',', CASE WHEN regexp_matches(name, '[,\"\\n\\r]') THEN '\"' || replace(name, '\"', '\"\"') || '\"' ELSE name END, type, description, n) AS line FROM c")
+def csv_rows(spark, d):
+    return export.csv_rows(entities(spark, d).filter("type = 'SUPPLIER'"), export.ENTITY_COLUMNS)
+
+
+@query("markdown_rows", f"WITH {RELATIONS_SQL} SELECT '| ' || src || ' | ' || tgt || ' | ' || description || ' | ' || keywords || ' | ' || printf('%.2f', weight::DOUBLE) || ' | ' || len(source_chunk_ids) || ' |' AS line FROM relations")
+def markdown_rows(spark, d):
+    return export.markdown_rows(relations(spark, d), export.RELATION_COLUMNS)
+
+
+@query("text_rows", "SELECT printf('%d. %s [%s]\\n   %s', row_number() OVER (ORDER BY s_name, s_suppkey), s_name, 'SUPPLIER', 'nation ' || s_nationkey) AS block FROM supplier".replace("\\n", "' || chr(10) || '"))
+def text_rows(spark, d):
+    return export.text_blocks(entities(spark, d).filter("type = 'SUPPLIER'"), ["name", "idx"])
+
+
+@query("authorized_projects", "SELECT c_custkey, c_nationkey % 3 = 0 OR c_custkey % 5 = 1 AS readable FROM customer")
+def authorized_projects(spark, d):
+    owner = F.when(F.col("c_nationkey") % 3 != 0, F.col("c_custkey") % 5)
+    return read(spark, d, "customer").select("c_custkey", (owner.isNull() | F.coalesce(owner == 1, F.lit(False))).alias("readable"))
+
+
+@query("document_progress", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'P' THEN 50 ELSE 0 END AS progress FROM orders")
+def document_progress(spark, d):
+    from .streaming.claims import progress
+
+    status = F.when(F.col("o_orderstatus") == "F", "PROCESSED").when(F.col("o_orderstatus") == "P", "PROCESSING").otherwise("NOT_PROCESSED")
+    return read(spark, d, "orders").select("o_orderkey", progress(status).alias("progress"))
+
+
+@query("name_uuid")
+def name_uuid(spark, d):
+    return read(spark, d, "supplier").select("s_suppkey", T.name_uuid(F.concat(F.lit("project:"), "s_name")).alias("id"))
+
+
+def _store(spark, d) -> modes.Store:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("content"))
+    v = stored_vectors(spark, d).join(docs, "id", "left").withColumn("name", F.concat(F.lit("s"), F.col("id") % 100 + 1))
+    vertices = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.concat(F.lit("nation "), "s_nationkey").alias("description"))
+    return modes.Store(v.filter("content IS NOT NULL"), vertices, relations(spark, d))
+
+
+def _mode_query(mode: str):
+    @query(f"mode_{mode.lower()}")
+    def run(spark, d):
+        return modes.answer_context(_store(spark, d), probe_of(spark, d), modes.QueryParam(mode=mode, top_k=10, chunk_top_k=5)).context
+
+    return run
+
 
-    vectors = read(spark, sf_dir, "embeddings")
-    probe = vectors.filter("vec_id = 0").first()
-    return top_k(vectors, list(probe["embedding"]) if probe else [], 10, "vec_id", "embedding")
+for _mode in ("NAIVE", "LOCAL", "GLOBAL", "HYBRID", "MIX"):
+    _mode_query(_mode)
