@@ -24,69 +24,26 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 
-from .common import Scratch, arrow_map, utf8
+from .common import Scratch, arrow_map
+from .shingles import sets as shingle_sets
 
-WORDS = 5
 #: Similarity is at least NUM / DEN.
 NUM, DEN = 3, 4
 #: Columns counted as frequent: at most so many, by count; the order of the others is their hash. Only speed depends on it.
-MAX_FREQUENT, LEAST_FREQUENT = 1 << 17, 12
+MAX_FREQUENT, LEAST_FREQUENT = 1 << 18, 3
+#: Tables of up to this many keys are broadcast (a few MB); larger ones are joined by a shuffle.
+MAX_BROADCAST = 1 << 18
 #: Bits of the filter of documents whose sets are fetched, at most; what passes it wrongly is dropped by a join.
 MAX_FILTER_BITS = 1 << 26
-FLUSH = 1 << 21
+FLUSH = 1 << 22
 #: Turns with leaders before the one that takes all pairs between components, and leaders that a class meets in each.
 #: After the first turn, columns fall into FAMILIES, each with an order of its own for who leads.
-TURNS, LEADERS, FAMILIES = 3, 8, 8
+#: These turns are for the columns of components of at least LARGE classes.
+TURNS, LEADERS, FAMILIES, LARGE = 5, 8, 8, 8
 
-_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"shingle", k) | 1 for k in range(WORDS)], np.uint64)
 _MIX = np.uint64(xxhash.xxh64_intdigest(b"mix") | 1)
 
 
-class Shingler:
-    """Sorted 64-bit hashes of a text's distinct shingles. Words are those between ASCII white space, A-Z lower-cased."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.codes = np.zeros(4096, np.uint64)
-
-    def add(self, new: list[bytes]) -> None:
-        at = len(self.number)
-        while at + len(new) > len(self.codes):
-            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-        self.number.update(zip(new, range(at, at + len(new)), strict=True))
-        self.codes[at : at + len(new)] = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))
-
-    def sequence(self, text: bytes | None) -> np.ndarray:
-        """The hash of the shingle that starts at each word; shorter texts are one shingle; no words, none."""
-        words = text.lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.number) >= self.limit:
-            self.clear()
-        found = list(map(self.number.get, words))
-        if None in found:
-            self.add(list({w for w, x in zip(words, found) if x is None}))  # noqa: B905
-            found = list(map(self.number.get, words))
-        codes = self.codes[np.array(found, np.int64)]
-        if len(codes) < WORDS:
-            return np.array([xxhash.xxh3_64_intdigest(codes.tobytes())], np.uint64)
-        n = len(codes) - WORDS + 1
-        out = np.zeros(n, np.uint64)
-        for k in range(WORDS):
-            out += codes[k : k + n] * _MULTIPLIERS[k]
-        out ^= out >> np.uint64(31)
-        out *= _MIX
-        out ^= out >> np.uint64(29)
-        return out
-
-    def shingles(self, text: bytes | None) -> np.ndarray:
-        return np.unique(self.sequence(text))
-
-
 def class_of(found: np.ndarray) -> int:
     """Key of a set of shingles."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
@@ -124,21 +81,20 @@ def profile(src: DataFrame) -> DataFrame:
     rows of a part of the input (kind 1: shingle, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler, parts, classes = Shingler(), [], set()
+        parts, classes = [], set()
 
         def frequent():
             column, count = np.unique(np.concatenate(parts), return_counts=True)
             parts.clear()
             classes.clear()
-            keep = count >= 3
+            keep = count >= 2
             return batch_of("kind id cls n", pa.array(np.ones(keep.sum(), np.int32)), pa.nulls(int(keep.sum()), pa.int64()), column[keep].view(np.int64), count[keep].astype(np.int64))
 
         held = 0
         for batch in batches:
             ids = batch.column(0)
             cls, sizes = [], []
-            for text in utf8(batch.column(1)):
-                found = shingler.shingles(text)
+            for found in shingle_sets(batch.column(1)):
                 key = class_of(found)
                 cls.append(key)
                 sizes.append(len(found))
@@ -161,12 +117,11 @@ def incidence(src: DataFrame, frequent: np.ndarray) -> DataFrame:
     shared = src.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent, kind="stable")))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler, (columns, ranks) = Shingler(), shared.value
+        columns, ranks = shared.value
         for batch in batches:
             sh, cl, ns, co = [], [], [], []
             done: set[int] = set()
-            for text in utf8(batch.column(0)):
-                found = shingler.shingles(text)
+            for found in shingle_sets(batch.column(0)):
                 n = len(found)
                 key = class_of(found)
                 if not n or key in done:
@@ -240,19 +195,23 @@ class Links:
         count = wanted.count()
         if self.sets is not None and not count:
             return
-        shared = self.src.sparkSession.sparkContext.broadcast(membership_filter(wanted, count))
+        src, few = self.src.select("id", "text"), count <= MAX_BROADCAST
+        if few:
+            src = src.join(F.broadcast(wanted.withColumnRenamed("rep", "id")), "id", "left_semi")
+        shared = None if few else src.sparkSession.sparkContext.broadcast(membership_filter(wanted, count))
 
         def run(batches):
-            shingler, mask = Shingler(), shared.value
             for batch in batches:
-                batch = batch.filter(batch.column(0).is_valid())
-                batch = batch.filter(pa.array(has_bits(mask, batch.column(0).to_numpy(zero_copy_only=False))))
-                found = [shingler.shingles(t) for t in utf8(batch.column(1))]
+                if shared is not None:
+                    batch = batch.filter(batch.column(0).is_valid())
+                    batch = batch.filter(pa.array(has_bits(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))
+                found = list(shingle_sets(batch.column(1)))
                 if found:
                     yield batch_of("rep cls items", batch.column(0), pa.array([class_of(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()))
 
-        sets = arrow_map(self.src.select("id", "text"), run, "rep long, cls long, items binary").join(wanted, "rep", "left_semi").dropDuplicates(["cls"]).select("cls", "items")
-        sets = self.scratch.save(sets, f"sets{self.turn}")
+        sets = arrow_map(src, run, "rep long, cls long, items binary")
+        sets = sets if few else sets.join(wanted, "rep", "left_semi")
+        sets = self.scratch.save(sets.dropDuplicates(["cls"]).select("cls", "items"), f"sets{self.turn}")
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
 
     def add(self, pairs: DataFrame) -> bool:
@@ -279,30 +238,51 @@ class Links:
         return not found.isEmpty()
 
 
-def open_block(block: DataFrame, part: DataFrame | None) -> DataFrame:
-    """The columns in which more than one component meets: (sh, cls, n, label)."""
-    named = block.withColumn("label", F.col("cls")) if part is None else block.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("sh", "cls", "n", F.coalesce("component", "cls").alias("label"))
-    ends = named.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    return named.join(ends.select("sh"), "sh", "left_semi")
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
+def best_leaders(counted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class and the leaders it shares most columns with, from (cls, lead, c)."""
+    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("c"), "lead"))).filter(F.col("place") <= LEADERS)
+    return best.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+
+
+def meet_first(block: DataFrame) -> DataFrame:
+    """Pairs of each class and the leaders of its columns, each led by its first class. Counts are low, as a class does
+    not lead each column it is in; hence the doubled count in the bound."""
+    met = block.filter("cls <> lead").groupBy("cls", "n", "lead", "lead_n").agg(F.count("*").alias("c"))
+    return best_leaders(met.filter(can_reach(F.col("n"), F.col("lead_n"), 2 * F.col("c"))))
+
+
+def busy_block(block: DataFrame, part: DataFrame) -> DataFrame:
+    """The columns that hold a class of a large component, with each class's component: (sh, cls, n, label)."""
+    large = part.join(part.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= LARGE), "component").select(F.col("node").alias("cls"))
+    columns = block.select("sh", "cls").join(small(large), "cls", "left_semi").select("sh").distinct()
+    return labelled(block.join(small(columns), "sh", "left_semi"), part)
+
+
+def labelled(block: DataFrame, part: DataFrame) -> DataFrame:
+    return block.select("sh", "cls", "n").join(small(part.withColumnRenamed("node", "cls")), "cls", "left").select("sh", "cls", "n", F.coalesce("component", "cls").alias("label"))
 
 
 def meet_leaders(block: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each class and the leaders it shares most columns with, of other components. A column is led by
-    its first and last class in an order that changes with the turn. Counts are low here, as a class does not lead each
-    column it is in; hence the multiple of the count in the bound."""
-    families = FAMILIES if turn else 1
-    order = F.struct(F.xxhash64(F.col("cls"), F.pmod("sh", F.lit(families)), F.lit(turn)).alias("h"), "cls", "n", "label")
+    """Pairs of each class and leaders of other components. A column is led by its first and last class in an order that
+    changes with the turn and the family of the column; a class leads few of its columns, hence the multiple of the count."""
+    order = F.struct(F.xxhash64(F.col("cls"), F.pmod("sh", F.lit(FAMILIES)), F.lit(turn)).alias("h"), "cls", "n", "label")
     ends = block.groupBy("sh").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).filter("lo.cls <> hi.cls")
     met = block.join(ends, "sh").select("cls", "n", "label", F.explode(F.array("lo", "hi")).alias("l")).filter("l.label <> label").select("cls", "n", F.col("l.cls").alias("lead"), F.col("l.n").alias("m"))
-    counted = met.groupBy("cls", "n", "lead", "m").agg(F.count("*").alias("c")).filter(can_reach(F.col("n"), F.col("m"), 2 * families * F.col("c")))
-    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("c"), "lead"))).filter(F.col("place") <= LEADERS)
-    return best.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+    counted = met.groupBy("cls", "n", "lead", "m").agg(F.count("*").alias("c"))
+    return best_leaders(counted.filter(can_reach(F.col("n"), F.col("m"), 2 * FAMILIES * F.col("c"))))
 
 
 def meet_all(block: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components that share a column and can reach the threshold."""
-    left = block.select("sh", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = block.select("sh", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    w = Window.partitionBy("sh")
+    mixed = block.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).filter("lo < hi")
+    left = mixed.select("sh", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = mixed.select("sh", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     product = left.join(right, "sh").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_fit(F.col("na"), F.col("nb")))
     return product.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).filter(can_reach(F.col("na"), F.col("nb"), F.col("c"))).select("a", "b")
 
@@ -319,24 +299,32 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seen = scratch.save(profile(src), "profile")
     rows = scratch.save(seen.filter("kind = 0 AND n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "rows")
     counts = seen.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_FREQUENT)
-    frequent = counts.orderBy(F.desc("n"), "cls").limit(MAX_FREQUENT).toPandas()["cls"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    frequent = counts.orderBy(F.desc("n"), "cls").limit(MAX_FREQUENT).select("cls").toArrow()["cls"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
     lead = incidence(src.select("text"), frequent)
-    # columns that only one class leads with make no pairs; common ones are counted ahead, so that no task gets them whole
+    # columns that only one class leads with make no pairs; leaders of frequent ones are counted ahead
+    dealt = lead.repartition("sh")
     w = Window.partitionBy("sh")
-    rare = lead.filter("NOT common").withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).filter("lo < hi").select("sh", "cls", "n")
-    lead_common = lead.filter("common")
-    shared_columns = lead_common.groupBy("sh").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("sh")
-    block = scratch.save(rare.unionByName(lead_common.join(F.broadcast(shared_columns), "sh").select("sh", "cls", "n")), "block")
-
-    links, part = Links(src, rows, scratch), None
-    for turn in range(TURNS):
-        if not links.add(meet_leaders(open_block(block, part), turn)):
+    lo, hi = F.min(F.struct("cls", "n")), F.max("cls")
+    rare = dealt.filter("NOT common").withColumn("lo", lo.over(w)).withColumn("hi", hi.over(w))
+    common = dealt.filter("common")
+    common = common.join(F.broadcast(common.groupBy("sh").agg(lo.alias("lo"), hi.alias("hi"))), "sh")
+    columns = ["sh", "cls", "n", "lo", "hi"]
+    both = rare.select(columns).unionByName(common.select(columns)).filter("lo.cls < hi")
+    block = scratch.save(both.select("sh", "cls", "n", F.col("lo.cls").alias("lead"), F.col("lo.n").alias("lead_n")), "block")
+
+    links = Links(src, rows, scratch)
+    more = links.add(meet_first(block))
+    part = scratch.save(components(links.found, "a", "b"), "part0")
+    for turn in range(1, TURNS):
+        if not more:
             break
-        part = scratch.save(components(links.found, "a", "b"), f"part{links.turn}")
-    links.add(meet_all(scratch.save(open_block(block, part), "open")))
+        more = links.add(meet_leaders(scratch.save(busy_block(block, part), f"busy{turn}"), turn))
+        part = scratch.save(components(links.found, "a", "b"), f"part{turn}") if more else part
+        scratch.drop(f"busy{turn}")
+    links.add(meet_all(labelled(block, part)))
     all_links = links.found
-    scratch.drop("block", "open", *(f"sets{k}" for k in range(links.turn + 1)))
+    scratch.drop("block", *(f"sets{k}" for k in range(links.turn + 1)))
 
     found = components(all_links, "a", "b").join(rows.select(F.col("cls").alias("node"), "rep"), "node")
     named = found.join(found.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("cls"), "least")
