@@ -28,8 +28,8 @@ def repaired(text: Column) -> Column:
     out = text
     for pattern, marker in SPELLINGS:
         out = F.regexp_replace(out, pattern, marker)
-    piped = lambda line: F.lower(F.trim(line)).rlike(r"^(?:entity|relation)\|") & ~F.contains(line, F.lit(FIELD)) & (F.size(F.split(F.rtrim(F.lit("|"), line), r"\|")) >= 4)
-    return F.array_join(F.transform(F.split(out, "\n"), lambda line: F.when(piped(line), F.replace(F.rtrim(F.lit("|"), line), F.lit("|"), F.lit(FIELD))).otherwise(line)), "\n")
+    piped = lambda line: F.lower(F.trim(line)).rlike(r"^(?:entity|relation)\|") & ~F.contains(line, F.lit(FIELD)) & (F.size(F.split(F.rtrim(line, F.lit("|")), r"\|")) >= 4)
+    return F.array_join(F.transform(F.split(out, "\n"), lambda line: F.when(piped(line), F.replace(F.rtrim(line, F.lit("|")), F.lit("|"), F.lit(FIELD))).otherwise(line)), "\n")
 
 
 def records(text: Column) -> Column:

@@ -38,7 +38,7 @@ def files(spark: SparkSession, path: str, patterns: list[str] | None = None, max
 
 def plain_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: path, content and counts of characters, words and lines."""
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.rtrim(F.lit("\n"), F.regexp_replace("value", r"\r\n?", "\n")).alias("content"))
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.rtrim(F.regexp_replace("value", r"\r\n?", "\n"), F.lit("\n")).alias("content"))
     return read.select("path", "content", F.length("content").alias("character_count"), text.word_count(F.col("content")).alias("word_count"), F.size(F.split("content", "\n")).alias("line_count"))
 
 
