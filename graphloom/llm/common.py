@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.session import findable
 
-__all__ = ["Scratch", "arrow_map", "held_out", "read_table", "utf8"]
+__all__ = ["Scratch", "arrow_map", "held_out", "read_table", "unused", "utf8"]
 
 #: Arrow batches that Python workers hold at a time: rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -39,5 +39,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

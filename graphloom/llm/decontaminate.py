@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, unused
 
 WINDOW, MIN_LITERALS = 8, 5
 #: An item is matched by this many windows in a row, or by all it has if it has fewer.
@@ -257,5 +257,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_anti")
+    i, h = unused(docs, "_id", "_hash")
+    bad = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(i), F.col("row_hash").alias(h)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h)), "left_anti")

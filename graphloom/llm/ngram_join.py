@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 
-from .common import Scratch, arrow_map
+from .common import Scratch, arrow_map, unused
 from .shingles import sets as shingle_sets
 
 #: Similarity is at least NUM / DEN.
@@ -338,8 +338,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     An id names one document: of several rows with that id one stays. Rows without an id stay, once for each text.
     """
-    kept = cluster(docs, id_col, text_col).filter(F.col(id_col).isNull() | (F.col("component_id") == F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
-    mine = docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    i, place = unused(docs, "_id", "_place")
+    kept = cluster(docs, id_col, text_col).filter(F.col(id_col).isNull() | (F.col("component_id") == F.col(id_col))).select(F.col(id_col).alias(i)).distinct()
+    mine = docs.join(kept, docs[id_col].eqNullSafe(F.col(i)), "left_semi")
     order = F.xxhash64(F.col(text_col))
     w = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), order)).orderBy(order)
-    return mine.withColumn("_place", F.row_number().over(w)).filter("_place = 1").select(docs.columns)
+    return mine.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).select(docs.columns)

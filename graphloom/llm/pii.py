@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 #: Fixed values of the contract: the kinds in their order and what each looks like. A match starts where the search
 #: would find it from the left; possessive parts and the guards before a run keep the search linear.
@@ -100,14 +100,18 @@ def shape(v: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.length(v).cast("string"))
 
 
+def label(before: Column) -> Column:
+    """The name and joint that a cue ends with, such as `key =`; empty if it ends otherwise."""
+    return F.regexp_replace(F.regexp_extract(before, r"([\p{L}_]+\s*[=:]\s*[\"'(]?)$", 1), r"\s+", " ")
+
+
 def confident_patterns(seen: DataFrame) -> DataFrame:
     """Patterns of high confidence, from (cue, v, kind) of all spans: pattern, confidence, support, kind.
 
     Scores go to and fro on the graph of distinct strings and patterns; every sum is a partial aggregation, so a
     pattern that holds a third of all rows is no hot key.
     """
-    named = F.regexp_extract("cue", r"([\p{L}_]+\s*[=:])", 1) != ""
-    patterns = F.array_compact(F.array(F.when(named, F.concat(F.lit("c|"), F.regexp_replace("cue", r"\s+", " "))), F.when(F.col("cue").rlike(r"\p{L}"), F.concat(F.lit("s|"), F.regexp_replace("cue", r"\s+", " "), F.lit("|"), shape(F.col("v"))))))
+    patterns = F.array_compact(F.array(F.when(label(F.col("cue")) != "", F.concat(F.lit("c|"), label(F.col("cue")))), F.when(F.col("cue").rlike(r"\p{L}"), F.concat(F.lit("s|"), F.regexp_replace("cue", r"\s+", " "), F.lit("|"), shape(F.col("v"))))))
     edges = seen.select(F.explode(patterns).alias("pattern"), F.xxhash64(F.lower("v")).alias("inst"), "kind").groupBy("pattern", "inst").agg(F.max("kind").alias("kind"))
     scored = edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
     out = None
@@ -136,7 +140,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each = seen.filter((F.size("base") > 0) | (F.size("cands") > 0)).select("doc_id", "text_hash", F.explode(F.concat("base", "cands")).alias("x")).select("doc_id", "text_hash", "x.*")
     sure = scratch.save(confident_patterns(each.select("cue", "v", "kind")), "patterns").withColumnRenamed("kind", "found_kind")
     single = F.regexp_replace("cue", r"\s+", " ")
-    maybe = each.filter("kind IS NULL").withColumn("pattern", F.explode(F.array(F.concat(F.lit("c|"), single), F.concat(F.lit("s|"), single, F.lit("|"), shape(F.col("v"))))))
+    maybe = each.filter("kind IS NULL").withColumn("pattern", F.explode(F.array(F.concat(F.lit("c|"), label(F.col("cue"))), F.concat(F.lit("s|"), single, F.lit("|"), shape(F.col("v"))))))
     new = maybe.join(sure.select("pattern", "found_kind"), "pattern").groupBy("doc_id", "text_hash", "s", "e").agg(F.max("found_kind").alias("kind"), F.first("v").alias("v"), F.first("cue").alias("cue"))
     secrets = each.filter("kind = 'secret'").select("doc_id", "text_hash", "s", "e", "kind", "v", "cue").distinct()
     added = new.select("doc_id", "text_hash", "s", "e", "kind", "v", "cue").unionByName(secrets).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind", "v", "cue"))).alias("added"))
@@ -167,17 +171,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Texts that hold neither a digit nor @ have no spans and take no part in the join.
     """
-    found = find(docs, id_col, text_col).filter((F.size("base") > 0) | (F.size("added") > 0)).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), all_spans(F.col("base"), F.col("added")).alias("_spans"))
+    i, h, sp = unused(docs, "_id", "_hash", "_spans")
+    found = find(docs, id_col, text_col).filter((F.size("base") > 0) | (F.size("added") > 0)).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), all_spans(F.col("base"), F.col("added")).alias(sp))
     text = F.col(text_col)
     may = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     rest = docs.filter(~may)
     one = docs.filter(may)
-    hit = one.join(found, one[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    hit = one.join(found, one[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.when(x["s"] >= acc["pos"], F.struct(x["e"].alias("pos"), piece.alias("out"))).otherwise(acc)
 
-    masked = F.aggregate(F.col("_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    return hit.select(*[(F.when(F.col("_spans").isNull(), text).otherwise(masked) if c == text_col else F.col(c)).alias(c) for c in docs.columns]).unionByName(rest)
+    masked = F.aggregate(F.col(sp), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    return hit.select(*[(F.when(F.col(sp).isNull(), text).otherwise(masked) if c == text_col else F.col(c)).alias(c) for c in docs.columns]).unionByName(rest)
