@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.session import findable
+
 
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
@@ -47,21 +51,58 @@ def filtered(vectors: DataFrame, kind: str | None = None, ids: Sequence | None =
     return vectors
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
-    """The k most similar vectors for each query of (query_id, probe), within a group if `by` is given.
+#: Queries that a task holds at a time; more are run in blocks.
+BLOCK_QUERIES = 1000
 
-    The queries are collected in a size-checked batch and sent to the scan; each task keeps k rows a query.
-    """
-    probes = queries.limit(MAX_QUERIES + 1).collect()
-    if len(probes) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
-    table = F.broadcast(vectors.sparkSession.createDataFrame([(r["query_id"], [float(x) for x in r["probe"]]) for r in probes], f"query_id {queries.schema['query_id'].dataType.simpleString()}, probe array<double>"))
-    scored = vectors.join(table).select("query_id", *([by] if by else []), "id", F.round(cosine(F.col("vector"), F.col("probe")), 6).alias("score"))
-    w = Window.partitionBy("query_id", *([by] if by else [])).orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k most similar vectors (id, vector) for each of any number of queries (query_id, probe): query_id, id, score, rank.
 
-MAX_QUERIES = 1000
+    Queries go in blocks of about BLOCK_QUERIES. A task multiplies its vectors with a block and keeps k rows for each
+    query; only those are shuffled and ranked. Vectors and queries must have one dimension; null vectors are passed over.
+    """
+    count = queries.count()
+    blocks = max(1, -(-count // BLOCK_QUERIES))
+    parts = [_top_k_block(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _top_k_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    findable(vectors.sparkSession)
+    rows = queries.select("query_id", F.col("probe").cast("array<double>")).filter("probe IS NOT NULL").orderBy("query_id").collect()
+    names = pa.array([r[0] for r in rows])
+    probes = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    norms = np.sqrt((probes * probes).sum(1))
+    shared = vectors.sparkSession.sparkContext.broadcast((names, probes, norms))
+    src = vectors.select("id", F.col("vector").cast("array<double>")).filter("vector IS NOT NULL")
+    kinds = src.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches):
+        names, probes, norms = shared.value
+        for batch in batches:
+            if not len(names) or not batch.num_rows:
+                continue
+            values = batch.column(1)
+            x = values.flatten().to_numpy().reshape(batch.num_rows, -1)
+            size = np.sqrt((x * x).sum(1))[:, None] * norms
+            scores = np.round(np.divide(x @ probes.T, size, out=np.zeros_like(size), where=size > 0), 6)
+            order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
+            best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
+            at, q = best.ravel(), np.tile(np.arange(len(names)), len(best))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(scores[at, q])], ["query_id", "id", "score"])
+
+    return src.mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+
+
+def top_k_by_group(vectors: DataFrame, probe: Sequence[float], k: int, by: str) -> DataFrame:
+    """The k most similar vectors of each group for one query."""
+    scored = vectors.select(by, "id", F.round(cosine(F.col("vector"), as_vector(probe)), 6).alias("score"))
+    w = Window.partitionBy(by).orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def weighted(hits: DataFrame, linked_ids: Column, names: Column, keywords: Column) -> DataFrame:

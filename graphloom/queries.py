@@ -56,15 +56,14 @@ def vector_topk_ids(spark, d):
     return vectors.top_k(vectors.filtered(stored_vectors(spark, d), ids=[1, 5, 9, 13, 400]), probe_of(spark, d), 3, "id", "vector")
 
 
-@query("vector_topk_per_label", f"WITH {PROBE}, s AS (SELECT label AS project_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id) AS rank FROM s) SELECT 0 AS query_id, project_id, id, score, rank FROM r WHERE rank <= 3")
+@query("vector_topk_per_label", f"WITH {PROBE}, s AS (SELECT label AS project_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT project_id, id, score, rank FROM r WHERE rank <= 3")
 def vector_topk_per_label(spark, d):
-    queries = read(spark, d, "embeddings").filter("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("probe"))
-    return vectors.top_k_batch(stored_vectors(spark, d), queries, 3, "project_id")
+    return vectors.top_k_by_group(stored_vectors(spark, d), probe_of(spark, d), 3, "project_id")
 
 
-@query("vector_topk_batch", "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5")
+@query("vector_topk_batch", "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5")
 def vector_topk_batch(spark, d):
-    queries = read(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    queries = read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
     return vectors.top_k_batch(stored_vectors(spark, d), queries, 5)
 
 
@@ -431,10 +430,10 @@ def upsert_last_wins(spark, d):
     return lifecycle.upsert(old, new, ["id"], "o_orderkey")
 
 
-@query("count_new_entities", "SELECT count(*) AS new FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(s_name) FROM supplier WHERE s_suppkey % 3 = 0)")
+@query("count_new_entities", "SELECT count(*) AS new FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(s_name) FROM supplier WHERE s_acctbal > 0)")
 def count_new_entities(spark, d):
     s = read(spark, d, "supplier").withColumnRenamed("s_name", "name")
-    return lifecycle.new_count(s.filter("s_suppkey % 3 = 0"), s, "name")
+    return lifecycle.new_count(s.filter("s_acctbal > 0"), s, "name")
 
 
 @query("orphan_anti_join", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -523,9 +522,10 @@ def glob_keys(spark, d):
     return read(spark, d, "documents").filter(F.col("source").like(T.glob_like("src1?*")) & F.col("lang").like(T.glob_like("?n"))).select("doc_id")
 
 
-@query("transient_errors", "SELECT event_id, event_type IN ('error') OR regexp_matches(props, '(?i)timeout') AS transient FROM events WHERE event_id < 0")
+@query("transient_errors", f"SELECT event_id, lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') IN ('08', '40', '53', '57') OR regexp_matches(event_type || ' ' || props, '{T.TRANSIENT_WORDS}') AS transient FROM events")
 def transient_errors(spark, d):
-    return read(spark, d, "events").filter("event_id < 0").select("event_id", T.transient_error(F.lit("08006"), F.col("props")).alias("transient"))
+    state = F.concat(F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"), F.lit("000"))
+    return read(spark, d, "events").select("event_id", T.transient_error(state, F.concat_ws(" ", "event_type", "props")).alias("transient"))
 
 
 # --- extraction ----------------------------------------------------------------------------------------------------
@@ -661,7 +661,7 @@ def name_uuid(spark, d):
 
 
 def _store(spark, d) -> modes.Store:
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("content"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     v = stored_vectors(spark, d).join(docs, "id", "left").withColumn("name", F.concat(F.lit("s"), F.col("id") % 100 + 1))
     vertices = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.concat(F.lit("nation "), "s_nationkey").alias("description"))
     return modes.Store(v.filter("content IS NOT NULL"), vertices, relations(spark, d))
@@ -677,3 +677,108 @@ def _mode_query(mode: str):
 
 for _mode in ("NAIVE", "LOCAL", "GLOBAL", "HYBRID", "MIX"):
     _mode_query(_mode)
+
+
+# --- more of the smaller operators ---------------------------------------------------------------------------------
+
+
+@query("keywords_serialized", "SELECT doc_id, 'HIGH:' || lang || ',' || source || '|LOW:' || lang AS s, [lang, source] AS high, [lang] AS low FROM documents")
+def keywords_serialized(spark, d):
+    s = T.serialized_keywords(F.array("lang", "source"), F.array("lang"))
+    high, low = T.parsed_keywords(s)
+    return read(spark, d, "documents").select("doc_id", s.alias("s"), high.alias("high"), low.alias("low"))
+
+
+@query("enhanced_query", "SELECT doc_id, 'what is new ' || lang || ' ' || source AS q FROM documents")
+def enhanced_query(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.enhanced_query(F.lit("what is new"), F.array("lang", "source")).alias("q"))
+
+
+@query("description_key", "SELECT p_partkey, sha256(p_name || p_brand || p_type) AS k FROM part")
+def description_key(spark, d):
+    return read(spark, d, "part").select("p_partkey", T.description_key(F.col("p_name"), F.array("p_brand", "p_type")).alias("k"))
+
+
+@query("legacy_tuples", "SELECT p_partkey, p_name AS name, p_type AS type, p_brand AS description FROM part")
+def legacy_tuples(spark, d):
+    text = F.concat(F.lit('x ("'), "p_name", F.lit('", "'), "p_type", F.lit('","'), "p_brand", F.lit('") y'))
+    return read(spark, d, "part").select("p_partkey", F.inline(extraction.legacy_tuples(text)))
+
+
+@query("extractor_dispatch", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'docx' WHEN 3 THEN 'code' END AS extractor FROM documents")
+def extractor_dispatch(spark, d):
+    from .sources.files import extractor
+
+    ending = F.element_at(F.array(*map(F.lit, (".MD", ".pdf", ".docx", ".java", ".unknown"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", extractor(F.concat(F.lit("file"), ending)).alias("extractor"))
+
+
+@query("needs_summary", "SELECT conv_id, count(*) > 1 AND sum(CAST(ceil(length(text) / 4.0) AS INTEGER)) > 300 AS needs FROM conversations GROUP BY conv_id")
+def needs_summary(spark, d):
+    return turns(spark, d).groupBy("conv_id").agg(((F.count("*") > 1) & (F.sum("tokens") > 300)).alias("needs"))
+
+
+@query("rebuilt_descriptions", "SELECT lower(trim(p_name)) AS name, md5(string_agg(p_brand, ' | ' ORDER BY p_type, p_partkey, p_brand)) AS digest FROM part GROUP BY 1")
+def rebuilt_descriptions(spark, d):
+    cached = read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("chunk_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("description"))
+    names = cached.select(T.stored_name(F.col("name")).alias("name")).distinct()
+    return lifecycle.rebuilt_descriptions(cached, names).select("name", F.md5("description").alias("digest"))
+
+
+@query("cache_by_chunk", "SELECT c_nationkey AS chunk_id, count(*) AS entries, min(c_custkey) AS first FROM customer GROUP BY c_nationkey")
+def cache_by_chunk(spark, d):
+    return read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("chunk_id")).agg(F.count("*").alias("entries"), F.min("c_custkey").alias("first"))
+
+
+@query("cache_store", "WITH n AS (SELECT o_custkey AS id, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) SELECT 'k' || coalesce(c.c_custkey, n.id) AS content_hash, coalesce('first' || c.c_custkey, 'new' || n.o_orderkey) AS id, coalesce(n.o_orderpriority, c.c_mktsegment) AS result FROM customer c FULL JOIN (SELECT * FROM n WHERE k = 1) n ON n.id = c.c_custkey")
+def cache_store(spark, d):
+    key = lambda c: (F.lit("p").alias("project_id"), F.lit("SUMMARY").alias("cache_type"), F.concat(F.lit("k"), F.col(c).cast("string")).alias("content_hash"))
+    old = read(spark, d, "customer").select(F.concat(F.lit("first"), F.col("c_custkey").cast("string")).alias("id"), *key("c_custkey"), F.lit("c").alias("chunk_id"), F.col("c_mktsegment").alias("result"))
+    new = read(spark, d, "orders").select(F.concat(F.lit("new"), F.col("o_orderkey").cast("string")).alias("id"), *key("o_custkey"), F.lit("c").alias("chunk_id"), F.col("o_orderpriority").alias("result"), F.col("o_orderkey").alias("seq"))
+    return cache.store(old, new, "seq").select("content_hash", "id", "result")
+
+
+@query("cache_lookup", "SELECT l_orderkey, l_linenumber, o_orderpriority AS result FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F'")
+def cache_lookup(spark, d):
+    key = lambda c: (F.lit("p").alias("project_id"), F.lit("T").alias("cache_type"), F.col(c).cast("string").alias("content_hash"))
+    stored = read(spark, d, "orders").filter("o_orderstatus = 'F'").select(*key("o_orderkey"), F.col("o_orderpriority").alias("result"))
+    return cache.lookup(stored, read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *key("l_orderkey"))).select("l_orderkey", "l_linenumber", "result")
+
+
+@query("source_labels", "SELECT e.vec_id, coalesce(d.source, 'Unknown Document') || CASE WHEN e.label > 0 THEN ' - chunk ' || e.label ELSE '' END AS source FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id")
+def source_labels(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    name = F.coalesce("source", F.lit("Unknown Document"))
+    tail = F.when(F.col("label") > 0, F.concat(F.lit(" - chunk "), F.col("label").cast("string"))).otherwise("")
+    return read(spark, d, "embeddings").select("vec_id", "label").join(docs, "vec_id", "left").select("vec_id", F.concat(name, tail).alias("source"))
+
+
+@query("unprocessed_batch", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def unprocessed_batch(spark, d):
+    from .streaming.claims import unprocessed
+
+    status = F.when(F.col("o_orderstatus") == "O", "NOT_PROCESSED").otherwise("PROCESSED")
+    return unprocessed(read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at")), 25).select("id")
+
+
+@query("utilization", f"WITH {TURNS} SELECT conv_id, round(sum(tokens) / 400.0, 6)::DOUBLE AS ratio FROM c GROUP BY conv_id")
+def utilization(spark, d):
+    return turns(spark, d).groupBy("conv_id").agg(F.sum("tokens").alias("t")).select("conv_id", F.round(budget.utilization(F.col("t"), 400), 6).alias("ratio"))
+
+
+@query("code_declarations", "SELECT s_suppkey, unnest([2, 4]) AS line, unnest(['class', 'function']) AS kind, unnest(['S' || s_suppkey, 'run' || s_suppkey]) AS name FROM supplier")
+def code_declarations(spark, d):
+    key = F.col("s_suppkey").cast("string")
+    body = F.concat(F.lit("import os\nclass S"), key, F.lit(":\n    x = 1\ndef run"), key, F.lit("():\n    return 1\n"))
+    return code.declarations(read(spark, d, "supplier").select("s_suppkey", body.alias("body")), "s_suppkey", "body", "python")
+
+
+@query("excel_cells", "SELECT doc_id, md5(CASE WHEN length(text) > 32767 THEN text[1:32764] || '...' ELSE text END) AS digest FROM documents")
+def excel_cells(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(export.excel_cell(F.col("text"))).alias("digest"))
+
+
+@query("content_encoding", "SELECT doc_id, 'UTF-8' AS encoding, length(text) - length(replace(text, chr(0), '')) > 10 AS is_binary FROM documents")
+def content_encoding(spark, d):
+    content = F.encode("text", "utf-8")
+    return read(spark, d, "documents").select("doc_id", code.encoding(content).alias("encoding"), code.is_binary(F.lit("notes.txt"), F.substring(content, 1, 512)).alias("is_binary"))
