@@ -1,8 +1,9 @@
 """Toxicity scores: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
 A lexicon of words and word beginnings is learned from labelled rows by log-odds. Features are lexicon densities,
-how near the second person stands to a lexicon word, and rates of capitals, punctuation and obfuscated spelling. The
-lexicon, the trees and the calibration are learned from three disjoint parts of a bounded sample of labelled rows.
+how near the second person stands to a lexicon word, and rates of capitals, punctuation and obfuscated spelling. All is
+learned from a bounded sample of labelled rows. Its halves lend each other their lexicons, so no row is described by a
+lexicon that knows its label; the trees see seven eighths of the rows and the calibration the rest.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out
+from .common import Scratch, arrow_map, held_out
 
 #: The bounds of what is learned from: labelled rows, and terms of the lexicon.
 MAX_LABELLED, MAX_TERMS = 48_000, 4_000
@@ -220,63 +221,72 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts and labels to learn from, with the part (0 lexicon, 1 trees, 2 calibration) they serve.
+    """Texts and labels to learn from, with the half they are in and the part (1 trees, 2 calibration) they serve.
 
     At most MAX_LABELLED rows by a hash of the id, none of them held out; that bound makes the labels fit a broadcast.
     """
     known = labels.select(F.col(id_col).alias("l_id"), F.col("toxic").cast("int").alias("y")).filter("l_id IS NOT NULL AND y IN (0, 1)").groupBy("l_id").agg(F.max("y").alias("y"))
     sample = known.filter(~held_out(F.col("l_id"))).withColumn("h", F.xxhash64("l_id")).orderBy("h", "l_id").limit(MAX_LABELLED)
-    part = F.when(F.pmod("h", F.lit(8)) < 4, 0).when(F.pmod("h", F.lit(8)) < 7, 1).otherwise(2)
+    half, part = F.pmod("h", F.lit(2)).cast("int"), F.when(F.pmod(F.shiftright("h", 1), F.lit(8)) < 7, 1).otherwise(2)
     src = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    return src.join(F.broadcast(sample.select("l_id", "y", part.alias("part"))), "l_id").select("text", "y", "part")
+    return src.join(F.broadcast(sample.select("l_id", "y", half.alias("half"), part.alias("part"))), "l_id").select("text", "y", "half", "part")
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms that toxic texts hold far more often than others, with their log-odds. Counts go over all given rows."""
+def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """Terms that toxic texts hold far more often than others, with their log-odds: of all rows, and of each half."""
 
     def count(batches):
         seen: Counter = Counter()
 
         def flush():
             keys = list(seen)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "y", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "cell", "n"])
             seen.clear()
             return batch
 
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update({(t, y) for w in set(LETTERS.findall(text.lower())) if len(w) > 2 for t in terms(w)})
-                seen["", y] += 1
+            for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cell = 2 * half + y
+                seen.update({(t, cell) for w in set(LETTERS.findall(text.lower())) if len(w) > 2 for t in terms(w)})
+                seen["", cell] += 1
                 if len(seen) > 200_000:
                     yield flush()
         yield flush()
 
-    counts = arrow_map(rows.filter("part = 0").select("text", "y"), count, "term string, y int, n long").groupBy("term").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("pos"), F.sum(F.expr("if(y = 0, n, 0)")).alias("neg"))
-    total = {r["term"]: (r["pos"], r["neg"]) for r in counts.filter("term = ''").collect()}.get("", (0, 0))
-    if not all(total):
-        return {}
-    odds = F.log((F.col("pos") + 0.2) / (total[0] + 0.4)) - F.log((F.col("neg") + 0.2) / (total[1] + 0.4))
-    least = max(3, round(0.002 * total[0]))
-    found = counts.filter((F.col("term") != "") & (F.col("pos") >= least)).select("term", odds.alias("w"), "pos").filter("w >= 2.2").orderBy(F.desc(F.col("w") * F.sqrt("pos")), "term").limit(MAX_TERMS)
-    return {r["term"]: r["w"] for r in found.collect()}
+    cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(4)]
+    counts = Scratch(rows.sparkSession, "toxicity").save(arrow_map(rows.select("text", "y", "half"), count, "term string, cell int, n long").groupBy("term").agg(*cells), "counts")
+    total = counts.filter("term = ''").first()
+    out = []
+    for halves in ((0, 1), (0,), (1,)):
+        n_pos, n_neg = (sum(total[f"c{2 * h + y}"] for h in halves) if total else 0 for y in (1, 0))
+        pos, neg = (sum((F.col(f"c{2 * h + y}") for h in halves), F.lit(0)) for y in (1, 0))
+        if not (n_pos and n_neg):
+            out.append({})
+            continue
+        odds = F.log((pos + 0.2) / (n_pos + 0.4)) - F.log((neg + 0.2) / (n_neg + 0.4))
+        found = counts.select("term", odds.alias("w"), pos.alias("pos")).filter((F.col("term") != "") & (F.col("pos") >= max(3, round(0.002 * n_pos))) & (F.col("w") >= 2.2))
+        out.append({r["term"]: r["w"] for r in found.orderBy(F.desc(F.col("w") * F.sqrt("pos")), "term").limit(MAX_TERMS).collect()})
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model that labels of rows which are not held out give. Without labels of both kinds every score is 0."""
     rows = labelled(docs, labels, id_col, text_col)
-    lexicon = learn_lexicon(rows)
+    lexicon, *of_half = learn_lexicons(rows)
     if not lexicon:
         return Model()
 
     def run(batches):
-        table = WordTable(lexicon)
+        tables = [WordTable(of_half[1]), WordTable(of_half[0])]
         for batch in batches:
-            x = [describe(t, table).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "part"])
-
-    found = arrow_map(rows.filter("part > 0"), run, "x array<double>, y int, part int").toPandas()
-    found = found.assign(k=[tuple(x) for x in found["x"]]).sort_values("k", kind="stable")  # the order of arrival is no input
-    x, y, part = np.array(found["x"].tolist()).reshape(-1, len(FEATURES)), found["y"].to_numpy(float), found["part"].to_numpy()
+            x = [describe(t, tables[half]).tolist() for t, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(3)], ["x", "y", "part"])
+
+    found = arrow_map(rows, run, "x array<double>, y int, part int").toArrow().combine_chunks()
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if found.num_rows else np.zeros((0, len(FEATURES)))
+    y, part = found["y"].to_numpy().astype(float), found["part"].to_numpy()
+    order = np.lexsort((part, y, *x.T))  # the order of arrival is no input
+    x, y, part = x[order], y[order], part[order]
     if not 0 < y[part == 1].sum() < (part == 1).sum():
         return Model()
     prior, trees = boost(x[part == 1], y[part == 1])
