@@ -31,6 +31,8 @@ from .shingles import sets as shingle_sets
 NUM, DEN = 3, 4
 #: Columns counted as frequent: at most so many, by count; the order of the others is their hash. Only speed depends on it.
 MAX_FREQUENT, LEAST_FREQUENT = 1 << 18, 3
+#: A column of so many classes is dense; the classes of dense columns are multiplied in blocks of so many rows.
+DENSE, BLOCK_ROWS = 32, 2048
 #: Tables of up to this many keys are broadcast (a few MB); larger ones are joined by a shuffle.
 MAX_BROADCAST = 1 << 18
 #: Bits of the filter of documents whose sets are fetched, at most; what passes it wrongly is dropped by a join.
@@ -277,14 +279,56 @@ def meet_leaders(block: DataFrame, turn: int) -> DataFrame:
     return best_leaders(counted.filter(can_reach(F.col("n"), F.col("m"), 2 * FAMILIES * F.col("c"))))
 
 
-def meet_all(block: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that share a column and can reach the threshold."""
+def meet_all(block: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of different components that share a column and can reach the threshold.
+
+    Two classes that both have a dense column are counted in blocks of rows. All other pairs share columns of fewer than
+    DENSE classes only, so an equi-join on the column gives a bounded number of rows for each entry.
+    """
     w = Window.partitionBy("sh")
-    mixed = block.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).filter("lo < hi")
-    left = mixed.select("sh", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = mixed.select("sh", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    product = left.join(right, "sh").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_fit(F.col("na"), F.col("nb")))
-    return product.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).filter(can_reach(F.col("na"), F.col("nb"), F.col("c"))).select("a", "b")
+    mixed = block.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).withColumn("size", F.count("*").over(w)).filter("lo < hi")
+    mixed = scratch.save(mixed.select("sh", "cls", "n", "label", "size"), "mixed")
+    dense = scratch.save(mixed.filter(F.col("size") >= DENSE).select("cls").distinct().withColumn("dense", F.lit(True)), "dense")
+    flagged = mixed.join(small(dense), "cls", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    few = flagged.filter(F.col("size") < DENSE)
+    left = few.select("sh", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("dense").alias("da"))
+    right = few.select("sh", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("dense").alias("db"))
+    product = left.join(right, "sh").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & ~(F.col("da") & F.col("db")) & sizes_fit(F.col("na"), F.col("nb")))
+    sparse = product.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).filter(can_reach(F.col("na"), F.col("nb"), F.col("c"))).select("a", "b")
+    n_blocks = max(1, -(-dense.count() // BLOCK_ROWS))
+    rows = flagged.filter("dense").groupBy("cls", "n", "label").agg(F.collect_list("sh").alias("columns")).withColumn("mine", F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return sparse.unionByName(rows.select("i", "j", "mine", "cls", "n", "label", "columns").groupBy("i", "j").applyInArrow(block_product, "a long, b long"))
+
+
+def block_product(table: pa.Table) -> pa.Table:
+    """Pairs of the rows of block i with those of block j, by a dense matrix of overlap counts of these two blocks."""
+    table = table.combine_chunks()
+    i, j, mine, cls, n, label = (table.column(k).to_numpy() for k in range(6))
+    lists = table.column(6).combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+    row_of = np.repeat(np.arange(len(cls)), np.diff(np.r_[0, ends]))
+    first, second = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    place_a, place_b = np.full(len(cls), -1), np.full(len(cls), -1)
+    place_a[first], place_b[second] = np.arange(len(first)), np.arange(len(second))
+    counts = np.zeros((len(first), len(second)), np.int32)
+    order = np.argsort(flat, kind="stable")
+    flat, row_of = flat[order], row_of[order]
+    cuts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True]) if len(flat) else np.zeros(1, int)
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if y - x > 1:
+            rows = row_of[x:y]
+            a, b = place_a[rows], place_b[rows]
+            counts[np.ix_(a[a >= 0], b[b >= 0])] += 1
+    x, y = np.nonzero(counts)
+    count, a, b = counts[x, y], first[x], second[y]
+    na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
+    ok = (label[a] != label[b]) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
+    ok &= (DEN + NUM) * (count + np.maximum(na * NUM // DEN, nb * NUM // DEN)) >= NUM * (na + nb)
+    if len(i) and i[0] == j[0]:
+        ok &= cls[a] < cls[b]
+    low, high = np.minimum(cls[a[ok]], cls[b[ok]]), np.maximum(cls[a[ok]], cls[b[ok]])
+    return pa.table({"a": low, "b": high})
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,9 +366,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         more = links.add(meet_leaders(scratch.save(busy_block(block, part), f"busy{turn}"), turn))
         part = scratch.save(components(links.found, "a", "b"), f"part{turn}") if more else part
         scratch.drop(f"busy{turn}")
-    links.add(meet_all(labelled(block, part)))
+    links.add(meet_all(labelled(block, part), scratch))
     all_links = links.found
-    scratch.drop("block", *(f"sets{k}" for k in range(links.turn + 1)))
+    scratch.drop("block", "mixed", "dense", *(f"sets{k}" for k in range(links.turn + 1)))
 
     found = components(all_links, "a", "b").join(rows.select(F.col("cls").alias("node"), "rep"), "node")
     named = found.join(found.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("cls"), "least")
