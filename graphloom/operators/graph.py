@@ -81,6 +81,7 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int =
     folder; the search ends when a level is empty.
     """
     scratch = Scratch(edges.sparkSession, "levels")
+    edges = scratch.save(edges.select("src", "tgt"), "edges")  # read once a level, whatever made them
     seen = scratch.save(seeds.select("name").distinct().select("name", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), "l0")
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -109,6 +110,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 3
     if source == target:
         return spark.createDataFrame([(0, source)], "step int, name string")
     scratch = Scratch(spark, "path")
+    edges = scratch.save(edges.select("src", "tgt"), "edges")
     seen = scratch.save(spark.createDataFrame([(source, 0, None)], "name string, depth int, parent string"), "l0")
     frontier = seen
     for depth in range(1, max_depth + 1):
