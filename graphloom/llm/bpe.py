@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, utf8
+from .common import KEPT, arrow_map, utf8
 
 NONE = (1 << 62) - 1
 #: Children of a segment tree's node.
@@ -288,14 +288,15 @@ def broadcast_file(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(text)
 
 
-_READY: dict[tuple[str, int], object] = {}
+def ready(kind: type, shared, key: str):
+    """One encoder or counter per Python worker, kept with its memo from task to task of one operator."""
+    if (owner := owner_of(kind, key)) not in KEPT:
+        KEPT[owner] = kind(Vocabulary(shared.value))
+    return KEPT[owner]
 
 
-def ready(kind: type, shared, key: str):
-    """One encoder or counter per Python worker, kept from task to task with its memo."""
-    if (kind.__name__, key) not in _READY:
-        _READY[kind.__name__, key] = kind(Vocabulary(shared.value))
-    return _READY[kind.__name__, key]
+def owner_of(kind: type, key: str) -> str:
+    return f"{kind.__name__} {key}"
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +314,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             rows = [encoder.row(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded string").withColumnRenamed("doc_id", id_col)
+    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded string", owner_of(Encoder, path)).withColumnRenamed("doc_id", id_col)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,7 +331,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
+    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", owner_of(Encoder, path)).withColumnRenamed("doc_id", id_col)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,4 +349,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             n = [counter.count(t.decode("utf-8", "replace")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("doc_id", id_col)
+    return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", owner_of(Counter, path)).withColumnRenamed("doc_id", id_col)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,10 +26,33 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What a Python worker keeps from task to task, by owner; a task of another owner drops it.
+KEPT: dict[str, object] = {}
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
+    """mapInArrow with bounded batches. Tasks start without what workers keep for other owners and return memory at their end."""
     bounded_batches(df.sparkSession)
     findable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        from graphloom.llm.common import KEPT, release
+
+        for key in [k for k in KEPT if k != owner]:
+            del KEPT[key]
+            release()
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -37,11 +37,11 @@ DENSE, BLOCK_ROWS = 32, 2048
 MAX_BROADCAST = 1 << 18
 #: Bits of the filter of documents whose sets are fetched, at most; what passes it wrongly is dropped by a join.
 MAX_FILTER_BITS = 1 << 26
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Turns with leaders before the one that takes all pairs between components, and leaders that a class meets in each.
 #: After the first turn, columns fall into FAMILIES, each with an order of its own for who leads.
 #: These turns are for the columns of components of at least LARGE classes.
-TURNS, LEADERS, FAMILIES, LARGE = 5, 8, 8, 8
+TURNS, LEADERS, FAMILIES, LARGE = 2, 8, 8, 8
 
 _MIX = np.uint64(xxhash.xxh64_intdigest(b"mix") | 1)
 

@@ -50,7 +50,7 @@ class WordTable:
 
     COLUMNS = 7
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 150_000):
         self.lexicon, self.limit = lexicon, limit
         self.clear()
 
