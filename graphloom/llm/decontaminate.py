@@ -2,8 +2,8 @@
 
 Words are brought to a canonical form in which numbers, names and units are typed placeholders. Windows of WINDOW such
 words are joined by hash with the windows of the benchmark, so a question with other numbers or names still meets its
-template. A document that differs from an item must differ consistently: one filler of the item always stands for one
-filler of the document (slot consistency); literal words agree by the join.
+template. Where a document differs from an item it must differ consistently in a run of windows: one filler of the item
+always stands for one filler of the document (slot consistency); literal words agree by the join.
 """
 
 from __future__ import annotations
@@ -136,22 +136,36 @@ def consistent(pairs: Iterable[tuple[int, int]]) -> bool:
 def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: int) -> tuple[int, bool] | None:
     """The longest run of windows that go on side by side in document and item with consistent slots: (windows, exact).
 
-    hits: place in the document, place in the item, and the fillers of both windows.
+    hits: place in the document, place in the item, and the fillers of both windows. A filler of the item stands for one
+    filler of the document in all of a run; different ones may stand for the same. Of a longer stretch that is not
+    consistent, the longest part that is counts.
     """
     best = None
     by_shift: dict[int, list] = defaultdict(list)
-    for pos, at, mine, other in hits:
+    for pos, at, mine, other in set(hits):
         by_shift[pos - at].append((pos, mine, other))
     for found in by_shift.values():
         found.sort()
+        pairs = [{(b, a) for a, b in zip(mine, other, strict=True) if a or b} for _, mine, other in found]
+        stands: dict[int, int] = {}
+        uses: dict[int, int] = defaultdict(int)
         start = 0
-        for k in range(1, len(found) + 1):
-            if k == len(found) or found[k][0] - found[k - 1][0] > 1:
-                run = found[start:k]
-                pairs = [(a, b) for _, mine, other in run for a, b in zip(mine, other, strict=True) if a or b]
-                if len(run) >= least and consistent(pairs) and (best is None or len(run) > best[0]):
-                    best = (len(run), all(a == b for a, b in pairs))
-                start = k
+        for k, new in enumerate(pairs):
+            whole = len({b for b, _ in new}) == len(new)
+            apart = k > start and found[k][0] - found[k - 1][0] > 1
+            while start < k and (apart or not whole or any(uses[b] and stands[b] != a for b, a in new)):
+                for b, _ in pairs[start]:
+                    uses[b] -= 1
+                start += 1
+            if not whole:
+                start = k + 1
+                continue
+            for b, a in new:
+                stands[b] = a
+                uses[b] += 1
+            n = k - start + 1
+            if n >= least and (best is None or n >= best[0]):
+                best = max(best or (0, False), (n, all(a == b for x in pairs[start : k + 1] for b, a in x)))
     return best
 
 

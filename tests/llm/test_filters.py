@@ -96,6 +96,19 @@ def test_slots_must_agree():
     assert not decontaminate.consistent([(1, 5), (1, 6)]) and not decontaminate.consistent([(1, 5), (2, 5)])
 
 
+def test_longest_consistent_part_of_a_run_counts(spark):
+    rng = random.Random(3)
+    item = "On the way " + words(rng, 12) + " near Tom " + words(rng, 14) + " with Tom " + words(rng, 6)
+    numbers = "there are 3 red and 5 blue marbles inside the old box on the table near the door"
+    rows = ["Intro. " + "Bob".join(item.rsplit("Tom", 1)), numbers.replace("3", "4").replace("5", "4"), words(rng, 60)]
+    bench = spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")
+    out = {r["doc_id"]: r["items"] for r in decontaminate.report(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string"), bench).collect()}
+    assert out == {0: [1], 1: [2]}
+    hit = lambda k, a, b: (k, k, (a,), (b,))
+    assert decontaminate.runs([hit(k, 1 if k < 4 else 2, 1) for k in range(6)], 3) == (4, True)
+    assert decontaminate.runs([hit(k, k % 2, 1) for k in range(6)], 3) is None
+
+
 def test_article_text(spark):
     page = "<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies on this site for many things.</div><article><h1>Head &amp; more</h1><p>One\n two&nbsp;<b>three</b>four.<p>Five.<script>if (a<b) {}</script><form>Send <input></form><section class='comments'>A reader says something long here.</section></article><aside>Related things to read</aside><footer>&copy; us</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "u", "<p>" + "plain text without an article " * 5), (5, "u", "<" * 50000)]
