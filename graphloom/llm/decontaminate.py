@@ -9,6 +9,7 @@ always stands for one filler of the document (slot consistency); literal words a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -25,6 +26,8 @@ WINDOW, MIN_LITERALS = 8, 5
 MIN_RUN = 3
 #: Benchmarks of up to this many windows go to every task (16 MB); larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 1 << 20
+#: Items of up to this many words also have one key of all their words.
+WHOLE = WINDOW + 2
 
 DIGIT = re.compile(r"\d")
 NUMBER = re.compile(r"[+-]?(?:[$€£]?\d[\d.,:/-]*%?|\d+(?:st|nd|rd|th))")
@@ -108,7 +111,7 @@ class Words:
 
 
 def windows(codes: np.ndarray, fillers: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """Hash of the window at each word; 0 where it has too few literal words. Shorter texts have none."""
+    """Hash of the window at each word, with the fillers themselves where it has too few literal words. Shorter texts have none."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -117,11 +120,32 @@ def windows(codes: np.ndarray, fillers: np.ndarray, size: int = WINDOW) -> np.nd
         out += codes[k : k + n] * _MULTIPLIERS[k]
     out ^= out >> np.uint64(29)
     out |= np.uint64(1)
-    slots = np.r_[0, np.cumsum(fillers != 0)]
-    out[(slots[size:] - slots[:-size]) > size - MIN_LITERALS] = 0
+    for k in np.flatnonzero(dense(fillers, size)).tolist():
+        out[k] = exact_key(codes[k : k + size], fillers[k : k + size])
     return out
 
 
+def dense(fillers: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Whether the window at each word has too few literal words to stand for others of its template."""
+    slots = np.r_[0, np.cumsum(fillers != 0)]
+    return (slots[size:] - slots[:-size]) > size - MIN_LITERALS
+
+
+def exact_key(codes: np.ndarray, fillers: np.ndarray) -> int:
+    """Hash of some words as they stand, apart from all hashes of templates."""
+    return xxhash.xxh64_intdigest(np.where(fillers != 0, fillers, codes).tobytes(), len(codes)) | 1
+
+
+def whole_keys(codes: np.ndarray, fillers: np.ndarray, size: int) -> np.ndarray:
+    """Hash of `size` words from each word on, as they stand: a first word counts as a literal wherever it stands."""
+    n = len(codes) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    plain = np.where(fillers != 0, fillers, codes)
+    for k in range(size if n > 0 else 0):
+        out += plain[k : k + n] * _MULTIPLIERS[k + 16]
+    return (out ^ (out >> np.uint64(31))) | np.uint64(1)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -133,26 +157,29 @@ def consistent(pairs: Iterable[tuple[int, int]]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
 
 
-def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: int) -> tuple[int, bool] | None:
+def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: int, solid: tuple[int, ...] | None = None) -> tuple[int, bool] | None:
     """The longest run of windows that go on side by side in document and item with consistent slots: (windows, exact).
 
     hits: place in the document, place in the item, and the fillers of both windows. A filler of the item stands for one
     filler of the document in all of a run; different ones may stand for the same. Of a longer stretch that is not
-    consistent, the longest part that is counts.
+    consistent, the longest part that is counts. solid: places of the item's windows that are not dense; others may be
+    missing inside a run, and a run of all solid windows is enough.
     """
+    known = None if solid is None else set(solid)
+    before = lambda at: at if solid is None else bisect_left(solid, at)
     best = None
     by_shift: dict[int, list] = defaultdict(list)
     for pos, at, mine, other in set(hits):
         by_shift[pos - at].append((pos, mine, other))
-    for found in by_shift.values():
+    for shift, found in by_shift.items():
         found.sort()
-        pairs = [{(b, a) for a, b in zip(mine, other, strict=True) if a or b} for _, mine, other in found]
+        pairs = [{(b, a) for a, b in zip(mine, other, strict=True) if a and b} for _, mine, other in found]  # of one 0 the words are equal
         stands: dict[int, int] = {}
         uses: dict[int, int] = defaultdict(int)
         start = 0
         for k, new in enumerate(pairs):
             whole = len({b for b, _ in new}) == len(new)
-            apart = k > start and found[k][0] - found[k - 1][0] > 1
+            apart = k > start and before(found[k][0] - shift) > before(found[k - 1][0] - shift + 1)
             while start < k and (apart or not whole or any(uses[b] and stands[b] != a for b, a in new)):
                 for b, _ in pairs[start]:
                     uses[b] -= 1
@@ -164,13 +191,14 @@ def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: i
                 stands[b] = a
                 uses[b] += 1
             n = k - start + 1
-            if n >= least and (best is None or n >= best[0]):
+            if (n >= least or known and n >= len(known) and known <= {p - shift for p, _, _ in found[start : k + 1]}) and (best is None or n >= best[0]):
                 best = max(best or (0, False), (n, all(a == b for x in pairs[start : k + 1] for b, a in x)))
     return best
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
-    """One row per window of an item: wkey, item, at, n_windows, item_fill. Items shorter than a window have none."""
+    """One row per window of an item: wkey, item, at, n_windows, solid, item_fill. solid holds the places of windows that
+    are not dense. Items of up to WHOLE words have a row of all their words with at = -1 and their words for n_windows."""
     src = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND item IS NOT NULL")
 
     def run(batches):
@@ -180,20 +208,22 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, size:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes, fillers = words.text(text)
                 keys = signed(windows(codes, fillers, size))
-                n = int((keys != 0).sum())
-                rows += [(int(key), item, k, n, signed(fillers[k : k + size]).tolist()) for k, key in enumerate(keys) if key]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["wkey", "item", "at", "n_windows", "item_fill"])
+                solid = np.flatnonzero(~dense(fillers, size)).tolist() if len(keys) else []
+                rows += [(int(key), item, k, len(keys), solid, signed(fillers[k : k + size]).tolist()) for k, key in enumerate(keys)]
+                if 0 < len(codes) <= WHOLE:
+                    rows.append((int(signed(whole_keys(codes, fillers, len(codes)))[0]), item, -1, len(codes), [], []))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], ["wkey", "item", "at", "n_windows", "solid", "item_fill"])
 
-    return arrow_map(src, run, "wkey long, item long, at int, n_windows int, item_fill array<long>")
+    return arrow_map(src, run, "wkey long, item long, at int, n_windows int, solid array<int>, item_fill array<long>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, least: int = MIN_RUN) -> DataFrame:
     """Pairs of documents and the benchmark items they hold: id, row_hash, item_id, windows, exact.
 
     row_hash tells rows with the same id apart. `windows` is the longest run, `exact` whether its numbers, names and
-    units are the item's own. Null texts, null items and items shorter than a window match nothing; repeated documents
-    and items give a row each.
+    units are the item's own. Items of up to WHOLE words also match where all their words stand as they are (at least 1
+    window); shorter ones than a window only so. Null texts and null items match nothing; repeated documents give a row each.
     """
     items = benchmark_windows(benchmark, item_col, item_text_col, size)
     known = items.limit(BROADCAST_WINDOWS + 1).collect()  # bounded by the parameter, whatever the benchmark
@@ -203,7 +233,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         return joined(src, items, kind, size, least).withColumnRenamed("doc_id", id_col)
     by_key: dict[int, list] = defaultdict(list)
     for r in known:
-        by_key[r["wkey"]].append((r["item"], r["at"], r["n_windows"], tuple(r["item_fill"])))
+        by_key[r["wkey"]].append((r["item"], r["at"], r["n_windows"], tuple(r["solid"]), tuple(r["item_fill"])))
+    lengths = sorted({r["n_windows"] for r in known if r["at"] < 0})
     keys = np.array(sorted(by_key), np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast((keys, dict(by_key)))
 
@@ -219,13 +250,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 codes, fillers = words.text(text)
                 mine = windows(codes, fillers, size)
                 hits: dict[int, list] = defaultdict(list)
-                need: dict[int, int] = {}
+                need: dict[int, tuple] = {}
                 for k in np.flatnonzero(seen[mine >> np.uint64(64 - bits)]):
-                    for item, at, n, fill in by_key.get(int(signed(mine[k : k + 1])[0]), ()):
-                        hits[item].append((int(k), at, tuple(signed(fillers[k : k + size]).tolist()), fill))
-                        need[item] = n
-                for item, found in hits.items():
-                    if best := runs(found, min(least, need[item])):
+                    for item, at, n, solid, fill in by_key.get(int(signed(mine[k : k + 1])[0]), ()):
+                        if at >= 0:
+                            hits[item].append((int(k), at, tuple(signed(fillers[k : k + size]).tolist()), fill))
+                            need[item] = n, solid
+                whole: dict[int, int] = {}
+                for m in lengths:
+                    keys_m = whole_keys(codes, fillers, m)
+                    for key in set(signed(keys_m[seen[keys_m >> np.uint64(64 - bits)]]).tolist()):
+                        whole |= {item: m for item, at, n, _, _ in by_key.get(key, ()) if at < 0 and n == m}
+                for item in hits.keys() | whole.keys():
+                    if best := matched(hits.get(item, []), need.get(item), whole.get(item), size, least):
                         for col, x in zip(out, (doc, row_hash, item, *best), strict=True):
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", "row_hash", "item_id", "windows", "exact"])
@@ -233,8 +270,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return arrow_map(src, run, f"doc_id {kind}, row_hash long, item_id long, windows int, exact boolean").withColumnRenamed("doc_id", id_col)
 
 
+def matched(hits: list, need: tuple | None, whole: int | None, size: int, least: int) -> tuple[int, bool] | None:
+    """The match of one document and item: all of the item's words as they are, or a run."""
+    if whole:
+        return max(1, whole - size + 1), True
+    return runs(hits, min(least, need[0]), need[1]) if need else None
+
+
 def joined(src: DataFrame, items: DataFrame, kind: str, size: int, least: int) -> DataFrame:
     """The same by a shuffled hash join of all windows, for benchmarks of any size."""
+    lengths = sorted(r[0] for r in items.filter("at < 0").select("n_windows").distinct().collect())  # WHOLE at most
 
     def cut(batches):
         words = Words()
@@ -243,21 +288,28 @@ def joined(src: DataFrame, items: DataFrame, kind: str, size: int, least: int) -
             for doc, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 codes, fillers = words.text(text)
                 for k, key in enumerate(signed(windows(codes, fillers, size)).tolist()):
-                    if key:
-                        for col, x in zip(out, (doc, row_hash, key, k, signed(fillers[k : k + size]).tolist()), strict=True):
+                    for col, x in zip(out, (doc, row_hash, key, k, signed(fillers[k : k + size]).tolist()), strict=True):
+                        col.append(x)
+                for m in lengths:
+                    for key in set(signed(whole_keys(codes, fillers, m)).tolist()):
+                        for col, x in zip(out, (doc, row_hash, key, -m, []), strict=True):
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["doc_id", "row_hash", "wkey", "pos", "fill"])
 
     def check(pdf):
         hits: dict = defaultdict(list)
         need: dict = {}
+        whole: dict = {}
         for r in pdf.itertuples(index=False):
             key = (r.doc_id, r.row_hash, r.item)
-            hits[key].append((r.pos, r.at, tuple(r.fill), tuple(r.item_fill)))
-            need[key] = r.n_windows
+            if r.at < 0 and r.pos == -r.n_windows:
+                whole[key] = r.n_windows
+            elif r.at >= 0 and r.pos >= 0:
+                hits[key].append((r.pos, r.at, tuple(r.fill), tuple(r.item_fill)))
+                need[key] = r.n_windows, tuple(r.solid)
         import pandas as pd
 
-        return pd.DataFrame([(*key, *best) for key, found in hits.items() if (best := runs(found, min(least, need[key])))], columns=["doc_id", "row_hash", "item_id", "windows", "exact"])
+        return pd.DataFrame([(*key, *best) for key in hits.keys() | whole.keys() if (best := matched(hits.get(key, []), need.get(key), whole.get(key), size, least))], columns=["doc_id", "row_hash", "item_id", "windows", "exact"])
 
     mine = arrow_map(src, cut, f"doc_id {kind}, row_hash long, wkey long, pos int, fill array<long>")
     return mine.join(items, "wkey").groupBy("doc_id", "row_hash", "item").applyInPandas(check, f"doc_id {kind}, row_hash long, item_id long, windows int, exact boolean")

@@ -109,6 +109,25 @@ def test_longest_consistent_part_of_a_run_counts(spark):
     assert decontaminate.runs([hit(k, k % 2, 1) for k in range(6)], 3) is None
 
 
+def test_items_dense_in_slots_and_short_items_are_found(spark, monkeypatch):
+    rng = random.Random(12)
+    items = ["Add 3 and 4 and 5 and 6 then 7 then 8 then 9 to 12", "Der Hund und Die Katze im Haus am See mit Hut und Schal", "Why do cats purr", "Maria walked to the old mill by noon", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    rows = [words(rng, 9) + " Question: " + item + ". " + words(rng, 9) for item in items] + [words(rng, 40), "Why do dogs purr", "2 3 4 5 6 7 8 9 10 11 12 13"[::-1]]
+    docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    pairs = lambda: sorted((r["doc_id"], r["item_id"], r["exact"]) for r in decontaminate.matches(docs, bench).collect())
+    assert pairs() == [(k, k, True) for k in range(5)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 3)
+    assert pairs() == [(k, k, True) for k in range(5)]
+
+
+def test_dense_windows_do_not_break_a_run():
+    hits = [(k, k, (k,), (k,)) for k in (0, 1, 5)]
+    assert decontaminate.runs(hits, 3, (0, 1, 5, 6)) == (3, True)
+    assert decontaminate.runs(hits, 3, (0, 1, 3, 5, 6)) is None
+    assert decontaminate.runs(hits[:2], 3, (0, 1)) == (2, True)
+
+
 def test_article_text(spark):
     page = "<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies on this site for many things.</div><article><h1>Head &amp; more</h1><p>One\n two&nbsp;<b>three</b>four.<p>Five.<script>if (a<b) {}</script><form>Send <input></form><section class='comments'>A reader says something long here.</section></article><aside>Related things to read</aside><footer>&copy; us</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "u", "<p>" + "plain text without an article " * 5), (5, "u", "<" * 50000)]
