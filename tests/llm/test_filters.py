@@ -106,7 +106,7 @@ def test_longest_consistent_part_of_a_run_counts(spark):
     assert out == {0: [1], 1: [2]}
     hit = lambda k, a, b: (k, k, (a,), (b,))
     assert decontaminate.runs([hit(k, 1 if k < 4 else 2, 1) for k in range(6)], 3) == (4, True)
-    assert decontaminate.runs([hit(k, k % 2, 1) for k in range(6)], 3) is None
+    assert decontaminate.runs([hit(k, 1 + k % 2, 1) for k in range(6)], 3) is None
 
 
 def test_items_dense_in_slots_and_short_items_are_found(spark, monkeypatch):
