@@ -120,8 +120,9 @@ def windows(codes: np.ndarray, fillers: np.ndarray, size: int = WINDOW) -> np.nd
         out += codes[k : k + n] * _MULTIPLIERS[k]
     out ^= out >> np.uint64(29)
     out |= np.uint64(1)
-    for k in np.flatnonzero(dense(fillers, size)).tolist():
-        out[k] = exact_key(codes[k : k + size], fillers[k : k + size])
+    few = dense(fillers, size)
+    if few.any():
+        out[few] = whole_keys(codes, fillers, size)[few]
     return out
 
 
@@ -131,11 +132,6 @@ def dense(fillers: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return (slots[size:] - slots[:-size]) > size - MIN_LITERALS
 
 
-def exact_key(codes: np.ndarray, fillers: np.ndarray) -> int:
-    """Hash of some words as they stand, apart from all hashes of templates."""
-    return xxhash.xxh64_intdigest(np.where(fillers != 0, fillers, codes).tobytes(), len(codes)) | 1
-
-
 def whole_keys(codes: np.ndarray, fillers: np.ndarray, size: int) -> np.ndarray:
     """Hash of `size` words from each word on, as they stand: a first word counts as a literal wherever it stands."""
     n = len(codes) - size + 1
