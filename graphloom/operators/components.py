@@ -8,33 +8,44 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 
 
-def _starred(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with the least node among u and all its v. The minimum is pre-aggregated, so a hub is no hot key."""
+#: With so many edges, the edges of a node are joined with its minimum in SALTS parts, so that a hub is no hot key.
+MANY, SALTS = 1 << 22, 32
+
+
+def _starred(pairs: DataFrame, salts: int) -> DataFrame:
+    """Each (u, v) with the least node among u and all its v. The minimum is a partial aggregation."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    if salts == 1:
+        return pairs.join(least, "u")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least, ["u", "salt"]).drop("salt")
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, scratch: Scratch | None = None, name: str = "components") -> DataFrame:
     """The least node that each node of the edges can reach: (node, component).
 
     Large-star and small-star steps take turns until no edge changes; the rounds grow with the logarithm of the
-    diameter. Every round is written to the scratch folder. Null endpoints and self-loops are no edges.
+    diameter, and it is an error if max_rounds do not do. Every round is written to the scratch folder. Null endpoints
+    and self-loops are no edges.
     """
-    scratch = Scratch(edges.sparkSession, "components")
+    scratch = scratch or Scratch(edges.sparkSession, name)
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = scratch.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "r0")
-    mark = None
+    now = scratch.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
+    mark, count = None, now.count()
     for k in range(1, max_rounds + 1):
+        salts = 1 if count < MANY else SALTS
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _starred(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _starred(large)
+        large = _starred(both, salts).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _starred(large, salts)
         after = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = scratch.save(after, f"r{k}")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"r{k - 1}")
+        after = scratch.save(after, f"{name}-{k}")
+        count, total = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        scratch.drop(f"{name}-{k - 1}")
         now = after
-        if tuple(seen) == mark:
+        if (count, total) == mark:
             break
-        mark = tuple(seen)
+        mark = (count, total)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
