@@ -46,7 +46,10 @@ def _hashed(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = np.flatnonzero(new)
     size = np.diff(np.r_[first, len(letters)])
     at = np.arange(len(letters)) - np.repeat(first, size)
-    total = np.add.reduceat(_LETTERS[data[letters]] * _PLACES[at & 4095] + (at >> 12).astype(np.uint64), first)
+    places = _PLACES[at & 4095]
+    if len(far := np.flatnonzero(at >= 4096)):  # each place of a long word has a multiplier of its own
+        places[far] = mix(places[far] + (at[far] >> 12).astype(np.uint64) * np.uint64(_M1)) | np.uint64(1)
+    total = np.add.reduceat(_LETTERS[data[letters]] * places, first)
     return letters[first], mix(total + size.astype(np.uint64) * np.uint64(_SIZE))
 
 
