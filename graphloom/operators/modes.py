@@ -118,12 +118,11 @@ def prompt(context: Column, query: Column, history: Column, response_type: str)
 
 
 def valid_citations(answer: Column, ids: Column) -> Column:
-    """Citations [id] of ids that were returned stay; if none is valid every bracket goes, with the space before it."""
-    cited = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)))
-    bad = F.array_except(cited, ids)
-    some = F.size(F.array_intersect(cited, ids)) > 0
-    selective = F.aggregate(bad, answer, lambda acc, b: F.replace(acc, F.concat(F.lit("["), b, F.lit("]")), F.lit("")))
-    return F.when(some, selective).otherwise(F.regexp_replace(answer, r"\s*\[[^\[\]]*\]", ""))
+    """Citations [id] of citable ids stay and other brackets go; without citable ids all go, with the space before them."""
+    bracket = r"\[([^\]]+)\]"
+    marks = F.transform(F.regexp_extract_all(answer, F.lit(bracket), F.lit(1)), lambda m: F.when(F.array_contains(ids, m), F.concat(F.lit("["), m, F.lit("]"))).otherwise(""))
+    kept = F.array_join(F.zip_with(F.split(answer, bracket, -1), marks, lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
+    return F.when(F.coalesce(F.size(ids), F.lit(0)) == 0, F.regexp_replace(answer, r"\s*\[([^\]]+)\]", "")).otherwise(kept)
 
 
 def summarize(rows: DataFrame, by: list[str], order: str, model: Callable[[Column], Column], group: int = 5, direct: int = 10, max_rounds: int = 20) -> DataFrame:

@@ -568,19 +568,25 @@ def gleaning_keep_longest(spark, d):
     return out.select(F.lower("name").alias("k"), "description")
 
 
-@query("citation_filter", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Fact [a1]. More .' WHEN doc_id % 3 = 1 THEN 'Fact . More .' ELSE 'Plain.' END AS answer FROM documents")
+@query(
+    "citation_filter",
+    r"""WITH a AS (SELECT doc_id, 'Fact [d' || doc_id || ']. More [zz], [d' || (doc_id + 1) || '] and [a[b]. ' || source AS t, CASE doc_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['none'] WHEN 2 THEN ['d' || doc_id, 'a[b'] ELSE ['d' || doc_id, 'd' || (doc_id + 1), 'x'] END AS ids FROM documents),
+    s AS (SELECT doc_id, t, ids, regexp_split_to_array(t, '\[[^\]]+\]') AS p, regexp_extract_all(t, '\[([^\]]+)\]', 1) AS m FROM a)
+    SELECT doc_id, CASE WHEN len(ids) = 0 THEN regexp_replace(t, '\s*\[[^\]]+\]', '', 'g')
+      ELSE array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || CASE WHEN list_contains(ids, m[k]) THEN '[' || m[k] || ']' ELSE '' END), '') END AS answer FROM s""",
+)
 def citation_filter(spark, d):
-    k = F.col("doc_id") % 3
-    answer = F.when(k == 0, "Fact [a1]. More [zz].").when(k == 1, "Fact [q]. More [zz].").otherwise("Plain.")
-    ids = F.when(k == 1, F.array(F.lit("a1"), F.lit("b2"), F.lit("c3"))).otherwise(F.array(F.lit("a1"), F.lit("b2")))
-    cleaned = modes.valid_citations(answer, ids)
-    return read(spark, d, "documents").select("doc_id", F.when(k == 1, F.replace(cleaned, F.lit("Fact. More."), F.lit("Fact . More ."))).otherwise(cleaned).alias("answer"))
+    key = lambda n: F.concat(F.lit("d"), (F.col("doc_id") + n).cast("string"))
+    answer = F.concat(F.lit("Fact ["), key(0), F.lit("]. More [zz], ["), key(1), F.lit("] and [a[b]. "), "source")
+    k = F.col("doc_id") % 4
+    ids = F.when(k == 0, F.expr("cast(array() AS array<string>)")).when(k == 1, F.array(F.lit("none"))).when(k == 2, F.array(key(0), F.lit("a[b"))).otherwise(F.array(key(0), key(1), F.lit("x")))
+    return read(spark, d, "documents").select("doc_id", modes.valid_citations(answer, ids).alias("answer"))
 
 
 @query("citation_strip", "SELECT conv_id, turn, regexp_replace('See [' || conv_id || '] and [x' || turn || '].', '\\s*\\[[^\\[\\]]*\\]', '', 'g') AS answer FROM conversations")
 def citation_strip(spark, d):
     answer = F.concat(F.lit("See ["), F.col("conv_id").cast("string"), F.lit("] and [x"), F.col("turn").cast("string"), F.lit("]."))
-    return read(spark, d, "conversations").select("conv_id", "turn", modes.valid_citations(answer, F.array(F.lit("none"))).alias("answer"))
+    return read(spark, d, "conversations").select("conv_id", "turn", modes.valid_citations(answer, F.expr("cast(array() AS array<string>)")).alias("answer"))
 
 
 @query("chat_history", "SELECT conv_id, md5(string_agg(upper(role[1:1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
@@ -588,12 +594,52 @@ def chat_history(spark, d):
     return modes.history_text(read(spark, d, "conversations"), ["conv_id"], "turn").select("conv_id", F.md5("history").alias("digest"))
 
 
-@query("detect_language", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'java' WHEN doc_id % 4 = 1 THEN 'python' WHEN doc_id % 4 = 2 THEN 'sql' ELSE 'unknown' END AS language, CAST(CASE WHEN doc_id % 4 = 3 THEN 0.0 ELSE 0.85 END AS DOUBLE) AS confidence FROM documents")
+SNIPPETS = ["import java.util.List;", "def run(x):", "select a from b", "(defn f [x] x)", "plain words", "{\"key\": 1}", "fn main() { let mut x = 1; }", "", "package x; import java.util.List;", "export const a = (b): c => b", "contract Coin {}", "PROGRAM main"]
+ENDINGS = [".java", ".PY", ".sql", ".clj", "", ".json", ".rs", ".toml", ".bak", ".ts", ".sol", ".f90", "."]
+
+
+def code_files(spark, d):
+    """A file for each document: name and content go through all pairs of ENDINGS and SNIPPETS."""
+    some = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k.cast("int") + 1)
+    k = F.col("doc_id")
+    name = F.concat(F.lit("src/File.v1/a"), k.cast("string"), some(ENDINGS, k % len(ENDINGS)))
+    return read(spark, d, "documents").select("doc_id", name.alias("name"), some(SNIPPETS, F.floor(k / len(ENDINGS)) % len(SNIPPETS)).alias("content"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+FILES_SQL = f"files AS (SELECT doc_id, 'src/File.v1/a' || doc_id || {_sql_list(ENDINGS)}[doc_id % {len(ENDINGS)} + 1] AS name, {_sql_list(SNIPPETS)}[(doc_id // {len(ENDINGS)}) % {len(SNIPPETS)} + 1] AS content FROM documents)"
+
+
+@query(
+    "detect_language",
+    rf"""WITH {FILES_SQL}, l AS (SELECT *, CASE regexp_extract(lower(name), '\.[^.]+$') WHEN '.java' THEN 'java' WHEN '.py' THEN 'python' WHEN '.sql' THEN 'sql' WHEN '.clj' THEN 'clojure' WHEN '.json' THEN 'json' WHEN '.rs' THEN 'rust' WHEN '.toml' THEN 'toml' WHEN '.ts' THEN 'typescript' WHEN '.sol' THEN 'solidity' WHEN '.f90' THEN 'fortran' END AS lang FROM files),
+    f AS (SELECT *, CASE lang WHEN 'java' THEN regexp_matches(content, '\b(class|interface|package|public|private|import)\s') WHEN 'python' THEN regexp_matches(content, '\b(def|import|from|class|if|elif|else|for|while)\s') WHEN 'sql' THEN regexp_matches(content, '(?i)\b(select|insert|update|delete|create|drop|alter|from|where|join)\b')
+      WHEN 'clojure' THEN regexp_matches(content, '\(\s*(defn|def|let|fn|ns|require)\s') WHEN 'json' THEN regexp_matches(content, '^\s*[{{\[]|"\w+"\s*:') WHEN 'rust' THEN regexp_matches(content, '\b(fn|impl|struct|enum|trait|pub|use|let|mut)\s') WHEN 'typescript' THEN regexp_matches(content, '\b(interface|type|const|let|function|class|import|export)\s*:\s*\w')
+      WHEN 'solidity' THEN regexp_matches(content, '\b(contract|function|modifier|event|require|public|private|internal)\s') WHEN 'fortran' THEN regexp_matches(content, '(?i)\b(program|subroutine|function|integer|real|do|if|endif)\b') ELSE true END AS fits FROM l),
+    g AS (SELECT *, [NULL, 'java', 'scala', 'python', 'clojure', NULL, 'json', 'javascript', NULL, 'java', 'javascript', 'solidity', 'fortran'][(doc_id // {len(ENDINGS)}) % {len(SNIPPETS)} + 2] AS guess FROM f)
+    SELECT doc_id, coalesce(lang, guess, 'unknown') AS language, CASE WHEN lang IS NOT NULL THEN 'extension' WHEN guess IS NOT NULL THEN 'content' ELSE 'heuristic' END AS method,
+      CAST(CASE WHEN lang IS NOT NULL THEN CASE WHEN content = '' THEN 0.85 WHEN fits THEN 0.95 ELSE 0.75 END WHEN guess IS NOT NULL THEN 0.65 ELSE 0 END AS DOUBLE) AS confidence FROM g""",
+)
 def detect_language(spark, d):
-    k = F.col("doc_id") % 4
-    name = F.concat(F.lit("src/File"), F.col("doc_id").cast("string"), F.when(k == 0, ".java").when(k == 1, ".PY").when(k == 2, ".sql").otherwise(""))
-    found = code.detect(name, F.lit(""))
-    return read(spark, d, "documents").select("doc_id", found["language"].alias("language"), found["confidence"].alias("confidence"))
+    return code_files(spark, d).select("doc_id", F.expr("name"), F.col("content")).select("doc_id", code.detect(F.col("name"), F.col("content")).alias("x")).select("doc_id", "x.language", "x.method", "x.confidence")
+
+
+@query(
+    "guess_language",
+    f"""WITH {FILES_SQL} SELECT doc_id, CASE WHEN content = '' THEN NULL WHEN contains(content, 'package ') AND contains(content, 'import java.') THEN 'java' WHEN contains(content, 'def ') OR (contains(content, 'import ') AND contains(content, '__name__')) THEN 'python'
+      WHEN contains(content, 'interface ') OR (contains(content, 'export ') AND contains(content, ': ')) THEN 'typescript' WHEN contains(content, 'func ') AND contains(content, 'package ') THEN 'go' WHEN contains(content, 'fn ') AND contains(content, 'use ') THEN 'rust'
+      WHEN contains(content, 'function') OR contains(content, 'const ') OR contains(content, 'let ') THEN 'javascript' WHEN contains(content, 'public class') OR contains(content, 'private class') THEN 'java' ELSE 'unknown' END AS language FROM files""",
+)
+def guess_language(spark, d):
+    return code_files(spark, d).select("doc_id", code.guessed(F.col("content")).alias("language"))
+
+
+@query("display_language", rf"WITH {FILES_SQL} SELECT doc_id, CASE regexp_extract(lower(name), '\.([^.]+)$', 1) WHEN 'java' THEN 'Java' WHEN 'py' THEN 'Python' WHEN 'sql' THEN 'SQL' WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' ELSE 'unknown' END AS language FROM files")
+def display_language(spark, d):
+    return code_files(spark, d).select("doc_id", code.display_name(F.col("name")).alias("language"))
 
 
 @query("extract_imports", "SELECT s_suppkey, ['com.acme.s' || s_suppkey, 'java.util.List'] AS imports FROM supplier")
