@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.session import findable
 
-__all__ = ["Scratch", "arrow_map", "held_out", "read_table", "unused", "utf8"]
+__all__ = ["Scratch", "arrow_map", "held_out", "read_table", "readable", "unused", "utf8"]
 
 #: Arrow batches that Python workers hold at a time: rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -60,6 +60,14 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def readable(column: pa.Array) -> list[str | None]:
+    """The texts of a string column; bytes that are no UTF-8 count as U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in utf8(column)]
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that no operator learns labels from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

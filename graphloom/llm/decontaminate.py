@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, unused
+from .common import Scratch, arrow_map, readable, unused
+from .ngram_join import has_bits, match, membership_filter
 
 WINDOW, MIN_LITERALS = 8, 5
 #: An item is matched by this many windows in a row, or by all it has if it has fewer.
 MIN_RUN = 3
-#: Benchmarks of up to this many windows go to every task (16 MB); larger ones are joined by a shuffle.
-BROADCAST_WINDOWS = 1 << 20
+#: Benchmarks whose arrays take up to so many bytes go to every task; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
 #: Items of up to this many words also have one key of all their words.
 WHOLE = WINDOW + 2
 
@@ -153,7 +154,7 @@ def consistent(pairs: Iterable[tuple[int, int]]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
 
 
-def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: int, solid: tuple[int, ...] | None = None) -> tuple[int, bool] | None:
+def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: int, solid: Sequence[int] | None = None) -> tuple[int, bool] | None:
     """The longest run of windows that go on side by side in document and item with consistent slots: (windows, exact).
 
     hits: place in the document, place in the item, and the fillers of both windows. A filler of the item stands for one
@@ -192,133 +193,195 @@ def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: i
     return best
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
-    """One row per window of an item: wkey, item, at, n_windows, solid, item_fill. solid holds the places of windows that
-    are not dense. Items of up to WHOLE words have a row of all their words with at = -1 and their words for n_windows."""
-    src = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND item IS NOT NULL")
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """Distinct items: (irow, item_id, text). irow tells items of one id with different texts apart."""
+    text = F.col(text_col).cast("string")
+    return benchmark.select(F.xxhash64(F.col(item_col), text).alias("irow"), F.col(item_col).alias("item_id"), text.alias("text")).filter("text IS NOT NULL").dropDuplicates(["irow"])
 
-    def run(batches):
+
+def benchmark_windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of the items: (wkey, irow, at, fill), and what an item asks for: (irow, n_windows, solid, whole).
+
+    solid holds the places of windows that are not dense. Items of up to WHOLE words also have a row of all their words
+    with at = -1, and whole is their number of words (0 for longer items).
+    """
+    src = items.select("irow", "text")
+
+    def cut(batches):
         words = Words()
         for batch in batches:
-            rows = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys, rows, at, fill = [], [], [], []
+            for irow, text in zip(batch.column(0).to_pylist(), readable(batch.column(1)), strict=True):
                 codes, fillers = words.text(text)
-                keys = signed(windows(codes, fillers, size))
-                solid = np.flatnonzero(~dense(fillers, size)).tolist() if len(keys) else []
-                rows += [(int(key), item, k, len(keys), solid, signed(fillers[k : k + size]).tolist()) for k, key in enumerate(keys)]
+                mine = windows(codes, fillers, size)
+                keys += signed(mine).tolist()
+                at += range(len(mine))
+                fill += [signed(fillers[k : k + size]).tolist() for k in range(len(mine))]
                 if 0 < len(codes) <= WHOLE:
-                    rows.append((int(signed(whole_keys(codes, fillers, len(codes)))[0]), item, -1, len(codes), [], []))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], ["wkey", "item", "at", "n_windows", "solid", "item_fill"])
+                    keys.append(int(signed(whole_keys(codes, fillers, len(codes)))[0]))
+                    at.append(-1)
+                    fill.append([])
+                rows += [irow] * (len(keys) - len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(fill, pa.list_(pa.int64()))], ["wkey", "irow", "at", "fill"])
+
+    def ask(batches):
+        words = Words()
+        for batch in batches:
+            n, solid, whole = [], [], []
+            for text in readable(batch.column(1)):
+                codes, fillers = words.text(text)
+                n.append(max(0, len(codes) - size + 1))
+                solid.append(np.flatnonzero(~dense(fillers, size)).tolist() if n[-1] else [])
+                whole.append(len(codes) if len(codes) <= WHOLE else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(solid, pa.list_(pa.int32())), pa.array(whole, pa.int32())], ["irow", "n_windows", "solid", "whole"])
 
-    return arrow_map(src, run, "wkey long, item long, at int, n_windows int, solid array<int>, item_fill array<long>")
+    return arrow_map(src, cut, "wkey long, irow long, at int, fill array<long>"), arrow_map(src, ask, "irow long, n_windows int, solid array<int>, whole int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, least: int = MIN_RUN) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, least: int = MIN_RUN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pairs of documents and the benchmark items they hold: id, row_hash, item_id, windows, exact.
 
     row_hash tells rows with the same id apart. `windows` is the longest run, `exact` whether its numbers, names and
     units are the item's own. Items of up to WHOLE words also match where all their words stand as they are (at least 1
-    window); shorter ones than a window only so. Null texts and null items match nothing; repeated documents give a row each.
+    window); shorter ones than a window only so. Null and empty texts, and items without a text, match nothing; rows and
+    items without an id match like others. Repeated documents give a row each; repeated items count once, and of items
+    of one id with different texts the longest run counts, an exact one among equals. Texts count whole, however long;
+    bytes that are no UTF-8 count as U+FFFD; other columns are not looked at; empty tables give no rows.
+
+    The windows of a benchmark go to every task if their arrays take up to broadcast_bytes; else they are joined by a
+    shuffle. Both ways give the same hits to the same test.
     """
-    items = benchmark_windows(benchmark, item_col, item_text_col, size)
-    known = items.limit(BROADCAST_WINDOWS + 1).collect()  # bounded by the parameter, whatever the benchmark
-    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    kind = src.schema["doc_id"].dataType.simpleString()
-    if len(known) > BROADCAST_WINDOWS:
-        return joined(src, items, kind, size, least).withColumnRenamed("doc_id", id_col)
-    by_key: dict[int, list] = defaultdict(list)
-    for r in known:
-        by_key[r["wkey"]].append((r["item"], r["at"], r["n_windows"], tuple(r["solid"]), tuple(r["item_fill"])))
-    lengths = sorted({r["n_windows"] for r in known if r["at"] < 0})
-    keys = np.array(sorted(by_key), np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, dict(by_key)))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    items = scratch.save(benchmark_items(benchmark, item_col, item_text_col), "items")
+    cut, ask = benchmark_windows(items, size)
+    cut, ask = scratch.save(cut, "windows"), scratch.save(ask, "asked")
+    lengths = sorted(r[0] for r in ask.filter("whole > 0").select("whole").distinct().collect())  # WHOLE at most
+    held = ask.agg(F.sum("n_windows"), F.count("*")).first()
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("r"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    bytes_held = (held[0] or 0) * (24 + 8 * size) + held[1] * 64
+    if bytes_held <= broadcast_bytes:
+        found = looked_up(src, cut.toArrow(), ask.toArrow(), lengths, size, least)
+    else:
+        found = joined(src, cut, ask, lengths, size, least, scratch)
+    found = match(found, items.select("irow", "item_id"), ["irow"], "row_hash")
+    best = found.groupBy("r", "item_id").agg(F.max(F.struct("windows", "exact")).alias("b"))
+    best = scratch.save(best.select("r", "item_id", "b.windows", "b.exact"), "found")
+    scratch.keep("found")
+    ids = src.select(F.col("doc_id").alias(id_col), "row_hash", "r")
+    return ids.join(best, "r").select(id_col, "row_hash", "item_id", "windows", "exact")
+
+
+def cut_texts(batch: pa.RecordBatch, words: Words, lengths: list[int], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """For each row of (r, row_hash, text): its place in the batch, window keys, fillers, and whole keys by length."""
+    for k, text in enumerate(readable(batch.column(2))):
+        codes, fillers = words.text(text)
+        yield k, windows(codes, fillers, size), fillers, [(m, whole_keys(codes, fillers, m)) for m in lengths]
+
+
+RESULT = "r long, row_hash long, irow long, windows int, exact boolean"
+
+
+def result(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], ["r", "row_hash", "irow", "windows", "exact"])
+
+
+def looked_up(src: DataFrame, cut: pa.Table, ask: pa.Table, lengths: list[int], size: int, least: int) -> DataFrame:
+    """Hits by look-up in sorted arrays that every task has; their size is checked by the caller."""
+    keys = cut["wkey"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    names = ask["irow"].to_numpy().astype(np.int64)
+    by_name = np.argsort(names, kind="stable")
+    row = by_name[np.searchsorted(names, cut["irow"].to_numpy().astype(np.int64), sorter=by_name)] if len(names) else np.empty(0, np.int64)
+    at = cut["at"].to_numpy().astype(np.int32)
+    fill = np.zeros((len(keys), size), np.int64)
+    if (at >= 0).any():
+        fill[at >= 0] = pa.concat_arrays(cut["fill"].chunks).flatten().to_numpy().reshape(-1, size)
+    solid = pa.concat_arrays(ask["solid"].chunks) if ask.num_rows else pa.array([], pa.list_(pa.int32()))
+    ends = np.r_[0, np.cumsum(solid.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))] if len(solid) else np.zeros(1, np.int64)
+    shared = src.sparkSession.sparkContext.broadcast((keys[order], row[order].astype(np.int32), at[order], fill[order], names, ask["n_windows"].to_numpy().astype(np.int32), ask["whole"].to_numpy().astype(np.int32), solid.flatten().to_numpy().astype(np.int32), ends))
 
     def run(batches):
-        keys, by_key = shared.value
+        keys, row, at, fill, names, n_windows, whole_of, solid, ends = shared.value
         bits = max(12, int(keys.size).bit_length() + 5)
         seen = np.zeros(1 << bits, bool)
         seen[keys >> np.uint64(64 - bits)] = True
         words = Words()
+
+        def places(found):
+            """(place in found, place in the arrays) of the keys that the benchmark has."""
+            some = np.flatnonzero(seen[found >> np.uint64(64 - bits)])
+            lo, hi = np.searchsorted(keys, found[some]), np.searchsorted(keys, found[some], "right")
+            for k, a, b in zip(some[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                for j in range(a, b):
+                    yield k, j
+
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                codes, fillers = words.text(text)
-                mine = windows(codes, fillers, size)
+            out = []
+            r, row_hash = batch.column(0), batch.column(1)
+            for k, mine, fillers, whole_parts in cut_texts(batch, words, lengths, size):
                 hits: dict[int, list] = defaultdict(list)
-                need: dict[int, tuple] = {}
-                for k in np.flatnonzero(seen[mine >> np.uint64(64 - bits)]):
-                    for item, at, n, solid, fill in by_key.get(int(signed(mine[k : k + 1])[0]), ()):
-                        if at >= 0:
-                            hits[item].append((int(k), at, tuple(signed(fillers[k : k + size]).tolist()), fill))
-                            need[item] = n, solid
-                whole: dict[int, int] = {}
-                for m in lengths:
-                    keys_m = whole_keys(codes, fillers, m)
-                    for key in set(signed(keys_m[seen[keys_m >> np.uint64(64 - bits)]]).tolist()):
-                        whole |= {item: m for item, at, n, _, _ in by_key.get(key, ()) if at < 0 and n == m}
-                for item in hits.keys() | whole.keys():
-                    if best := matched(hits.get(item, []), need.get(item), whole.get(item), size, least):
-                        for col, x in zip(out, (doc, row_hash, item, *best), strict=True):
-                            col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", "row_hash", "item_id", "windows", "exact"])
-
-    return arrow_map(src, run, f"doc_id {kind}, row_hash long, item_id long, windows int, exact boolean").withColumnRenamed("doc_id", id_col)
-
-
-def matched(hits: list, need: tuple | None, whole: int | None, size: int, least: int) -> tuple[int, bool] | None:
+                for pos, j in places(mine):
+                    if at[j] >= 0:
+                        hits[int(row[j])].append((pos, int(at[j]), tuple(signed(fillers[pos : pos + size]).tolist()), tuple(fill[j].tolist())))
+                whole = {int(row[j]) for m, found in whole_parts for _, j in places(found) if at[j] < 0 and whole_of[row[j]] == m}
+                for i in hits.keys() | whole:
+                    if best := matched(hits.get(i, []), int(n_windows[i]), solid[ends[i] : ends[i + 1]].tolist(), int(whole_of[i]) if i in whole else 0, size, least):
+                        out.append((r[k].as_py(), row_hash[k].as_py(), int(names[i]), *best))
+            yield result(out)
+
+    return arrow_map(src.select("r", "row_hash", "text"), run, RESULT)
+
+
+def matched(hits: list, n_windows: int, solid: list[int], whole: int, size: int, least: int) -> tuple[int, bool] | None:
     """The match of one document and item: all of the item's words as they are, or a run."""
     if whole:
         return max(1, whole - size + 1), True
-    return runs(hits, min(least, need[0]), need[1]) if need else None
+    return runs(hits, min(least, n_windows), solid) if hits else None
 
 
-def joined(src: DataFrame, items: DataFrame, kind: str, size: int, least: int) -> DataFrame:
-    """The same by a shuffled hash join of all windows, for benchmarks of any size."""
-    lengths = sorted(r[0] for r in items.filter("at < 0").select("n_windows").distinct().collect())  # WHOLE at most
+def joined(src: DataFrame, cut: DataFrame, ask: DataFrame, lengths: list[int], size: int, least: int, scratch: Scratch) -> DataFrame:
+    """The same by a shuffled join on the windows that may be the benchmark's, for benchmarks of any size."""
+    shared = src.sparkSession.sparkContext.broadcast(membership_filter(cut.select("wkey"), cut.count()))
 
-    def cut(batches):
+    def windows_of(batches):
         words = Words()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                codes, fillers = words.text(text)
-                for k, key in enumerate(signed(windows(codes, fillers, size)).tolist()):
-                    for col, x in zip(out, (doc, row_hash, key, k, signed(fillers[k : k + size]).tolist()), strict=True):
-                        col.append(x)
-                for m in lengths:
-                    for key in set(signed(whole_keys(codes, fillers, m)).tolist()):
-                        for col, x in zip(out, (doc, row_hash, key, -m, []), strict=True):
-                            col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["doc_id", "row_hash", "wkey", "pos", "fill"])
-
-    def check(pdf):
-        hits: dict = defaultdict(list)
-        need: dict = {}
-        whole: dict = {}
-        for r in pdf.itertuples(index=False):
-            key = (r.doc_id, r.row_hash, r.item)
-            if r.at < 0 and r.pos == -r.n_windows:
-                whole[key] = r.n_windows
-            elif r.at >= 0 and r.pos >= 0:
-                hits[key].append((r.pos, r.at, tuple(r.fill), tuple(r.item_fill)))
-                need[key] = r.n_windows, tuple(r.solid)
-        import pandas as pd
-
-        return pd.DataFrame([(*key, *best) for key in hits.keys() | whole.keys() if (best := matched(hits.get(key, []), need.get(key), whole.get(key), size, least))], columns=["doc_id", "row_hash", "item_id", "windows", "exact"])
-
-    mine = arrow_map(src, cut, f"doc_id {kind}, row_hash long, wkey long, pos int, fill array<long>")
-    return mine.join(items, "wkey").groupBy("doc_id", "row_hash", "item").applyInPandas(check, f"doc_id {kind}, row_hash long, item_id long, windows int, exact boolean")
+            out = []
+            r, row_hash = batch.column(0), batch.column(1)
+            for k, mine, fillers, whole_parts in cut_texts(batch, words, lengths, size):
+                for pos in np.flatnonzero(has_bits(shared.value, signed(mine))).tolist():
+                    out.append((r[k].as_py(), row_hash[k].as_py(), int(signed(mine[pos : pos + 1])[0]), pos, signed(fillers[pos : pos + size]).tolist()))
+                for m, found in whole_parts:
+                    out += [(r[k].as_py(), row_hash[k].as_py(), key, -m, []) for key in set(signed(found).tolist())]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["r", "row_hash", "wkey", "pos", "mine"])
+
+    def check(table):
+        r, row_hash, irow = (table.column(k)[0].as_py() for k in range(3))
+        n_windows, solid, whole = (table.column(k)[0].as_py() for k in range(3, 6))
+        rows = list(zip(*(table.column(k).to_pylist() for k in range(6, 10)), strict=True))
+        hits = [(pos, at, tuple(mine), tuple(fill)) for pos, mine, at, fill in rows if pos >= 0 and at >= 0]
+        has = any(at < 0 and pos == -whole for pos, _, at, _ in rows)
+        best = matched(hits, n_windows, solid, whole if has else 0, size, least)
+        return pa.Table.from_batches([result([(r, row_hash, irow, *best)] if best else [])])
+
+    mine = scratch.save(arrow_map(src.select("r", "row_hash", "text"), windows_of, "r long, row_hash long, wkey long, pos int, mine array<long>"), "mine")
+    hits = match(mine.distinct(), cut, ["wkey"], "r").drop("wkey")
+    hits = match(hits, ask, ["irow"], "r").select("r", "row_hash", "irow", "n_windows", "solid", "whole", "pos", "mine", "at", "fill")
+    return hits.groupBy("r", "row_hash", "irow").applyInArrow(check, RESULT)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Contaminated documents: id, items (sorted), n_items, windows (longest run), exact. Clean documents have no row."""
+    """Contaminated documents: id, items (sorted ids), n_items, windows (longest run), exact. Clean documents have no
+    row; rows of one id and text are one document, whatever matches() says of each."""
     found = matches(docs, benchmark, id_col, text_col).groupBy(id_col, "row_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("windows").alias("windows"), F.max("exact").alias("exact"))
     return found.select(id_col, "items", F.size("items").alias("n_items"), "windows", "exact")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item, with all their columns, whatever these are named; rows with null or
+    empty texts stay, repeated rows stay or go together, and an empty table stays empty."""
     i, h = unused(docs, "_id", "_hash")
     bad = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(i), F.col("row_hash").alias(h)).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h)), "left_anti")

@@ -1,39 +1,50 @@
 """Main text of web pages: flat text blocks, features of a block and its neighbours, a decision tree.
 
 A page is cut into blocks of text at block-level tags. Words, link density (of the block, the one before and the one
-after) and the kind of element around the block feed a classification tree that is grown here from LABELLED.
+after) and the kind of element around the block feed a classification tree that is grown from the blocks of the pages
+in labelled_pages.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, readable
+from .labelled_pages import PAGES
 
 #: Fixed values of the language: elements whose content is no text, and elements that do not break a block.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "title", "textarea", "select", "button", "head"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Elements that hold no main text, and words of class, id or role that mark such elements.
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "figcaption"}
+#: Elements that hold no main text, and words of class, id or role that mark such elements; WEAK_WORDS may also name a
+#: part of an article, so they are but a feature.
+ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ASIDE_WORDS = {
-    "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies",
-    "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "respond",
-    "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
+    "ad", "ads", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies",
+    "disqus", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "popup", "promo", "replies", "respond",
+    "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
+WEAK_WORDS = {"banner", "footer", "header", "notice", "notices", "related", "search"}
 MAIN_WORDS = {"article", "articlebody", "main", "post", "entry", "story"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: A quoted value may hold > and, if it is followed by what may follow a value, also <; a tag with a broken quote ends at its >.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+|(?:[^<>\"']{1,200}|\"[^\"]{0,2000}\"(?=[\s/>])|'[^']{0,2000}'(?=[\s/>])){0,40}+|[^<>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 
 
+CLOSE = {tag: re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I) for tag in RAW}
+
+
 @dataclass
 class Block:
     text: str
@@ -42,6 +53,8 @@ class Block:
     tag: str
     main: bool
     aside: bool
+    weak: bool
+    at: int
 
     @property
     def density(self) -> float:
@@ -49,12 +62,17 @@ class Block:
 
 
 def place(tag: str, attributes: str) -> str:
-    """What an element says of what it holds: aside, main or nothing."""
+    """What an element says of what it holds: aside, weak (perhaps aside), main or nothing."""
     if tag in ASIDE:
         return "aside"
+    if tag in HEADINGS:
+        return ""
     named = {w.lower() for _, *values in ATTRIBUTE.findall(attributes) for v in values for w in WORDS.findall(v)} if attributes else set()
-    if named & ASIDE_WORDS and tag not in ("html", "body", "article", "main"):
-        return "aside"
+    if tag not in ("html", "body", "article", "main"):
+        if named & ASIDE_WORDS:
+            return "aside"
+        if tag == "header" or named & WEAK_WORDS:
+            return "weak"
     return "main" if tag in ("article", "main") or named & MAIN_WORDS and tag not in ("html", "body") else ""
 
 
@@ -64,22 +82,25 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked: list[str] = []
-    depth = {"main": 0, "aside": 0, "": 0}
-    in_link, tag_now = 0, ""
+    depth = {"main": 0, "aside": 0, "weak": 0, "": 0}
+    in_link, tag_now, since = 0, "", 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             n = len(text.split())
-            out.append(Block(text, n, min(n, len(html.unescape(" ".join(linked)).split())), tag_now, depth["main"] > 0, depth["aside"] > 0))
+            out.append(Block(text, n, min(n, len(html.unescape(" ".join(linked)).split())), tag_now, depth["main"] > 0, depth["aside"] > 0, depth["weak"] > 0, since))
         parts.clear()
         linked.clear()
 
     at, end = 0, len(page)
+    unclosed: set[str] = set()
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text:
+            if not parts:
+                since = at
             parts.append(text)
             if in_link:
                 linked.append(text)
@@ -107,8 +128,14 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW and not m[0].endswith("/>"):
             if tag not in ("button", "select", "textarea"):
                 flush()
-            close = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
-            at = close.end() if close else (at if tag == "head" else end)
+            if tag not in unclosed:
+                close = CLOSE[tag].search(page, at)
+                if close:
+                    at = close.end()
+                elif tag in ("script", "style"):  # all that follows is theirs; other elements that never end hold nothing
+                    at = end
+                else:
+                    unclosed.add(tag)
             continue
         if tag not in INLINE:
             flush()
@@ -124,7 +151,7 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "main", "aside", "heading", "main_page")
+FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "main", "aside", "weak", "heading", "main_page")
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
@@ -133,32 +160,15 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     rows = []
     for k, b in enumerate(found):
         p, q = (found[k - 1] if k else None), (found[k + 1] if k + 1 < len(found) else None)
-        rows.append((b.words, b.density, p.words if p else 0, p.density if p else 0.0, q.words if q else 0, q.density if q else 0.0, float(b.main), float(b.aside), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), main_page))
+        rows.append((b.words, b.density, p.words if p else 0, p.density if p else 0.0, q.words if q else 0, q.density if q else 0.0, float(b.main), float(b.aside), float(b.weak), float(b.tag in HEADINGS), main_page))
     return rows
 
 
-#: Labelled blocks: FEATURES, then 1 for main text.
-LABELLED: tuple[tuple[float, ...], ...] = (
-    # in the main element of a page that has one: text of any length
-    (120, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (9, 0.0, 1, 1.0, 80, 0.0, 1, 0, 1, 1, 1), (1, 0.0, 30, 0.0, 45, 0.0, 1, 0, 0, 1, 1), (2, 0.0, 40, 0.0, 12, 0.0, 1, 0, 0, 1, 1),
-    (35, 0.2, 5, 0.0, 20, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1, 1), (14, 0.9, 60, 0.0, 50, 0.0, 1, 0, 0, 1, 1), (1, 1.0, 60, 0.0, 50, 0.0, 1, 0, 0, 1, 1),
-    (400, 0.01, 10, 0.0, 12, 0.1, 1, 0, 0, 1, 1), (6, 0.0, 90, 0.0, 110, 0.0, 1, 0, 1, 1, 1), (22, 0.0, 22, 0.0, 22, 0.0, 1, 0, 0, 1, 1), (5, 0.0, 12, 0.0, 3, 0.3, 1, 0, 0, 1, 1),
-    # in an element for other things, in or out of the main one
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (13, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 1, 0), (40, 0.0, 6, 0.0, 120, 0.0, 0, 1, 0, 1, 0),
-    (11, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (60, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (25, 0.0, 90, 0.0, 30, 0.0, 1, 1, 0, 1, 0), (8, 0.0, 90, 0.0, 30, 0.0, 1, 1, 1, 1, 0),
-    (90, 0.0, 60, 0.0, 40, 0.0, 1, 1, 0, 1, 0), (3, 0.7, 20, 0.0, 4, 0.5, 1, 1, 0, 1, 0), (150, 0.0, 4, 0.0, 80, 0.0, 0, 1, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0, 0),
-    (30, 0.1, 2, 1.0, 12, 0.0, 0, 1, 0, 0, 0), (5, 0.0, 70, 0.0, 9, 0.0, 0, 1, 1, 0, 0),
-    # outside of the main element, of a page that has one
-    (6, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 1, 0), (30, 0.0, 80, 0.0, 5, 0.0, 0, 0, 0, 1, 0), (9, 0.8, 70, 0.0, 8, 0.6, 0, 0, 0, 1, 0), (70, 0.0, 9, 0.0, 6, 0.0, 0, 0, 0, 1, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1, 0), (12, 0.0, 2, 1.0, 120, 0.0, 0, 0, 0, 1, 0),
-    # pages without a main element: words and link density decide
-    (60, 0.0, 12, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (35, 0.05, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1),
-    (5, 0.0, 70, 0.0, 45, 0.0, 0, 0, 1, 0, 1), (25, 0.2, 30, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (110, 0.1, 3, 1.0, 4, 0.8, 0, 0, 0, 0, 1), (4, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (45, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (28, 0.0, 5, 0.0, 3, 0.9, 0, 0, 0, 0, 1), (16, 0.1, 25, 0.0, 6, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 4, 1.0, 5, 0.8, 0, 0, 0, 0, 0), (30, 0.7, 12, 0.8, 9, 0.9, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0, 0, 0), (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.2, 2, 0.9, 3, 0.4, 0, 0, 0, 0, 0), (12, 0.6, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 1, 0, 0), (8, 0.5, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (9, 0.0, 5, 0.8, 4, 0.9, 0, 0, 0, 0, 0),
-)
+def labelled_blocks(page: list[tuple[int, str]]) -> list[tuple[float, ...]]:
+    """FEATURES of the blocks of a page that is given as labelled pieces of html, then the label."""
+    ends = list(accumulate(len(piece) for _, piece in page))
+    found = blocks("".join(piece for _, piece in page))
+    return [(*row, page[bisect_right(ends, b.at)][0]) for b, row in zip(found, features(found), strict=True)]
 
 
 def grow(rows: list[tuple[float, ...]], depth: int = 8) -> tuple | float:
@@ -182,7 +192,7 @@ def grow(rows: list[tuple[float, ...]], depth: int = 8) -> tuple | float:
 
 @lru_cache(maxsize=1)
 def tree() -> tuple | float:
-    return grow(list(LABELLED))
+    return grow([row for page in PAGES for row in labelled_blocks(page)])
 
 
 def is_main(row: tuple[float, ...]) -> bool:
@@ -201,14 +211,15 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of each page: id, url, text, n_chars (code points).
 
-    Null or empty html, and pages without main text, give an empty text and 0. Repeated rows stay repeated; an empty
-    table stays empty; damaged markup is read as far as it goes.
+    Null or empty html, and pages without main text, give an empty text and 0. Pages count whole, however long; repeated
+    rows stay repeated; an empty table stays empty; damaged markup is read as far as it goes, and bytes that are no UTF-8
+    count as U+FFFD. Ids may be of any type, there are no ties, and other columns are not looked at.
     """
     src = pages.selectExpr(f"`{id_col}` AS page_id", f"cast(`{url_col}` AS string) AS url", f"cast(`{html_col}` AS string) AS html")
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h) for h in readable(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     out = arrow_map(src, run, f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
