@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 from pathlib import Path
@@ -16,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import KEPT, arrow_map, utf8
+from .common import KEPT, arrow_map, readable, utf8
 
 NONE = (1 << 62) - 1
 #: Children of a segment tree's node.
@@ -25,6 +26,21 @@ FAN = 16
 #: The pre-tokenizer pattern of byte-level vocabularies, and the one of the word vocabulary.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: Code points that newer versions of Unicode than 16, which the tokenizers follow, call letters and numbers.
+LATER_LETTERS = (
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce-\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1\\uab6c-\\uab6d"
+    "\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a\\U00011db0-\\U00011ddb\\U00011df1"
+    "\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff3\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20"
+    "\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6\\U0001df1f-\\U0001df24"
+    "\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5"
+    "\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead"
+    "\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+LATER_NUMBERS = "\\U00011de0-\\U00011de9\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ff4-\\U00016ff6"
+#: Small letters of capitals that Python's Unicode 15.1 does not know: single ones, and runs at a distance.
+LATER_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+LATER = re.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}{''.join(map(chr, sorted(LATER_SMALL)))}]")
 #: Controls that Python takes for white space and Unicode does not.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
@@ -52,6 +68,8 @@ class Vocabulary:
             self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
         self.words_only = bool(spec.get("normalizer"))
         self.pattern = regex.compile(WORD_PATTERN if self.words_only else BYTE_PATTERN)
+        known = (WORD_PATTERN if self.words_only else BYTE_PATTERN).replace(r"[^\s\p{L}\p{N}]", r"[^\sLN]").replace(r"[\p{L}]", "L").replace(r"[\p{N}]", "N").replace(r"\p{L}", "L").replace(r"\p{N}", "N")
+        self.late_pattern = regex.compile("(?V1)" + known.replace("L", rf"[\p{{L}}--[{LATER_LETTERS}]]").replace("N", rf"[\p{{N}}--[{LATER_NUMBERS}]]"))
         letters = byte_letters()
         self.first = [self.ids.get(c) for c in letters]
         self.last = [self.ids.get(c + self.suffix) for c in letters]
@@ -63,7 +81,13 @@ class Vocabulary:
             return text
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
+        text = text.replace("Σ", "σ").lower()
+        return text.translate(LATER_SMALL) if LATER.search(text) else text
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text in normal form."""
+        text = self.normal(text)
+        return (self.late_pattern if LATER.search(text) else self.pattern).findall(text)
 
     def symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")
@@ -202,7 +226,7 @@ class Encoder:
     def ids(self, part: str) -> list[int]:
         """Ids of a text that holds no special string."""
         v = self.vocab
-        return [i for word in v.pattern.findall(v.normal(part)) for i in merge_by_tree(v.symbols(word), v.merges)]
+        return [i for word in v.cut(part) for i in merge_by_tree(v.symbols(word), v.merges)]
 
     def encode(self, text: str) -> list[int]:
         return [i for part, special in self.vocab.segments(text) for i in ([special] if special is not None else self.ids(part))]
@@ -220,7 +244,7 @@ class Encoder:
         return len(ids), " ".join([self.shown[i] for i in ids]), self.decode(ids)
 
     def piece(self, part: str) -> tuple[int, str, str]:
-        words = self.vocab.pattern.findall(self.vocab.normal(part))
+        words = self.vocab.cut(part)
         if len(words) == 1:
             return self.word_memo.all(words)[0]
         found = self.word_memo.all(words)
@@ -253,7 +277,7 @@ class Counter:
         self.word_memo = Memo(lambda word: count_by_heap(vocab.symbols(word), vocab.merges), limit // 2)
 
     def plain(self, part: str) -> int:
-        return sum(self.word_memo.all(self.vocab.pattern.findall(self.vocab.normal(part))))
+        return sum(self.word_memo.all(self.vocab.cut(part)))
 
     def count(self, text: str) -> int:
         v = self.vocab
@@ -302,8 +326,9 @@ def owner_of(kind: type, key: str) -> str:
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each whole text and decodes it again: id, n_tokens, ids, decoded.
 
-    Null text counts as empty: no tokens, empty strings. Repeated rows stay repeated; an empty table stays empty.
-    `ids` holds decimal ids joined by one space.
+    Null text counts as empty: no tokens, empty strings. Texts count whole, however long, and bytes that are no UTF-8
+    count as U+FFFD; of equal pair ranks the leftmost merges first. Repeated rows stay repeated; other columns are not
+    looked at; an empty table stays empty. `ids` holds decimal ids joined by one space.
     """
     src = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS text")
     shared = broadcast_file(docs, path)
@@ -311,7 +336,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         encoder = ready(Encoder, shared, path)
         for batch in batches:
-            rows = [encoder.row(t or "") for t in batch.column(1).to_pylist()]
+            rows = [encoder.row(t or "") for t in readable(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded string", owner_of(Encoder, path)).withColumnRenamed("doc_id", id_col)
@@ -326,7 +351,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         encoder = ready(Encoder, shared, path)
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
+            for t in readable(batch.column(1)):
                 n, ids, decoded = encoder.row(t or "")
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -337,7 +362,9 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token counts of whole texts: id, n_bytes, n_tokens, over_limit.
 
-    Null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay repeated; an empty table stays empty.
+    Null text counts as empty: 0 bytes, 0 tokens. Texts count whole, however long, and bytes that are no UTF-8 count as
+    U+FFFD (n_bytes is of the text as it stands); of equal pair ranks the leftmost merges first. Repeated rows stay
+    repeated; other columns are not looked at; an empty table stays empty.
     """
     src = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS text")
     shared = broadcast_file(docs, path)

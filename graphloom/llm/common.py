@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.session import findable
 
-__all__ = ["Scratch", "arrow_map", "held_out", "read_table", "readable", "unused", "utf8"]
+__all__ = ["MAX_BROADCAST", "Scratch", "arrow_map", "held_out", "hash_bound", "match", "read_table", "readable", "small", "unused", "utf8"]
 
 #: Arrow batches that Python workers hold at a time: rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -26,6 +26,10 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Tables of up to this many keys are broadcast (a few MB); larger ones are joined by a shuffle, keys of HOT rows apart, in
+#: SALTS parts of each key.
+MAX_BROADCAST, SALTS, HOT = 1 << 18, 16, 4096
+
 #: What a Python worker keeps from task to task, by owner; a task of another owner drops it.
 KEPT: dict[str, object] = {}
 
@@ -38,7 +42,7 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema, owner: str = "") -> DataFrame:
     """mapInArrow with bounded batches. Tasks start without what workers keep for other owners and return memory at their end."""
     bounded_batches(df.sparkSession)
     findable(df.sparkSession)
@@ -86,3 +90,36 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
+def match(rows: DataFrame, table: DataFrame, keys: list[str], salt: str, how: str = "inner", size: str = "") -> DataFrame:
+    """Joins rows, of which a few keys may hold most, with a table of one row per key.
+
+    A table of few keys is broadcast. Else, if a column tells the size of keys, those of HOT rows are taken apart first;
+    what is still too large is repeated SALTS times, so that the rows of a key are dealt to as many tasks.
+    """
+    if table.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(table), keys, how)
+    if size and (hot := table.filter(F.col(size) >= HOT)).count() <= MAX_BROADCAST:
+        marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+        cold = marked.filter("_hot IS NULL").drop("_hot").join(table.filter(F.col(size) < HOT), keys, how)
+        return cold.unionByName(marked.filter("_hot").drop("_hot").join(F.broadcast(hot), keys, how))
+    parts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(parts, [*keys, "salt"], how).drop("salt")
+
+
+def hash_bound(rows: DataFrame, column: str, limit: int) -> int:
+    """A bound that the hashes of at most `limit` rows do not pass, found from counts of 65536 ranges of hashes."""
+    counts = rows.groupBy(F.shiftright(column, 48).alias("bin")).agg(F.count("*").alias("n")).toArrow().sort_by("bin")
+    total, bound = 0, -(1 << 63)
+    for bin_, n in zip(counts["bin"].to_pylist(), counts["n"].to_pylist(), strict=True):
+        total += n
+        if total > limit:
+            return bound
+        bound = ((bin_ + 1) << 48) - 1
+    return (1 << 63) - 1

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, readable, unused
-from .ngram_join import has_bits, match, membership_filter
+from .common import Scratch, arrow_map, match, readable, unused
+from .ngram_join import has_bits, membership_filter
 
 WINDOW, MIN_LITERALS = 8, 5
 #: An item is matched by this many windows in a row, or by all it has if it has fewer.

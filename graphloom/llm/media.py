@@ -5,6 +5,7 @@ The reader goes through the box tree and the sample tables only; payload bytes a
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -112,19 +113,6 @@ def walk(data: bytes | memoryview) -> list[Track]:
     """The tracks of a container. Bytes that are no container give none; what a damaged one still has is kept."""
     tracks: list[Track] = []
 
-    def visit(start: int, end: int, track: Track | None) -> None:
-        for kind, a, b in boxes(data, start, end):
-            if kind in CONTAINERS:
-                inner = Track() if kind == b"trak" else track
-                if kind == b"trak":
-                    tracks.append(inner)
-                visit(a, b, inner)
-            elif track is not None:
-                try:
-                    leaf(kind, a, b, track)
-                except (struct.error, IndexError):
-                    continue
-
     def leaf(kind: bytes, a: int, b: int, t: Track) -> None:
         if kind == b"mdhd":
             t.timescale, t.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
@@ -146,7 +134,22 @@ def walk(data: bytes | memoryview) -> list[Track]:
         elif kind == b"co64":
             t.chunk_offsets = [(hi << 32) | lo for hi, lo in table(data, a, b, 2)]
 
-    visit(0, len(data), None)
+    open_boxes: list[tuple[Iterator[tuple[bytes, int, int]], Track | None]] = [(boxes(data, 0, len(data)), None)]
+    while open_boxes:
+        inside, track = open_boxes[-1]
+        found = next(inside, None)
+        if found is None:
+            open_boxes.pop()
+            continue
+        kind, a, b = found
+        if kind in CONTAINERS:
+            if kind == b"trak":
+                track = Track()
+                tracks.append(track)
+            open_boxes.append((boxes(data, a, b), track))
+        elif track is not None:
+            with contextlib.suppress(struct.error, IndexError):
+                leaf(kind, a, b, track)
     return tracks
 
 
@@ -207,7 +210,8 @@ def media_columns(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """Describes each media file without decoding payloads.
 
     One row per input row: the id, then COLUMNS of the first track. Null content or bytes that are no container
-    give n_tracks 0 and nulls; repeated rows stay repeated; an empty table gives an empty table.
+    give n_tracks 0 and nulls, and a damaged one what is left of it, however deep its boxes; files count whole, however
+    long; repeated rows stay repeated; other columns are not looked at; an empty table gives an empty table.
     """
     src = df.selectExpr(f"`{id_col}` AS media_id", f"cast(`{content_col}` AS binary) AS content")
     schema = "media_id " + src.schema["media_id"].dataType.simpleString() + ", " + COLUMNS
@@ -232,7 +236,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Stores each text as sound samples in a container, reads the stored bytes back and digests them.
 
     One row per document: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
-    Null text counts as empty and gives one block of 64 zero bytes. Repeated rows stay repeated.
+    Null text counts as empty and gives one block of 64 zero bytes. Texts are stored whole, as their bytes stand.
+    Repeated rows stay repeated; other columns are not looked at; an empty table stays empty.
     """
     src = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS text")
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 
-from .common import Scratch, arrow_map, unused
+from .common import MAX_BROADCAST, SALTS, Scratch, arrow_map, match, small, unused
+from .shingles import mix
 from .shingles import sets as shingle_sets
 
 #: Similarity is at least NUM / DEN.
@@ -36,8 +37,6 @@ MAX_FREQUENT, LEAST_FREQUENT = 1 << 18, 3
 DENSE, BLOCK_ROWS, BLOCK_ENTRIES = 32, 2048, 1 << 21
 #: Values that so many rows of a block hold are multiplied as a dense matrix, so many at a time.
 HEAVY, HEAVY_COLUMNS = 24, 512
-#: Tables of up to this many keys are broadcast (a few MB); larger ones are joined by a shuffle, in SALTS parts of each key.
-MAX_BROADCAST, SALTS = 1 << 18, 16
 #: Bits of the filter of documents whose sets are fetched, at most; what passes it wrongly is dropped by a join.
 MAX_FILTER_BITS = 1 << 26
 FLUSH = 1 << 21
@@ -125,13 +124,14 @@ def profile(src: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def incidence(src: DataFrame, frequent: np.ndarray, collided: frozenset[int], bits: int) -> DataFrame:
-    """Leading shingles of each document: (shingle, cls, n, common). frequent: columns by rising count."""
+    """Leading shingles of each document: (shingle, cls, n, common, k). frequent: columns by rising count; k deals the rows
+    of a frequent one to several tasks."""
     shared = src.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent, kind="stable")))
 
     def run(batches: Iterator[pa.RecordBatch]):
         columns, ranks = shared.value
         for batch in batches:
-            sh, cl, ns, co = [], [], [], []
+            sh, cl, ns, co, deal = [], [], [], [], []
             done: set[int] = set()
             for found in shingle_sets(batch.column(0)):
                 n = len(found)
@@ -148,10 +148,11 @@ def incidence(src: DataFrame, frequent: np.ndarray, collided: frozenset[int], bi
                 cl.append(np.full(len(first), key, np.int64))
                 ns.append(np.full(len(first), n, np.int32))
                 co.append(rank[first] > 0)
+                deal.append(np.where(co[-1], mix(found[first] + np.uint64(key & (SALTS - 1))), found[first]).astype(np.uint32))
             if sh:
-                yield batch_of("sh cls n common", np.concatenate(sh).view(np.int64), np.concatenate(cl), np.concatenate(ns), np.concatenate(co))
+                yield batch_of("sh cls n common k", np.concatenate(sh).view(np.int64), np.concatenate(cl), np.concatenate(ns), np.concatenate(co), np.concatenate(deal).view(np.int32))
 
-    return arrow_map(src, run, "sh long, cls long, n int, common boolean")
+    return arrow_map(src, run, "sh long, cls long, n int, common boolean, k int")
 
 
 def membership_filter(keys: DataFrame, count: int) -> np.ndarray:
@@ -176,20 +177,6 @@ def has_bits(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def small(table: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it has few rows."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
-
-
-def match(rows: DataFrame, table: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:
-    """Joins rows, of which a few keys may hold most, with a table of one row per key. A table that is too large to be
-    broadcast is repeated SALTS times, so that the rows of a key are dealt to as many tasks."""
-    if table.count() <= MAX_BROADCAST:
-        return rows.join(F.broadcast(table), keys, how)
-    parts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(parts, [*keys, "salt"], how).drop("salt")
-
-
 class Links:
     """Checks pairs of classes by exact intersection of their whole sets, which are fetched once each."""
 
@@ -429,8 +416,8 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> D
     lead = incidence(src.select("text"), chosen.astype(np.int64).view(np.uint64), collided, bits)
 
     # columns that only one class leads with make no pairs; leaders of frequent ones are counted ahead
-    dealt = lead.repartition("sh")
-    w = Window.partitionBy("sh")
+    dealt = lead.repartition("k")
+    w = Window.partitionBy("k", "sh")
     lo, hi = F.min(F.struct("cls", "n")), F.max("cls")
     rare = dealt.filter("NOT common").withColumn("lo", lo.over(w)).withColumn("hi", hi.over(w))
     common = dealt.filter("common")

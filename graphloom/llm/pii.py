@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, unused
+from .common import Scratch, match, unused
 
 #: Fixed values of the contract: the kinds in their order and what each looks like. A match starts where the search
 #: would find it from the left; possessive parts and the guards before a run keep the search linear.
@@ -55,14 +55,29 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def cue(before: Column) -> Column:
-    """The words and joint right before a match, in lower case: at most two words."""
-    return F.regexp_extract(F.lower(F.right(before, F.lit(48))), r"((?:[\p{L}_]+\s+)?[\p{L}_]*+\s*[=:]?\s*[\"'(]?)$", 1)
+    """The words and joint right before a match, in lower case: at most two words, however long. They are read backwards,
+    so the search starts in one place."""
+    return F.lower(F.reverse(F.regexp_extract(F.reverse(before), r"^([\"'(]?\s*+[=:]?\s*+[\p{L}_]*+(?:\s+[\p{L}_]++)?)", 1)))
+
+
+#: Finds of a text are worked through in pieces of so many, so that work grows with their number, not its square.
+PIECE = 256
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def pieces(rows: Column, fold) -> Column:
+    """fold(k, rows of piece k) for each PIECE of an array, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(rows) - 1) / PIECE).cast("int"))), lambda k: fold(k, F.slice(rows, k * PIECE + 1, F.lit(PIECE))))
 
 
 def located(text: Column, pattern: str, keep, kind) -> Column:
-    """Matches of a pattern with their places in code points, by walking the text's pieces and matches once."""
+    """Matches of a pattern with their places in code points, from the lengths of the text's pieces and matches."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() AS array<{SPAN}>)").alias("out"))
+    width = lambda x: F.length(x["a"]) + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["a"])
@@ -71,7 +86,12 @@ def located(text: Column, pattern: str, keep, kind) -> Column:
         found = F.when(x["m"].isNotNull() & F.coalesce(keep(x["m"]), F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("pos"), found.alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def of(rows: Column) -> Column:
+        widths = pieces(rows, lambda k, some: F.aggregate(some, F.lit(0), lambda acc, x: acc + width(x)))
+        before = lambda sums, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda acc, x: acc + x)
+        return bound(widths, lambda sums: F.flatten(pieces(rows, lambda k, some: F.aggregate(some, F.struct(before(sums, k).alias("pos"), none().alias("out")), step, lambda acc: acc["out"]))))
+
+    return bound(pairs, of)
 
 
 def none() -> Column:
@@ -115,10 +135,12 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
     edges = seen.select(F.explode(patterns).alias("pattern"), F.xxhash64(F.lower("v")).alias("inst"), "kind").groupBy("pattern", "inst").agg(F.max("kind").alias("kind"))
     scored = edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
     out = None
+    scratch = Scratch(seen.sparkSession, "pii-patterns")
+    scored = scratch.save(scored, "edges")
     for turn in range(ROUNDS):
         out = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(0.5))).alias("confidence"), F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).alias("support"), F.max("kind").alias("kind"))
         if turn + 1 < ROUNDS:
-            best = scored.select("pattern", "inst").join(out.select("pattern", "confidence"), "pattern").groupBy("inst").agg(F.max("confidence").alias("best"))
+            best = match(scored.select("pattern", "inst"), out.select("pattern", "confidence"), ["pattern"], "inst").groupBy("inst").agg(F.max("confidence").alias("best"))
             scored = scored.join(best, "inst").select("pattern", "inst", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("best")).alias("score"))
     return out.filter((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
 
@@ -140,8 +162,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each = seen.filter((F.size("base") > 0) | (F.size("cands") > 0)).select("doc_id", "text_hash", F.explode(F.concat("base", "cands")).alias("x")).select("doc_id", "text_hash", "x.*")
     sure = scratch.save(confident_patterns(each.select("cue", "v", "kind")), "patterns").withColumnRenamed("kind", "found_kind")
     single = F.regexp_replace("cue", r"\s+", " ")
-    maybe = each.filter("kind IS NULL").withColumn("pattern", F.explode(F.array(F.concat(F.lit("c|"), label(F.col("cue"))), F.concat(F.lit("s|"), single, F.lit("|"), shape(F.col("v"))))))
-    new = maybe.join(sure.select("pattern", "found_kind"), "pattern").groupBy("doc_id", "text_hash", "s", "e").agg(F.max("found_kind").alias("kind"), F.first("v").alias("v"), F.first("cue").alias("cue"))
+    named = F.when(label(F.col("cue")) != "", F.concat(F.lit("c|"), label(F.col("cue"))))
+    maybe = each.filter("kind IS NULL").withColumn("pattern", F.explode(F.array_compact(F.array(named, F.concat(F.lit("s|"), single, F.lit("|"), shape(F.col("v")))))))
+    new = match(maybe, sure.select("pattern", "found_kind"), ["pattern"], "v").groupBy("doc_id", "text_hash", "s", "e").agg(F.max("found_kind").alias("kind"), F.first("v").alias("v"), F.first("cue").alias("cue"))
     secrets = each.filter("kind = 'secret'").select("doc_id", "text_hash", "s", "e", "kind", "v", "cue").distinct()
     added = new.select("doc_id", "text_hash", "s", "e", "kind", "v", "cue").unionByName(secrets).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind", "v", "cue"))).alias("added"))
     added = added.withColumnsRenamed({"doc_id": "a_id", "text_hash": "a_hash"})
@@ -156,18 +179,51 @@ def all_spans(base: Column, added: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of spans: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
+    """Counts and digests of spans: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_spans.
 
-    One row per input row; a document without finds has zeros, the digest of an empty string and an empty `spans`.
+    One row per input row; a document without finds, or with a null or empty text, has zeros, the digest of an empty
+    string and an empty `spans`. Texts count whole, however long; at one start base kinds come first, in their order;
+    repeated rows stay repeated and have equal finds; other columns are not looked at; an empty table gives no rows.
     """
     found = find(docs, id_col, text_col)
     kinds = F.transform("base", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(F.col("doc_id").alias(id_col), *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(all_spans(F.col("base"), F.col("added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    n_spans = (F.size("base") + F.size("added")).cast("long")
+    return found.select(F.col("doc_id").alias(id_col), *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(all_spans(F.col("base"), F.col("added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), n_spans.alias("n_spans"))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with its spans, sorted by start, replaced by their kinds; spans that overlap are one, of the first's kind."""
+    ends = lambda rows: F.aggregate(rows, F.lit(0), lambda acc, x: F.greatest(acc, x["e"]))
+    mark = lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
+
+    def of(rows: Column) -> Column:
+        tops = pieces(rows, lambda k, some: ends(some))
+
+        def one(k: Column, some: Column, before: Column) -> Column:
+            # a piece starts where the furthest span before it ended, and its text is cut out once
+            stop = F.greatest(before, ends(some))
+
+            def within(part: Column) -> Column:
+                start = F.struct(before.alias("pos"), F.expr("cast(array() AS array<string>)").alias("out"))
+                gap = lambda acc, x: F.concat(F.substring(part, acc["pos"] - before + 1, x["s"] - acc["pos"]), mark(x))
+                step = lambda acc, x: F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(x["s"] >= acc["pos"], F.concat(acc["out"], F.array(gap(acc, x)))).otherwise(acc["out"]).alias("out"))
+                return F.array_join(F.aggregate(some, start, step, lambda acc: acc["out"]), "")
+
+            return bound(F.substring(text, before + 1, stop - before), within)
+
+        def whole(sums: Column) -> Column:
+            reach = lambda k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda acc, x: F.greatest(acc, x))
+            return F.concat(F.array_join(pieces(rows, lambda k, some: bound(reach(k), lambda before: one(k, some, before))), ""), F.substring(text, F.array_max(sums) + 1, F.length(text)))
+
+        return bound(tops, whole)
+
+    return bound(spans, of)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; other columns and texts without finds stay as they are.
+    """The documents with each span replaced by its kind in brackets; other columns and texts without finds stay as they
+    are, whatever the columns are named. Null and empty texts stay; texts count whole; repeated rows stay repeated.
 
     Texts that hold neither a digit nor @ have no spans and take no part in the join.
     """
@@ -178,11 +234,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rest = docs.filter(~may)
     one = docs.filter(may)
     hit = one.join(found, one[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["s"] >= acc["pos"], F.struct(x["e"].alias("pos"), piece.alias("out"))).otherwise(acc)
-
-    masked = F.aggregate(F.col(sp), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    return hit.select(*[(F.when(F.col(sp).isNull(), text).otherwise(masked) if c == text_col else F.col(c)).alias(c) for c in docs.columns]).unionByName(rest)
+    return hit.select(*[(F.when(F.col(sp).isNull(), text).otherwise(masked(text, F.col(sp))) if c == text_col else F.col(c)).alias(c) for c in docs.columns]).unionByName(rest)

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, held_out
+from .common import Scratch, arrow_map, hash_bound, held_out, readable
 
 #: The bounds of what is learned from: labelled rows, and terms of the lexicon.
-MAX_LABELLED, MAX_TERMS = 48_000, 4_000
+MAX_LABELLED = 48_000
 THRESHOLD = 0.3
 ROUNDS, DEPTH, BINS, RATE, LEAF = 50, 3, 32, 0.2, 12
 
@@ -224,12 +224,19 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     """Texts and labels to learn from, with the half they are in and the part (1 trees, 2 calibration) they serve.
 
     At most MAX_LABELLED rows by a hash of the id, none of them held out; that bound makes the labels fit a broadcast.
+    An id with several labels has the highest; of several texts of an id the one of least hash counts, once.
     """
     known = labels.select(F.col(id_col).alias("l_id"), F.col("toxic").cast("int").alias("y")).filter("l_id IS NOT NULL AND y IN (0, 1)").groupBy("l_id").agg(F.max("y").alias("y"))
-    sample = known.filter(~held_out(F.col("l_id"))).withColumn("h", F.xxhash64("l_id")).orderBy("h", "l_id").limit(MAX_LABELLED)
+    eligible = known.filter(~held_out(F.col("l_id"))).withColumn("h", F.xxhash64("l_id"))
+    sample = eligible.filter(F.col("h") <= F.lit(hash_bound(eligible, "h", MAX_LABELLED)))
     half, part = F.pmod("h", F.lit(2)).cast("int"), F.when(F.pmod(F.shiftright("h", 1), F.lit(8)) < 7, 1).otherwise(2)
+    sample = sample.select("l_id", "y", half.alias("half"), part.alias("part"))
     src = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    return src.join(F.broadcast(sample.select("l_id", "y", half.alias("half"), part.alias("part"))), "l_id").select("text", "y", "half", "part")
+    chosen = src.select("l_id", F.xxhash64("text").alias("t")).join(F.broadcast(sample), "l_id").groupBy("l_id").agg(F.min("t").alias("t"), F.count("*").alias("rows"))
+    chosen = Scratch(docs.sparkSession, "toxicity-sample").save(chosen, "chosen")
+    rows = src.join(F.broadcast(sample.join(chosen.select("l_id", "t"), "l_id")), "l_id").filter(F.xxhash64("text") == F.col("t"))
+    rows = rows if chosen.filter("rows > 1").isEmpty() else rows.dropDuplicates(["l_id"])
+    return rows.select("text", "y", "half", "part")
 
 
 def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
@@ -245,7 +252,7 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
             return batch
 
         for batch in batches:
-            for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, y, half in zip(readable(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 cell = 2 * half + y
                 seen.update({(t, cell) for w in set(LETTERS.findall(text.lower())) if len(w) > 2 for t in terms(w)})
                 seen["", cell] += 1
@@ -265,7 +272,7 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
             continue
         odds = F.log((pos + 0.2) / (n_pos + 0.4)) - F.log((neg + 0.2) / (n_neg + 0.4))
         found = counts.select("term", odds.alias("w"), pos.alias("pos")).filter((F.col("term") != "") & (F.col("pos") >= max(3, round(0.002 * n_pos))) & (F.col("w") >= 2.2))
-        out.append({r["term"]: r["w"] for r in found.orderBy(F.desc(F.col("w") * F.sqrt("pos")), "term").limit(MAX_TERMS).collect()})
+        out.append({r["term"]: r["w"] for r in found.orderBy("term").collect()})  # each is in 1 of 500 toxic texts of the sample
     return out
 
 
@@ -279,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches):
         tables = [WordTable(of_half[1]), WordTable(of_half[0])]
         for batch in batches:
-            x = [describe(t, tables[half]).tolist() for t, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            x = [describe(t, tables[half]).tolist() for t, half in zip(readable(batch.column(0)), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(3)], ["x", "y", "part"])
 
     found = arrow_map(rows, run, "x array<double>, y int, part int").toArrow().combine_chunks()
@@ -299,8 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of whole texts: id, held_out, score, predicted.
 
-    Null and empty texts get the score of all-zero features. Repeated rows stay repeated; an empty table stays empty.
-    The broadcast model is bounded by MAX_TERMS and ROUNDS.
+    Null and empty texts get the score of all-zero features; texts count whole, however long, and bytes that are no UTF-8
+    count as U+FFFD. Repeated rows stay repeated, equal texts have equal scores; other columns are not looked at; an empty
+    table stays empty. The broadcast model is bounded by the labelled sample and ROUNDS.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -309,7 +317,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = shared.value
         table = WordTable(model.lexicon)
         for batch in batches:
-            x = np.array([describe(t or "", table) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([describe(t or "", table) for t in readable(batch.column(1))]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 
     found = arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
@@ -317,7 +325,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the model does not call toxic, with all their columns, in one pass over the texts."""
+    """The documents that the model does not call toxic, with all their columns, in one pass over the texts. Rows are
+    judged as by score(); no column's name matters but that of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -325,7 +334,7 @@ def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = shared.value
         table = WordTable(model.lexicon)
         for batch in batches:
-            x = np.array([describe(t or "", table) for t in batch.column(at).cast(pa.string()).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([describe(t or "", table) for t in readable(batch.column(at).cast(pa.string()))]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) < THRESHOLD))
 
     return arrow_map(docs, run, docs.schema)

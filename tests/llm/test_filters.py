@@ -271,3 +271,40 @@ def test_languages(spark):
     by_page = {r["page_id"]: r["lang"] for r in out if r["page_id"] is not None}
     assert by_page[40] == "bb" and by_page[41] == "aa" and by_page[99] is not None  # markup, address and host decide
     assert langid.identify(docs.limit(0), pages.limit(0)).count() == 0
+
+
+def test_declared_language_behind_a_long_comment_and_other_ids(spark):
+    docs = spark.createDataFrame([(f"d{k}", "ka mo ti " * 9 if k % 2 else "schu wen grat " * 9, "aa" if k % 2 else "bb", "h") for k in range(40)], "doc_id string, text string, lang string, source string")
+    pages = [(f"p{k}", None, f"<html {'x' * 9000}='1' lang='{'aa' if k % 2 else 'bb'}'>" + ("<article><p>" + ("ka mo ti " if k % 2 else "schu wen grat ") * 9 if k < 30 else "")) for k in range(32)]
+    pages += [pages[0], ("c", None, "<!--" + "-" * 6000 + "><!-- --><html lang=bb>")]
+    pages = spark.createDataFrame([(*p, 1.0, "z") for p in pages], "page_id string, url string, html string, ll double, host string")
+    out = [r for r in langid.identify(docs, pages).collect() if r["page_id"]]
+    assert len(out) == 34 and sum(r["page_id"] == "p0" for r in out) == 2
+    by = {r["page_id"]: r["lang"] for r in out}
+    assert (by["p30"], by["p31"], by["c"]) == ("bb", "aa", "bb")
+
+
+def test_rare_languages_keep_their_trigrams(spark):
+    docs = [(k, "ka mo ti " * 5, "aa", "h") for k in range(3000)] + [(10_000 + k, "schu wen grat " * 5, "bb", "h") for k in range(8)]
+    langs, names, table, floor = langid.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), "doc_id", "text", "lang")
+    assert langs == ["aa", "bb"] and " sc" in names and table[names.index(" sc"), 1] > floor[1]
+
+
+def test_bytes_that_are_no_text_and_names_that_clash(spark):
+    bad = "cast(concat(encode('<article><p>you idiot ', 'UTF-8'), X'FFFE') AS string)"
+    table = spark.sql(f"SELECT 1L AS doc_id, {bad} AS text, 2L AS page_id, 'u' AS url, {bad} AS html, 0.5D AS score, 'x' AS id, 'en' AS lang, 's' AS source, true AS held_out")
+    docs, labels = labelled(spark, 300)
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(table, model).count() == 1
+    assert toxicity.clean(table.withColumn("text", F.lit("fine words")), model).columns == table.columns
+    assert html_extract.extract_pages(table).first()["text"] == "you idiot \ufffd\ufffd"
+    assert langid.identify(table, table).count() == 2
+
+
+def test_repeated_ids_leave_the_sample_bounded(spark, monkeypatch):
+    docs, labels = labelled(spark, 300)
+    many = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 100)
+    rows = toxicity.labelled(many, labels, "doc_id", "text")
+    assert 60 < rows.count() <= 100
+    assert sorted(map(str, rows.collect())) == sorted(map(str, toxicity.labelled(many.repartition(7), labels, "doc_id", "text").collect()))

@@ -32,6 +32,18 @@ def test_damaged_bytes(spark):
     assert [r["n_tracks"] for r in out][2:] == [0, 0, 0, 0]
 
 
+def test_deep_boxes_and_empty_tables(spark):
+    deep = b""
+    for _ in range(4000):
+        deep = media.box(b"moov", deep)
+    shallow = media.audio_file(bytes(64))
+    rows = [("a", bytearray(deep)), ("b", bytearray(deep + shallow)), (None, bytearray(b""))]
+    files = spark.createDataFrame(rows, "file_id string, content binary").selectExpr("*", "'x' AS media_id", "1 AS n_tracks")
+    out = {r["file_id"]: r["n_tracks"] for r in media.media_columns(files, "file_id", "content").collect()}
+    assert out == {"a": 0, "b": 1, None: 0}
+    assert media.media_columns(files.limit(0), "file_id", "content").count() == 0
+
+
 def test_stored_texts(spark):
     docs = documents(spark, clashing=True)
     texts = {}

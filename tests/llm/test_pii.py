@@ -52,3 +52,23 @@ def test_redaction_keeps_all_else(spark):
     assert out.columns == docs.columns
     assert sorted((str(r["doc_id"]), str(r["text"]), str(r["_spans"])) for r in out.collect()) == sorted([("1", "a [EMAIL] b [IP]", "x"), ("1", "a [EMAIL] b [IP]", "y"), ("2", "None", "z"), ("3", "plain", "None"), ("None", "[PHONE]", "w")])
     assert pii.report(docs.filter(F.lit(False))).count() == 0
+
+
+def test_long_cues_and_many_finds(spark):
+    word = "k" * 300
+    rows = [f"say {word} = {hashlib.md5(str(k).encode()).hexdigest()[:18]}a1 end" for k in range(8)] + [f"say {word} = Summer2024x end", f"say {'q' * 300} = Summer2024x end"]
+    out = {r["doc_id"]: r["n_added"] for r in pii.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert out[8] == 1 and out[9] == 0
+    text = "é 1.2.3.4 jo@ex.org," * 700
+    docs = spark.createDataFrame([(1, text), (2, "a@b.c" * 300), (3, "no finds 1")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert got[1] == "é [IP] [EMAIL]," * 700 and got[3] == "no finds 1"
+    want = re.sub(PATTERNS["email"], "[EMAIL]", "a@b.c" * 300)
+    assert got[2] == want
+    row = next(r for r in pii.report(docs).collect() if r["doc_id"] == 1)
+    assert row["base_sha256"] == hashlib.sha256(brute(text).encode()).hexdigest() and row["n_spans"] == 1400
+
+
+def test_spans_that_overlap_leave_nothing_behind(spark):
+    spans = "array(named_struct('s', 2, 'e', 6, 'kind', 'ip', 'v', '', 'cue', ''), named_struct('s', 4, 'e', 9, 'kind', 'card', 'v', '', 'cue', ''), named_struct('s', 9, 'e', 10, 'kind', 'email', 'v', '', 'cue', ''))"
+    assert spark.range(1).select(pii.masked(F.lit("abcdefghijkl"), F.expr(spans))).first()[0] == "ab[IP][EMAIL]kl"

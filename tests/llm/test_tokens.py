@@ -41,6 +41,23 @@ def test_counts(odd):
         assert mine.count(text) == len(theirs.encode(text, add_special_tokens=False).ids)
 
 
+def test_letters_of_all_versions_of_unicode():
+    places = [c for c in range(1, 0x110000, 3) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 < c < 0xAC00 or 0xF900 < c < 0x20000 or c % 61 == 0)]
+    places += [ord(c) for c in "\u0558\u1c89\ua7cb\ua7dc\U00010d50\U00016ea0\U0001246f\U000323b0"]
+    for path in (WORDS, BYTES):
+        mine, theirs = bpe.Encoder(bpe.Vocabulary(open(path, encoding="utf-8").read())), Tokenizer.from_file(path)
+        texts = [f"a{chr(c)}b {chr(c)}1" for c in places]
+        assert [mine.encode(t) for t in texts] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(concat(encode('some words ', 'UTF-8'), X'FFFE') AS string) AS text")
+    theirs = Tokenizer.from_file(WORDS).encode("some words \ufffd\ufffd", add_special_tokens=False).ids
+    assert bpe.encode_texts(docs, WORDS).first()["ids"] == " ".join(map(str, theirs))
+    row = bpe.count_tokens(docs, BYTES).first()
+    assert row["n_bytes"] == 13 and row["n_tokens"] == len(Tokenizer.from_file(BYTES).encode("some words \ufffd\ufffd", add_special_tokens=False).ids)
+
+
 def test_tree_and_heap_merge_alike():
     rng = random.Random(2)
     merges = {(a, b): (rng.randrange(10**6), 10 + 10 * a + b) for a in range(10) for b in range(10)}
