@@ -107,6 +107,13 @@ def keep_longer(rows: DataFrame, key: Column, order: str, columns: list[str]) ->
 
 def legacy_tuples(text: Column) -> Column:
     """Quoted three-field tuples of older cache rows: array of (name, type, description)."""
-    pattern = r'\("([^"]*)",\s*"([^"]*)",\s*"([^"]*)"\)'
+    pattern = r'\("([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\)'
     groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "type"), (3, "description"))]
     return F.arrays_zip(*groups)
+
+
+def legacy_relations(text: Column) -> Column:
+    """Five-field tuples of older cache rows: array of (src, tgt, description, keywords, weight)."""
+    pattern = r'\("([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*([\d.]+)\)'
+    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "src"), (2, "tgt"), (3, "description"), (4, "keywords"), (5, "weight"))]
+    return F.transform(F.arrays_zip(*groups), lambda x: x.withField("weight", x["weight"].cast("double")))

@@ -118,6 +118,13 @@ def name_uuid(name: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430
     return F.concat_ws("-", *parts)
 
 
+def time_uuid(millis: Column, random_hex: Column) -> Column:
+    """Version 7 UUID of a time and 32 random hex digits."""
+    head, nibble = F.lpad(F.lower(F.hex(millis.cast("long"))), 12, "0"), F.conv(F.substring(random_hex, 17, 1), 16, 10).cast("int")
+    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), F.pmod(nibble, F.lit(4)) + 1)
+    return F.concat_ws("-", F.substring(head, 1, 8), F.substring(head, 9, 4), F.concat(F.lit("7"), F.substring(random_hex, 14, 3)), F.concat(variant, F.substring(random_hex, 18, 3)), F.substring(random_hex, 21, 12))
+
+
 def glob_like(pattern: str) -> str:
     """LIKE form of a key pattern: * is any run, ? any one character; % and _ keep their LIKE meaning."""
     return pattern.replace("*", "%").replace("?", "_")

@@ -65,3 +65,8 @@ def reranked(items: DataFrame, by: list[str], score: str, original: str, min_sco
     w = Window.partitionBy(*by).orderBy(F.desc(score), original)
     kept = items.filter(F.col(score) >= min_score).withColumn("new_rank", F.row_number().over(w))
     return kept.withColumn("rank_change", F.col(original) - F.col("new_rank"))
+
+
+def would_exceed(used: Column, added: Column, budget: Column | int) -> Column:
+    """Whether more tokens would pass the budget."""
+    return used + added > (F.lit(budget) if isinstance(budget, int) else budget)

@@ -31,3 +31,24 @@ def evicted(cache: DataFrame, expires: str, key: str, now: Column, limit: int =
 
 def answer_key(query: Column, mode: Column, top_k: Column, chunk_top_k: Column) -> Column:
     return F.sha2(F.concat_ws("|", query, F.upper(mode), top_k.cast("string"), chunk_top_k.cast("string")), 256)
+
+
+def keyword_key(query: Column, project: Column | None = None) -> Column:
+    """Project, or `global`, and the hash of a query."""
+    owner = F.lit("global") if project is None else F.coalesce(project, F.lit("global"))
+    return F.concat(owner, F.lit(":"), F.sha2(query, 256))
+
+
+def answer_json(answer: Column, mode: Column, total_sources: Column) -> Column:
+    """A cached answer as JSON; its sources are not kept."""
+    return F.to_json(F.struct(answer.alias("answer"), F.upper(mode).alias("mode"), total_sources.cast("int").alias("totalSources")))
+
+
+def parsed_answer(text: Column) -> Column:
+    """The same back: a struct of answer, mode and totalSources; null fields where the text is no such JSON."""
+    return F.from_json(text, "answer string, mode string, totalSources int")
+
+
+def invalidated(cache: DataFrame, project: str) -> DataFrame:
+    """The cache without a project's answers."""
+    return cache.filter(~F.col("project_id").eqNullSafe(F.lit(project)))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import csv_field, markdown_cell
+from graphloom.functions.text import csv_field, markdown_cell, name_uuid
 
 FORMATS = {"csv": ".csv", "excel": ".xlsx", "markdown": ".md", "text": ".txt"}
 ENTITY_COLUMNS, RELATION_COLUMNS = ("name", "type", "description", "source_chunk_count"), ("src", "tgt", "description", "keywords", "weight", "source_chunk_count")
@@ -36,6 +36,21 @@ class ExportConfig:
         return name
 
 
+def export_name(project: str, format: str) -> str:
+    """File name of an export: eight characters of the project and the ending of the format."""
+    return f"kg-export-{project[:8]}{FORMATS[ExportConfig.parse(format)]}"
+
+
+def checked_request(exists: bool, format: str | None, entities: bool = True, relations: bool = True, max_items: int | None = None) -> tuple[int, ExportConfig | str]:
+    """Status and configuration of a request, or what is wrong with it: 404 for no such project, 400 for bad values."""
+    if not exists:
+        return 404, "no such project"
+    try:
+        return 200, ExportConfig(ExportConfig.parse(format), entities, relations, max_items=max_items)
+    except ValueError as e:
+        return 400, str(e)
+
+
 def with_count(rows: DataFrame) -> DataFrame:
     return rows.withColumn("source_chunk_count", F.coalesce(F.size("source_chunk_ids"), F.lit(0)))
 
@@ -91,10 +106,13 @@ def export_project(tables: dict[str, DataFrame], project: str, path: str) -> Non
         table.filter(F.col("project_id") == project).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def import_project(spark, path: str, names: list[str], project: str) -> dict[str, DataFrame]:
-    """Tables of an export under another project id; row ids are new, references stay as they are."""
+def import_project(spark, path: str, names: list[str], project: str, references: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Tables of an export under another project id. Row ids are new: a hash of the project and the old id, so that
+    columns that refer to them (references: column name to table) are renewed alike."""
+    fresh = lambda table, c: F.when(F.col(c).isNotNull(), name_uuid(F.concat_ws(":", F.lit(project), F.lit(table), F.col(c).cast("string")))).alias(c)
     out = {}
     for name in names:
         table = spark.read.parquet(f"{path}/{name}").withColumn("project_id", F.lit(project))
-        out[name] = table.withColumn("id", F.expr("uuid()")) if "id" in table.columns else table
+        refers = {"id": name} | {c: t for c, t in (references or {}).items() if t in names}
+        out[name] = table.select(*[fresh(refers[c], c) if c in refers else F.col(c) for c in table.columns])
     return out

@@ -77,19 +77,25 @@ def neighbours(edges: DataFrame, frontier: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int = 0) -> DataFrame:
     """Breadth-first levels from seed names: (name, depth, parent). The parent is the least name of the level before.
 
-    max_nodes > 0 keeps the first so many by depth and name. A round reads the edges once and is written to the scratch
-    folder; the search ends when a level is empty.
+    max_nodes > 0 keeps the first so many by depth and name, and no level is searched once they are found. A level reads
+    the edges once and is written to the scratch folder; the search ends when a level is empty. Edges that are dear to
+    make should be stored first.
     """
     scratch = Scratch(edges.sparkSession, "levels")
-    edges = scratch.save(edges.select("src", "tgt"), "edges")  # read once a level, whatever made them
+    edges = edges.select("src", "tgt")
     seen = scratch.save(seeds.select("name").distinct().select("name", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), "l0")
-    frontier = seen
+    frontier, count = seen, seen.count() if max_nodes > 0 else 0
     for depth in range(1, max_depth + 1):
+        if 0 < max_nodes <= count:
+            break
         step = neighbours(edges, frontier).groupBy(F.col("neighbour").alias("next")).agg(F.min("name").alias("parent"))
         fresh = step.select(F.col("next").alias("name"), F.lit(depth).alias("depth"), "parent").join(seen.select("name"), "name", "left_anti")
+        if depth == max_depth and max_nodes <= 0:
+            return seen.unionByName(fresh.select("name", "depth", "parent"))  # nothing follows the last level
         frontier = scratch.save(fresh.select("name", "depth", "parent"), f"l{depth}")
-        if frontier.isEmpty():
+        if not (found := frontier.count()):
             break
+        count += found
         seen = seen.unionByName(frontier)
     return seen.orderBy("depth", "name").limit(max_nodes) if max_nodes > 0 else seen
 
@@ -104,27 +110,37 @@ def subgraph(vertices: DataFrame, edges: DataFrame, start: str, max_depth: int,
     return vertices.join(names, "name", "left_semi"), inner
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 32) -> DataFrame:
-    """Nodes of a shortest undirected path: (step, name); empty if there is none. Among equals the least parents win."""
+def reached(vertices: DataFrame, edges: DataFrame, start: str, max_depth: int, max_nodes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Vertices within max_depth of a name, which need not be a vertex, and all edges at the nodes that were searched,
+    also those to nodes found before or beyond max_nodes. Nodes at max_depth are not searched."""
+    seed = edges.sparkSession.createDataFrame([(start,)], "name string").select(stored_name(F.col("name")).alias("name"))
+    found = levels(edges, seed, max_depth, max_nodes)
+    return vertices.join(found.select("name"), "name", "left_semi"), incident(edges, found.filter(F.col("depth") < max_depth).select("name"))
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
+    """Nodes of a shortest undirected path: (step, name); empty if there is none, or none of max_depth edges. Among equals
+    the least parents win. The search goes on until it meets the target or finds nothing new."""
     spark: SparkSession = edges.sparkSession
     if source == target:
         return spark.createDataFrame([(0, source)], "step int, name string")
     scratch = Scratch(spark, "path")
-    edges = scratch.save(edges.select("src", "tgt"), "edges")
+    edges = edges.select("src", "tgt")
     seen = scratch.save(spark.createDataFrame([(source, 0, None)], "name string, depth int, parent string"), "l0")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = neighbours(edges, frontier).groupBy(F.col("neighbour").alias("next")).agg(F.min("name").alias("parent"))
         frontier = scratch.save(step.select(F.col("next").alias("name"), F.lit(depth).alias("depth"), "parent").join(seen.select("name"), "name", "left_anti"), f"l{depth}")
         seen = seen.unionByName(frontier)
-        if not frontier.filter(F.col("name") == target).isEmpty():
+        size, hit = frontier.agg(F.count("*"), F.count_if(F.col("name") == target)).first()
+        if hit:
             path, at = [], target
             for d in range(depth, -1, -1):  # one look-up a level
                 path.append((d, at))
-                row = seen.filter((F.col("name") == at) & (F.col("depth") == d)).first()
-                at = row["parent"]
+                at = seen.filter((F.col("name") == at) & (F.col("depth") == d)).first()["parent"]
             return spark.createDataFrame(sorted(path), "step int, name string")
-        if frontier.isEmpty():
+        if not size:
             break
     return spark.createDataFrame([], "step int, name string")
 

@@ -67,6 +67,7 @@ def relation_hits(store: Store, entities: DataFrame) -> DataFrame:
 
 def items(rows: DataFrame, kind: str, content: Column, tie: str, limit: int, source_idx: int) -> DataFrame:
     """Context items of one source, cut at the first that overflows its share."""
+    rows = rows.orderBy(F.desc("score"), F.col(tie).cast("string")).limit(max(limit, 0))  # an item has a token at least
     ranked = rows.select(F.lit(0).alias("query"), F.lit(kind).alias("type"), content.alias("content"), F.col(tie).cast("string").alias("source_id"), "score").withColumn("tokens", token_estimate(F.col("content")))
     kept = budget.prefix_within(ranked, ["query"], [F.desc("score"), F.col("source_id")], limit)
     from pyspark.sql import Window
@@ -125,13 +126,100 @@ def valid_citations(answer: Column, ids: Column) -> Column:
     return F.when(F.coalesce(F.size(ids), F.lit(0)) == 0, F.regexp_replace(answer, r"\s*\[([^\]]+)\]", "")).otherwise(kept)
 
 
-def summarize(rows: DataFrame, by: list[str], order: str, model: Callable[[Column], Column], group: int = 5, direct: int = 10, max_rounds: int = 20) -> DataFrame:
+@dataclass
+class Stage:
+    """A step of a query: what it does to the state, and when it is passed over."""
+
+    name: str
+    process: Callable[[dict], dict]
+    skip: Callable[[dict], bool] = lambda _: False
+
+
+class StageError(RuntimeError):
+    """A stage failed; the cause is chained."""
+
+
+def run_stages(stages: Sequence[Stage], state: dict) -> dict:
+    """The state after all stages that are not passed over, in order."""
+    for stage in stages:
+        if stage.skip(state):
+            continue
+        try:
+            state = stage.process(state)
+        except Exception as e:
+            raise StageError(f"stage {stage.name} failed") from e
+    return state
+
+
+#: Sections of a prompt, and labels of items in a flat one.
+HEADINGS = {"entity": "### Entities", "relation": "### Relations", "chunk": "### Sources"}
+LABELS = {"entity": "[Entity] ", "relation": "[Relation] ", "chunk": "[Source] "}
+
+
+def item_text(items: DataFrame, by: list[str], grouped: bool = True) -> DataFrame:
+    """Text of context items (type, content, place): a section for each type in the order of HEADINGS, or one item after
+    the other with a label."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "type", "content")))
+    out = items.groupBy(*by).agg(rows.alias("_r"))
+    if not grouped:
+        label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+        return out.select(*by, F.array_join(F.transform("_r", lambda x: F.concat(F.coalesce(F.try_element_at(label, x["type"]), F.lit("")), x["content"], F.lit("\n\n"))), "").alias("text"))
+
+    def section(kind: str, heading: str) -> Column:
+        some = F.transform(F.filter("_r", lambda x: x["type"] == kind), lambda x: F.concat(F.lit("- "), x["content"], F.lit("\n")))
+        return F.when(F.size(some) > 0, F.concat(F.lit(heading + "\n"), F.array_join(some, ""), F.lit("\n"))).otherwise("")
+
+    return out.select(*by, F.concat(*(section(kind, heading) for kind, heading in HEADINGS.items())).alias("text"))
+
+
+def answer(store: Store, question: str, probe: Sequence[float], param: QueryParam, model: Callable[[str], str] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, history: str = "") -> tuple[str, DataFrame]:
+    """Answer and sources: the context itself, the prompt itself (without a model), or what the model makes of the prompt."""
+
+    def context(state: dict) -> dict:
+        result = answer_context(store, probe, param, with_fallback(rerank))
+        row = result.context.first()
+        return state | {"sources": result.sources, "context": (row["text"] if row else "") or ""}
+
+    def build(state: dict) -> dict:
+        row = store.vectors.sparkSession.range(1).select(prompt(F.lit(state["context"]), F.lit(question), F.lit(history), param.response_type).alias("p")).first()
+        return state | {"prompt": row["p"]}
+
+    def call(state: dict) -> dict:
+        return state | {"answer": model(state["prompt"])}
+
+    stages = [Stage("context", context), Stage("prompt", build, lambda _: param.only_context), Stage("model", call, lambda _: param.only_context or model is None)]
+    state = run_stages(stages, {})
+    return state.get("answer", state.get("prompt", state["context"])), state["sources"]
+
+
+def with_fallback(rerank: Callable[[DataFrame], DataFrame] | None) -> Callable[[DataFrame], DataFrame] | None:
+    """A reranker whose failure leaves the order as it was."""
+    if rerank is None:
+        return None
+
+    def safe(hits: DataFrame) -> DataFrame:
+        try:
+            return rerank(hits)
+        except Exception:  # noqa: BLE001  any failure of a provider
+            return hits
+
+    return safe
+
+
+def chunk_selector(strategy: str | None) -> str:
+    """`weighted` if asked for in any case; else `vector`."""
+    return "weighted" if (strategy or "").strip().lower() == "weighted" else "vector"
+
+
+def summarize(rows: DataFrame, by: list[str], order: str, model: Callable[[Column], Column], group: int = 5, direct: int = 10) -> DataFrame:
     """Descriptions of each key reduced by a model: one stays itself, up to `direct` go at once, more in groups of
     `group` until one is left."""
     from pyspark.sql import Window
 
+    if group < 2:
+        raise ValueError("groups of less than two do not end")
     now = rows.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("n"), "description")
-    for _ in range(max_rounds):
+    while True:  # each round leaves a part of 1 / group of the rows of a key, or one
         sizes = now.groupBy(*by).agg(F.count("*").alias("size"))
         if sizes.filter("size > 1").isEmpty():
             break

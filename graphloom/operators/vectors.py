@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from graphloom.plans.session import findable
 
@@ -115,3 +117,29 @@ def weighted(hits: DataFrame, linked_ids: Column, names: Column, keywords: Colum
 
 def cut_dimension(vector: Column, dimension: int) -> Column:
     return F.slice(vector, 1, dimension)
+
+
+def base64_vectors(table: DataFrame, vector: str, out: str) -> DataFrame:
+    """Vectors as Base64 of their 32-bit floats, little-endian."""
+    schema = table.schema
+    findable(table.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode() for v in batch.column(schema.names.index(vector)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*schema.names, out])
+
+    return table.mapInArrow(run, StructType([*schema.fields, StructField(out, StringType())]))
+
+
+def vectors_of_base64(table: DataFrame, text: str, out: str) -> DataFrame:
+    """The same back, as floats."""
+    schema = table.schema
+    findable(table.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [None if t is None else np.frombuffer(base64.b64decode(t), "<f4").tolist() for t in batch.column(schema.names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], [*schema.names, out])
+
+    return table.mapInArrow(run, StructType([*schema.fields, StructField(out, ArrayType(FloatType()))]))

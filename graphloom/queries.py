@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import code, extraction, html, similarity
 from .functions import text as T
-from .operators import budget, cache, chunking, export, graph, lifecycle, merge, modes, resolve, vectors
-from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read, relations
+from .operators import budget, cache, chunking, export, graph, lifecycle, lookups, merge, modes, resolve, tenants, vectors
+from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read
+from .sources.driver import stored_relations as relations
 from .sources.driver import vectors as stored_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +82,7 @@ def vector_dimension_cut(spark, d):
 
 @query("vector_counts", f"WITH {TYPED} SELECT project_id, type, count(*) AS n FROM t GROUP BY ALL")
 def vector_counts(spark, d):
-    return stored_vectors(spark, d).groupBy("project_id", "type").agg(F.count("*").alias("n"))
+    return lookups.counts(stored_vectors(spark, d), "project_id", "type")
 
 
 @query(
@@ -658,13 +659,12 @@ def token_usage_by_op(spark, d):
 
 def usage(spark, d):
     e = read(spark, d, "events").select(F.col("event_type").alias("op"), F.floor("value").cast("long").alias("i"), F.length("props").alias("o"))
-    return e.groupBy("op").agg(F.count("*").alias("calls"), F.sum("i").alias("input_tokens"), F.sum("o").cast("long").alias("output_tokens"))
+    return lookups.usage(e.withColumnsRenamed({"i": "input_tokens", "o": "output_tokens"}))
 
 
 @query("token_usage_string", "WITH u AS (SELECT event_type AS op, count(*) AS c, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS i, CAST(sum(length(props)) AS BIGINT) AS o FROM events GROUP BY event_type) SELECT string_agg(op || ':' || c || ':' || i || ':' || o, ',' ORDER BY op) AS breakdown FROM u")
 def token_usage_string(spark, d):
-    rows = usage(spark, d).agg(F.array_sort(F.collect_list(F.concat_ws(":", "op", "calls", "input_tokens", "output_tokens"))).alias("r"))
-    return rows.select(F.array_join("r", ",").alias("breakdown"))
+    return lookups.usage_string(usage(spark, d))
 
 
 @query("cache_eviction", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-01' ORDER BY ts DESC, event_id LIMIT 500")
@@ -687,10 +687,10 @@ def text_rows(spark, d):
     return export.text_blocks(entities(spark, d).filter("type = 'SUPPLIER'"), ["name", "idx"])
 
 
-@query("authorized_projects", "SELECT c_custkey, c_nationkey % 3 = 0 OR c_custkey % 5 = 1 AS readable FROM customer")
+@query("authorized_projects", "SELECT c_custkey, c_custkey % 11 = 0 OR c_nationkey % 3 = 0 OR c_custkey % 5 = 1 AS readable, c_custkey % 11 = 0 OR (c_nationkey % 3 <> 0 AND c_custkey % 5 = 1) AS writable FROM customer")
 def authorized_projects(spark, d):
-    owner = F.when(F.col("c_nationkey") % 3 != 0, F.col("c_custkey") % 5)
-    return read(spark, d, "customer").select("c_custkey", (owner.isNull() | F.coalesce(owner == 1, F.lit(False))).alias("readable"))
+    owner, user, admin = F.when(F.col("c_nationkey") % 3 != 0, F.col("c_custkey") % 5), F.lit(1), F.col("c_custkey") % 11 == 0
+    return read(spark, d, "customer").select("c_custkey", tenants.readable(owner, user, admin).alias("readable"), tenants.writable(owner, user, admin).alias("writable"))
 
 
 @query("document_progress", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'P' THEN 50 ELSE 0 END AS progress FROM orders")
@@ -761,7 +761,7 @@ def extractor_dispatch(spark, d):
 
 @query("needs_summary", "SELECT conv_id, count(*) > 1 AND sum(CAST(ceil(length(text) / 4.0) AS INTEGER)) > 300 AS needs FROM conversations GROUP BY conv_id")
 def needs_summary(spark, d):
-    return turns(spark, d).groupBy("conv_id").agg(((F.count("*") > 1) & (F.sum("tokens") > 300)).alias("needs"))
+    return lookups.needs_summary(turns(spark, d), ["conv_id"])
 
 
 @query("rebuilt_descriptions", "SELECT lower(trim(p_name)) AS name, md5(string_agg(p_brand, ' | ' ORDER BY p_type, p_partkey, p_brand)) AS digest FROM part GROUP BY 1")
@@ -794,9 +794,7 @@ def cache_lookup(spark, d):
 @query("source_labels", "SELECT e.vec_id, coalesce(d.source, 'Unknown Document') || CASE WHEN e.label > 0 THEN ' - chunk ' || e.label ELSE '' END AS source FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id")
 def source_labels(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
-    name = F.coalesce("source", F.lit("Unknown Document"))
-    tail = F.when(F.col("label") > 0, F.concat(F.lit(" - chunk "), F.col("label").cast("string"))).otherwise("")
-    return read(spark, d, "embeddings").select("vec_id", "label").join(docs, "vec_id", "left").select("vec_id", F.concat(name, tail).alias("source"))
+    return read(spark, d, "embeddings").select("vec_id", "label").join(docs, "vec_id", "left").select("vec_id", lookups.source_label(F.col("source"), F.col("label")).alias("source"))
 
 
 @query("unprocessed_batch", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 25")
@@ -828,3 +826,188 @@ def excel_cells(spark, d):
 def content_encoding(spark, d):
     content = F.encode("text", "utf-8")
     return read(spark, d, "documents").select("doc_id", code.encoding(content).alias("encoding"), code.is_binary(F.lit("notes.txt"), F.substring(content, 1, 512)).alias("is_binary"))
+
+
+# --- look-ups, tenants, codecs, prompts ----------------------------------------------------------------------------
+
+#: Ids of projects for tests of names: a UUID made of a number, or something else.
+PROJECT_SQL = "CASE WHEN {0} % 4 = 3 THEN 'project ' || {0} ELSE lpad(CAST({0} AS VARCHAR), 8, '0') || '-00aB-4000-8000-' || lpad(CAST({0} % 97 AS VARCHAR), 12, '0') END"
+
+
+def project_id(key):
+    text = F.col(key).cast("string")
+    uuid = F.concat(F.lpad(text, 8, "0"), F.lit("-00aB-4000-8000-"), F.lpad((F.col(key) % 97).cast("string"), 12, "0"))
+    return F.when(F.col(key) % 4 == 3, F.concat(F.lit("project "), text)).otherwise(uuid)
+
+
+@query("graph_names", f"WITH p AS (SELECT c_custkey, {PROJECT_SQL.format('c_custkey')} AS project FROM customer) SELECT c_custkey, CASE WHEN project LIKE 'project%' THEN NULL ELSE 'graph_' || lower(replace(project, '-', '')) END AS graph, project NOT LIKE 'project%' AS valid FROM p")
+def graph_names(spark, d):
+    project = project_id("c_custkey")
+    return read(spark, d, "customer").select("c_custkey", tenants.graph_name(project).alias("graph"), tenants.is_uuid(project).alias("valid"))
+
+
+@query("tenant_edges", f"WITH {RELATIONS_SQL} SELECT src, tgt, weight FROM relations WHERE document_id = 'd3'")
+def tenant_edges(spark, d):
+    return graph.of_project(relations(spark, d).withColumnRenamed("document_id", "project_id"), "d3").select("src", "tgt", "weight")
+
+
+@query("vectors_project_backfill", "SELECT v.vec_id AS id, coalesce(CASE WHEN v.vec_id % 3 = 0 THEN v.label END, d.n_chars % 5) AS project_id FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id")
+def vectors_project_backfill(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("document_id"), F.when(F.col("vec_id") % 3 == 0, F.col("label").cast("long")).alias("project_id"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 5).cast("long").alias("project_id"))
+    return tenants.with_project(v, docs).select("id", "project_id")
+
+
+@query("vectors_without_document", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id * 3 NOT IN (SELECT doc_id FROM documents)")
+def vectors_without_document(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 != 0, F.col("vec_id") * 3).alias("document_id"))
+    return tenants.without_document(v, read(spark, d, "documents").select(F.col("doc_id").alias("id"))).select("id")
+
+
+@query("schema_version", "SELECT max(label) AS version FROM embeddings")
+def schema_version(spark, d):
+    return tenants.schema_version(read(spark, d, "embeddings").select(F.col("label").alias("version")))
+
+
+STATUS_SQL = "st AS (SELECT 'o' || o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'PROCESSED' WHEN 'P' THEN 'PROCESSING' ELSE 'PENDING' END AS processing_status FROM orders)"
+
+
+def statuses(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "PROCESSED").when(F.col("o_orderstatus") == "P", "PROCESSING").otherwise("PENDING")
+    return read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("doc_id"), status.alias("processing_status"))
+
+
+@query("status_by_id", f"WITH {STATUS_SQL} SELECT * FROM st WHERE doc_id = 'o7'")
+def status_by_id(spark, d):
+    return lookups.status_of(statuses(spark, d), "o7")
+
+
+@query("status_by_list", f"WITH {STATUS_SQL} SELECT * FROM st WHERE doc_id IN (SELECT 'o' || l_orderkey FROM lineitem WHERE l_quantity > 48)")
+def status_by_list(spark, d):
+    return lookups.statuses_of(statuses(spark, d), read(spark, d, "lineitem").filter("l_quantity > 48").select(F.concat(F.lit("o"), "l_orderkey").alias("doc_id")))
+
+
+@query("status_by_state", f"WITH {STATUS_SQL} SELECT * FROM st WHERE processing_status = 'PROCESSING'")
+def status_by_state(spark, d):
+    return lookups.in_status(statuses(spark, d), "PROCESSING")
+
+
+@query("kv_multi_get", "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def kv_multi_get(spark, d):
+    kv = read(spark, d, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"), "c_custkey")
+    keys = kv.join(read(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("key")
+    return lookups.get_many(kv.drop("c_custkey"), keys)
+
+
+@query("kv_keys", "SELECT c_name AS key FROM customer WHERE c_name LIKE '%_1%' UNION ALL SELECT c_name FROM customer WHERE regexp_full_match(c_name, '.*00.2')")
+def kv_keys(spark, d):
+    kv = read(spark, d, "customer").select(F.col("c_name").alias("key"))
+    return lookups.keys_like(kv, "*?1*").unionByName(lookups.keys_like(kv, "*00?2", whole=True))
+
+
+@query("chunk_ids_of_document", "SELECT vec_id AS id FROM embeddings WHERE label % 2 = 0 AND vec_id % 10 = 3")
+def chunk_ids_of_document(spark, d):
+    return lookups.chunk_ids(stored_vectors(spark, d).withColumn("document_id", F.col("id") % 10), 3)
+
+
+@query("documents_with_vectors", "SELECT d.doc_id AS document_id, d.doc_id IN (SELECT vec_id * 2 FROM embeddings WHERE label % 2 = 0) AS chunk, d.doc_id IN (SELECT vec_id * 2 FROM embeddings) AS any_type FROM documents d")
+def documents_with_vectors(spark, d):
+    v, docs = stored_vectors(spark, d).withColumn("document_id", F.col("id") * 2), read(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    one, every = lookups.has_vectors(v, docs), lookups.has_vectors(v, docs, None)
+    return one.withColumnRenamed("has_vectors", "chunk").join(every.withColumnRenamed("has_vectors", "any_type"), "document_id")
+
+
+@query("citable_sources", f"WITH h AS (SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'chunk' ELSE 'entity' END AS type, CASE WHEN vec_id % 5 > 0 THEN {PROJECT_SQL.format('vec_id')} END AS document_id, label AS number, vec_id / 4096.0 AS score FROM embeddings), f AS (SELECT {PROJECT_SQL.format('doc_id')} AS document_id, source FROM documents WHERE doc_id % 2 = 0) SELECT CAST(NULL AS VARCHAR) AS id, 'answer' AS source, 'All in all.' AS content, 0.0::DOUBLE AS score UNION ALL SELECT CAST(h.id AS VARCHAR), coalesce(f.source, 'Unknown Document') || CASE WHEN number > 0 THEN ' - chunk ' || number ELSE '' END, 'text ' || h.id, score::DOUBLE FROM h LEFT JOIN f USING (document_id) WHERE type <> 'entity' AND document_id IS NOT NULL AND document_id NOT LIKE 'project%'")
+def citable_sources(spark, d):
+    v = stored_vectors(spark, d).select("id", "type", F.when(F.col("id") % 5 > 0, project_id("id")).alias("document_id"), F.col("project_id").alias("number"), F.concat(F.lit("text "), "id").alias("content"), (F.col("id") / F.lit(4096.0)).alias("score"))
+    docs = read(spark, d, "documents").filter("doc_id % 2 = 0").select(project_id("doc_id").alias("id"), F.col("source").alias("file_name"))
+    return lookups.labelled_sources(v, docs, F.lit("All in all."))
+
+
+@query("extractions_by_chunk", "SELECT c_nationkey AS chunk_id, md5(string_agg(c_name || '=' || c_mktsegment, ';' ORDER BY c_custkey)) AS digest FROM customer GROUP BY c_nationkey")
+def extractions_by_chunk(spark, d):
+    cached = read(spark, d, "customer").select(F.col("c_nationkey").alias("chunk_id"), "c_custkey", "c_name", "c_mktsegment")
+    line = F.array_join(F.transform("entries", lambda e: F.concat(e["c_name"], F.lit("="), e["c_mktsegment"])), ";")
+    return lookups.by_chunk(cached, "c_custkey").select("chunk_id", F.md5(line).alias("digest"))
+
+
+@query("keyword_cache_key", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'global' ELSE source END || ':' || sha256(lang || ' ' || text) AS k FROM documents")
+def keyword_cache_key(spark, d):
+    return read(spark, d, "documents").select("doc_id", cache.keyword_key(F.concat_ws(" ", "lang", "text"), F.when(F.col("doc_id") % 3 != 0, F.col("source"))).alias("k"))
+
+
+@query("answer_json_round_trip", "SELECT conv_id, turn, text AS answer, 'MIX' AS mode, turn AS sources FROM conversations")
+def answer_json_round_trip(spark, d):
+    rows = read(spark, d, "conversations").withColumn("json", cache.answer_json(F.col("text"), F.lit("mix"), F.col("turn")))
+    back = cache.parsed_answer(F.col("json"))
+    return rows.select("conv_id", "turn", back["answer"].alias("answer"), back["mode"].alias("mode"), back["totalSources"].alias("sources"))
+
+
+@query("cache_invalidate", "SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src1'")
+def cache_invalidate(spark, d):
+    return cache.invalidated(read(spark, d, "documents").withColumn("project_id", F.col("source")), "src1").select("doc_id")
+
+
+@query("vector_base64", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS total, CAST(ceil(len(embedding) * 4 / 3.0) AS BIGINT) AS least, true AS same FROM embeddings")
+def vector_base64(spark, d):
+    rows = vectors.base64_vectors(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", "b64")
+    back = vectors.vectors_of_base64(rows, "b64", "v")
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("vec_id", F.round(total, 4).alias("total"), F.ceil(F.size("v") * 4 / F.lit(3.0)).alias("least"), (F.col("v") == F.col("embedding").cast("array<float>")).alias("same"))
+
+
+@query("legacy_relation_tuples", "SELECT p_partkey, p_name AS src, p_type AS tgt, p_brand AS description, 'k' || p_size AS keywords, p_size / 2.0::DOUBLE AS weight FROM part WHERE p_partkey % 3 > 0")
+def legacy_relation_tuples(spark, d):
+    text = F.concat(F.lit('("a", "b", "c") and ("'), "p_name", F.lit('", "'), "p_type", F.lit('","'), "p_brand", F.lit('",  "k'), F.col("p_size").cast("string"), F.lit('", '), F.format_string("%.1f", F.col("p_size") / 2.0), F.when(F.col("p_partkey") % 3 > 0, ")").otherwise("]"))
+    return read(spark, d, "part").select("p_partkey", F.inline(extraction.legacy_relations(text)))
+
+
+@query("would_exceed", f"WITH {TURNS} SELECT conv_id, turn, 380 + tokens > 400 AS over FROM c")
+def would_exceed(spark, d):
+    return turns(spark, d).select("conv_id", "turn", budget.would_exceed(F.lit(380), F.col("tokens"), 400).alias("over"))
+
+
+@query("bfs_incident", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'n1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 1), s AS (SELECT name FROM w GROUP BY name HAVING min(depth) < 2) SELECT src, tgt FROM relations WHERE src IN (SELECT name FROM s) OR tgt IN (SELECT name FROM s)")
+def bfs_incident(spark, d):
+    return graph.reached(all_vertices(spark, d), relations(spark, d), "N1 ", 2)[1].select("src", "tgt")
+
+
+@query("bfs_of_missing_start", f"WITH {RELATIONS_SQL} SELECT src, tgt FROM relations WHERE src = 's1' OR tgt = 's1'")
+def bfs_of_missing_start(spark, d):
+    return graph.reached(all_vertices(spark, d).filter("name <> 's1'"), relations(spark, d), "s1", 1)[1].select("src", "tgt")
+
+
+KINDS_SQL = "CASE role WHEN 'system' THEN 'entity' WHEN 'user' THEN 'relation' ELSE 'chunk' END"
+
+
+def prompt_items(spark, d):
+    kind = F.when(F.col("role") == "system", "entity").when(F.col("role") == "user", "relation").otherwise("chunk")
+    return read(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), kind.alias("type"), F.col("text").alias("content"))
+
+
+@query("prompt_grouped", f"WITH i AS (SELECT conv_id, turn, {KINDS_SQL} AS type, text FROM conversations), s AS (SELECT conv_id, type, string_agg('- ' || text || chr(10), '' ORDER BY turn) AS body FROM i GROUP BY conv_id, type) SELECT conv_id, md5(string_agg(CASE type WHEN 'entity' THEN '### Entities' WHEN 'relation' THEN '### Relations' ELSE '### Sources' END || chr(10) || body || chr(10), '' ORDER BY CASE type WHEN 'entity' THEN 0 WHEN 'relation' THEN 1 ELSE 2 END)) AS digest FROM s GROUP BY conv_id")
+def prompt_grouped(spark, d):
+    return modes.item_text(prompt_items(spark, d), ["conv_id"]).select("conv_id", F.md5("text").alias("digest"))
+
+
+@query("prompt_flat", f"WITH i AS (SELECT conv_id, turn, {KINDS_SQL} AS type, text FROM conversations) SELECT conv_id, md5(string_agg(CASE type WHEN 'entity' THEN '[Entity] ' WHEN 'relation' THEN '[Relation] ' ELSE '[Source] ' END || text || chr(10) || chr(10), '' ORDER BY turn)) AS digest FROM i GROUP BY conv_id")
+def prompt_flat(spark, d):
+    return modes.item_text(prompt_items(spark, d), ["conv_id"], grouped=False).select("conv_id", F.md5("text").alias("digest"))
+
+
+@query("export_names", "SELECT 'kg-export-00000012.md' AS name, 404 AS missing, 400 AS bad, 200 AS good, 400 AS nothing")
+def export_names(spark, d):
+    status = lambda *a: export.checked_request(*a)[0]
+    row = (export.export_name("00000012-00ab-4000", "Markdown"), status(False, "csv"), status(True, "pdf"), status(True, None), status(True, "csv", False, False))
+    return spark.createDataFrame([row], "name string, missing int, bad int, good int, nothing int")
+
+
+@query("only_context", "SELECT count(*) > 0 AS has_sources, true AS context_only, true AS prompt_holds_it, true AS model_called FROM embeddings")
+def only_context(spark, d):
+    store, probe = _store(spark, d), probe_of(spark, d)
+    run = lambda model=None, **k: modes.answer(store, "Which parts?", probe, modes.QueryParam(mode="NAIVE", chunk_top_k=3, **k), model)
+    context, sources = run(only_context=True)
+    prompt, _ = run()
+    answer, _ = run(lambda p: f"{len(p)} characters")
+    row = (not sources.isEmpty(), "Which parts?" not in context, context in prompt and "Which parts?" in prompt, answer == f"{len(prompt)} characters")
+    return spark.createDataFrame([row], "has_sources boolean, context_only boolean, prompt_holds_it boolean, model_called boolean")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import Scratch
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,18 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relations() as a stored table, written once a session: traversals read edges level by level and should not make
+    them anew each time."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = Scratch(spark, "edges").save(relations(spark, sf_dir), "relations")
+    return _STORED[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors: id, vector, type (chunk or entity) and project."""
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") % 2 == 0, "chunk").otherwise("entity").alias("type"), F.col("label").alias("project_id"))
