@@ -701,7 +701,7 @@ def document_progress(spark, d):
     return read(spark, d, "orders").select("o_orderkey", progress(status).alias("progress"))
 
 
-@query("name_uuid")
+@query("name_uuid", "WITH h AS (SELECT s_suppkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('project:' || s_name)) AS x FROM supplier) SELECT s_suppkey, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', x[17:17]) - 1) % 4 + 1, 1) || x[18:20] || '-' || x[21:32] AS id FROM h")
 def name_uuid(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", T.name_uuid(F.concat(F.lit("project:"), "s_name")).alias("id"))
 
@@ -713,10 +713,37 @@ def _store(spark, d) -> modes.Store:
     return modes.Store(v.filter("content IS NOT NULL"), vertices, relations(spark, d))
 
 
+MODE_HITS = f"""{PROBE}, {RELATIONS_SQL}, v AS (SELECT e.vec_id AS id, d.text AS content, e.label % 2 = 0 AS is_chunk, 's' || (e.vec_id % 100 + 1) AS name, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, q WHERE d.text IS NOT NULL),
+    chunk_hits AS (SELECT 'chunk' AS kind, CAST(id AS VARCHAR) AS source_id, '[' || id || '] ' || content AS content, score FROM v WHERE is_chunk ORDER BY score DESC, id LIMIT 5),
+    best AS (SELECT name, score FROM v WHERE NOT is_chunk ORDER BY score DESC, name LIMIT 10), vertices AS (SELECT 's' || s_suppkey AS name, 'nation ' || s_nationkey AS description FROM supplier)"""
+MODE_ENTITIES = {
+    "plain": "ent AS (SELECT name, description, score FROM best JOIN vertices USING (name))",
+    "near": "near AS (SELECT name FROM best JOIN vertices USING (name) UNION SELECT tgt FROM relations WHERE src IN (SELECT name FROM best JOIN vertices USING (name)) UNION SELECT src FROM relations WHERE tgt IN (SELECT name FROM best JOIN vertices USING (name))), ent AS (SELECT v.name, v.description, coalesce(b.score, 0.0) AS score FROM vertices v LEFT JOIN (SELECT name, score FROM best) b USING (name) WHERE v.name IN (SELECT name FROM near))",
+}
+MODE_ITEMS = """entity_hits AS (SELECT 'entity' AS kind, name AS source_id, name || ': ' || description AS content, score FROM ent),
+    relation_hits AS (SELECT 'relation' AS kind, src || '->' || tgt AS source_id, src || '->' || tgt || ': ' || description AS content, max(score) AS score FROM (SELECT r.src, r.tgt, r.description, e.score FROM relations r JOIN ent e ON r.src = e.name UNION ALL SELECT r.src, r.tgt, r.description, e.score FROM relations r JOIN ent e ON r.tgt = e.name) GROUP BY src, tgt, description)"""
+
+
+def _mode_sql(mode: str) -> str:
+    """Each source's items up to its share, taken in turn while they fit."""
+    share = dict(zip(("chunk", "entity", "relation"), modes.SHARES[mode], strict=True))
+    wants = [k for k in modes.ORDER[mode] if not (mode == "LOCAL" and k != "chunk") and not (mode == "GLOBAL" and k == "chunk")]
+    hits = " UNION ALL ".join(f"SELECT *, {modes.ORDER[mode].index(k)} AS source_idx, {int(4000 * share[k])} AS most FROM {k}_hits" for k in wants)
+    return f"""WITH RECURSIVE {MODE_HITS}, {MODE_ENTITIES["near" if mode == "MIX" else "plain"]}, {MODE_ITEMS},
+    i AS (SELECT *, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM ({hits})),
+    r AS (SELECT *, sum(tokens) OVER w AS running, row_number() OVER w AS item_idx FROM i WINDOW w AS (PARTITION BY kind ORDER BY score DESC, source_id ROWS UNBOUNDED PRECEDING)),
+    o AS (SELECT content, tokens, row_number() OVER (ORDER BY item_idx, source_idx) AS p FROM r WHERE running <= most),
+    f AS (SELECT CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS used, 0 AS n, 0 AS skipped, '' AS text
+      UNION ALL SELECT o.p, CASE WHEN f.used + o.tokens + (f.n > 0)::INT <= 4000 THEN f.used + o.tokens + (f.n > 0)::INT ELSE f.used END, f.n + (f.used + o.tokens + (f.n > 0)::INT <= 4000)::INT, f.skipped + (f.used + o.tokens + (f.n > 0)::INT > 4000)::INT,
+        CASE WHEN f.used + o.tokens + (f.n > 0)::INT <= 4000 THEN CASE WHEN f.n > 0 THEN f.text || chr(10) || chr(10) || o.content ELSE o.content END ELSE f.text END FROM f JOIN o ON o.p = f.p + 1)
+    SELECT arg_max(md5(text), p) AS text_md5, arg_max(n, p) AS included, arg_max(skipped, p) AS truncated, arg_max(used, p) AS total_tokens FROM f HAVING max(p) > 0"""
+
+
 def _mode_query(mode: str):
-    @query(f"mode_{mode.lower()}")
+    @query(f"mode_{mode.lower()}", _mode_sql(mode))
     def run(spark, d):
-        return modes.answer_context(_store(spark, d), probe_of(spark, d), modes.QueryParam(mode=mode, top_k=10, chunk_top_k=5)).context
+        found = modes.answer_context(_store(spark, d), probe_of(spark, d), modes.QueryParam(mode=mode, top_k=10, chunk_top_k=5)).context
+        return found.select(F.md5("text").alias("text_md5"), "included", "truncated", "total_tokens")
 
     return run
 
