@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents go through five of the document operators, each on what the one before has kept."""
+"""The corpus pipeline: documents go through five of the document operators, each on what the one before has kept.
+
+All stages take whole texts, however long, and bear nulls in any column, further columns whatever their names, and empty
+tables (of documents, labels or benchmark items), which leave nothing out and give no rows for no documents.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,32 @@ from graphloom.llm.queries import WORD_VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score stays below the threshold; the model learns from the labels of these documents."""
+    """Documents whose calibrated score stays below the threshold; the model learns from the labels of these documents.
+
+    Null and empty texts are scored as texts without any sign; repeated rows stay or go together; without labels of both
+    kinds all stay.
+    """
     return toxicity.clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies, that of least id; of equal ids the least hash of the text, and rows
+    without an id last. Rows without words stay, once for each id and text."""
     return ngram_join.keep_one(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts stay, repeated rows go together."""
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null and empty texts stay as they are."""
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text; null texts count as empty."""
     return bpe.encode_digests(docs, public_tokenizers.path(WORD_VOCABULARY))
 
 
