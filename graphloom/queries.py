@@ -482,7 +482,13 @@ def sentence_chunks(spark, d):
     return chunking.sentence_chunks(read(spark, d, "documents"), "doc_id", "text", 200, 20)
 
 
-@query("character_chunks")
+@query(
+    "character_chunks",
+    r"""WITH RECURSIVE f AS (SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS k, '' AS content FROM documents WHERE length(text) > 0
+      UNION ALL SELECT doc_id, pos + n + CASE WHEN pos + n < size AND regexp_matches(substr(text, pos + n + 1, 1), '\s') THEN 1 ELSE 0 END, k + 1, regexp_replace(substr(text, pos + 1, n), '^\s+|\s+$', '', 'g')
+        FROM (SELECT f.doc_id, f.pos, f.k, d.text, length(d.text) AS size, CASE WHEN f.pos + 500 >= length(d.text) THEN length(d.text) - f.pos WHEN length(regexp_extract(substr(d.text, f.pos + 1, 500), '(?s)^(.*)[ \n\t]', 1)) > 0 THEN length(regexp_extract(substr(d.text, f.pos + 1, 500), '(?s)^(.*)[ \n\t]', 1)) ELSE 500 END AS n FROM f JOIN documents d USING (doc_id) WHERE f.pos < length(d.text)))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, content FROM f WHERE content <> ''""",
+)
 def character_chunks(spark, d):
     return chunking.character_chunks(read(spark, d, "documents"), "doc_id", "text", 500)
 
