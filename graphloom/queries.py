@@ -1044,3 +1044,93 @@ def only_context(spark, d):
     answer, _ = run(lambda p: f"{len(p)} characters")
     row = (not sources.isEmpty(), "Which parts?" not in context, context in prompt and "Which parts?" in prompt, answer == f"{len(prompt)} characters")
     return spark.createDataFrame([row], "has_sources boolean, context_only boolean, prompt_holds_it boolean, model_called boolean")
+
+
+# --- upserts, merges and summaries ---------------------------------------------------------------------------------
+
+
+def _supplier_vertices(spark, d):
+    return read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.lit("SUPPLIER").alias("type"), F.concat(F.lit("nation "), "s_nationkey").alias("description"), F.array(F.lit("c1")).alias("source_chunk_ids"))
+
+
+@query("upsert_entities", "WITH n AS (SELECT 's' || (c_custkey % 150) AS name, c_mktsegment AS description, row_number() OVER (PARTITION BY c_custkey % 150 ORDER BY c_custkey DESC) AS k FROM customer) SELECT 's' || s_suppkey AS name, 'SUPPLIER' AS type, 'nation ' || s_nationkey AS description FROM supplier WHERE 's' || s_suppkey NOT IN (SELECT name FROM n) UNION ALL SELECT name, 'CUSTOMER', description FROM n WHERE k = 1")
+def upsert_entities(spark, d):
+    new = read(spark, d, "customer").select(F.concat(F.lit("  S"), F.col("c_custkey") % 150).alias("name"), F.lit("CUSTOMER").alias("type"), F.col("c_mktsegment").alias("description"), F.array(F.lit("c2")).alias("source_chunk_ids"), "c_custkey")
+    return lifecycle.upsert_entities(_supplier_vertices(spark, d), new, "c_custkey").select("name", "type", "description")
+
+
+NEW_EDGES_SQL = "n AS (SELECT 's' || (c_custkey % 120 + 1) AS src, 'n' || c_nationkey AS tgt, c_mktsegment AS description, row_number() OVER (PARTITION BY c_custkey % 120, c_nationkey ORDER BY c_custkey DESC) AS k FROM customer)"
+
+
+def _upserted(spark, d):
+    edges = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("tgt"), F.lit("LOCATED_IN").alias("description"))
+    new = read(spark, d, "customer").select(F.concat(F.lit("S"), F.col("c_custkey") % 120 + 1).alias("src"), F.concat(F.lit("N"), "c_nationkey").alias("tgt"), F.col("c_mktsegment").alias("description"), "c_custkey")
+    return lifecycle.upsert_relations(_supplier_vertices(spark, d), edges, new, "c_custkey", auto_vertices=True)
+
+
+@query("upsert_relations", f"WITH {NEW_EDGES_SQL} SELECT src, tgt, description FROM n WHERE k = 1 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'LOCATED_IN' FROM supplier WHERE ('s' || s_suppkey, 'n' || s_nationkey) NOT IN (SELECT (src, tgt) FROM n)")
+def upsert_relations(spark, d):
+    return _upserted(spark, d)[1]
+
+
+@query("auto_vertices", f"WITH {NEW_EDGES_SQL}, e AS (SELECT src AS name FROM n UNION SELECT tgt FROM n) SELECT name, 'UNKNOWN' AS type FROM e WHERE name NOT IN (SELECT 's' || s_suppkey FROM supplier) UNION ALL SELECT 's' || s_suppkey, 'SUPPLIER' FROM supplier")
+def auto_vertices(spark, d):
+    return _upserted(spark, d)[0].select("name", "type")
+
+
+@query("update_descriptions", "SELECT 's' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_suppkey ELSE 'nation ' || s_nationkey END AS description FROM supplier")
+def update_descriptions(spark, d):
+    new = read(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit(" S"), "s_suppkey").alias("name"), F.concat(F.lit("new "), "s_suppkey").alias("description"), F.array(F.lit("c9")).alias("source_chunk_ids"))
+    return lifecycle.update_description(_supplier_vertices(spark, d), new).select("name", "description")
+
+
+@query("delete_by_key", "SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS tgt FROM supplier WHERE s_suppkey % 4 <> 1")
+def delete_by_key(spark, d):
+    s = read(spark, d, "supplier")
+    key = F.when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("S"), "s_suppkey", F.lit("->n"), "s_nationkey")).otherwise(F.concat(F.lit("s"), "s_suppkey", F.lit("->n->x")))
+    edges = s.select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("tgt"))
+    return lifecycle.delete_relations(edges, s.select(key.alias("key")))
+
+
+@query("new_entities_count", "SELECT count(*) AS new FROM part WHERE lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_partkey <= 5)")
+def new_entities_count(spark, d):
+    p = read(spark, d, "part")
+    return lifecycle.new_count(p.filter("p_partkey <= 5").select(F.upper("p_brand").alias("name")), p.select(F.col("p_brand").alias("name")), "name")
+
+
+@query("summaries_in_groups", "SELECT p_brand, md5(string_agg(p_name, '+' ORDER BY p_partkey)) AS digest FROM part GROUP BY p_brand")
+def summaries_in_groups(spark, d):
+    rows = read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_name").alias("description"))
+    return modes.summarize(rows, ["p_brand"], "p_partkey", lambda texts: F.array_join(texts, "+")).select("p_brand", F.md5("description").alias("digest"))
+
+
+@query("code_files", f"WITH {FILES_SQL} SELECT doc_id, regexp_extract(lower(name), '\\.([^.]+)$', 1) IN ('java', 'py', 'sql', 'clj', 'json', 'rs', 'toml', 'ts', 'sol', 'f90') AS is_code FROM files".replace("\\\\", "\\"))
+def code_files_flag(spark, d):
+    return code_files(spark, d).select("doc_id", code.is_code(F.col("name")).alias("is_code"))
+
+
+@query("redirected_edges", "WITH e AS (SELECT CASE WHEN s_suppkey % 10 < 4 THEN 'hub' ELSE 's' || s_suppkey END AS src, CASE WHEN s_nationkey = 3 THEN 'hub' ELSE 'n' || s_nationkey END AS tgt FROM supplier) SELECT src, tgt, count(*) AS n FROM e WHERE src <> tgt GROUP BY ALL")
+def redirected_edges(spark, d):
+    s = read(spark, d, "supplier")
+    edges = s.select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("tgt"))
+    mapping = s.filter("s_suppkey % 10 < 4").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), F.lit("hub").alias("target")).unionByName(spark.createDataFrame([("n3", "hub")], "name string, target string"))
+    return merge.redirect(edges, mapping).groupBy("src", "tgt").agg(F.count("*").alias("n"))
+
+
+@query("merged_texts", "SELECT p_brand, first(p_name ORDER BY p_partkey) AS first, first(p_name ORDER BY length(p_name) DESC, p_partkey) AS longest FROM part GROUP BY p_brand")
+def merged_texts(spark, d):
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
+    rows = read(spark, d, "part").groupBy("p_brand").agg(texts.alias("t"))
+    return rows.select("p_brand", merge.merged_text(F.col("t"), "KEEP_FIRST").alias("first"), merge.merged_text(F.col("t"), "KEEP_LONGEST").alias("longest"))
+
+
+@query("export_round_trip", "SELECT 'd3' AS project, count(*) AS n, count(DISTINCT s_suppkey) AS ids FROM supplier WHERE s_suppkey % 10 = 3")
+def export_round_trip(spark, d):
+    from .plans.scratch import Scratch
+
+    scratch = Scratch(spark, "export")
+    table = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("d"), F.col("s_suppkey") % 10).alias("project_id"))
+    export.export_project({"suppliers": table}, "d3", scratch.path)
+    scratch.tables.add("suppliers")
+    back = export.import_project(spark, scratch.path, ["suppliers"], "d3")["suppliers"]
+    return back.groupBy(F.col("project_id").alias("project")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
