@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from .common import KEPT, arrow_map, readable, utf8
 
 NONE = (1 << 62) - 1
+#: Pieces of text that a worker remembers in each of two generations.
+MEMO = 300_000
 #: Children of a segment tree's node.
 FAN = 16
 
@@ -216,7 +218,7 @@ class Memo:
 class Encoder:
     """Ids of texts by the word vocabulary, or any other: (number, ids joined by a space, decoded text)."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 300_000):
+    def __init__(self, vocab: Vocabulary, limit: int = MEMO):
         self.vocab = vocab
         self.memo = Memo(self.piece, limit)
         self.word_memo = Memo(self.word, limit // 2)
@@ -312,10 +314,10 @@ def broadcast_file(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(text)
 
 
-def ready(kind: type, shared, key: str):
+def ready(kind: type, shared, key: str, *limit: int):
     """One encoder or counter per Python worker, kept with its memo from task to task of one operator."""
     if (owner := owner_of(kind, key)) not in KEPT:
-        KEPT[owner] = kind(Vocabulary(shared.value))
+        KEPT[owner] = kind(Vocabulary(shared.value), *limit)
     return KEPT[owner]
 
 
@@ -342,13 +344,14 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded string", owner_of(Encoder, path)).withColumnRenamed("doc_id", id_col)
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode_texts, with SHA-256 of the ids and of the decoded text instead of the strings themselves."""
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+    """As encode_texts, with SHA-256 of the ids and of the decoded text instead of the strings themselves. memo: words that
+    a worker remembers; fewer take less memory and more time."""
     src = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS text")
     shared = broadcast_file(docs, path)
 
     def run(batches):
-        encoder = ready(Encoder, shared, path)
+        encoder = ready(Encoder, shared, path, memo)
         for batch in batches:
             rows = []
             for t in readable(batch.column(1)):

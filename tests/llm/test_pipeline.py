@@ -40,6 +40,24 @@ def test_stages_take_effect(spark, tmp_path):
         assert out[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_nulls_empty_texts_and_further_columns(spark, tmp_path):
+    rng = random.Random(22)
+    base = words(rng, 40)
+    docs = [(1, base, "x"), (2, base + " tail", "y"), (None, None, None), (3, "", None), (4, None, "z"), (5, "x " * 30000, None), (None, words(rng, 30), None), (1, words(rng, 35), None), (6, "Now: " + ITEM, None)]
+    schema = "doc_id long, text string, _row string"
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    write("documents", docs, schema)
+    write("labels", [(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    write("benchmark", [(None, ITEM), (1, None)], "item_id long, text string")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["1", "1", "3", "4", "5", "None", "None"]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(r["ids_sha256"] == empty and r["n_tokens"] == 0 for r in out if r["doc_id"] in (3, 4))
+    for name, kind in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        write(name, [], kind)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
