@@ -20,6 +20,11 @@ class Weights:
     acronym: float = 0.10
     threshold: float = 0.75
 
+    @property
+    def least_jaccard(self) -> float:
+        """The token similarity that two names need for the threshold even if all other terms are full."""
+        return (self.threshold - self.containment - self.edit - self.acronym) / self.jaccard if self.jaccard else 0.0
+
     @property
     def blocking_is_exact(self) -> bool:
         """Whether names without a common token cannot reach the threshold."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import similarity
@@ -20,12 +20,13 @@ def similar_pairs(entities: DataFrame, weights: similarity.Weights = similarity.
     """Pairs (idx_a, idx_b, name_a, name_b, score) of one type that reach the threshold.
 
     Names are compared once each. Where names without a common token cannot reach the threshold, candidates come from
-    an equi-join on type and token; otherwise from one on type.
+    an equi-join on type and token, of the rare tokens of a name of which a partner must have one; otherwise from one on
+    type.
     """
     names = entities.select(entity_type(F.col("type")).alias("type"), "name", "idx").groupBy("type", "name").agg(F.min("idx").alias("idx"))
     a, b = names.withColumnsRenamed({"name": "name_a", "idx": "idx_a"}), names.withColumnsRenamed({"name": "name_b", "idx": "idx_b"})
     if weights.blocking_is_exact:
-        tokens = names.withColumn("token", F.explode(token_set(F.col("name"))))
+        tokens = leading_tokens(names, weights.least_jaccard)
         left, right = tokens.withColumnsRenamed({"name": "name_a", "idx": "idx_a"}), tokens.withColumnsRenamed({"name": "name_b", "idx": "idx_b"})
         pairs = left.join(right, ["type", "token"]).filter("idx_a < idx_b").select("type", "name_a", "idx_a", "name_b", "idx_b").distinct()
     else:
@@ -34,6 +35,15 @@ def similar_pairs(entities: DataFrame, weights: similarity.Weights = similarity.
     return scored.filter(F.col("score") >= weights.threshold).select("type", "idx_a", "idx_b", "name_a", "name_b", "score")
 
 
+def leading_tokens(names: DataFrame, least: float) -> DataFrame:
+    """Rows (type, name, idx, token) of the rarest tokens of each name: sets of at least this similarity share one."""
+    tokens = names.withColumn("token", F.explode(token_set(F.col("name"))))
+    counts = tokens.groupBy("type", "token").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("type", "name")
+    ranked = tokens.join(counts, ["type", "token"]).withColumn("_place", F.row_number().over(w.orderBy("_n", "token"))).withColumn("_size", F.count("*").over(w))
+    return ranked.filter(F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * least - 1e-9) + 1).drop("_n", "_place", "_size")
+
+
 def clusters(entities: DataFrame, weights: similarity.Weights = similarity.Weights()) -> DataFrame:
     """Each entity with the least idx of its cluster: (idx, type, name, description, cluster). Equal names are one cluster."""
     named = entities.select("idx", entity_type(F.col("type")).alias("type"), "name", "description")
