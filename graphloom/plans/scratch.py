@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 _LEFT: list[Scratch] = []
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 class Scratch:
     """A folder for intermediate tables below the session's checkpoint folder, which all executors share.
 
@@ -22,7 +27,7 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            if not spark.sparkContext.master.startswith("local["):
+            if not on_one_machine(spark):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "/tmp/checkpoints"
         self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

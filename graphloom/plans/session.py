@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .scratch import on_one_machine
+
 PACKAGE = Path(__file__).resolve().parents[1]
 ROOT = str(PACKAGE.parent)
 _SHIPPED: set[str] = set()
@@ -20,7 +22,7 @@ def findable(spark: SparkSession) -> None:
     env = context.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
-    if not context.master.startswith("local[") and context.applicationId not in _SHIPPED:
+    if not on_one_machine(spark) and context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
         archive = Path(tempfile.mkdtemp(prefix=PACKAGE.name)).resolve() / f"{PACKAGE.name}.zip"
         with zipfile.ZipFile(archive, "w") as z:
