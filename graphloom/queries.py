@@ -884,11 +884,11 @@ def tenant_edges(spark, d):
     return graph.of_project(relations(spark, d).withColumnRenamed("document_id", "project_id"), "d3").select("src", "tgt", "weight")
 
 
-@query("vectors_project_backfill", "SELECT v.vec_id AS id, coalesce(CASE WHEN v.vec_id % 3 = 0 THEN v.label END, d.n_chars % 5) AS project_id FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id")
+@query("vectors_project_backfill", "SELECT v.vec_id AS id, coalesce(CASE WHEN v.vec_id % 3 = 0 THEN v.label END, d.n_chars % 5, -1) AS project_id FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id")
 def vectors_project_backfill(spark, d):
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("document_id"), F.when(F.col("vec_id") % 3 == 0, F.col("label").cast("long")).alias("project_id"))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 5).cast("long").alias("project_id"))
-    return tenants.with_project(v, docs).select("id", "project_id")
+    return tenants.with_project(v, docs).select("id", F.coalesce("project_id", F.lit(-1).cast("long")).alias("project_id"))
 
 
 @query("vectors_without_document", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id * 3 NOT IN (SELECT doc_id FROM documents)")
