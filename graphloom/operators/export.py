@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import csv_field, markdown_cell, name_uuid
 
+from .ordering import numbered
+
 FORMATS = {"csv": ".csv", "excel": ".xlsx", "markdown": ".md", "text": ".txt"}
 ENTITY_COLUMNS, RELATION_COLUMNS = ("name", "type", "description", "source_chunk_count"), ("src", "tgt", "description", "keywords", "weight", "source_chunk_count")
 CELL_LIMIT = 32767
@@ -69,26 +71,12 @@ def excel_cell(value: Column) -> Column:
 
 
 def text_blocks(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Numbered blocks; numbers come from ranges and not from one sorted task."""
+    """Numbered blocks of all rows, in order."""
     flat = F.trim(F.regexp_replace(F.coalesce("description", F.lit("")), r"\s+", " "))
     short = F.when(flat == "", "(none)").when(F.length(flat) > 200, F.concat(F.substring(flat, 1, 197), F.lit("..."))).otherwise(flat)
     return numbered(rows, order).select(F.format_string("%d. %s [%s]\n   %s", F.col("number"), F.col("name"), F.coalesce("type", F.lit("(none)")), short).alias("block"))
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows numbered from 1 in order: sorted by range, counted by partition, offset by the counts before."""
-    sorted_rows = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    sorted_rows = sorted_rows.withColumn("_in", F.col("_in") - F.shiftleft(F.col("_part").cast("long"), 33))
-    counts = sorted_rows.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one row a partition
-    offset, table = 0, []
-    for r in sorted(counts, key=lambda r: r["_part"]):
-        table.append((r["_part"], offset))
-        offset += r["n"]
-    spark = rows.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(table, "_part int, _before long"))
-    return sorted_rows.join(offsets, "_part").withColumn("number", F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")
-
-
 def export_csv(vertices: DataFrame, edges: DataFrame, config: ExportConfig) -> str:
     """The two-section file, streamed through the driver row by row; max_items bounds each section."""
     parts = []

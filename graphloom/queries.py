@@ -678,9 +678,9 @@ def cache_eviction(spark, d):
     return cache.evicted(read(spark, d, "events"), "ts", "event_id", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).select("event_id")
 
 
-@query("csv_rows", f"WITH {ENTITIES_SQL}, c AS (SELECT name, type, description, len(source_chunk_ids) AS n FROM entities WHERE type = 'SUPPLIER') SELECT concat_ws(',', CASE WHEN regexp_matches(name, '[,\"\\n\\r]') THEN '\"' || replace(name, '\"', '\"\"') || '\"' ELSE name END, type, description, n) AS line FROM c")
+@query("csv_rows", f"WITH {ENTITIES_SQL}, c AS (SELECT name, type, description, len(source_chunk_ids) AS n FROM entities) SELECT concat_ws(',', CASE WHEN regexp_matches(name, '[,\"\\n\\r]') THEN '\"' || replace(name, '\"', '\"\"') || '\"' ELSE name END, type, description, n) AS line FROM c")
 def csv_rows(spark, d):
-    return export.csv_rows(entities(spark, d).filter("type = 'SUPPLIER'"), export.ENTITY_COLUMNS)
+    return export.csv_rows(entities(spark, d), export.ENTITY_COLUMNS)
 
 
 @query("markdown_rows", f"WITH {RELATIONS_SQL} SELECT '| ' || src || ' | ' || tgt || ' | ' || description || ' | ' || keywords || ' | ' || printf('%.2f', weight::DOUBLE) || ' | ' || len(source_chunk_ids) || ' |' AS line FROM relations")
@@ -688,9 +688,9 @@ def markdown_rows(spark, d):
     return export.markdown_rows(relations(spark, d), export.RELATION_COLUMNS)
 
 
-@query("text_rows", "SELECT printf('%d. %s [%s]\\n   %s', row_number() OVER (ORDER BY s_name, s_suppkey), s_name, 'SUPPLIER', 'nation ' || s_nationkey) AS block FROM supplier".replace("\\n", "' || chr(10) || '"))
+@query("text_rows", f"WITH {ENTITIES_SQL} SELECT printf('%d. %s [%s]', row_number() OVER (ORDER BY name, idx), name, type) || chr(10) || '   ' || description AS block FROM entities")
 def text_rows(spark, d):
-    return export.text_blocks(entities(spark, d).filter("type = 'SUPPLIER'"), ["name", "idx"])
+    return export.text_blocks(entities(spark, d), ["name", "idx"])
 
 
 @query("authorized_projects", "SELECT c_custkey, c_custkey % 11 = 0 OR c_nationkey % 3 = 0 OR c_custkey % 5 = 1 AS readable, c_custkey % 11 = 0 OR (c_nationkey % 3 <> 0 AND c_custkey % 5 = 1) AS writable FROM customer")
@@ -1028,24 +1028,6 @@ def prompt_flat(spark, d):
     return modes.item_text(prompt_items(spark, d), ["conv_id"], grouped=False).select("conv_id", F.md5("text").alias("digest"))
 
 
-@query("export_names", "SELECT 'kg-export-00000012.md' AS name, 404 AS missing, 400 AS bad, 200 AS good, 400 AS nothing")
-def export_names(spark, d):
-    status = lambda *a: export.checked_request(*a)[0]
-    row = (export.export_name("00000012-00ab-4000", "Markdown"), status(False, "csv"), status(True, "pdf"), status(True, None), status(True, "csv", False, False))
-    return spark.createDataFrame([row], "name string, missing int, bad int, good int, nothing int")
-
-
-@query("only_context", "SELECT count(*) > 0 AS has_sources, true AS context_only, true AS prompt_holds_it, true AS model_called FROM embeddings")
-def only_context(spark, d):
-    store, probe = _store(spark, d), probe_of(spark, d)
-    run = lambda model=None, **k: modes.answer(store, "Which parts?", probe, modes.QueryParam(mode="NAIVE", chunk_top_k=3, **k), model)
-    context, sources = run(only_context=True)
-    prompt, _ = run()
-    answer, _ = run(lambda p: f"{len(p)} characters")
-    row = (not sources.isEmpty(), "Which parts?" not in context, context in prompt and "Which parts?" in prompt, answer == f"{len(prompt)} characters")
-    return spark.createDataFrame([row], "has_sources boolean, context_only boolean, prompt_holds_it boolean, model_called boolean")
-
-
 # --- upserts, merges and summaries ---------------------------------------------------------------------------------
 
 

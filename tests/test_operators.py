@@ -179,3 +179,19 @@ def test_summaries_reduce_in_groups(spark):
     out = {r["k"]: r["description"] for r in modes.summarize(rows, ["k"], "i", lambda parts: F.concat(F.lit("("), F.array_join(parts, "+"), F.lit(")"))).collect()}
     assert out["one"] == "alone"
     assert out["k"] == "((d00+d01+d02+d03+d04)+(d05+d06+d07+d08+d09)+(d10+d11))"
+
+
+def test_names_and_requests_of_exports():
+    status = lambda *a: export.checked_request(*a)[0]
+    assert export.export_name("00000012-00ab-4000", "Markdown") == "kg-export-00000012.md"
+    assert [status(False, "csv"), status(True, "pdf"), status(True, None), status(True, "csv", False, False)] == [404, 400, 200, 400]
+
+
+def test_only_the_context_comes_back_without_a_model(spark):
+    v = spark.createDataFrame([(k, [1.0, 0.1 * k], "chunk", f"text {k}", f"E{k}") for k in range(8)], "id int, vector array<float>, type string, content string, name string")
+    store = modes.Store(v, spark.createDataFrame([("e0", "entity 0")], "name string, description string"), edges(spark, [("e0", "e2")]))
+    run = lambda model=None, **k: modes.answer(store, "Which parts?", [1.0, 0.0], modes.QueryParam(mode="NAIVE", chunk_top_k=3, **k), model)
+    context, sources = run(only_context=True)
+    prompt, _ = run()
+    assert sources.count() == 3 and "Which parts?" not in context and context in prompt and "Which parts?" in prompt
+    assert run(lambda p: f"{len(p)} characters")[0] == f"{len(prompt)} characters"
