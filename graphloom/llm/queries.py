@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, langid, media, ngram_join, pii, substring_dedup, toxicity
+from . import bpe, decontaminate, html_extract, langid, media, ngram_join, pii, spelling, substring_dedup, toxicity
 from .common import read_table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +71,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_substring_dedup,
         op10_language_id,
+        op13_spelling_variants,
     )
 }
-ORACLE: dict[str, str] = {}
+#: crc32 of the UTF-8 of an expression, bit by bit.
+CRC32 = """xor(list_reduce(list_transform(range(0, 4 * length(hex(encode({0})))), lambda i: CASE WHEN i % 8 = 0 THEN ('0x' || substr(hex(encode({0})), 2 * (i // 8) + 1, 2))::BIGINT ELSE 0 END),
+    lambda a, v: xor(xor(a, v) >> 1, CASE WHEN xor(a, v) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295), 4294967295)"""
+
+OP13_SQL = fr"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+    c AS (SELECT d, w, count(*) AS k FROM r WHERE length(w) >= 6 GROUP BY ALL), h AS (SELECT w, k, {CRC32.format("(d || ':' || w)")} AS h FROM c),
+    x AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, k FROM h),
+    v AS (SELECT w, sum(k)::BIGINT AS n FROM x WHERE length(w) >= 6 GROUP BY w HAVING sum(k) >= 5),
+    p AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v), m AS (SELECT w, n, left(w, i - 1) || '*' || substr(w, i + 1) AS wild, left(w, i - 1) || substr(w, i + 1) AS cut FROM p),
+    e AS (SELECT a.w, b.w AS near FROM m a JOIN m b ON a.wild = b.wild AND a.w <> b.w UNION SELECT m.w, v.w FROM m JOIN v ON m.cut = v.w UNION SELECT v.w, m.w FROM m JOIN v ON m.cut = v.w),
+    f AS (SELECT e.w, count(*) AS n_near, first(e.near ORDER BY b.n DESC, e.near) AS best, max(b.n) AS best_n FROM e JOIN v b ON b.w = e.near GROUP BY e.w),
+    o AS (SELECT v.w AS word, CASE WHEN best_n >= 5 * v.n THEN best END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN f ON f.w = v.w),
+    t AS (SELECT word, word AS root, form AS next FROM o UNION ALL SELECT t.word, o.word, o.form FROM t JOIN o ON o.word = t.next)
+    SELECT o.word, o.form, t.root, o.n, o.n_near, o.form_n FROM o JOIN t ON t.word = o.word AND t.next IS NULL"""
+
+ORACLE: dict[str, str] = {"op13_spelling_variants": OP13_SQL}
