@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.session import findable
 
-__all__ = ["MAX_BROADCAST", "Scratch", "arrow_map", "held_out", "hash_bound", "match", "read_table", "readable", "small", "unused", "utf8"]
+__all__ = ["MAX_BROADCAST", "Scratch", "arrow_map", "held_out", "hash_bound", "hash_bounds", "match", "read_table", "readable", "small", "unused", "utf8"]
 
 #: Arrow batches that Python workers hold at a time: rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -113,13 +113,36 @@ def match(rows: DataFrame, table: DataFrame, keys: list[str], salt: str, how: st
     return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(parts, [*keys, "salt"], how).drop("salt")
 
 
+def hash_bounds(rows: DataFrame, column: str, limit: int, by: str | None = None) -> dict:
+    """For each value of `by` (None: one for all) a bound that at most `limit` distinct hashes do not pass, and half as many
+    at least where there are so many.
+
+    Counts come from 4096 ranges of hashes; a range that goes over the limit is counted again in ranges 4096 times narrower,
+    so the bound is as close at any number of rows. Repeated hashes count once.
+    """
+    keyed = rows.select((F.col(by) if by else F.lit("")).alias("k"), F.col(column).alias("h")).distinct()
+    bounds, left, todo, last = {}, {}, None, 64
+    for shift in (52, 40, 28, 16, 4, 0):
+        part = keyed
+        if todo is not None:
+            narrow = rows.sparkSession.createDataFrame(todo, keyed.select("k").schema.add("bin", "long"))
+            part = keyed.withColumn("bin", F.shiftright("h", last)).join(F.broadcast(narrow), ["k", "bin"]).drop("bin")
+        counts = part.groupBy("k", F.shiftright("h", shift).alias("bin")).agg(F.count("*").alias("n")).toArrow().sort_by([("k", "ascending"), ("bin", "ascending")])
+        over = {}
+        for k, bin_, n in zip(*(counts[c].to_pylist() for c in ("k", "bin", "n")), strict=True):
+            if k in over:
+                continue
+            if n > left.setdefault(k, limit):
+                over[k] = bin_
+            else:
+                left[k] -= n
+                bounds[k] = ((bin_ + 1) << shift) - 1
+        todo, last = [(k, b) for k, b in over.items() if left[k] > limit // 2], shift
+        if not todo:
+            break
+    return bounds
+
+
 def hash_bound(rows: DataFrame, column: str, limit: int) -> int:
-    """A bound that the hashes of at most `limit` rows do not pass, found from counts of 65536 ranges of hashes."""
-    counts = rows.groupBy(F.shiftright(column, 48).alias("bin")).agg(F.count("*").alias("n")).toArrow().sort_by("bin")
-    total, bound = 0, -(1 << 63)
-    for bin_, n in zip(counts["bin"].to_pylist(), counts["n"].to_pylist(), strict=True):
-        total += n
-        if total > limit:
-            return bound
-        bound = ((bin_ + 1) << 48) - 1
-    return (1 << 63) - 1
+    """The bound of hash_bounds for all rows together."""
+    return hash_bounds(rows, column, limit).get("", (1 << 63) - 1)

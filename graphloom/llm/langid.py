@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, held_out, match, readable
+from .common import Scratch, arrow_map, hash_bounds, held_out, match, readable
 from .html_extract import main_text
 
 #: Bounds of what is learned from: labelled rows of each language.
@@ -74,21 +74,14 @@ class Likelihoods:
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
     """Languages, trigrams, their log-probabilities by language, and those of other trigrams, from labelled rows that are
-    not held out: of each language at most MAX_LABELLED, by a hash of id and text."""
+    not held out: of each language at most MAX_LABELLED, by a hash of id and text. Repeated rows count once."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = src.select("lang", F.xxhash64("id", F.xxhash64("text")).alias("h"))
-    counts = hashed.groupBy("lang", F.shiftright("h", 52).alias("bin")).agg(F.count("*").alias("n")).toArrow().sort_by([("lang", "ascending"), ("bin", "ascending")])  # 4096 ranges a language
-    bounds: dict[str, int] = {}
-    held: Counter = Counter()
-    for lang, bin_, n in zip(*(counts[c].to_pylist() for c in ("lang", "bin", "n")), strict=True):
-        held[lang] += n
-        if held[lang] <= MAX_LABELLED or lang not in bounds and n <= 2 * MAX_LABELLED:
-            bounds[lang] = ((bin_ + 1) << 52) - 1
+    src = src.withColumn("h", F.xxhash64("id", F.xxhash64("text")))
+    bounds = hash_bounds(src, "h", MAX_LABELLED, by="lang")
     if not bounds:
         return [], [], np.zeros((0, 0)), np.zeros(0)
-    spark = docs.sparkSession
-    limits = spark.createDataFrame(list(bounds.items()), "lang string, bound long")
-    src = src.join(F.broadcast(limits), "lang").filter(F.xxhash64("id", F.xxhash64("text")) <= F.col("bound")).select("text", "lang")
+    limits = docs.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound long")
+    src = src.join(F.broadcast(limits), "lang").filter("h <= bound").dropDuplicates(["lang", "h"]).select("text", "lang")
 
     def count(batches):
         seen: Counter = Counter()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, langid, media, ngram_join, pii, spelling, substring_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, html_extract, langid, media, ngram_join, pii, spelling, substring_dedup, toxicity
 from .common import read_table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read_table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_substring_dedup,
         op10_language_id,
+        op12_embedding_near_dedup,
         op13_spelling_variants,
     )
 }
@@ -89,4 +94,10 @@ OP13_SQL = fr"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d,
     t AS (SELECT word, word AS root, form AS next FROM o UNION ALL SELECT t.word, o.word, o.form FROM t JOIN o ON o.word = t.next)
     SELECT o.word, o.form, t.root, o.n, o.n_near, o.form_n FROM o JOIN t ON t.word = o.word AND t.next IS NULL"""
 
-ORACLE: dict[str, str] = {"op13_spelling_variants": OP13_SQL}
+OP12_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), 'bool_and') AND list_aggregate(list_transform(embedding, lambda x: x <> 0), 'bool_or')),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, m.least) AS component_id, e.vec_id = least(e.vec_id, m.least) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id"""
+
+ORACLE: dict[str, str] = {"op12_embedding_near_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}
