@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import Scratch
@@ -29,16 +29,15 @@ def numbered(rows: DataFrame, order: list, column: str = "number", scratch: Scra
     return stored.join(offsets, part).withColumn(column, F.col(before) + F.col(place) + 1).drop(part, place, before)
 
 
-def running_sum(rows: DataFrame, key: list[str], at: str, value: str, column: str, descending: bool = False, block: int = 1 << 16) -> DataFrame:
-    """The sum of a value over the rows of a key up to and with each place (a whole number not below 0, unique in its key),
-    from the other end with descending. Sums run inside blocks of places, then over blocks, so that no task gets all rows
-    of a long key. Null values count as 0."""
-    from pyspark.sql import Window
-
+def running_sums(rows: DataFrame, key: list[str], at: str, values: dict[str, str], descending: bool = False, block: int = 1 << 16) -> DataFrame:
+    """New columns (values: name to column) with the sum of a column over the rows of a key up to and with each place (a whole
+    number not below 0, unique in its key), from the other end with descending. Sums run inside blocks of places, then over
+    blocks, so that no task gets all rows of a long key. Null values count as 0."""
     order = lambda c: F.desc(c) if descending else F.asc(c)
     cut = rows.withColumn("_block", F.floor(F.col(at) / F.lit(block)).cast("long"))
-    totals = cut.groupBy(*key, "_block").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.partitionBy(*key).orderBy(order("_block")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.withColumn("_before", before).drop("_total")
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*key, "_block").orderBy(order(at)).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return cut.withColumn("_inside", inside).join(totals, [*key, "_block"]).withColumn(column, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_block")
+    totals = cut.groupBy(*key, "_block").agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
+    over_blocks = Window.partitionBy(*key).orderBy(order("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*key, "_block", *[F.coalesce(F.sum(f"_{n}").over(over_blocks), F.lit(0)).alias(f"_{n}") for n in values])
+    inside = Window.partitionBy(*key, "_block").orderBy(order(at)).rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()}).join(totals, [*key, "_block"])
+    return found.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop("_block", *[f"_{n}" for n in values])

@@ -33,6 +33,6 @@ def test_numbers_of_odd_tables(spark, adaptive):
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_sums_in_blocks(spark, descending):
     rows = spark.range(1000).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).alias("at"), F.when(F.col("id") % 7 > 0, F.col("id") % 11).alias("v"))
-    got = {(r["k"], r["at"]): r["s"] for r in ordering.running_sum(rows, ["k"], "at", "v", "s", descending, block=16).collect()}
+    got = {(r["k"], r["at"]): r["s"] for r in ordering.running_sums(rows, ["k"], "at", {"s": "v"}, descending, block=16).collect()}
     plain = {(r["k"], r["at"]): r["v"] or 0 for r in rows.collect()}
     assert got == {(k, a): sum(v for (j, b), v in plain.items() if j == k and (b >= a if descending else b <= a)) for k, a in plain}
