@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embedding_dedup, html_extract, langid, media, ngram_join, pii, spelling, substring_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, html_extract, langid, media, ngram_join, pii, prefix_trie, spelling, substring_dedup, toxicity
 from .common import read_table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(read_table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_substring_dedup,
         op10_language_id,
+        op11_prefix_trie,
         op12_embedding_near_dedup,
         op13_spelling_variants,
     )
@@ -94,10 +99,22 @@ OP13_SQL = fr"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d,
     t AS (SELECT word, word AS root, form AS next FROM o UNION ALL SELECT t.word, o.word, o.form FROM t JOIN o ON o.word = t.next)
     SELECT o.word, o.form, t.root, o.n, o.n_near, o.form_n FROM o JOIN t ON t.word = o.word AND t.next IS NULL"""
 
+OP11_SQL = f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+    s AS (SELECT c, count(*) AS own, {CRC32.format("c::VARCHAR")} % 6 AS h, c - c % 100 AS base FROM t GROUP BY c),
+    g AS (SELECT s.*, least(s.h, coalesce(b.own, 0)) AS got FROM s LEFT JOIN s b ON b.c = s.base),
+    r AS (SELECT g.c, t.pos, role, text FROM g JOIN t ON t.c = g.base AND t.pos < g.got UNION ALL SELECT g.c, t.pos - g.h + g.got, role, text FROM g JOIN t ON t.c = g.c AND t.pos >= g.h),
+    p AS (SELECT c, 0 AS d, '' AS k, 0 AS size FROM g UNION ALL SELECT c, pos + 1, string_agg(md5(role || chr(31) || text), ',') OVER (PARTITION BY c ORDER BY pos), length(text) FROM r),
+    n AS (SELECT d, k, CASE WHEN d > 1 THEN left(k, length(k) - 33) ELSE '' END AS up, min(c) AS conv_id, count(*) AS n, max(size) AS size FROM p GROUP BY d, k),
+    l AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.up = n.k) AS n_children FROM n),
+    b AS (SELECT a.d, a.k, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n - 1) * x.size) AS saved FROM l a JOIN l x ON x.d >= a.d AND starts_with(x.k, a.k) GROUP BY a.d, a.k),
+    e AS (SELECT p.d, p.k, sha256(string_agg(p.c::VARCHAR, ',' ORDER BY p.c)) AS digest FROM p JOIN (SELECT c, max(d) AS last FROM p GROUP BY c) m ON m.c = p.c AND m.last = p.d GROUP BY p.d, p.k)
+    SELECT l.conv_id, l.d::BIGINT AS depth, u.conv_id AS parent_conv_id, l.n AS n_convs, l.n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
+    FROM l JOIN b ON b.d = l.d AND b.k = l.k LEFT JOIN n u ON u.d = l.d - 1 AND u.k = l.up LEFT JOIN e ON e.d = l.d AND e.k = l.k"""
+
 OP12_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), 'bool_and') AND list_aggregate(list_transform(embedding, lambda x: x <> 0), 'bool_or')),
     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
     r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
     n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
     SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, m.least) AS component_id, e.vec_id = least(e.vec_id, m.least) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id"""
 
-ORACLE: dict[str, str] = {"op12_embedding_near_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLE: dict[str, str] = {"op11_prefix_trie": OP11_SQL, "op12_embedding_near_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}
