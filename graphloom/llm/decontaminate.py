@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -147,13 +147,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def consistent(pairs: Iterable[tuple[int, int]]) -> bool:
-    """Whether each filler of the one side always meets the same filler of the other, both ways."""
-    there: dict[int, int] = {}
-    back: dict[int, int] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
-
-
 def runs(hits: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]], least: int, solid: Sequence[int] | None = None) -> tuple[int, bool] | None:
     """The longest run of windows that go on side by side in document and item with consistent slots: (windows, exact).
 
@@ -340,8 +333,9 @@ def matched(hits: list, n_windows: int, solid: list[int], whole: int, size: int,
     return runs(hits, min(least, n_windows), solid) if hits else None
 
 
-def joined(src: DataFrame, cut: DataFrame, ask: DataFrame, lengths: list[int], size: int, least: int, scratch: Scratch) -> DataFrame:
-    """The same by a shuffled join on the windows that may be the benchmark's, for benchmarks of any size."""
+def asked(src: DataFrame, cut: DataFrame, lengths: list[int], size: int) -> DataFrame:
+    """Windows and whole short items of documents (r, row_hash, wkey, pos, mine) that may be the benchmark's, by a filter of its
+    keys that every task has; whole ones have the negative length as their place. Of other windows nothing is written."""
     shared = src.sparkSession.sparkContext.broadcast(membership_filter(cut.select("wkey"), cut.count()))
 
     def windows_of(batches):
@@ -353,10 +347,17 @@ def joined(src: DataFrame, cut: DataFrame, ask: DataFrame, lengths: list[int], s
                 for pos in np.flatnonzero(has_bits(shared.value, signed(mine))).tolist():
                     out.append((r[k].as_py(), row_hash[k].as_py(), int(signed(mine[pos : pos + 1])[0]), pos, signed(fillers[pos : pos + size]).tolist()))
                 for m, found in whole_parts:
-                    out += [(r[k].as_py(), row_hash[k].as_py(), key, -m, []) for key in set(signed(found).tolist())]
+                    found = signed(found)
+                    out += [(r[k].as_py(), row_hash[k].as_py(), key, -m, []) for key in set(found[has_bits(shared.value, found)].tolist())]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["r", "row_hash", "wkey", "pos", "mine"])
 
+    return arrow_map(src.select("r", "row_hash", "text"), windows_of, "r long, row_hash long, wkey long, pos int, mine array<long>")
+
+
+def joined(src: DataFrame, cut: DataFrame, ask: DataFrame, lengths: list[int], size: int, least: int, scratch: Scratch) -> DataFrame:
+    """The same by a shuffled join on the windows that may be the benchmark's, for benchmarks of any size."""
+
     def check(table):
         r, row_hash, irow = (table.column(k)[0].as_py() for k in range(3))
         n_windows, solid, whole = (table.column(k)[0].as_py() for k in range(3, 6))
@@ -366,7 +367,7 @@ def joined(src: DataFrame, cut: DataFrame, ask: DataFrame, lengths: list[int], s
         best = matched(hits, n_windows, solid, whole if has else 0, size, least)
         return pa.Table.from_batches([result([(r, row_hash, irow, *best)] if best else [])])
 
-    mine = scratch.save(arrow_map(src.select("r", "row_hash", "text"), windows_of, "r long, row_hash long, wkey long, pos int, mine array<long>"), "mine")
+    mine = scratch.save(asked(src, cut, lengths, size), "mine")
     hits = match(mine.distinct(), cut, ["wkey"], "r").drop("wkey")
     hits = match(hits, ask, ["irow"], "r").select("r", "row_hash", "irow", "n_windows", "solid", "whole", "pos", "mine", "at", "fill")
     return hits.groupBy("r", "row_hash", "irow").applyInArrow(check, RESULT)

@@ -308,3 +308,15 @@ def test_repeated_ids_leave_the_sample_bounded(spark, monkeypatch):
     rows = toxicity.labelled(many, labels, "doc_id", "text")
     assert 60 < rows.count() <= 100
     assert sorted(map(str, rows.collect())) == sorted(map(str, toxicity.labelled(many.repartition(7), labels, "doc_id", "text").collect()))
+
+
+def test_the_shuffled_path_writes_only_what_may_be_the_benchmarks(spark):
+    """Short items are asked for by the filter too: of 25,000 clean words nothing but a few false positives is written."""
+    rng = random.Random(6)
+    items = ["Why do cats purr", "one two", "Maria walked to the old mill by noon", "How far is the moon from here"]
+    docs = spark.createDataFrame([(k, words(rng, 5000)) for k in range(5)] + [(9, "Say: why do cats purr")], "doc_id long, text string")
+    src = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), F.xxhash64("doc_id", "text").alias("r"), "text")
+    bench = decontaminate.benchmark_items(spark.createDataFrame([*enumerate(items)], "item_id long, text string"), "item_id", "text")
+    cut, ask = decontaminate.benchmark_windows(bench, decontaminate.WINDOW)
+    lengths = sorted(r[0] for r in ask.filter("whole > 0").select("whole").distinct().collect())
+    assert len(lengths) > 2 and decontaminate.asked(src, cut, lengths, decontaminate.WINDOW).count() < 100
