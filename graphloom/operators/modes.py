@@ -48,14 +48,13 @@ class Result:
 
 def chunk_hits(store: Store, probe: Sequence[float], k: int, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best chunks; a reranker gets twice as many and gives a `score`."""
-    found = vectors.filtered(store.vectors, "chunk").select("id", "content", F.round(vectors.cosine(F.col("vector"), vectors.as_vector(probe)), 6).alias("score"))
-    hits = found.orderBy(F.desc("score"), "id").limit(2 * k if rerank else k)
+    hits = vectors.top_k(vectors.filtered(store.vectors, "chunk"), probe, 2 * k if rerank else k, "id", "vector", ["content"])
     return rerank(hits).orderBy(F.desc("score"), "id").limit(k) if rerank else hits
 
 
 def entity_hits(store: Store, probe: Sequence[float], k: int) -> DataFrame:
-    found = vectors.filtered(store.vectors, "entity").select(F.lower("name").alias("name"), F.round(vectors.cosine(F.col("vector"), vectors.as_vector(probe)), 6).alias("score"))
-    return found.orderBy(F.desc("score"), "name").limit(k).join(store.vertices.withColumn("name", F.lower("name")), "name")
+    found = vectors.top_k(vectors.filtered(store.vectors, "entity").withColumn("name", F.lower("name")), probe, k, "name", "vector")
+    return found.join(store.vertices.withColumn("name", F.lower("name")), "name")
 
 
 def relation_hits(store: Store, entities: DataFrame) -> DataFrame:

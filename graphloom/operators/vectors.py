@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from graphloom.plans.session import findable
 
@@ -36,10 +37,41 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
-def top_k(vectors: DataFrame, probe: Sequence[float], k: int, id_col: str, vector_col: str) -> DataFrame:
-    """The k most similar vectors, by score and then id; each partition keeps k rows only."""
-    score = F.round(cosine(F.col(vector_col), as_vector(probe)), 6) if probe else F.lit(None).cast("double")
-    return vectors.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of a list column without nulls as rows in double precision; they must have one dimension."""
+    sizes = pc.list_value_length(column)
+    if len(sizes) and (low := pc.min_max(sizes).as_py())["min"] != low["max"]:
+        raise ValueError(f"vectors differ in dimension: {low['min']} and {low['max']}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _cosines(x: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """Cosine of each row with each probe, rounded; a zero norm gives 0."""
+    if len(x) and len(probes) and x.shape[1] != probes.shape[1]:
+        raise ValueError(f"vectors differ in dimension: {x.shape[1]} and {probes.shape[1]}")
+    size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((probes * probes).sum(1))
+    return np.round(np.divide(x @ probes.T, size, out=np.zeros_like(size), where=size > 0), 6)
+
+
+def top_k(vectors: DataFrame, probe: Sequence[float], k: int, id_col: str, vector_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The k most similar vectors, by score and then id, with further columns to keep; each Arrow batch gives its k best only.
+    Null vectors are passed over, another dimension than the probe's is an error."""
+    if not probe:
+        return vectors.select(id_col, F.lit(None).cast("double").alias("score"), *keep).orderBy(id_col).limit(k)
+    findable(vectors.sparkSession)
+    src = vectors.select(id_col, vector_col, *keep).filter(F.col(vector_col).isNotNull())
+    probes = np.array([probe], np.float64)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                scores = _cosines(matrix(batch.column(1)), probes)[:, 0]
+                some = pa.table([batch.column(0), pa.array(scores), *batch.columns[2:]], ["id", "score", *keep])
+                best = pc.select_k_unstable(some, k, [("score", "descending"), ("id", "ascending")])
+                yield from some.take(best).combine_chunks().to_batches()
+
+    found = src.mapInArrow(run, StructType([StructField("id", src.schema[id_col].dataType), StructField("score", DoubleType()), *[src.schema[c] for c in keep]]))
+    return found.orderBy(F.desc("score"), "id").limit(k).withColumnRenamed("id", id_col)
 
 
 def filtered(vectors: DataFrame, kind: str | None = None, ids: Sequence | None = None, project=None) -> DataFrame:
@@ -53,51 +85,88 @@ def filtered(vectors: DataFrame, kind: str | None = None, ids: Sequence | None =
     return vectors
 
 
-#: Queries that a task holds at a time; more are run in blocks.
-BLOCK_QUERIES = 1000
+#: Queries and vectors of a block, and bytes of best rows that a task keeps.
+BLOCK_QUERIES, BLOCK_VECTORS, KEPT_BYTES = 1000, 4096, 64 << 20
+
+
+def blocks_of(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    """Rows packed into blocks of one task's rows: (ids, v, dim), v the vectors as doubles one after the other."""
+    findable(rows.sparkSession)
+    src = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
 
+        def packed():
+            table = pa.Table.from_batches(held).combine_chunks()
+            for k in range(0, table.num_rows, size):
+                part = table.slice(k, size).combine_chunks()
+                x = matrix(part.column(1).chunk(0))
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0).chunk(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["ids", "v", "dim"])
+            held.clear()
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= size:
+                yield from packed()
+        if held:
+            yield from packed()
+
+    return src.mapInArrow(run, StructType([StructField("ids", ArrayType(src.schema["id"].dataType)), StructField("v", BinaryType()), StructField("dim", IntegerType())]))
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, groups: int | None = None) -> DataFrame:
     """The k most similar vectors (id, vector) for each of any number of queries (query_id, probe): query_id, id, score, rank.
 
-    Queries go in blocks of about BLOCK_QUERIES. A task multiplies its vectors with a block and keeps k rows for each
-    query; only those are shuffled and ranked. Vectors and queries must have one dimension; null vectors are passed over.
+    One plan for any number of queries. Both sides are packed into blocks; blocks of vectors are dealt to groups, each block
+    of queries goes to every group, and they meet by an equi-join on the group, so that a task multiplies blocks and
+    keeps the k best of each query it meets. Those are ranked by query, again with at most k rows a task. One block of queries
+    is small enough for Spark to broadcast; many are shuffled, once for each group. Vectors and queries must have one
+    dimension, else the run fails and says so; null vectors are passed over. A query id has one row.
     """
-    count = queries.count()
-    blocks = max(1, -(-count // BLOCK_QUERIES))
-    parts = [_top_k_block(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    spark = vectors.sparkSession
+    groups = groups or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = blocks_of(vectors, "id", "vector", BLOCK_VECTORS).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    asked = blocks_of(queries, "query_id", "probe", BLOCK_QUERIES).toDF("query_ids", "probes", "probe_dim")
+    asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = stored.join(asked, "g").select("query_ids", "probes", "probe_dim", "ids", "v", "dim")
+    kinds = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+
+    def run(batches):
+        best: dict[bytes, pa.Table] = {}  # by block of queries
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                probes, x = (np.frombuffer(batch.column(c)[row].as_buffer(), np.float64).reshape(-1, batch.column(c + 1)[row].as_py()) for c in (1, 4))
+                names, ids = batch.column(0)[row].values, batch.column(3)[row].values
+                scores = _cosines(x, probes)
+                rank = pc.rank(ids, tiebreaker="first").to_numpy()
+                at = np.lexsort((np.broadcast_to(rank[:, None], scores.shape), -scores), axis=0)[:k]
+                found = pa.table([names.take(pa.array(np.tile(np.arange(len(names)), len(at)))), ids.take(pa.array(at.ravel())), pa.array(np.take_along_axis(scores, at, 0).ravel())], ["query_id", "id", "score"])
+                key = hash(batch.column(1)[row].as_buffer().to_pybytes())
+                best[key] = _best(pa.concat_tables([best[key], found]), k) if key in best else found
+            if sum(t.nbytes for t in best.values()) > KEPT_BYTES:
+                for t in best.values():
+                    yield from t.combine_chunks().to_batches()
+                best.clear()
+        for t in best.values():
+            yield from t.combine_chunks().to_batches()
+
+    found = met.mapInArrow(run, StructType([StructField("query_id", kinds[0]), StructField("id", kinds[1]), StructField("score", DoubleType())]))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _top_k_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    findable(vectors.sparkSession)
-    rows = queries.select("query_id", F.col("probe").cast("array<double>")).filter("probe IS NOT NULL").orderBy("query_id").collect()
-    names = pa.array([r[0] for r in rows])
-    probes = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-    norms = np.sqrt((probes * probes).sum(1))
-    shared = vectors.sparkSession.sparkContext.broadcast((names, probes, norms))
-    src = vectors.select("id", F.col("vector").cast("array<double>")).filter("vector IS NOT NULL")
-    kinds = src.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches):
-        names, probes, norms = shared.value
-        for batch in batches:
-            if not len(names) or not batch.num_rows:
-                continue
-            values = batch.column(1)
-            x = values.flatten().to_numpy().reshape(batch.num_rows, -1)
-            size = np.sqrt((x * x).sum(1))[:, None] * norms
-            scores = np.round(np.divide(x @ probes.T, size, out=np.zeros_like(size), where=size > 0), 6)
-            order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
-            best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
-            at, q = best.ravel(), np.tile(np.arange(len(names)), len(best))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(scores[at, q])], ["query_id", "id", "score"])
-
-    return src.mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+def _best(rows: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query."""
+    rows = rows.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
+    query = rows.column("query_id").combine_chunks().dictionary_encode()
+    query = (query.combine_chunks() if isinstance(query, pa.ChunkedArray) else query).indices.to_numpy()
+    start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    place = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
+    return rows.filter(pa.array(place < k))
 
 
 def top_k_by_group(vectors: DataFrame, probe: Sequence[float], k: int, by: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import code, extraction, html, similarity
 from .functions import text as T
-from .operators import budget, cache, chunking, export, graph, lifecycle, lookups, merge, modes, resolve, tenants, vectors
+from .operators import budget, cache, chunking, export, graph, lifecycle, lookups, merge, modes, resolve, tenants, vector_index, vectors
+from .plans.scratch import Scratch
 from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read
 from .sources.driver import stored_relations as relations
 from .sources.driver import vectors as stored_vectors
@@ -36,6 +37,19 @@ def probe_of(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
     return list(row[0]) if row else []
 
 
+def stored_index(spark: SparkSession, d: str) -> vector_index.Index:
+    """The index of all vectors, built once a session and folder."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        scratch = Scratch(spark, "vector-index")
+        _INDEXES[key] = vector_index.build(stored_vectors(spark, d), f"{scratch.path}/cells")
+        scratch.tables.add("cells")
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], vector_index.Index] = {}
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 PROBE = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)"
@@ -68,6 +82,24 @@ def vector_topk_batch(spark, d):
     return vectors.top_k_batch(stored_vectors(spark, d), queries, 5)
 
 
+@query("vector_index_self", "SELECT vec_id AS query_id, vec_id AS id, 1.0::DOUBLE AS score FROM embeddings")
+def vector_index_self(spark, d):
+    """Every stored vector is found as its own nearest, so every row is in the index."""
+    queries = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    return stored_index(spark, d).search(queries, 1).select("query_id", "id", "score")
+
+
+@query("vector_index_recall", "WITH s AS (SELECT q.vec_id AS query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT count(DISTINCT query_id) AS queries, count(*) AS found, true AS scores_are_exact, true AS recall_is_reached FROM s WHERE r <= 10")
+def vector_index_recall(spark, d):
+    """What the index finds against the exact scan: rows, their scores, and the share that is the same."""
+    queries = read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    found = stored_index(spark, d).search(queries, 10)
+    scores = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(found, "id").join(queries, "query_id")
+    scores = scores.select("query_id", "id", (F.abs(vectors.cosine(F.col("embedding"), F.col("probe")) - F.col("score")) < 1e-6).alias("same"))
+    exact = vectors.top_k_batch(stored_vectors(spark, d), queries, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    return scores.join(exact, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("found"), F.every("same").alias("scores_are_exact"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_is_reached"))
+
+
 @query("euclidean_topk", f"WITH {PROBE} SELECT vec_id, round(list_distance(embedding::DOUBLE[], q.v), 6) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 10")
 def euclidean_topk(spark, d):
     dist = F.round(vectors.euclidean(F.col("embedding"), vectors.as_vector(probe_of(spark, d))), 6)
