@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,29 +68,75 @@ def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.crossJoin(e).withColumn("average_degree", F.round(mean, 6))  # two frames of one row
 
 
-def neighbours(edges: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(name, neighbour) over edges in either direction; both ends are equi-joins."""
+#: Names of up to so many are looked up as literals, which prunes buckets; a name with more edges is kept in several slots.
+FEW_NAMES, HUB = 256, 1 << 16
+
+
+class Adjacency:
+    """Edges as (name, neighbour) in both directions, stored in buckets and sorted by name.
+
+    A search for few names reads their buckets only; for many, their buckets are joined where they are stored and only the
+    names are shuffled. A hub's edges are dealt to slots, so that no bucket gets all of them. Null ends are no edges.
+    """
+
+    def __init__(self, edges: DataFrame, buckets: int | None = None, scratch: Scratch | None = None):
+        self.spark: SparkSession = edges.sparkSession
+        scratch = scratch or Scratch(self.spark, "adjacency")
+        one = edges.select(F.col("src").alias("name"), F.col("tgt").alias("neighbour"))
+        both = one.unionByName(edges.select(F.col("tgt").alias("name"), F.col("src").alias("neighbour"))).filter("name IS NOT NULL AND neighbour IS NOT NULL")
+        self.hubs = scratch.save(both.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("name", F.ceil(F.col("n") / HUB).cast("int").alias("parts")), "hubs")
+        self.some_hubs = not self.hubs.isEmpty()
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        slots = both.join(F.broadcast(self.hubs), "name", "left") if self.some_hubs else both.withColumn("parts", F.lit(None).cast("int"))
+        part = F.pmod(F.xxhash64("neighbour"), F.col("parts"))
+        slots = slots.select(F.when(F.col("parts").isNull(), F.col("name")).otherwise(F.concat_ws("\u0001", "name", part)).alias("slot"), "name", "neighbour")
+        table = f"adjacency_{uuid.uuid4().hex}"
+        slots.repartition(self.buckets, "slot").dropDuplicates().write.bucketBy(self.buckets, "slot").sortBy("slot").option("path", f"{scratch.path}/adjacency").saveAsTable(table)
+        scratch.tables.add("adjacency")
+        self.table = self.spark.table(table)
+
+    def of(self, frontier: DataFrame, size: int | None = None) -> DataFrame:
+        """(name, neighbour) of the names of a frontier, once each; size: how many names, if known."""
+        names = frontier.select("name")
+        if self.some_hubs:
+            cut = names.join(F.broadcast(self.hubs), "name", "left")
+            parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))
+            names = cut.select("name", "parts", parts.alias("k")).select(F.when(F.col("parts").isNull(), F.col("name")).otherwise(F.concat_ws("\u0001", "name", "k")).alias("slot"))
+        else:
+            names = names.withColumnRenamed("name", "slot")
+        if size is not None and size <= FEW_NAMES:
+            found = [r["slot"] for r in names.distinct().limit(4 * FEW_NAMES + 1).collect()]
+            if len(found) <= 4 * FEW_NAMES:
+                return self.table.filter(F.col("slot").isin(found)).select("name", "neighbour")
+        return self.table.join(names.distinct().hint("merge"), "slot", "left_semi").select("name", "neighbour")
+
+
+def neighbours(edges: DataFrame | Adjacency, frontier: DataFrame, size: int | None = None) -> DataFrame:
+    """(name, neighbour) over edges in either direction; of plain edges both ends are equi-joins."""
+    if isinstance(edges, Adjacency):
+        return edges.of(frontier, size)
     names = frontier.select("name")
     out = edges.select(F.col("src").alias("name"), F.col("tgt").alias("neighbour")).join(names, "name", "left_semi")
     back = edges.select(F.col("tgt").alias("name"), F.col("src").alias("neighbour")).join(names, "name", "left_semi")
     return out.unionByName(back).distinct()
 
 
-def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int = 0) -> DataFrame:
+def levels(edges: DataFrame | Adjacency, seeds: DataFrame, max_depth: int, max_nodes: int = 0) -> DataFrame:
     """Breadth-first levels from seed names: (name, depth, parent). The parent is the least name of the level before.
 
-    max_nodes > 0 keeps the first so many by depth and name, and no level is searched once they are found. A level reads
-    the edges once and is written to the scratch folder; the search ends when a level is empty. Edges that are dear to
-    make should be stored first.
+    max_nodes > 0 keeps the first so many by depth and name, and no level is searched once they are found. A level is
+    written to the scratch folder; the search ends when a level is empty. Of plain edges a level reads all, once; of an
+    Adjacency it reads the buckets of its frontier.
     """
-    scratch = Scratch(edges.sparkSession, "levels")
-    edges = edges.select("src", "tgt")
+    scratch = Scratch(seeds.sparkSession, "levels")
+    edges = edges if isinstance(edges, Adjacency) else edges.select("src", "tgt")
     seen = scratch.save(seeds.select("name").distinct().select("name", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), "l0")
-    frontier, count = seen, seen.count() if max_nodes > 0 else 0
+    frontier, count = seen, seen.count()
+    found = count
     for depth in range(1, max_depth + 1):
         if 0 < max_nodes <= count:
             break
-        step = neighbours(edges, frontier).groupBy(F.col("neighbour").alias("next")).agg(F.min("name").alias("parent"))
+        step = neighbours(edges, frontier, found).groupBy(F.col("neighbour").alias("next")).agg(F.min("name").alias("parent"))
         fresh = step.select(F.col("next").alias("name"), F.lit(depth).alias("depth"), "parent").join(seen.select("name"), "name", "left_anti")
         if depth == max_depth and max_nodes <= 0:
             return seen.unionByName(fresh.select("name", "depth", "parent"))  # nothing follows the last level
@@ -100,9 +148,10 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int =
     return seen.orderBy("depth", "name").limit(max_nodes) if max_nodes > 0 else seen
 
 
-def subgraph(vertices: DataFrame, edges: DataFrame, start: str, max_depth: int, max_nodes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Vertices within max_depth of the start and the edges between them; both empty if there is no such vertex."""
-    found = levels(edges, entity(vertices, start), max_depth, max_nodes)
+def subgraph(vertices: DataFrame, edges: DataFrame, start: str, max_depth: int, max_nodes: int = 0, near: Adjacency | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices within max_depth of the start and the edges between them; both empty if there is no such vertex.
+    near: the same edges as an Adjacency, which the search then reads."""
+    found = levels(near or edges, entity(vertices, start), max_depth, max_nodes)
     names = found.select("name")
     inner = edges.join(names.select(F.col("name").alias("src")), "src", "left_semi").join(names.select(F.col("name").alias("tgt")), "tgt", "left_semi")
     if max_depth == 0:
@@ -110,42 +159,60 @@ def subgraph(vertices: DataFrame, edges: DataFrame, start: str, max_depth: int,
     return vertices.join(names, "name", "left_semi"), inner
 
 
-def reached(vertices: DataFrame, edges: DataFrame, start: str, max_depth: int, max_nodes: int = 0) -> tuple[DataFrame, DataFrame]:
+def reached(vertices: DataFrame, edges: DataFrame, start: str, max_depth: int, max_nodes: int = 0, near: Adjacency | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices within max_depth of a name, which need not be a vertex, and all edges at the nodes that were searched,
     also those to nodes found before or beyond max_nodes. Nodes at max_depth are not searched."""
     seed = edges.sparkSession.createDataFrame([(start,)], "name string").select(stored_name(F.col("name")).alias("name"))
-    found = levels(edges, seed, max_depth, max_nodes)
+    found = levels(near or edges, seed, max_depth, max_nodes)
     return vertices.join(found.select("name"), "name", "left_semi"), incident(edges, found.filter(F.col("depth") < max_depth).select("name"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
-    """Nodes of a shortest undirected path: (step, name); empty if there is none, or none of max_depth edges. Among equals
-    the least parents win. The search goes on until it meets the target or finds nothing new."""
-    spark: SparkSession = edges.sparkSession
+def shortest_path(edges: DataFrame | Adjacency, source: str, target: str, max_depth: int | None = None) -> DataFrame:
+    """Nodes of a shortest undirected path: (step, name); empty if there is none, or none of max_depth edges.
+
+    The search goes on from both ends, each time from that with fewer names in its last level, until the last levels meet.
+    Levels of the target's end are then cut to nodes on shortest paths. Among equal paths that counts whose last node but one
+    is the least, then the one before it, and so on. The path itself is read by one job.
+    """
+    spark: SparkSession = edges.spark if isinstance(edges, Adjacency) else edges.sparkSession
+    row = lambda *names: spark.createDataFrame([names], ", ".join(f"n{k} string" for k in range(len(names))))
+    nothing = spark.createDataFrame([], "step int, name string")
     if source == target:
         return spark.createDataFrame([(0, source)], "step int, name string")
     scratch = Scratch(spark, "path")
-    edges = edges.select("src", "tgt")
-    seen = scratch.save(spark.createDataFrame([(source, 0, None)], "name string, depth int, parent string"), "l0")
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = neighbours(edges, frontier).groupBy(F.col("neighbour").alias("next")).agg(F.min("name").alias("parent"))
-        frontier = scratch.save(step.select(F.col("next").alias("name"), F.lit(depth).alias("depth"), "parent").join(seen.select("name"), "name", "left_anti"), f"l{depth}")
-        seen = seen.unionByName(frontier)
-        size, hit = frontier.agg(F.count("*"), F.count_if(F.col("name") == target)).first()
-        if hit:
-            path, at = [], target
-            for d in range(depth, -1, -1):  # one look-up a level
-                path.append((d, at))
-                at = seen.filter((F.col("name") == at) & (F.col("depth") == d)).first()["parent"]
-            return spark.createDataFrame(sorted(path), "step int, name string")
-        if not size:
+    edges = edges if isinstance(edges, Adjacency) else edges.select("src", "tgt")
+    layers = [[spark.createDataFrame([(name, None)], "name string, parent string")] for name in (source, target)]
+    seen, sizes = [layers[0][0].select("name"), layers[1][0].select("name")], [1, 1]
+    while max_depth is None or len(layers[0]) + len(layers[1]) - 2 < max_depth:
+        k = 0 if sizes[0] <= sizes[1] else 1
+        step = neighbours(edges, layers[k][-1], sizes[k]).groupBy(F.col("neighbour").alias("next")).agg(F.min("name").alias("parent"))
+        fresh = step.select(F.col("next").alias("name"), "parent").join(seen[k], "name", "left_anti")
+        fresh = scratch.save(fresh, f"side{k}-{len(layers[k])}")
+        sizes[k], hits = fresh.join(layers[1 - k][-1].select("name", F.lit(1).alias("met")), "name", "left").agg(F.count("*"), F.count("met")).first()
+        layers[k].append(fresh)
+        seen[k] = seen[k].unionByName(fresh.select("name"))
+        if hits:
             break
-    return spark.createDataFrame([], "step int, name string")
-
-
-def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
+        if not sizes[k]:
+            return nothing
+    else:
+        return nothing
+    on = layers[0][-1].select("name").join(layers[1][-1].select("name"), "name", "left_semi")
+    links = []  # from the target: each node on a path with the least that comes before it
+    for j in range(len(layers[1]) - 2, -1, -1):
+        step = neighbours(edges, on).groupBy(F.col("neighbour").alias("next")).agg(F.min("name").alias("before"))
+        step = scratch.save(step.select(F.col("next").alias("name"), "before").join(layers[1][j].select("name"), "name", "left_semi"), f"on{j}")
+        links.insert(0, step)
+        on = step.select("name")
+    links += [layer.select("name", F.col("parent").alias("before")) for layer in reversed(layers[0][1:])]
+    path = row(target)
+    for k, link in enumerate(links):
+        path = F.broadcast(path).join(link.select(F.col("name").alias(f"n{k}"), F.col("before").alias(f"n{k + 1}")), f"n{k}")
+    names = F.array(*[f"n{k}" for k in range(len(links), -1, -1)])
+    return path.select(F.posexplode(names).alias("step", "name"))
+
+
+def expand(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int = 1) -> DataFrame:
     return levels(edges, seeds, hops).select("name")
 
 

@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import budget, cache, chunking, export, graph, lifecycle, lookups, merge, modes, resolve, tenants, vector_index, vectors
 from .plans.scratch import Scratch
 from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read
+from .sources.driver import stored_adjacency as adjacency
 from .sources.driver import stored_relations as relations
 from .sources.driver import vectors as stored_vectors
 
@@ -364,27 +365,37 @@ WALK = "u AS (SELECT src AS a, tgt AS b FROM relations UNION SELECT tgt, src FRO
 
 @query("bfs_depth2", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'r0' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 2) SELECT name, min(depth) AS depth FROM w GROUP BY name")
 def bfs_depth2(spark, d):
-    return graph.levels(relations(spark, d), spark.createDataFrame([("r0",)], "name string"), 2).select("name", "depth")
+    return graph.levels(adjacency(spark, d), spark.createDataFrame([("r0",)], "name string"), 2).select("name", "depth")
 
 
 @query("bfs_max_nodes", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'n1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 2) SELECT name, min(depth) AS depth FROM w GROUP BY name ORDER BY depth, name LIMIT 25")
 def bfs_max_nodes(spark, d):
-    return graph.levels(relations(spark, d), spark.createDataFrame([("n1",)], "name string"), 2, 25).select("name", "depth")
+    return graph.levels(adjacency(spark, d), spark.createDataFrame([("n1",)], "name string"), 2, 25).select("name", "depth")
 
 
 @query("subgraph_edges", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'n1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 1), s AS (SELECT DISTINCT name FROM w) SELECT src, tgt FROM relations WHERE src IN (SELECT name FROM s) AND tgt IN (SELECT name FROM s)")
 def subgraph_edges(spark, d):
-    return graph.subgraph(all_vertices(spark, d), relations(spark, d), "n1", 1)[1].select("src", "tgt")
+    return graph.subgraph(all_vertices(spark, d), relations(spark, d), "n1", 1, near=adjacency(spark, d))[1].select("src", "tgt")
 
 
 @query("khop1_expand", f"WITH {RELATIONS_SQL}, seeds AS (SELECT 's' || s_suppkey AS name FROM supplier WHERE s_suppkey <= 3) SELECT name FROM seeds UNION SELECT tgt FROM relations WHERE src IN (SELECT name FROM seeds) UNION SELECT src FROM relations WHERE tgt IN (SELECT name FROM seeds)")
 def khop1_expand(spark, d):
-    return graph.expand(relations(spark, d), read(spark, d, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("s"), "s_suppkey").alias("name")), 1)
+    return graph.expand(adjacency(spark, d), read(spark, d, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("s"), "s_suppkey").alias("name")), 1)
 
 
 @query("shortest_path_len", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'c1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 7) SELECT CAST(min(depth) + 1 AS BIGINT) AS nodes FROM w WHERE name = 'r1'")
 def shortest_path_len(spark, d):
-    return graph.shortest_path(relations(spark, d), "c1", "r1").agg(F.count("*").alias("nodes"))
+    return graph.shortest_path(adjacency(spark, d), "c1", "r1").agg(F.count("*").alias("nodes"))
+
+
+PATH_SQL = """, dist AS (SELECT name, min(depth) AS depth FROM w GROUP BY name),
+    p AS (SELECT name, depth FROM dist WHERE name = '{1}' UNION ALL SELECT min(u.b), p.depth - 1 FROM p JOIN u ON u.a = p.name JOIN dist ON dist.name = u.b AND dist.depth = p.depth - 1 GROUP BY p.depth)
+    SELECT CAST(depth AS INTEGER) AS step, name FROM p"""
+
+
+@query("shortest_path_nodes", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'p7' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 5)" + PATH_SQL.replace("{1}", "c1"))
+def shortest_path_nodes(spark, d):
+    return graph.shortest_path(adjacency(spark, d), "p7", "c1")
 
 
 @query("docs_paging", f"WITH {ENTITIES_SQL} SELECT idx, name FROM entities ORDER BY name, idx LIMIT 50 OFFSET 100")
@@ -1034,12 +1045,12 @@ def would_exceed(spark, d):
 
 @query("bfs_incident", f"WITH RECURSIVE {RELATIONS_SQL}, {WALK}, w AS (SELECT 'n1' AS name, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.name WHERE w.depth < 1), s AS (SELECT name FROM w GROUP BY name HAVING min(depth) < 2) SELECT src, tgt FROM relations WHERE src IN (SELECT name FROM s) OR tgt IN (SELECT name FROM s)")
 def bfs_incident(spark, d):
-    return graph.reached(all_vertices(spark, d), relations(spark, d), "N1 ", 2)[1].select("src", "tgt")
+    return graph.reached(all_vertices(spark, d), relations(spark, d), "N1 ", 2, near=adjacency(spark, d))[1].select("src", "tgt")
 
 
 @query("bfs_of_missing_start", f"WITH {RELATIONS_SQL} SELECT src, tgt FROM relations WHERE src = 's1' OR tgt = 's1'")
 def bfs_of_missing_start(spark, d):
-    return graph.reached(all_vertices(spark, d).filter("name <> 's1'"), relations(spark, d), "s1", 1)[1].select("src", "tgt")
+    return graph.reached(all_vertices(spark, d).filter("name <> 's1'"), relations(spark, d), "s1", 1, near=adjacency(spark, d))[1].select("src", "tgt")
 
 
 KINDS_SQL = "CASE role WHEN 'system' THEN 'entity' WHEN 'user' THEN 'relation' ELSE 'chunk' END"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import Adjacency
 from graphloom.plans.scratch import Scratch
 
 
@@ -34,7 +35,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame | Adjacency] = {}
 
 
 def stored_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,14 @@ def stored_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORED[key]
 
 
+def stored_adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The same edges by their ends, in buckets, written once a session."""
+    key = spark.sparkContext.applicationId, sf_dir, "adjacency"
+    if key not in _STORED:
+        _STORED[key] = Adjacency(stored_relations(spark, sf_dir))
+    return _STORED[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors: id, vector, type (chunk or entity) and project."""
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") % 2 == 0, "chunk").otherwise("entity").alias("type"), F.col("label").alias("project_id"))
