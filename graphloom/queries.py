@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import code, extraction, html, similarity
 from .functions import text as T
-from .operators import budget, cache, chunking, export, graph, lifecycle, lookups, merge, modes, resolve, tenants, vector_index, vectors
+from .operators import budget, cache, chunking, export, gleaning, graph, lifecycle, lookups, merge, modes, rebuild, resolve, tenants, vector_index, vectors
 from .plans.scratch import Scratch
 from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read
 from .sources.driver import stored_adjacency as adjacency
@@ -821,6 +821,81 @@ def description_key(spark, d):
     return read(spark, d, "part").select("p_partkey", T.description_key(F.col("p_name"), F.array("p_brand", "p_type")).alias("k"))
 
 
+WORDS_SQL = "w AS (SELECT conv_id * 1000 + turn AS chunk_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '') AS words FROM conversations), i AS (SELECT chunk_id, words, unnest(range(0, 4)) AS i FROM w), k AS (SELECT * FROM i WHERE i < len(words) AND len(list_distinct(words[1:i + 1])) = i + 1)"
+
+
+def word_model(rows, place):
+    """Stands for a model: its answer names one word of the content, by place, with a description as long as the place."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("content"), "[^a-z ]", ""), " "), lambda w: w != "")
+    word = F.get(words, place)
+    line = F.concat(F.lit("entity<|#|>"), word, F.lit("<|#|>WORD<|#|>n"), F.repeat(F.lit("x"), place), F.when(place > 0, F.concat(F.lit("\nrelation<|#|>"), F.get(words, F.lit(0)), F.lit("<|#|>"), word, F.lit("<|#|>near<|#|>next"))).otherwise(""))
+    return rows.withColumn("response", F.coalesce(line, F.lit("nothing")))
+
+
+def gleaned(spark, d):
+    chunks = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content"))
+    place = F.length(F.regexp_extract("previous", r"n(x*)(?:\n|$)", 1)) + 1
+    return gleaning.glean(word_model(chunks, F.lit(0)), lambda rows: word_model(rows, place), 3)
+
+
+@query("gleaned_entities", f"WITH {WORDS_SQL} SELECT chunk_id, words[i + 1] AS name, 'WORD' AS type, 'n' || repeat('x', i::INT) AS description FROM k")
+def gleaned_entities(spark, d):
+    return gleaned(spark, d)[0].select("chunk_id", F.lower("name").alias("name"), "type", "description")
+
+
+@query("gleaned_relations", f"WITH {WORDS_SQL} SELECT chunk_id, words[1] AS src, words[i + 1] AS tgt, 'next' AS description FROM k WHERE i > 0")
+def gleaned_relations(spark, d):
+    return gleaned(spark, d)[1].select("chunk_id", F.lower("src").alias("src"), F.lower("tgt").alias("tgt"), "description")
+
+
+@query("gleaning_passes", f"WITH {WORDS_SQL} SELECT w.chunk_id, CAST(coalesce(max(k.i), 0) AS INTEGER) AS passes FROM w LEFT JOIN k ON k.chunk_id = w.chunk_id GROUP BY w.chunk_id")
+def gleaning_passes(spark, d):
+    return gleaned(spark, d)[2]
+
+
+def cached_extractions(spark, d):
+    """What a model would have found in chunks: parts, their names and brands, and how these belong together."""
+    part = read(spark, d, "part").withColumn("chunk_id", F.concat(F.lit("c"), F.col("p_partkey") % 300)).withColumn("seq", F.col("p_partkey"))
+    own = F.concat(F.lit("Part "), F.col("p_partkey"))
+    of = lambda name, kind, text: part.select("chunk_id", "seq", name.alias("name"), F.lit(kind).alias("type"), F.col(text).alias("description"))
+    to = lambda src, tgt: part.select("chunk_id", "seq", src.alias("src"), tgt.alias("tgt"), F.col("p_type").alias("description"), F.col("p_brand").alias("keywords"), F.col("p_size").cast("double").alias("weight"))
+    entities = of(own, "PART", "p_type").unionByName(of(F.col("p_name"), "NAME", "p_brand")).unionByName(of(F.col("p_brand"), "BRAND", "p_type"))
+    chunks = part.groupBy(F.col("chunk_id").alias("id")).agg(F.max("p_name").alias("text"))
+    return chunks, entities, to(own, F.col("p_name")).unionByName(to(F.col("p_name"), F.col("p_brand")))
+
+
+def length_embedding(rows):
+    """Stands for an embedding model: a vector of one number, the length of the text."""
+    return rows.select("id", F.array(F.length("text").cast("double")).alias("vector"))
+
+
+def after_deletion(spark, d):
+    chunks, entities, relations_ = cached_extractions(spark, d)
+    deleted = chunks.filter("cast(substr(id, 2) AS int) % 3 = 1").select(F.col("id").alias("chunk_id"))
+    return rebuild.without_chunks(rebuild.build(chunks, entities, relations_, length_embedding), deleted, entities, relations_, length_embedding)
+
+
+REST_SQL = """p AS (SELECT *, 'c' || (p_partkey % 300) AS chunk_id FROM part WHERE (p_partkey % 300) % 3 <> 1),
+    e AS (SELECT chunk_id, p_partkey AS seq, lower(trim('Part ' || p_partkey)) AS name, 'PART' AS type, p_type AS description FROM p UNION ALL SELECT chunk_id, p_partkey, lower(trim(p_name)), 'NAME', p_brand FROM p UNION ALL SELECT chunk_id, p_partkey, lower(trim(p_brand)), 'BRAND', p_type FROM p),
+    r AS (SELECT chunk_id, p_partkey AS seq, lower(trim('Part ' || p_partkey)) AS src, lower(trim(p_name)) AS tgt, p_type AS description, p_brand AS keywords, p_size AS weight FROM p UNION ALL SELECT chunk_id, p_partkey, lower(trim(p_name)), lower(trim(p_brand)), p_type, p_brand, p_size FROM p),
+    v AS (SELECT name, first(type ORDER BY chunk_id, seq) AS type, string_agg(description, ' | ' ORDER BY chunk_id, seq) AS description, list_sort(list_distinct(list(chunk_id))) AS chunks FROM e GROUP BY name)"""
+
+
+@query("vertices_after_deletion", f"WITH {REST_SQL} SELECT name, type, md5(description) AS digest, array_to_string(chunks, ',') AS chunks FROM v")
+def vertices_after_deletion(spark, d):
+    return after_deletion(spark, d).vertices.select("name", "type", F.md5("description").alias("digest"), F.array_join("source_chunk_ids", ",").alias("chunks"))
+
+
+@query("edges_after_deletion", f"WITH {REST_SQL}, k AS (SELECT src, tgt, keywords, row_number() OVER (PARTITION BY src, tgt, keywords ORDER BY chunk_id, seq) AS n, chunk_id, seq FROM r) SELECT r.src, r.tgt, md5(string_agg(description, ' | ' ORDER BY chunk_id, seq)) AS digest, (SELECT string_agg(k.keywords, ', ' ORDER BY k.chunk_id, k.seq) FROM k WHERE k.src = r.src AND k.tgt = r.tgt AND n = 1) AS keywords, sum(weight)::DOUBLE AS weight, count(DISTINCT chunk_id) AS chunks FROM r GROUP BY r.src, r.tgt")
+def edges_after_deletion(spark, d):
+    return after_deletion(spark, d).edges.select("src", "tgt", F.md5("description").alias("digest"), "keywords", "weight", F.size("source_chunk_ids").cast("long").alias("chunks"))
+
+
+@query("vectors_after_deletion", f"WITH {REST_SQL} SELECT 'chunk' AS kind, chunk_id AS id, length(max(p_name))::DOUBLE AS value FROM p GROUP BY chunk_id UNION ALL SELECT 'entity', name, length(name || chr(10) || description) FROM v")
+def vectors_after_deletion(spark, d):
+    return after_deletion(spark, d).vectors.select("kind", "id", F.get("vector", F.lit(0)).alias("value"))
+
+
 @query("legacy_tuples", "SELECT p_partkey, p_name AS name, p_type AS type, p_brand AS description FROM part")
 def legacy_tuples(spark, d):
     text = F.concat(F.lit('x ("'), "p_name", F.lit('", "'), "p_type", F.lit('","'), "p_brand", F.lit('") y'))
