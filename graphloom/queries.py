@@ -15,6 +15,7 @@ from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read
 from .sources.driver import stored_adjacency as adjacency
 from .sources.driver import stored_relations as relations
 from .sources.driver import vectors as stored_vectors
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -896,6 +897,41 @@ def vectors_after_deletion(spark, d):
     return after_deletion(spark, d).vectors.select("kind", "id", F.get("vector", F.lit(0)).alias("value"))
 
 
+LINES_SQL = "l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS line FROM documents), n AS (SELECT doc_id, count(*) AS lines, count_if(contains(line, 'license')) AS bad, count_if(regexp_matches(line, '^[A-Za-z]')) AS named FROM l GROUP BY doc_id)"
+
+
+def ingested(spark, d):
+    """All documents through the stream in a folder of its own; texts with a certain word make the model fail."""
+    scratch = Scratch(spark, "ingest")
+    scratch.save(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content")), "in")
+
+    def cut(docs):
+        return docs.select("id", F.posexplode(F.filter(F.split("content", "\n"), lambda line: line != "")).alias("chunk_index", "content"))
+
+    def embed(texts):
+        if any("license" in t for t in texts):
+            raise ValueError("no embedding")
+        return [[float(len(t))] for t in texts]
+
+    def extract(texts):
+        return [f"entity<|#|>E<|#|>LINE<|#|>{len(t)}" if t[:1].isascii() and t[:1].isalpha() else "" for t in texts]
+
+    ingest.ingest(spark, f"{scratch.path}/in", f"{scratch.path}/out", cut, embed, extract).awaitTermination()
+    scratch.tables.add("out")
+    return f"{scratch.path}/out"
+
+
+@query("ingested_documents", f"WITH {LINES_SQL} SELECT d.doc_id::VARCHAR AS id, 1 AS attempt, CASE WHEN coalesce(bad, 0) = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status, CASE WHEN coalesce(bad, 0) = 0 THEN coalesce(lines, 0) ELSE 0 END AS chunk_count, CASE WHEN coalesce(bad, 0) = 0 THEN coalesce(named, 0) ELSE 0 END AS entity_count FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id")
+def ingested_documents(spark, d):
+    return ingest.statuses(spark, ingested(spark, d)).select("id", "attempt", "status", "chunk_count", "entity_count")
+
+
+@query("ingested_vectors", f"WITH {LINES_SQL} SELECT l.doc_id::VARCHAR AS document_id, count(*) AS vectors, sum(length(line))::DOUBLE AS total FROM l JOIN n ON n.doc_id = l.doc_id WHERE bad = 0 GROUP BY l.doc_id")
+def ingested_vectors(spark, d):
+    rows = ingest.current(spark, ingested(spark, d), "vectors", "chunk_id string, document_id string, vector array<double>")
+    return rows.groupBy("document_id").agg(F.count("*").alias("vectors"), F.sum(F.get("vector", F.lit(0))).alias("total"))
+
+
 @query("legacy_tuples", "SELECT p_partkey, p_name AS name, p_type AS type, p_brand AS description FROM part")
 def legacy_tuples(spark, d):
     text = F.concat(F.lit('x ("'), "p_name", F.lit('", "'), "p_type", F.lit('","'), "p_brand", F.lit('") y'))
