@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import similarity
 from graphloom.functions.text import token_set
 from graphloom.operators.components import components
+from graphloom.plans.scratch import Scratch
 
 SEPARATOR = " | "
 
@@ -52,14 +53,25 @@ def clusters(entities: DataFrame, weights: similarity.Weights = similarity.Weigh
     return named.join(firsts, ["type", "name"]).join(found, "first", "left").select("idx", "type", "name", "description", F.coalesce("component", "first").alias("cluster"))
 
 
+#: Members of a cluster that are folded at a time, by their place in the order of idx.
+SLICE = 4096
+
+
 def canonical(clustered: DataFrame) -> DataFrame:
-    """One row per cluster: the longest name (the first of equally long ones), other names, descriptions joined in order."""
-    rows = F.array_sort(F.collect_list(F.struct("idx", "name", "description")))
-    grouped = clustered.groupBy("cluster", "type").agg(F.max_by("name", F.struct(F.length("name"), F.negate("idx"))).alias("name"), F.count("*").alias("members"), rows.alias("rows"))
-    texts = F.filter(F.transform("rows", lambda r: r["description"]), lambda d: F.coalesce(F.trim(d), F.lit("")) != "")
-    aliases = F.filter(F.transform("rows", lambda r: r["name"]), lambda n: n != F.col("name"))
-    merged = F.when(F.size(texts) > 0, F.array_join(texts, SEPARATOR)).otherwise("No description available")
-    return grouped.select("cluster", "type", "name", "members", aliases.alias("aliases"), merged.alias("description"))
+    """One row per cluster: the longest name (the first of equally long ones), other names, descriptions joined in order.
+
+    Members are folded in slices of idx, each by a task of its own, and slices are put together in order, so that the members of a
+    large cluster are not sorted as one row; what they add up to is one."""
+    best = clustered.groupBy("cluster", "type").agg(F.max_by("name", F.struct(F.length("name"), F.negate("idx"))).alias("name"), F.count("*").alias("members"))
+    sliced = clustered.withColumn("_slice", F.floor(F.col("idx") / SLICE))
+    parts = sliced.groupBy("cluster", "type", "_slice").agg(F.array_sort(F.collect_list(F.struct("idx", "name", "description"))).alias("rows"))
+    texts = F.filter(F.transform("rows", lambda r: r["description"]), lambda t: F.coalesce(F.trim(t), F.lit("")) != "")
+    parts = parts.select("cluster", "type", "_slice", F.transform("rows", lambda r: r["name"]).alias("names"), F.when(F.size(texts) > 0, F.array_join(texts, SEPARATOR)).alias("text"))
+    whole = parts.groupBy("cluster", "type").agg(F.array_sort(F.collect_list(F.struct("_slice", "names", "text"))).alias("parts"))
+    merged = F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t.isNotNull()), SEPARATOR)
+    aliases = F.filter(F.flatten(F.transform("parts", lambda p: p["names"])), lambda n: n != F.col("name"))
+    out = best.join(whole, ["cluster", "type"])
+    return out.select("cluster", "type", "name", "members", aliases.alias("aliases"), F.when(merged == "", "No description available").otherwise(merged).alias("description"))
 
 
 def stats(clustered: DataFrame) -> DataFrame:
@@ -77,14 +89,35 @@ def resolve(entities: DataFrame, weights: similarity.Weights = similarity.Weight
     return canonical(clusters(entities, weights))
 
 
-def merged_descriptions(rows: DataFrame, key: list[str], order: str, limit: int = 1000) -> DataFrame:
-    """Descriptions of one key folded in order: one that is already contained adds nothing; over the limit they are cut."""
+def merged_descriptions(rows: DataFrame, key: list[str], order: str, limit: int = 1000, size: int = 1000) -> DataFrame:
+    """Descriptions of one key folded in order: one that is already contained adds nothing; over the limit they are cut.
+
+    A description counts where it stands first, as it is contained from then on. The first `size` different ones of each key are
+    folded; only keys that have more and are not cut yet take another turn with the next, so no key is ever one row. A
+    text that was cut does not change any more. The type is that of the first row."""
 
     def add(acc: Column, d: Column) -> Column:
         longer = F.concat(acc, F.lit(SEPARATOR), d)
         cut = F.when(F.length(longer) > limit, F.concat(F.substring(longer, 1, limit - 3), F.lit("..."))).otherwise(longer)
         return F.when(F.contains(acc, d), acc).when(acc == "", d).otherwise(cut)
 
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce("description", F.lit("")).alias("d")))), lambda r: r["d"])
-    folded = F.aggregate("_texts", F.lit(""), add)
-    return rows.groupBy(*key).agg(texts.alias("_texts"), F.min_by("type", order).alias("type")).select(*key, "type", folded.alias("description"))
+    kinds = rows.groupBy(*key).agg(F.min_by("type", order).alias("type"))
+    scratch = Scratch(rows.sparkSession, "descriptions")
+    todo = scratch.save(rows.groupBy(*key, F.coalesce("description", F.lit("")).alias("_d")).agg(F.min(order).alias("_at")), "distinct")
+    done, state, turn = None, None, 0
+    while True:
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("_at", "_d"))
+        first = (todo if state is None else todo.join(state.select(*key, "_acc", "_last"), key).filter(F.struct("_at", "_d") > F.col("_last"))).withColumn("_place", place).filter(F.col("_place") <= size)
+        start = F.lit("") if state is None else F.first("_acc")
+        listed = F.array_sort(F.collect_list(F.struct("_at", "_d")))
+        folded = first.groupBy(*key).agg(listed.alias("_rows"), start.alias("_start"))
+        folded = folded.select(*key, F.aggregate(F.transform("_rows", lambda r: r["_d"]), F.col("_start"), add).alias("_acc"), F.element_at("_rows", -1).alias("_last"), (F.size("_rows") == size).alias("_more"))
+        folded = scratch.save(folded, f"turn{turn}")
+        full = (F.length("_acc") == limit) & F.col("_acc").endswith("...")
+        now = folded.select(*key, "_acc", F.lit(turn).alias("_turn"))
+        done = now if done is None else done.unionByName(now)
+        state, turn = folded.filter(F.col("_more") & ~full), turn + 1
+        if state.isEmpty():
+            break
+    texts = done.groupBy(*key).agg(F.max_by("_acc", "_turn").alias("description"))
+    return texts.join(kinds, key).select(*key, "type", "description")

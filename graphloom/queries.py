@@ -251,38 +251,45 @@ def part_entities(spark, d):
     return entities(spark, d).filter("type = 'PART'")
 
 
-LOOSE_SCORE = SCORE.replace("0.35 *", "0.5 *").replace("0.25 *", "0.1 *")
-FIRSTS = "firsts AS (SELECT p_name AS name, min(p_partkey) AS first FROM part GROUP BY p_name)"
-EDGES = f"""{PAIRS.replace('x.name < y.name', 'fx.first < fy.first').replace('FROM names x JOIN names y', 'FROM (names x JOIN firsts fx ON x.name = fx.name) JOIN (names y JOIN firsts fy ON y.name = fy.name)')}, {LOOSE_SCORE},
-    e AS (SELECT fa.first AS x, fb.first AS y, round(raw, 6) AS score, a, b FROM s JOIN firsts fa ON fa.name = s.a JOIN firsts fb ON fb.name = s.b WHERE round(raw, 6) >= 0.52)"""
-REACH = f"""{FIRSTS}, {EDGES}, both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-    reach AS (SELECT first AS node, first AS seen FROM firsts UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON b.x = r.seen), comp AS (SELECT node, min(seen) AS cluster FROM reach GROUP BY node)"""
+def typed_entities(spark, d):
+    """All entities, parts by their own types, so that names meet names of their type only."""
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.concat_ws(" ", "p_brand", "p_type").alias("description"))
+    return part.unionByName(entities(spark, d).filter("type <> 'PART'").select(part.columns))
 
 
-@query("similar_name_pairs", f"WITH {FIRSTS}, {EDGES} SELECT 'PART' AS type, x AS idx_a, y AS idx_b, a AS name_a, b AS name_b, score FROM e")
+LOOSE_SCORE = SCORE.replace("0.35 *", "0.5 *").replace("0.25 *", "0.1 *").replace("SELECT a, b,", "SELECT type, x, y, a, b,")
+TYPED_ENTITIES = f"""{ENTITIES_SQL}, typed AS (SELECT p_partkey AS idx, p_name AS name, p_type AS type, p_brand || ' ' || p_type AS description FROM part UNION ALL SELECT idx, name, type, description FROM entities WHERE type <> 'PART'),
+    firsts AS (SELECT type, name, min(idx) AS first, {NORM.format('name')} AS n, list_distinct(list_filter(string_split({NORM.format('name')}, ' '), lambda x: x <> '')) AS t FROM typed GROUP BY type, name)"""
+EDGES = f"""{TYPED_ENTITIES}, p AS (SELECT u.type, u.first AS x, v.first AS y, u.name AS a, v.name AS b, u.n AS na, v.n AS nb, u.t AS ta, v.t AS tb FROM firsts u JOIN firsts v ON u.type = v.type AND u.first < v.first WHERE list_has_any(u.t, v.t)),
+    {LOOSE_SCORE}, e AS (SELECT type, x, y, round(raw, 6) AS score, a, b FROM s WHERE round(raw, 6) >= 0.52)"""
+REACH = f"""{EDGES}, both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+    reach AS (SELECT first AS node, first AS seen FROM firsts UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON b.x = r.seen), comp AS (SELECT node, min(seen) AS cluster FROM reach GROUP BY node),
+    m AS (SELECT cluster, idx, typed.type, typed.name, description AS d FROM typed JOIN firsts ON firsts.type = typed.type AND firsts.name = typed.name JOIN comp ON node = first)"""
+
+
+@query("similar_name_pairs", f"WITH {EDGES} SELECT type, x AS idx_a, y AS idx_b, a AS name_a, b AS name_b, score FROM e")
 def similar_name_pairs(spark, d):
-    return resolve.similar_pairs(part_entities(spark, d), LOOSE)
+    return resolve.similar_pairs(typed_entities(spark, d), LOOSE)
 
 
-@query("entity_clusters", f"WITH RECURSIVE {REACH} SELECT p_partkey AS idx, p_name AS name, cluster FROM part JOIN firsts ON p_name = name JOIN comp ON node = first")
+@query("entity_clusters", f"WITH RECURSIVE {REACH} SELECT idx, type, name, cluster FROM m")
 def entity_clusters(spark, d):
-    return resolve.clusters(part_entities(spark, d), LOOSE).select("idx", "name", "cluster")
+    return resolve.clusters(typed_entities(spark, d), LOOSE).select("idx", "type", "name", "cluster")
 
 
 @query(
     "entity_resolution",
-    f"""WITH RECURSIVE {REACH}, m AS (SELECT cluster, p_partkey AS idx, p_name AS name, p_brand || ' ' || p_type AS d FROM part JOIN firsts ON p_name = name JOIN comp ON node = first),
-    c AS (SELECT cluster, first(name ORDER BY length(name) DESC, idx) AS name, count(*) AS members, md5(string_agg(d, ' | ' ORDER BY idx)) AS description_md5 FROM m GROUP BY cluster)
-    SELECT c.cluster, c.name, c.members, count(*) FILTER (WHERE m.name <> c.name) AS aliases, c.description_md5 FROM c JOIN m ON m.cluster = c.cluster GROUP BY ALL""",
+    f"""WITH RECURSIVE {REACH}, c AS (SELECT cluster, type, first(name ORDER BY length(name) DESC, idx) AS name, count(*) AS members, md5(string_agg(d, ' | ' ORDER BY idx)) AS description_md5 FROM m GROUP BY cluster, type)
+    SELECT c.cluster, c.type, c.name, c.members, count(*) FILTER (WHERE m.name <> c.name) AS aliases, md5(coalesce(string_agg(m.name, ',' ORDER BY m.idx) FILTER (WHERE m.name <> c.name), '')) AS aliases_md5, c.description_md5 FROM c JOIN m ON m.cluster = c.cluster GROUP BY ALL""",
 )
 def entity_resolution(spark, d):
-    out = resolve.canonical(resolve.clusters(part_entities(spark, d), LOOSE))
-    return out.select("cluster", "name", "members", F.size("aliases").cast("long").alias("aliases"), F.md5("description").alias("description_md5"))
+    out = resolve.canonical(resolve.clusters(typed_entities(spark, d), LOOSE))
+    return out.select("cluster", "type", "name", "members", F.size("aliases").cast("long").alias("aliases"), F.md5(F.array_join("aliases", ",")).alias("aliases_md5"), F.md5("description").alias("description_md5"))
 
 
-@query("resolution_stats", f"WITH RECURSIVE {REACH}, z AS (SELECT cluster, count(*) AS n FROM part JOIN firsts ON p_name = name JOIN comp ON node = first GROUP BY cluster) SELECT CAST(sum(n) AS BIGINT) AS original, count(*) AS resolved, CAST(sum(n) - count(*) AS BIGINT) AS removed, count(*) FILTER (WHERE n > 1) AS clusters, round(100.0 * (sum(n) - count(*)) / sum(n), 6) AS reduction_percent, 100.0 * (sum(n) - count(*)) / sum(n) > 60 AS warning FROM z")
+@query("resolution_stats", f"WITH RECURSIVE {REACH}, z AS (SELECT cluster, count(*) AS n FROM m GROUP BY cluster) SELECT CAST(sum(n) AS BIGINT) AS original, count(*) AS resolved, CAST(sum(n) - count(*) AS BIGINT) AS removed, count(*) FILTER (WHERE n > 1) AS clusters, round(100.0 * (sum(n) - count(*)) / sum(n), 6) AS reduction_percent, 100.0 * (sum(n) - count(*)) / sum(n) > 60 AS warning FROM z")
 def resolution_stats(spark, d):
-    return resolve.stats(resolve.clusters(part_entities(spark, d), LOOSE))
+    return resolve.stats(resolve.clusters(typed_entities(spark, d), LOOSE))
 
 
 @query("entities_by_type", f"WITH {ENTITIES_SQL} SELECT type, count(*) AS n, count(DISTINCT name) AS names FROM entities GROUP BY type")
@@ -292,14 +299,14 @@ def entities_by_type(spark, d):
 
 @query(
     "description_merge_contained",
-    """WITH RECURSIVE o AS (SELECT p_name AS name, p_brand || ' ' || p_type AS d, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part),
-    f AS (SELECT name, CAST(0 AS BIGINT) AS k, '' AS acc FROM (SELECT DISTINCT name FROM o)
-      UNION ALL SELECT f.name, o.k, CASE WHEN contains(f.acc, o.d) THEN f.acc WHEN f.acc = '' THEN o.d WHEN length(f.acc || ' | ' || o.d) > 1000 THEN (f.acc || ' | ' || o.d)[1:997] || '...' ELSE f.acc || ' | ' || o.d END
-      FROM f JOIN o ON o.name = f.name AND o.k = f.k + 1)
-    SELECT name, arg_max(acc, k) AS description FROM f GROUP BY name""",
+    f"""WITH RECURSIVE {ENTITIES_SQL}, o AS (SELECT type, name, description AS d, row_number() OVER (PARTITION BY type, name ORDER BY idx) AS k FROM entities),
+    f AS (SELECT type, name, CAST(0 AS BIGINT) AS k, '' AS acc FROM (SELECT DISTINCT type, name FROM o)
+      UNION ALL SELECT f.type, f.name, o.k, CASE WHEN contains(f.acc, o.d) THEN f.acc WHEN f.acc = '' THEN o.d WHEN length(f.acc || ' | ' || o.d) > 1000 THEN (f.acc || ' | ' || o.d)[1:997] || '...' ELSE f.acc || ' | ' || o.d END
+      FROM f JOIN o ON o.type = f.type AND o.name = f.name AND o.k = f.k + 1)
+    SELECT type, name, arg_max(acc, k) AS description FROM f GROUP BY type, name""",
 )
 def description_merge_contained(spark, d):
-    return resolve.merged_descriptions(part_entities(spark, d), ["name"], "idx").select("name", "description")
+    return resolve.merged_descriptions(entities(spark, d).withColumn("kind", F.col("type")), ["kind", "name"], "idx").select("type", "name", "description")
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------
@@ -613,9 +620,9 @@ def parse_json_extraction(spark, d):
     return extraction.parse_responses(rows, "s_suppkey", "response")[0].drop("seq")
 
 
-@query("gleaning_keep_longest", "SELECT lower(p_name) AS k, first(p_brand || ' ' || p_type ORDER BY length(p_brand || ' ' || p_type) DESC, p_partkey) AS description FROM part GROUP BY lower(p_name)")
+@query("gleaning_keep_longest", f"WITH {ENTITIES_SQL} SELECT lower(name) AS k, first(description ORDER BY length(description) DESC, idx) AS description FROM entities GROUP BY lower(name)")
 def gleaning_keep_longest(spark, d):
-    out = extraction.keep_longer(part_entities(spark, d), F.lower("name"), "idx", ["name", "description"])
+    out = extraction.keep_longer(entities(spark, d), F.lower("name"), "idx", ["name", "description"])
     return out.select(F.lower("name").alias("k"), "description")
 
 
