@@ -18,11 +18,11 @@ def interleaved(items: DataFrame, by: list[str]) -> DataFrame:
     return items.withColumn("place", F.row_number().over(w))
 
 
-def merged_context(items: DataFrame, by: list[str], budget: int, separator_tokens: int = 1) -> DataFrame:
-    """Items taken in turn while they fit; one that does not fit is passed over, and smaller ones may still follow.
-    A separator costs tokens before all but the first. Gives: text, included, truncated, total_tokens."""
-    rows = F.array_sort(F.collect_list(F.struct("item_idx", "source_idx", "content", "tokens")))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(0).alias("skipped"), F.expr("cast(array() AS array<string>)").alias("parts"))
+def _taken(items: DataFrame, by: list[str], budget: int, separator_tokens: int, more: list[str]) -> DataFrame:
+    """For each group `_r`: used, n, skipped, and parts, the items (with more columns) that fit when taken in turn."""
+    rows = F.array_sort(F.collect_list(F.struct("item_idx", "source_idx", "content", "tokens", *more)))
+    out = items.groupBy(*by).agg(rows.alias("_rows"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(0).alias("skipped"), F.slice("_rows", 1, 0).alias("parts"))
 
     def take(acc: Column, x: Column) -> Column:
         cost = x["tokens"].cast("long") + F.when(acc["n"] > 0, separator_tokens).otherwise(0)
@@ -31,11 +31,23 @@ def merged_context(items: DataFrame, by: list[str], budget: int, separator_token
             F.when(fits, acc["used"] + cost).otherwise(acc["used"]).alias("used"),
             (acc["n"] + F.when(fits, 1).otherwise(0)).alias("n"),
             (acc["skipped"] + F.when(fits, 0).otherwise(1)).alias("skipped"),
-            F.when(fits, F.concat(acc["parts"], F.array(x["content"]))).otherwise(acc["parts"]).alias("parts"),
+            F.when(fits, F.concat(acc["parts"], F.array(x))).otherwise(acc["parts"]).alias("parts"),
         )
 
-    out = items.groupBy(*by).agg(rows.alias("_rows")).withColumn("_r", F.aggregate("_rows", start, take))
-    return out.select(*by, F.array_join("_r.parts", "\n\n").alias("text"), F.col("_r.n").alias("included"), F.col("_r.skipped").alias("truncated"), F.col("_r.used").alias("total_tokens"))
+    return out.withColumn("_r", F.aggregate("_rows", start, take))
+
+
+def merged_context(items: DataFrame, by: list[str], budget: int, separator_tokens: int = 1) -> DataFrame:
+    """Items taken in turn while they fit; one that does not fit is passed over, and smaller ones may still follow.
+    A separator costs tokens before all but the first. Gives: text, included, truncated, total_tokens."""
+    out = _taken(items, by, budget, separator_tokens, [])
+    return out.select(*by, F.array_join(F.transform("_r.parts", lambda x: x["content"]), "\n\n").alias("text"), F.col("_r.n").alias("included"), F.col("_r.skipped").alias("truncated"), F.col("_r.used").alias("total_tokens"))
+
+
+def kept_items(items: DataFrame, by: list[str], budget: int, separator_tokens: int = 1) -> DataFrame:
+    """The items themselves that merged_context takes, with their type and their place in it."""
+    out = _taken(items, by, budget, separator_tokens, ["type"])
+    return out.select(*by, F.posexplode("_r.parts").alias("place", "x")).select(*by, "place", "x.*")
 
 
 def capacity(items: DataFrame, by: list[str], order: list, budget: int) -> DataFrame:

@@ -27,6 +27,8 @@ class QueryParam:
     rerank: bool = False
     only_context: bool = False
     response_type: str = "Multiple Paragraphs"
+    chunk_selection: str | None = None  # weighted, or by vectors
+    layout: str | None = None  # grouped or flat: how items stand in a prompt; else one after the other
     compat: bool = False  # as the old service: results of pipeline modes carry no sources
 
 
@@ -75,6 +77,17 @@ def items(rows: DataFrame, kind: str, content: Column, tie: str, limit: int, sou
     return kept.select("query", "type", "content", "source_id", "tokens", place.alias("item_idx"), F.lit(source_idx).alias("source_idx"))
 
 
+def laid_out(found: DataFrame, param: QueryParam) -> DataFrame:
+    """The context of items: joined, or by sections or labels as the layout says."""
+    context = budget.merged_context(found, ["query"], param.max_tokens)
+    if param.layout is None:
+        return context
+    if param.layout not in ("grouped", "flat"):
+        raise ValueError(f"unknown layout {param.layout}")
+    text = item_text(budget.kept_items(found, ["query"], param.max_tokens), ["query"], param.layout == "grouped")
+    return context.drop("text").join(text, "query").select("query", "text", "included", "truncated", "total_tokens")
+
+
 def answer_context(store: Store, probe: Sequence[float], param: QueryParam, rerank: Callable[[DataFrame], DataFrame] | None = None) -> Result:
     """Context and sources of a query in the given mode. BYPASS has neither."""
     if param.mode not in MODES:
@@ -101,7 +114,7 @@ def answer_context(store: Store, probe: Sequence[float], param: QueryParam, rera
         elif kind == "relation" and entities is not None:
             hits = relation_hits(store, entities).withColumn("pair", F.concat_ws("->", "src", "tgt"))
             found = found.unionByName(items(hits, "relation", F.concat_ws(": ", "pair", "description"), "pair", limit, k))
-    context = budget.merged_context(found, ["query"], param.max_tokens)
+    context = laid_out(found, param)
     sources = found.limit(0) if param.compat and param.mode in ("LOCAL", "GLOBAL", "HYBRID") else found
     return Result(context, sources)
 
@@ -198,7 +211,9 @@ def with_fallback(rerank: Callable[[DataFrame], DataFrame] | None) -> Callable[[
 
     def safe(hits: DataFrame) -> DataFrame:
         try:
-            return rerank(hits)
+            found = rerank(hits)
+            rows = found.collect()  # twice chunk_top_k rows at most; a provider fails when it is called, not when it is planned
+            return hits.sparkSession.createDataFrame(rows, found.schema)
         except Exception:  # noqa: BLE001  any failure of a provider
             return hits
 

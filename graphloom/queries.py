@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import code, extraction, html, similarity
 from .functions import text as T
-from .operators import budget, cache, chunking, export, gleaning, graph, lifecycle, lookups, merge, modes, rebuild, resolve, tenants, vector_index, vectors
+from .operators import budget, cache, chunking, export, gleaning, graph, legacy, lifecycle, lookups, merge, modes, rebuild, resolve, tenants, vector_index, vectors
 from .plans.scratch import Scratch
 from .sources.driver import ENTITIES_SQL, RELATIONS_SQL, entities, read
 from .sources.driver import stored_adjacency as adjacency
@@ -809,6 +809,70 @@ for _mode in ("NAIVE", "LOCAL", "GLOBAL", "HYBRID", "MIX"):
     _mode_query(_mode)
 
 
+QUESTION, LOW, HIGH = "Which documents speak of this?", ["thing", "that"], ["suppliers"]
+
+
+def embedding_of(spark, d):
+    """Stands for an embedding model: the stored vector that the length of the text picks."""
+    return lambda text: probe_of(spark, d, len(text) % 50)
+
+
+def legacy_store(spark, d):
+    v = stored_vectors(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("document_id")), "id").filter("content IS NOT NULL")
+    v = v.withColumn("name", F.concat(F.lit("s"), F.col("id") % 150 + 1))
+    vertices = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.lit("SUPPLIER").alias("type"), F.concat(F.lit("nation "), "s_nationkey").alias("description"))
+    return modes.Store(v, vertices, relations(spark, d).filter("description <> 'SUPPLIED_BY'"))
+
+
+def legacy_sql(low, high, weighted=False):
+    """Hits of chunks and of entities for the question with keywords, and the rows of both kinds."""
+    vec = lambda words: f"(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {len(' '.join([QUESTION, *words])) % 50})"
+    boost = "score * (1 + CASE WHEN " + " OR ".join(f"contains(lower(content), '{w}')" for w in low or ["\x01"]) + " THEN 0.15 ELSE 0.0 END)" if weighted else "score"
+    return f"""{RELATIONS_SQL}, st AS (SELECT e.vec_id AS id, d.text AS content, CASE WHEN d.doc_id % 3 > 0 THEN d.source END AS doc, e.label % 2 = 0 AS is_chunk, 's' || (e.vec_id % 150 + 1) AS name, e.embedding::DOUBLE[] AS v FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.text IS NOT NULL),
+    c0 AS (SELECT id, content, doc, round(list_cosine_similarity(v, {vec(low)}), 6) AS score FROM st WHERE is_chunk ORDER BY score DESC, id LIMIT {12 if weighted else 6}),
+    c AS (SELECT id, content, doc, round({boost}, 6) AS score FROM c0 ORDER BY score DESC, id LIMIT 6),
+    ch AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS place, CASE WHEN doc IS NULL THEN content ELSE '[' || doc || '] ' || content END AS line FROM c),
+    h AS (SELECT id, name, round(list_cosine_similarity(v, {vec(high)}), 6) AS score FROM st WHERE NOT is_chunk ORDER BY score DESC, id LIMIT 8),
+    en AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS p0, name FROM h), ent AS (SELECT p0 AS place, name, 'nation ' || s_nationkey AS description FROM en JOIN supplier ON name = 's' || s_suppkey),
+    rel AS (SELECT src, tgt, r.description, min(place) AS place FROM relations r JOIN ent ON name = src OR name = tgt WHERE r.description <> 'SUPPLIED_BY' GROUP BY ALL)"""
+
+
+LOCAL_TEXT = "SELECT md5(coalesce(string_agg(line || chr(10) || chr(10), '' ORDER BY place), '')) AS digest, count(*) AS sources FROM ch"
+GLOBAL_TEXT = "SELECT md5('Entities:' || chr(10) || (SELECT string_agg(name || ' (SUPPLIER): ' || description || chr(10), '' ORDER BY place) FROM ent) || chr(10) || 'Relationships:' || chr(10) || (SELECT string_agg('- ' || src || ' -> ' || tgt || ': ' || description || chr(10), '' ORDER BY place, src, tgt) FROM rel)) AS digest, (SELECT count(*) FROM ent) AS sources"
+
+
+def _shown(result):
+    return result.context.select(F.md5("text").alias("digest")).crossJoin(result.sources.agg(F.count("*").alias("sources")))
+
+
+@query("legacy_local", f"WITH {legacy_sql(LOW, HIGH)} {LOCAL_TEXT}")
+def legacy_local(spark, d):
+    return _shown(legacy.local(legacy_store(spark, d), QUESTION, embedding_of(spark, d), modes.QueryParam(chunk_top_k=6), lambda _: LOW))
+
+
+@query("legacy_local_weighted", f"WITH {legacy_sql(LOW, HIGH, True)} {LOCAL_TEXT}")
+def legacy_local_weighted(spark, d):
+    return _shown(legacy.local(legacy_store(spark, d), QUESTION, embedding_of(spark, d), modes.QueryParam(chunk_top_k=6, chunk_selection=" Weighted"), lambda _: LOW))
+
+
+@query("legacy_global", f"WITH {legacy_sql(LOW, HIGH)} {GLOBAL_TEXT}")
+def legacy_global(spark, d):
+    return _shown(legacy.global_(legacy_store(spark, d), QUESTION, embedding_of(spark, d), modes.QueryParam(top_k=8), lambda _: HIGH))
+
+
+@query(
+    "legacy_hybrid",
+    f"""WITH RECURSIVE {legacy_sql([], HIGH)}, i AS (SELECT place AS item, 0 AS src, line, CAST(ceil(length(line) / 4.0) AS BIGINT) AS tokens FROM ch UNION ALL SELECT place, 1, description, CAST(ceil(length(description) / 4.0) AS BIGINT) FROM ent),
+    o AS (SELECT *, row_number() OVER (ORDER BY item, src) AS p FROM i),
+    f AS (SELECT CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS used, 0 AS n, false AS kept UNION ALL SELECT o.p, CASE WHEN f.used + o.tokens + (f.n > 0)::INT <= 600 THEN f.used + o.tokens + (f.n > 0)::INT ELSE f.used END, f.n + (f.used + o.tokens + (f.n > 0)::INT <= 600)::INT, f.used + o.tokens + (f.n > 0)::INT <= 600 FROM f JOIN o ON o.p = f.p + 1),
+    k AS (SELECT o.* FROM o JOIN f ON f.p = o.p WHERE f.kept), t AS (SELECT src, string_agg(line || chr(10) || chr(10), '' ORDER BY p) AS text FROM k GROUP BY src)
+    SELECT md5(coalesce((SELECT 'Local Context (Text Chunks):' || chr(10) || text FROM t WHERE src = 0), '') || coalesce((SELECT 'Global Context (Knowledge Graph):' || chr(10) || text FROM t WHERE src = 1), '')) AS digest, (SELECT count(*) FROM i) AS sources""",
+)
+def legacy_hybrid(spark, d):
+    """Without low-level keywords, as their extraction fails."""
+    return _shown(legacy.hybrid(legacy_store(spark, d), QUESTION, embedding_of(spark, d), modes.QueryParam(chunk_top_k=6, top_k=8, max_tokens=600), lambda _: 1 / 0, lambda _: HIGH))
+
+
 # --- more of the smaller operators ---------------------------------------------------------------------------------
 
 
