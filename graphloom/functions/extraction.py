@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import extracted_name
+from .text import extracted_name, stripped
 
 #: Fixed values of the format: field and end markers, and the spellings that models give them.
 FIELD, DONE = "{tuple_delimiter}", "{completion_delimiter}"
@@ -34,14 +34,14 @@ def repaired(text: Column) -> Column:
 
 def records(text: Column) -> Column:
     """Non-blank records between line ends and end markers."""
-    return F.filter(F.split(text, r"\n|\{completion_delimiter\}|<\|COMPLETE\|>|<\|complete\|>"), lambda r: F.trim(r) != "")
+    return F.filter(F.split(text, r"\n|\{completion_delimiter\}|<\|COMPLETE\|>|<\|complete\|>"), lambda r: stripped(r) != "")
 
 
 def unglued(record: Column) -> Column:
     """Records that were run together, each with its kind in front; entity marks are looked for first."""
 
     def cut(kind: str) -> Column:
-        parts = F.filter(F.split(record, rf"(?i)\{{tuple_delimiter\}}{kind}\{{tuple_delimiter\}}"), lambda p: F.trim(p) != "")
+        parts = F.filter(F.split(record, rf"(?i)\{{tuple_delimiter\}}{kind}\{{tuple_delimiter\}}"), lambda p: stripped(p) != "")
         return F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(kind + FIELD), p)))
 
     has = lambda kind: F.contains(F.lower(record), F.lit(FIELD + kind + FIELD))
@@ -49,13 +49,13 @@ def unglued(record: Column) -> Column:
 
 
 def _fields(record: Column) -> Column:
-    return F.split(F.trim(record), FIELD_PATTERN)
+    return F.split(stripped(record), FIELD_PATTERN)
 
 
 def parsed_entity(record: Column) -> Column:
     """Struct of name, type and description, or null: four fields and a name are needed; a blank type is CONCEPT."""
     f = _fields(record)
-    at = lambda i: F.trim(F.get(f, F.lit(i)))
+    at = lambda i: stripped(F.get(f, F.lit(i)))
     name = extracted_name(at(1))
     ok = (F.lower(at(0)) == "entity") & (F.size(f) >= 4) & (name != "")
     return F.when(ok, F.struct(name.alias("name"), F.when(at(2) == "", "CONCEPT").otherwise(at(2)).alias("type"), at(3).alias("description")))
@@ -64,7 +64,7 @@ def parsed_entity(record: Column) -> Column:
 def parsed_relation(record: Column) -> Column:
     """Struct of src, tgt, keywords, description and weight, or null: five fields and two different names are needed."""
     f = _fields(record)
-    at = lambda i: F.trim(F.get(f, F.lit(i)))
+    at = lambda i: stripped(F.get(f, F.lit(i)))
     src, tgt = extracted_name(at(1)), extracted_name(at(2))
     ok = (F.lower(at(0)) == "relation") & (F.size(f) >= 5) & (src != "") & (tgt != "") & (F.lower(src) != F.lower(tgt))
     return F.when(ok, F.struct(src.alias("src"), tgt.alias("tgt"), at(3).alias("keywords"), F.when(at(4) == "", "RELATED_TO").otherwise(at(4)).alias("description"), F.lit(1.0).alias("weight")))
@@ -75,7 +75,7 @@ JSON_SCHEMA = "struct<entities:array<struct<name:string,type:string,description:
 
 def parsed_json(response: Column) -> Column:
     """The JSON payload of a response, without a code fence around it; null if it is none."""
-    body = F.trim(F.regexp_replace(F.trim(response), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+    body = stripped(F.regexp_replace(stripped(response), r"(?s)^```(?:json)?\s*|\s*```$", ""))
     return F.when(body.startswith("{") & body.endswith("}"), F.from_json(body, JSON_SCHEMA, {"mode": "PERMISSIVE"}))
 
 

@@ -15,13 +15,22 @@ def normal_name(name: Column) -> Column:
     return F.trim(kept)
 
 
+#: Characters that count as blank at the ends of a text: the space and all before it.
+BLANKS = "".join(map(chr, range(33)))
+
+
+def stripped(text: Column) -> Column:
+    """Without blanks at the ends, line ends and tabs included."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def stored_name(name: Column) -> Column:
-    return F.lower(F.trim(name))
+    return F.lower(stripped(name))
 
 
 def extracted_name(name: Column, limit: int = 500) -> Column:
     """Without one pair of matching quotes around it, with single spaces, cut at the limit."""
-    trimmed = F.trim(name)
+    trimmed = stripped(name)
     bare = F.when(F.length(trimmed) < 2, trimmed)
     for quote in ('"', "'"):
         bare = bare.when(trimmed.startswith(quote) & trimmed.endswith(quote), F.substring(trimmed, F.lit(2), F.length(trimmed) - 2))

@@ -588,36 +588,73 @@ def transient_errors(spark, d):
 
 # --- extraction ----------------------------------------------------------------------------------------------------
 
-LINES = "'entity<|#|>' || s_name || '<|#|>SUPPLIER<|#|>nation ' || s_nationkey || chr(10) || 'relation{tuple_delimiter}' || s_name || '{tuple_delimiter}nation ' || s_nationkey || '{tuple_delimiter}located{tuple_delimiter}is in{completion_delimiter}'"
-
-
 def responses(spark, d):
-    name, nation = F.col("s_name"), F.col("s_nationkey").cast("string")
-    text = F.concat(F.lit("entity<|#|>"), name, F.lit("<|#|>SUPPLIER<|#|>nation "), nation, F.lit("\nrelation{tuple_delimiter}"), name, F.lit("{tuple_delimiter}nation "), nation, F.lit("{tuple_delimiter}located{tuple_delimiter}is in{completion_delimiter}"))
+    """Answers of seven kinds: all well, too short, blank type and a loop, other spellings of markers and repeated ones (which
+    count as one), pipes, glued records, quoted and over-long names."""
+    name, nation = F.col("s_name"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
+    f, kind = "{tuple_delimiter}", F.col("s_suppkey") % 7
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    text = (
+        F.when(kind == 0, put("entity<|#|>", name, "<|#|>SUPPLIER<|#|>", nation, f"\nrelation{f}", name, f, nation, f"{f}located{f}is in{{completion_delimiter}}"))
+        .when(kind == 1, put("entity<|#|>", name, "<|#|>SUPPLIER\nrelation<|#|>", name, "<|#|>", nation, "<|#|>located\nplain words"))
+        .when(kind == 2, put("ENTITY<|#|>", name, "<|#|> <|#|>", nation, "\nrelation<|#|>", name, "<|#|>", F.upper(name), "<|#|>k<|#|>d<|COMPLETE|>relation<|#|> <|#|>", nation, "<|#|>k<|#|>d"))
+        .when(kind == 3, put("entity{ TUPLE_DELIMITER }", name, "{ TUPLE_DELIMITER }SUPPLIER{ TUPLE_DELIMITER }", nation, "\nrelation<|#", name, "#|>", nation, "<|#|><|#|>located<|#|> {Completion_Delimiter}"))
+        .when(kind == 4, put("entity|", name, "|SUPPLIER|", nation, "|\nrelation|", name, "|", nation, "|located|is in||\nentity|too|few"))
+        .when(kind == 5, put("entity<|#|>", name, "<|#|>SUPPLIER<|#|>", nation, "<|#|>entity<|#|>", nation, "<|#|>NATION<|#|>of ", name, "\nrelation<|#|>", name, "<|#|>", nation, "<|#|>a<|#|>b<|#|>relation<|#|>", nation, "<|#|>", name, "<|#|>c<|#|>d"))
+        .otherwise(put("entity<|#|> \"", name, "\" <|#|>SUPPLIER<|#|>  ", nation, "\nentity<|#|>'  a   b  '<|#|>T<|#|>x\nentity<|#|>", F.repeat(F.lit("long "), 120), "<|#|>T<|#|>y\nentity<|#|>''<|#|>T<|#|>z"))
+    )
     return read(spark, d, "supplier").select("s_suppkey", text.alias("response"))
 
 
-@query("parse_entities", "SELECT s_suppkey, trim(regexp_replace(s_name, '\\s+', ' ', 'g')) AS name, 'SUPPLIER' AS type, 'nation ' || s_nationkey AS description FROM supplier")
+@query(
+    "parse_entities",
+    """WITH s AS (SELECT s_suppkey, s_suppkey % 7 AS kind, s_name, 'nation ' || s_nationkey AS nation FROM supplier)
+    SELECT s_suppkey, s_name AS name, CASE WHEN kind = 2 THEN 'CONCEPT' ELSE 'SUPPLIER' END AS type, nation AS description FROM s WHERE kind <> 1
+    UNION ALL SELECT s_suppkey, nation, 'NATION', 'of ' || s_name FROM s WHERE kind = 5
+    UNION ALL SELECT s_suppkey, 'a b', 'T', 'x' FROM s WHERE kind = 6 UNION ALL SELECT s_suppkey, left(repeat('long ', 120), 500), 'T', 'y' FROM s WHERE kind = 6""",
+)
 def parse_entities(spark, d):
     return extraction.parse_responses(responses(spark, d), "s_suppkey", "response")[0].drop("seq")
 
 
-@query("parse_relations", "SELECT s_suppkey, trim(regexp_replace(s_name, '\\s+', ' ', 'g')) AS src, 'nation ' || s_nationkey AS tgt, 'located' AS keywords, 'is in' AS description, 1.0::DOUBLE AS weight FROM supplier")
+@query(
+    "parse_relations",
+    """WITH s AS (SELECT s_suppkey, s_suppkey % 7 AS kind, s_name, 'nation ' || s_nationkey AS nation FROM supplier)
+    SELECT s_suppkey, s_name AS src, nation AS tgt, 'located' AS keywords, 'is in' AS description, 1.0::DOUBLE AS weight FROM s WHERE kind IN (0, 4)
+    UNION ALL SELECT s_suppkey, s_name, nation, 'located', 'RELATED_TO', 1.0 FROM s WHERE kind = 3
+    UNION ALL SELECT s_suppkey, s_name, nation, 'a', 'b', 1.0 FROM s WHERE kind = 5 UNION ALL SELECT s_suppkey, nation, s_name, 'c', 'd', 1.0 FROM s WHERE kind = 5""",
+)
 def parse_relations(spark, d):
     return extraction.parse_responses(responses(spark, d), "s_suppkey", "response")[1].drop("seq")
 
 
-@query("parse_keywords", "SELECT s_suppkey, [lower(s_name), 'trade'] AS high, ['nation ' || s_nationkey] AS low FROM supplier")
+@query("parse_keywords", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN [lower(s_name), 'trade'] WHEN 1 THEN [] WHEN 2 THEN [lower(s_name)] ELSE ['a  b', 'a  b'] END AS high, CASE s_suppkey % 4 WHEN 0 THEN ['nation ' || s_nationkey] WHEN 3 THEN ['x'] ELSE [] END AS low FROM supplier")
 def parse_keywords(spark, d):
-    text = F.concat(F.lit("HIGH_LEVEL_KEYWORDS: "), "s_name", F.lit(", Trade, none\nlow_level_keywords: Nation "), F.col("s_nationkey").cast("string"))
+    kind, name, nation = F.col("s_suppkey") % 4, F.col("s_name"), F.col("s_nationkey").cast("string")
+    text = F.when(kind == 0, F.concat(F.lit("HIGH_LEVEL_KEYWORDS: "), name, F.lit(", Trade, none\nlow_level_keywords: Nation "), nation)).when(kind == 1, F.concat(F.lit("no keywords: "), name))
+    text = text.when(kind == 2, F.concat(F.lit("low_LEVEL_keywords: NONE, ,\nwords before High_Level_Keywords:   "), name)).otherwise(F.lit("HIGH_LEVEL_KEYWORDS:A  b,,a  B \nLOW_LEVEL_KEYWORDS:\tX"))
     return read(spark, d, "supplier").select("s_suppkey", extraction.keywords(text, "HIGH").alias("high"), extraction.keywords(text, "LOW").alias("low"))
 
 
-@query("parse_json_extraction", "SELECT s_suppkey, s_name AS name, 'SUPPLIER' AS type, '' AS description FROM supplier")
+def json_responses(spark, d):
+    """Fenced and bare JSON, with blank names, missing fields, relationships, and what is no JSON."""
+    kind, name = F.col("s_suppkey") % 5, F.col("s_name")
+    entity = F.struct(name.alias("name"), F.when(kind != 1, F.lit("SUPPLIER")).alias("type"), F.when(kind == 2, F.lit("text")).alias("description"))
+    blank = F.struct(F.lit("  ").alias("name"), F.lit("T").cast("string").alias("type"), F.lit("d").cast("string").alias("description"))
+    to = F.struct(name.alias("source"), F.when(kind != 3, F.lit("Market")).otherwise(" ").alias("target"), F.when(kind != 1, F.lit("sells")).alias("type"), F.when(kind == 2, F.lit("goods")).alias("description"))
+    body = F.to_json(F.struct(F.array(entity, blank).alias("entities"), F.array(to).alias("relationships")))
+    text = F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("  "), body, F.lit("\n"))).when(kind == 4, F.concat(F.lit("Here it is: "), body)).otherwise(F.concat(F.lit("```"), body, F.lit("```")))
+    return read(spark, d, "supplier").select("s_suppkey", text.alias("response"))
+
+
+@query("parse_json_extraction", "SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 5 = 1 THEN 'CONCEPT' ELSE 'SUPPLIER' END AS type, CASE WHEN s_suppkey % 5 = 2 THEN 'text' ELSE '' END AS description FROM supplier WHERE s_suppkey % 5 <> 4")
 def parse_json_extraction(spark, d):
-    body = F.to_json(F.struct(F.array(F.struct(F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("type"))).alias("entities")))
-    rows = read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"))
-    return extraction.parse_responses(rows, "s_suppkey", "response")[0].drop("seq")
+    return extraction.parse_responses(json_responses(spark, d), "s_suppkey", "response")[0].drop("seq")
+
+
+@query("parse_json_relations", "SELECT s_suppkey, s_name AS src, 'Market' AS tgt, CASE WHEN s_suppkey % 5 = 1 THEN '' ELSE 'sells' END AS keywords, CASE WHEN s_suppkey % 5 = 2 THEN 'goods' ELSE 'RELATED_TO' END AS description, 1.0::DOUBLE AS weight FROM supplier WHERE s_suppkey % 5 < 3")
+def parse_json_relations(spark, d):
+    return extraction.parse_responses(json_responses(spark, d), "s_suppkey", "response")[1].drop("seq")
 
 
 @query("gleaning_keep_longest", f"WITH {ENTITIES_SQL} SELECT lower(name) AS k, first(description ORDER BY length(description) DESC, idx) AS description FROM entities GROUP BY lower(name)")
@@ -1109,11 +1146,11 @@ def tenant_edges(spark, d):
     return graph.of_project(relations(spark, d).withColumnRenamed("document_id", "project_id"), "d3").select("src", "tgt", "weight")
 
 
-@query("vectors_project_backfill", "SELECT v.vec_id AS id, coalesce(CASE WHEN v.vec_id % 3 = 0 THEN v.label END, d.n_chars % 5, -1) AS project_id FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id")
+@query("vectors_project_backfill", "SELECT v.vec_id AS id, coalesce(CASE WHEN v.vec_id % 3 = 0 THEN v.label END, d.n_chars % 5)::VARCHAR AS project_id FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id AND d.doc_id % 5 > 0")
 def vectors_project_backfill(spark, d):
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("document_id"), F.when(F.col("vec_id") % 3 == 0, F.col("label").cast("long")).alias("project_id"))
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 5).cast("long").alias("project_id"))
-    return tenants.with_project(v, docs).select("id", F.coalesce("project_id", F.lit(-1).cast("long")).alias("project_id"))
+    docs = read(spark, d, "documents").filter("doc_id % 5 > 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 5).cast("long").alias("project_id"))
+    return tenants.with_project(v, docs).select("id", F.col("project_id").cast("string").alias("project_id"))
 
 
 @query("vectors_without_document", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id * 3 NOT IN (SELECT doc_id FROM documents)")
@@ -1305,10 +1342,17 @@ def new_entities_count(spark, d):
     return lifecycle.new_count(p.filter("p_partkey <= 5").select(F.upper("p_brand").alias("name")), p.select(F.col("p_brand").alias("name")), "name")
 
 
-@query("summaries_in_groups", "SELECT p_brand, md5(string_agg(p_name, '+' ORDER BY p_partkey)) AS digest FROM part GROUP BY p_brand")
+@query(
+    "summaries_in_groups",
+    """WITH RECURSIVE r AS (SELECT 0 AS turn, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_name AS text FROM part WHERE p_partkey % 3 > 0 OR p_size < 10
+      UNION ALL SELECT turn + 1, p_brand, g + 1, CASE WHEN count(*) = 1 THEN first(text) ELSE '(' || string_agg(text, '+' ORDER BY n) || ')' END
+      FROM (SELECT *, CASE WHEN size <= 10 THEN 0 ELSE (n - 1) // 5 END AS g FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS size FROM r) WHERE size > 1) GROUP BY turn, p_brand, g)
+    SELECT p_brand, md5(arg_max(text, turn)) AS digest FROM r GROUP BY p_brand""",
+)
 def summaries_in_groups(spark, d):
-    rows = read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_name").alias("description"))
-    return modes.summarize(rows, ["p_brand"], "p_partkey", lambda texts: F.array_join(texts, "+")).select("p_brand", F.md5("description").alias("digest"))
+    """The stand-in for a model puts brackets around each group."""
+    rows = read(spark, d, "part").filter("p_partkey % 3 > 0 OR p_size < 10").select("p_brand", "p_partkey", F.col("p_name").alias("description"))
+    return modes.summarize(rows, ["p_brand"], "p_partkey", lambda texts: F.concat(F.lit("("), F.array_join(texts, "+"), F.lit(")"))).select("p_brand", F.md5("description").alias("digest"))
 
 
 @query("code_files", f"WITH {FILES_SQL} SELECT doc_id, regexp_extract(lower(name), '\\.([^.]+)$', 1) IN ('java', 'py', 'sql', 'clj', 'json', 'rs', 'toml', 'ts', 'sol', 'f90') AS is_code FROM files".replace("\\\\", "\\"))
