@@ -32,6 +32,14 @@ ASIDE_WORDS = {
     "disqus", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "popup", "promo", "replies", "respond",
     "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
+#: Words that add nothing to a class name: one of an aside's words with others than these, as in "social-movements", is but weak.
+PLAIN_WORDS = {
+    "area", "article", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "center", "col", "column", "container", "content", "count", "cta", "footer", "form", "group", "header", "holder",
+    "icon", "icons", "inline", "inner", "item", "items", "law", "leaderboard", "left", "link", "links", "list", "main", "message", "more", "notice", "outer", "page", "panel", "policy", "popular", "post", "posts",
+    "primary", "related", "right", "row", "secondary", "section", "site", "slot", "small", "text", "thread", "title", "top", "unit", "us", "view", "wrap", "wrapper", "zone",
+}
+#: Elements that stand for text itself: inside a main element their class says nothing.
+TEXT = {"p", "blockquote", "li", "dd", "dt", "td", "th", "tr", "pre", "figure", "figcaption"}
 WEAK_WORDS = {"banner", "footer", "header", "notice", "notices", "related", "search"}
 MAIN_WORDS = {"article", "articlebody", "main", "post", "entry", "story"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -52,26 +60,28 @@ class Block:
     link_words: int
     tag: str
     main: bool
-    aside: bool
+    asides: tuple[int, ...]  # where the elements begin that mark it as aside, the outermost first
     weak: bool
     at: int
+    aside: bool = False
 
     @property
     def density(self) -> float:
         return self.link_words / self.words if self.words else 0.0
 
 
-def place(tag: str, attributes: str) -> str:
+def place(tag: str, attributes: str, in_main: bool = False) -> str:
     """What an element says of what it holds: aside, weak (perhaps aside), main or nothing."""
     if tag in ASIDE:
         return "aside"
-    if tag in HEADINGS:
+    if tag in HEADINGS or in_main and tag in TEXT:
         return ""
-    named = {w.lower() for _, *values in ATTRIBUTE.findall(attributes) for v in values for w in WORDS.findall(v)} if attributes else set()
+    names = [{w.lower() for w in WORDS.findall(name)} for _, *values in ATTRIBUTE.findall(attributes) for v in values for name in v.split()] if attributes else []
+    named = set().union(*names)
     if tag not in ("html", "body", "article", "main"):
-        if named & ASIDE_WORDS:
+        if any(n & ASIDE_WORDS and n <= ASIDE_WORDS | PLAIN_WORDS for n in names):
             return "aside"
-        if tag == "header" or named & WEAK_WORDS:
+        if tag == "header" or named & (WEAK_WORDS | ASIDE_WORDS):
             return "weak"
     return "main" if tag in ("article", "main") or named & MAIN_WORDS and tag not in ("html", "body") else ""
 
@@ -80,6 +90,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks in page order, without markup; white space is one space, character references are decoded."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    asides: list[int] = []
     parts: list[str] = []
     linked: list[str] = []
     depth = {"main": 0, "aside": 0, "weak": 0, "": 0}
@@ -89,10 +100,17 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             n = len(text.split())
-            out.append(Block(text, n, min(n, len(html.unescape(" ".join(linked)).split())), tag_now, depth["main"] > 0, depth["aside"] > 0, depth["weak"] > 0, since))
+            out.append(Block(text, n, min(n, len(html.unescape(" ".join(linked)).split())), tag_now, depth["main"] > 0, tuple(asides), depth["weak"] > 0, since))
         parts.clear()
         linked.clear()
 
+    def close_one() -> str:
+        tag, kind = stack.pop()
+        depth[kind] -= 1
+        if kind == "aside":
+            asides.pop()
+        return tag
+
     at, end = 0, len(page)
     unclosed: set[str] = set()
     while at < end:
@@ -119,13 +137,10 @@ def blocks(page: str) -> list[Block]:
             if any(t == tag for t, _ in stack):
                 if tag in INLINE and not any(t == tag for t, _ in stack[-8:]):
                     continue
-                while stack:
-                    t, kind = stack.pop()
-                    depth[kind] -= 1
-                    if t == tag:
-                        break
+                while stack and close_one() != tag:
+                    pass
             continue
-        if tag in RAW and not m[0].endswith("/>"):
+        if tag in RAW and not m[0].endswith("/>") and not (tag == "button" and any(t == "p" for t, _ in stack[-4:])):  # a button in a sentence is a word of it
             if tag not in ("button", "select", "textarea"):
                 flush()
             if tag not in unclosed:
@@ -141,16 +156,43 @@ def blocks(page: str) -> list[Block]:
             flush()
             tag_now = tag
         if tag not in VOID and not m[0].endswith("/>"):
-            kind = place(tag, m[3])
+            kind = place(tag, m[3], depth["main"] > 0)
             if tag == "p":  # an open paragraph ends where the next one starts
                 while stack and stack[-1][0] in INLINE | {"p"} and any(t == "p" for t, _ in stack):
-                    depth[stack.pop()[1]] -= 1
+                    close_one()
             stack.append((tag, kind))
             depth[kind] += 1
+            if kind == "aside":
+                asides.append(m.start())
     flush()
+    held = wrappers(out)
+    for b in out:
+        b.aside = any(a not in held for a in b.asides)
     return out
 
 
+def wrappers(found: list[Block]) -> set[int]:
+    """Elements that look like asides but hold the page, as a form around all of it: prose of some length, and no prose
+    outside of them but in other asides. The outermost is looked at first, then what stands inside it."""
+    prose = [b for b in found if b.words - b.link_words >= PROSE and b.density < 0.5]
+    held: set[int] = set()
+    while prose:
+        outside = [b for b in prose if all(a in held for a in b.asides)]
+        words: dict[int, int] = {}
+        for b in prose:
+            first = next((a for a in b.asides if a not in held), None)
+            if first is not None:
+                words[first] = words.get(first, 0) + b.words - b.link_words
+        best = max(words, key=lambda a: (words[a], -a), default=None)
+        if outside or best is None or words[best] < WRAPPED:
+            break
+        held.add(best)
+    return held
+
+
+#: Words of a block of prose, and those that an element needs to be the page's wrapper.
+PROSE, WRAPPED = 10, 50
+
 FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "main", "aside", "weak", "heading", "main_page")
 
 

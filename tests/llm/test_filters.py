@@ -320,3 +320,22 @@ def test_the_shuffled_path_writes_only_what_may_be_the_benchmarks(spark):
     cut, ask = decontaminate.benchmark_windows(bench, decontaminate.WINDOW)
     lengths = sorted(r[0] for r in ask.filter("whole > 0").select("whole").distinct().collect())
     assert len(lengths) > 2 and decontaminate.asked(src, cut, lengths, decontaminate.WINDOW).count() < 100
+
+
+def test_wrappers_and_names_of_parts_do_not_hide_the_article():
+    """Forms and widgets around the page, class names that only look like asides, buttons in sentences; asides stay out."""
+    some = lambda n, mark="KEEP": f"{mark} " + " ".join("some plain words of a page that say things".split()[k % 8] for k in range(n))
+    nav, foot = "<nav><a href=/a>Home</a> <a href=/b>More things</a></nav>", f"<footer><p>{some(9, 'DROP')}</p></footer>"
+    comments = f"<div class='comments'><p>{some(80, 'DROP')}</p><p>{some(80, 'DROP')}</p></div>"
+    pages = [
+        f"<body><form action=x>{nav}<h1>{some(5)}</h1><p>{some(60)}</p><p>{some(50)}</p><input>{foot}</form></body>",
+        f"<body><form><div class='sidebar'>{some(20, 'DROP')}</div><div><p>{some(60)}</p><p>{some(50)}</p></div></form></body>",
+        f"<body><div class='widget-content'><p>{some(150)}</p></div></body>",
+        f"<article><p>{some(60)}</p><section class='social-movements'><p>{some(40)}</p></section><div class='tasting-menu'><p>{some(30)}</p></div><blockquote class='comment'>{some(20)}</blockquote></article>{foot}",
+        f"<article><p>{some(60)} <button>KEEP press</button> {some(3)}</p>{comments}</article>",
+        f"{nav}<div><h1>KEEP x</h1><p>{some(40)}</p></div><div class='comment-list'><p>{some(80, 'DROP')}</p><p>{some(80, 'DROP')}</p></div><div class='cookie-notice'>{some(30, 'DROP')}</div>{foot}",
+        f"{nav}<div class='cookie-notice'><p>{some(25, 'DROP')}</p></div><form><p>{some(12, 'DROP')}</p><input></form>{foot}",
+    ]
+    for page in pages:
+        text = html_extract.main_text(page).split()
+        assert (text.count("KEEP"), text.count("DROP")) == (page.count("KEEP"), 0), page
