@@ -528,7 +528,19 @@ def fixed_window_chunks(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(chunking.window_slices(F.col("text"), 100, 10)).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5("c").alias("digest"))
 
 
-@query("sentence_chunks")
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+SENTENCES_SQL = f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE length(text) > 0),
+    s AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM l), t AS (SELECT doc_id, s, i, CAST(ceil(length(s) / 4.0) AS BIGINT) AS n FROM s),
+    f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS now, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS done FROM l
+      UNION ALL SELECT doc_id, i, CASE WHEN big THEN '' WHEN full_now THEN CASE WHEN tail <> '' THEN tail || ' ' ELSE '' END || s || ' ' ELSE now || s || ' ' END,
+        CASE WHEN big THEN 0 WHEN full_now THEN CAST(ceil(length(tail) / 4.0) AS BIGINT) + n ELSE used + n END,
+        CASE WHEN big THEN list_concat(CASE WHEN bare <> '' THEN [bare] ELSE CAST([] AS VARCHAR[]) END, list_transform(range(0, greatest(1, CAST(ceil((length(s) - 800) / 720.0) AS BIGINT) + 1)), lambda k: substr(s, k * 720 + 1, 800))) WHEN full_now THEN [bare] ELSE CAST([] AS VARCHAR[]) END
+      FROM (SELECT t.doc_id, t.i, t.s, t.n, f.now, f.used, {STRIP.format('f.now')} AS bare, right({STRIP.format('f.now')}, 80) AS tail, t.n > 200 AS big, f.used + t.n > 200 AND {STRIP.format('f.now')} <> '' AS full_now FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1)),
+    c AS (SELECT doc_id, i, unnest(done) AS content, generate_subscripts(done, 1) AS k FROM f UNION ALL SELECT doc_id, max(i) + 1, {STRIP.format('arg_max(now, i)')}, 0 FROM f GROUP BY doc_id)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS chunk_index, content FROM c WHERE content <> ''"""
+
+
+@query("sentence_chunks", SENTENCES_SQL)
 def sentence_chunks(spark, d):
     return chunking.sentence_chunks(read(spark, d, "documents"), "doc_id", "text", 200, 20)
 
@@ -544,9 +556,31 @@ def character_chunks(spark, d):
     return chunking.character_chunks(read(spark, d, "documents"), "doc_id", "text", 500)
 
 
-@query("code_chunks")
+def source_code(spark, d):
+    """A file of code for each document: classes, functions, imports, empty lines and statements of many lengths."""
+    line = F.expr("""transform(sequence(0, cast(n_chars % 140 as int)), i -> CASE (i * 7 + doc_id) % 13 WHEN 0 THEN concat('public class K', i, ' {') WHEN 1 THEN concat('def f', i, '(a, b):') WHEN 2 THEN 'import os' WHEN 3 THEN ''
+      ELSE concat('    x', i, ' = ', repeat('y', cast((i * 11 + doc_id) % 60 as int))) END)""")
+    return read(spark, d, "documents").select("doc_id", F.array_join(line, "\n").alias("code"))
+
+
+CODE_SQL = """WITH RECURSIVE i AS (SELECT doc_id, CAST(n_chars % 140 AS BIGINT) + 1 AS m, unnest(range(0, CAST(n_chars % 140 AS BIGINT) + 1)) AS i FROM documents),
+    l AS (SELECT doc_id, m, i, CASE (i * 7 + doc_id) % 13 WHEN 0 THEN 'public class K' || i || ' {' WHEN 1 THEN 'def f' || i || '(a, b):' WHEN 2 THEN 'import os' WHEN 3 THEN '' ELSE '    x' || i || ' = ' || repeat('y', CAST((i * 11 + doc_id) % 60 AS INTEGER)) END AS line,
+      CASE (i * 7 + doc_id) % 13 WHEN 0 THEN 'CLASS' WHEN 1 THEN 'FUNCTION' END AS kind, CASE (i * 7 + doc_id) % 13 WHEN 0 THEN 'K' || i WHEN 1 THEN 'f' || i END AS scope FROM i),
+    p AS MATERIALIZED (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS before FROM l),
+    b AS (SELECT x.doc_id, x.i, coalesce(max(y.i), 0) AS back FROM p x LEFT JOIN p y ON y.doc_id = x.doc_id AND y.i < x.i AND x.before - y.before >= 80 GROUP BY x.doc_id, x.i),
+    q AS MATERIALIZED (SELECT p.*, b.back, p.before - o.before AS back_size FROM p JOIN b USING (doc_id, i) JOIN p o ON o.doc_id = p.doc_id AND o.i = b.back),
+    f AS (SELECT DISTINCT doc_id, m, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS start, CAST(0 AS HUGEINT) AS size, 'FILE' AS scope, 'FILE' AS kind, CAST(-1 AS BIGINT) AS cut_from, '' AS cut_scope, '' AS cut_kind FROM i
+      UNION ALL SELECT doc_id, m, i, CASE WHEN cut THEN back ELSE start END, CASE WHEN cut THEN back_size ELSE size END + length(line) + (i < m - 1)::INT, coalesce(new_scope, scope), coalesce(new_kind, kind), CASE WHEN cut THEN start ELSE -1 END, scope, kind
+      FROM (SELECT q.doc_id, q.i, q.m, q.line, q.back, q.back_size, q.scope AS new_scope, q.kind AS new_kind, f.start, f.size, f.scope, f.kind, f.size > 0 AND f.size + length(q.line) + 1 > 800 AS cut FROM f JOIN q ON q.doc_id = f.doc_id AND q.i = f.i + 1)),
+    c AS (SELECT doc_id, cut_from AS a, i AS z, cut_scope AS scope, cut_kind AS kind, true AS inner_one FROM f WHERE cut_from >= 0 UNION ALL SELECT doc_id, start, i + 1, scope, kind, false FROM f WHERE size > 0 AND i + 1 = m)
+    SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY z, inner_one DESC) - 1 AS INTEGER) AS chunk_index, md5(string_agg(line, chr(10) ORDER BY l.i) || CASE WHEN inner_one THEN chr(10) ELSE '' END) AS digest, CAST(a + 1 AS INTEGER) AS start_line, CAST(z AS INTEGER) AS end_line, c.scope AS containing_scope, c.kind AS scope_type, 'CODE' AS chunk_type
+    FROM c JOIN l ON l.doc_id = c.doc_id AND l.i >= a AND l.i < z GROUP BY c.doc_id, a, z, c.scope, c.kind, inner_one"""
+
+
+@query("code_chunks", CODE_SQL)
 def code_chunks(spark, d):
-    return chunking.code_chunks(read(spark, d, "documents"), "doc_id", "text", 200, 20)
+    found = chunking.code_chunks(source_code(spark, d), "doc_id", "code", 200, 20)
+    return found.withColumn("digest", F.md5("content")).drop("content")
 
 
 def _html_sql() -> str:
