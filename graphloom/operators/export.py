@@ -66,6 +66,43 @@ def markdown_rows(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return with_count(rows).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
 
 
+#: Sections of a Markdown document with their columns and the rules below them.
+SECTIONS = {
+    "Entities": ("| Name | Type | Description | Document ID | Sources |", "|------|------|-------------|-------------|---------|"),
+    "Relations": ("| Source | Target | Description | Keywords | Weight |", "|--------|--------|-------------|----------|--------|"),
+}
+
+
+def escaped(value: Column) -> Column:
+    """A Markdown cell: pipes escaped, line feeds as spaces, no carriage returns; null is empty."""
+    return F.replace(F.replace(F.replace(F.coalesce(value, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
+
+
+def markdown_document(vertices: DataFrame, edges: DataFrame, config: ExportConfig = ExportConfig(format="markdown")) -> DataFrame:
+    """The lines of a Markdown document, (section, number, line): headings with counts, tables, descriptions cut at 100
+    characters, max_items for each section. Empty sections are left out; an empty line stands between two. Rows are in order
+    of their first columns and numbered without passing one task."""
+    cut = F.when(F.length("description") > 100, F.concat(F.substring("description", 1, 97), F.lit("..."))).otherwise(F.col("description"))
+    dash = lambda c: escaped(F.coalesce(F.col(c), F.lit("-"))) if c in vertices.columns else F.lit("-")
+    cells = {
+        "Entities": (vertices, ["name", "type"], [escaped(F.col("name")), dash("type"), escaped(cut), dash("document_id"), F.coalesce(F.size("source_chunk_ids"), F.lit(0)).cast("string")]),
+        "Relations": (edges, ["src", "tgt"], [escaped(F.col("src")), escaped(F.col("tgt")), escaped(cut), escaped(F.col("keywords")), F.format_string("%.2f", F.col("weight").cast("double"))]),
+    }
+    out, before = None, False
+    for title, wanted in (("Entities", config.entities), ("Relations", config.relations)):
+        rows, order, columns = cells[title]
+        if not wanted or rows.isEmpty():
+            continue
+        rows = rows.orderBy(*order).limit(config.max_items) if config.max_items is not None else rows
+        table = numbered(rows.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *columns), F.lit(" |"))), order).select(F.lit(title).alias("section"), (F.col("number") + 3).alias("number"), "line")
+        count = rows.agg(F.format_string(f"## {title} (%d)", F.count("*")).alias("line"))
+        top = [F.lit("")] * before + [F.col("line"), F.lit(""), *map(F.lit, SECTIONS[title])]
+        head = count.select(F.lit(title).alias("section"), F.posexplode(F.array(*top)).alias("number", "line")).withColumn("number", (F.col("number") - int(before)).cast("long"))
+        lines = head.unionByName(table)
+        out, before = lines if out is None else out.unionByName(lines), True
+    return out if out is not None else vertices.sparkSession.createDataFrame([], "section string, number long, line string")
+
+
 def excel_cell(value: Column) -> Column:
     return F.when(F.length(value) > CELL_LIMIT, F.concat(F.substring(value, 1, CELL_LIMIT - 3), F.lit("..."))).otherwise(value)
 

@@ -184,6 +184,25 @@ def weighted(hits: DataFrame, linked_ids: Column, names: Column, keywords: Colum
     return hits.withColumn("boost", boost).withColumn("weighted", F.round(F.col("score") * (1 + boost), 6))
 
 
+def linked_chunks(entities: DataFrame) -> DataFrame:
+    """Ids of the chunks that entities come from, once each."""
+    return entities.select(F.explode("source_chunk_ids").alias("id")).distinct()
+
+
+def weighted_by(hits: DataFrame, entities: DataFrame, keywords: Column) -> DataFrame:
+    """weighted() for found entities given as a table (name, source_chunk_ids): hits are marked by a join with the entities'
+    chunks, of any number; names in the text by a join with the hits, which are few."""
+    chunks = linked_chunks(entities).join(F.broadcast(hits.select(F.col("id").cast("string").alias("id"))), "id", "left_semi")
+    marked = hits.join(chunks.select(F.col("id").alias("_id"), F.lit(True).alias("_linked")), F.col("id").cast("string") == F.col("_id"), "left").drop("_id")
+    names = entities.select(F.lower("name").alias("_name")).filter("_name <> ''").distinct()
+    named = names.join(F.broadcast(hits.select(F.col("id").alias("_of"), F.lower("content").alias("_text"))), F.contains("_text", "_name")).select("_of").distinct()
+    marked = marked.join(named.withColumn("_named", F.lit(True)), F.col("id") == F.col("_of"), "left").drop("_of")
+    content = F.lower("content")
+    said = F.coalesce(F.exists(keywords, lambda w: (w != "") & F.contains(content, F.lower(w))), F.lit(False))
+    boost = F.when(F.col("_linked"), 0.3).otherwise(0.0) + F.when(F.col("_named"), 0.15).otherwise(0.0) + F.when(said, 0.2).otherwise(0.0)
+    return marked.withColumn("boost", boost).withColumn("weighted", F.round(F.col("score") * (1 + boost), 6)).drop("_linked", "_named")
+
+
 def cut_dimension(vector: Column, dimension: int) -> Column:
     return F.slice(vector, 1, dimension)
 

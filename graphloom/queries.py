@@ -133,6 +133,22 @@ def weighted_chunks(spark, d):
     return out.select("id", "weighted").orderBy(F.desc("weighted"), "id").limit(10)
 
 
+@query(
+    "weighted_by_entities",
+    f"""WITH {PROBE}, {ENTITIES_SQL}, f AS (SELECT name, list_transform(source_chunk_ids, lambda c: substr(c, 2)) AS chunks FROM entities WHERE type = 'SUPPLIER' UNION ALL SELECT 'that' AS name, CAST([] AS VARCHAR[])),
+    h AS (SELECT e.vec_id AS id, doc.text AS content, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM embeddings e JOIN documents doc ON doc.doc_id = e.vec_id, q ORDER BY score DESC, id LIMIT 40),
+    b AS (SELECT *, (CASE WHEN id::VARCHAR IN (SELECT unnest(chunks) FROM f) THEN 0.3 ELSE 0.0 END) + (CASE WHEN EXISTS (SELECT 1 FROM f WHERE contains(lower(content), lower(f.name))) THEN 0.15 ELSE 0.0 END) + (CASE WHEN contains(lower(content), 'version') THEN 0.2 ELSE 0.0 END) AS boost FROM h)
+    SELECT id, round(boost, 6)::DOUBLE AS boost, round(score * (1 + boost), 6) AS weighted FROM b""",
+)
+def weighted_by_entities(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(docs, "id")
+    hits = vectors.top_k(rows, probe_of(spark, d), 40, "id", "embedding", ["content"])
+    found = entities(spark, d).filter("type = 'SUPPLIER'").select("name", F.transform("source_chunk_ids", lambda c: F.regexp_replace(c, "^c", "")).alias("source_chunk_ids"))
+    found = found.unionByName(spark.createDataFrame([("That", [])], "name string, source_chunk_ids array<string>"))
+    return vectors.weighted_by(hits, found, F.array(F.lit("Version"))).select("id", F.round("boost", 6).alias("boost"), "weighted")
+
+
 # --- ranking and budgets -------------------------------------------------------------------------------------------
 
 TURNS = "c AS (SELECT conv_id, turn, role, text, CAST(ceil(length(text) / 4.0) AS INTEGER) AS tokens FROM conversations)"
@@ -604,6 +620,12 @@ def html_title(spark, d):
     return read(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
+@query("html_metadata", f"WITH t AS (SELECT page_id, html, {_html_sql()} AS text FROM pages) SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1).trim() AS title, nullif(trim(regexp_extract(html, '(?i)<meta[^>]+name=[''\"]description[''\"][^>]+content=[''\"]([^''\"]+)[''\"]', 1)), '') AS description, length(text)::VARCHAR AS characters, len(list_filter(string_split(text, ' '), lambda x: x <> ''))::VARCHAR AS words FROM t")
+def html_metadata(spark, d):
+    found = html.metadata(F.col("html"), html.text(F.col("html")))
+    return read(spark, d, "pages").select("page_id", *[F.try_element_at(found, F.lit(k)).alias(n) for k, n in (("title", "title"), ("description", "description"), ("characterCount", "characters"), ("wordCount", "words"))])
+
+
 @query("cache_key", "SELECT doc_id, sha256(concat_ws('|', lang, 'HYBRID', '60', '20')) AS k FROM documents")
 def cache_key(spark, d):
     return read(spark, d, "documents").select("doc_id", cache.answer_key(F.col("lang"), F.lit("hybrid"), F.lit(60), F.lit(20)).alias("k"))
@@ -810,6 +832,21 @@ def markdown_rows(spark, d):
     return export.markdown_rows(relations(spark, d), export.RELATION_COLUMNS)
 
 
+@query(
+    "markdown_document",
+    f"""WITH {ENTITIES_SQL}, {RELATIONS_SQL}, cut AS (SELECT *, CASE WHEN length(d) > 100 THEN left(d, 97) || '...' ELSE d END AS short FROM (SELECT *, repeat(description || '|', 12) AS d FROM entities)),
+    e AS (SELECT row_number() OVER (ORDER BY name, type, idx) AS n, '| ' || name || ' | ' || type || ' | ' || replace(short, '|', '\\|') || ' | ' || document_id || ' | ' || len(source_chunk_ids) || ' |' AS line FROM cut),
+    r AS (SELECT row_number() OVER (ORDER BY src, tgt) AS n, '| ' || src || ' | ' || tgt || ' | ' || description || ' | ' || keywords || ' | ' || printf('%.2f', weight::DOUBLE) || ' |' AS line FROM relations)
+    SELECT 'Entities' AS section, n + 3 AS number, line FROM e UNION ALL SELECT 'Relations', n + 3, line FROM r
+    UNION ALL SELECT 'Entities', 0, '## Entities (' || (SELECT count(*) FROM e) || ')' UNION ALL SELECT 'Entities', 1, '' UNION ALL SELECT 'Entities', 2, '| Name | Type | Description | Document ID | Sources |' UNION ALL SELECT 'Entities', 3, '|------|------|-------------|-------------|---------|'
+    UNION ALL SELECT 'Relations', -1, '' UNION ALL SELECT 'Relations', 0, '## Relations (' || (SELECT count(*) FROM r) || ')' UNION ALL SELECT 'Relations', 1, '' UNION ALL SELECT 'Relations', 2, '| Source | Target | Description | Keywords | Weight |' UNION ALL SELECT 'Relations', 3, '|--------|--------|-------------|----------|--------|'""",
+)
+def markdown_document(spark, d):
+    """Rows of one name and type are told apart by their line here, as their order among each other is free."""
+    vertices = entities(spark, d).withColumn("description", F.repeat(F.concat("description", F.lit("|")), 12))
+    return export.markdown_document(vertices, relations(spark, d))
+
+
 @query("text_rows", f"WITH {ENTITIES_SQL} SELECT printf('%d. %s [%s]', row_number() OVER (ORDER BY name, idx), name, type) || chr(10) || '   ' || description AS block FROM entities")
 def text_rows(spark, d):
     return export.text_blocks(entities(spark, d), ["name", "idx"])

@@ -51,8 +51,41 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.withColumn("encoding", kind).withColumn("text", body)
 
 
-def metadata(files: DataFrame) -> DataFrame:
-    return files.withColumn("metadata", F.create_map(F.lit("fileName"), F.col("name"), F.lit("fileSize"), F.col("length").cast("string"), F.lit("extension"), F.regexp_extract("name", r"\.([^.]+)$", 1), F.lit("sha256"), F.sha2("content", 256)))
+#: Content types by ending; others are application/octet-stream.
+CONTENT_TYPES = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "json": "application/json", "csv": "text/csv"}
+
+
+def metadata(files: DataFrame, more: Column | None = None) -> DataFrame:
+    """Files with a map of metadata: names, type, size, ending in lower case (none for a leading dot only), time in ISO form and
+    checksum. What an extractor found (more: a map, or null) counts over these. A table without a contentType or
+    modificationTime column has the type of the ending and no time."""
+    ending = F.lower(F.regexp_extract("name", r"(?s)^.+\.([^.]*)$", 1))
+    kind = F.lit("application/octet-stream")
+    for end, value in CONTENT_TYPES.items():
+        kind = F.when(ending == end, value).otherwise(kind)
+    kind = F.coalesce(F.col("contentType"), kind) if "contentType" in files.columns else kind
+    time = F.date_format(F.to_utc_timestamp(F.col("modificationTime").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "modificationTime" in files.columns else F.lit(None).cast("string")
+    own = {"originalFileName": F.col("name"), "contentType": kind, "size": F.col("length").cast("string"), "uploadedFileName": F.regexp_extract("path", r"([^/]*)$", 1) if "path" in files.columns else F.col("name"), "fileExtension": ending, "uploadTimestamp": time, "checksum": F.sha2("content", 256)}
+    base = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
+    more = F.coalesce(more, F.expr("cast(map() AS map<string, string>)")) if more is not None else F.expr("cast(map() AS map<string, string>)")
+    return files.withColumn("metadata", F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(more, k)), more))
+
+
+def docx_properties(content: bytes) -> dict[str, str]:
+    """What a DOCX archive says of itself: title, author, subject, creationDate, modificationDate and pageCount, where there."""
+    names = {"title": "title", "creator": "author", "subject": "subject", "created": "creationDate", "modified": "modificationDate", "Pages": "pageCount"}
+    out: dict[str, str] = {}
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for part in ("docProps/core.xml", "docProps/app.xml"):
+                if part in z.namelist():
+                    for e in ElementTree.fromstring(z.read(part)):
+                        name = names.get(e.tag.rpartition("}")[2])
+                        if name and e.text:
+                            out[name] = e.text
+    except (zipfile.BadZipFile, ElementTree.ParseError):
+        return {}
+    return out
 
 
 def docx_text(content: bytes) -> str:
