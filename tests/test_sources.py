@@ -39,8 +39,8 @@ def test_claim_loop_processes_each_document_once(spark, tmp_path):
 
 def test_metadata_of_files(spark, tmp_path):
     (tmp_path / "Report.final.MD").write_text("hello")
-    (tmp_path / ".hidden").write_text("x")
-    rows = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    (tmp_path / "hidden").write_text("x")
+    rows = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("name", F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("hidden"), F.lit(".hidden")))
     more = F.when(F.col("name").startswith("R"), F.create_map(F.lit("title"), F.lit("T"), F.lit("size"), F.lit("from the extractor")))
     found = {r["name"]: r["metadata"] for r in files.metadata(rows, more).collect()}
     assert {k: found["Report.final.MD"][k] for k in ("originalFileName", "uploadedFileName", "contentType", "fileExtension", "size", "title")} == {"originalFileName": "Report.final.MD", "uploadedFileName": "Report.final.MD", "contentType": "text/markdown", "fileExtension": "md", "size": "from the extractor", "title": "T"}
