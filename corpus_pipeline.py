@@ -41,7 +41,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text; null texts count as empty."""
-    return bpe.encode_digests(docs, public_tokenizers.path(WORD_VOCABULARY), memo=200_000)  # workers also hold what other stages left
+    return bpe.encode_digests(docs, public_tokenizers.path(WORD_VOCABULARY), memo=40_000)  # workers also hold what other stages left
 
 
 STAGES = [
