@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import budget, cache, export, graph, lifecycle, merge, modes, resolve, vectors
+from graphloom.operators import budget, cache, export, graph, legacy, lifecycle, merge, modes, resolve, vectors
 from graphloom.operators.components import components
 
 
@@ -195,3 +195,32 @@ def test_only_the_context_comes_back_without_a_model(spark):
     prompt, _ = run()
     assert sources.count() == 3 and "Which parts?" not in context and context in prompt and "Which parts?" in prompt
     assert run(lambda p: f"{len(p)} characters")[0] == f"{len(prompt)} characters"
+
+
+def test_layouts_and_failing_rerankers(spark):
+    v = spark.createDataFrame([(k, [1.0, 0.1 * k], "chunk" if k % 2 else "entity", f"text {k}", f"e{k}") for k in range(8)], "id int, vector array<float>, type string, content string, name string")
+    store = modes.Store(v, spark.createDataFrame([(f"e{k}", f"entity {k}") for k in range(8)], "name string, description string"), edges(spark, [("e0", "e2")]))
+    text = lambda **k: modes.answer(store, "Which?", [1.0, 0.0], modes.QueryParam(mode="HYBRID", top_k=2, chunk_top_k=2, only_context=True, **k))[0]
+    assert text(layout="grouped").index("### Entities\n- e0: entity 0\n") < text(layout="grouped").index("### Relations\n") < text(layout="grouped").index("### Sources\n- [1] text 1\n")
+    assert text(layout="flat").startswith("[Source] [1] text 1\n\n[Entity] e0: entity 0\n\n")
+    with pytest.raises(modes.StageError):
+        text(layout="round")
+
+    def late(hits):
+        return hits.withColumn("score", F.raise_error(F.lit("the provider is down")).cast("double"))
+
+    plain = [r["source_id"] for r in modes.answer(store, "Which?", [1.0, 0.0], modes.QueryParam(mode="NAIVE", chunk_top_k=2, only_context=True))[1].orderBy("item_idx").collect()]
+    kept = [r["source_id"] for r in modes.answer(store, "Which?", [1.0, 0.0], modes.QueryParam(mode="NAIVE", chunk_top_k=2, rerank=True, only_context=True), rerank=late)[1].orderBy("item_idx").collect()]
+    turned = [r["source_id"] for r in modes.answer(store, "Which?", [1.0, 0.0], modes.QueryParam(mode="NAIVE", chunk_top_k=2, rerank=True, only_context=True), rerank=lambda h: h.withColumn("score", -F.col("score")))[1].orderBy("item_idx").collect()]
+    assert plain == kept == ["1", "3"] and turned == ["7", "5"]
+
+
+def test_legacy_modes_without_hits_or_keywords(spark):
+    none = spark.createDataFrame([], "id int, vector array<float>, type string, content string, name string")
+    store = modes.Store(none, vertices(spark, "ab"), edges(spark, [("a", "b")]))
+    embed = lambda text: [1.0, 0.0]
+    for run in (legacy.local, legacy.global_, legacy.hybrid):
+        out = run(store, "Who?", embed, modes.QueryParam())
+        assert out.context.first()["text"] == "" and out.sources.count() == 0
+    assert legacy.search_text("Who?", lambda q: ["x", "y"]) == ("Who? x y", ["x", "y"])
+    assert legacy.search_text("Who?", lambda q: []) == legacy.search_text("Who?", lambda q: 1 / 0) == legacy.search_text("Who?", None) == ("Who?", [])
