@@ -1,6 +1,7 @@
 """The driver's contract: every query runs and, where there is SQL, agrees with it on the smallest data."""
 
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -19,7 +20,7 @@ def shown(x) -> str:
         return str(list(x))
     if x is None or x != x:
         return ""
-    return f"{x:.6f}" if isinstance(x, float) else str(x)
+    return f"{x:.6f}" if isinstance(x, float | Decimal) else str(x)
 
 
 def rows(frame):
