@@ -21,28 +21,38 @@ def similar_pairs(entities: DataFrame, weights: similarity.Weights = similarity.
     """Pairs (idx_a, idx_b, name_a, name_b, score) of one type that reach the threshold.
 
     Names are compared once each. Where names without a common token cannot reach the threshold, candidates come from
-    an equi-join on type and token, of the rare tokens of a name of which a partner must have one; otherwise from one on
-    type.
+    an equi-join on type and token, of the rare tokens of a name of which a partner must have one, cut by what sizes and
+    places still allow; otherwise from one on type.
     """
     names = entities.select(entity_type(F.col("type")).alias("type"), "name", "idx").groupBy("type", "name").agg(F.min("idx").alias("idx"))
     a, b = names.withColumnsRenamed({"name": "name_a", "idx": "idx_a"}), names.withColumnsRenamed({"name": "name_b", "idx": "idx_b"})
     if weights.blocking_is_exact:
         tokens = leading_tokens(names, weights.least_jaccard)
-        left, right = tokens.withColumnsRenamed({"name": "name_a", "idx": "idx_a"}), tokens.withColumnsRenamed({"name": "name_b", "idx": "idx_b"})
-        pairs = left.join(right, ["type", "token"]).filter("idx_a < idx_b").select("type", "name_a", "idx_a", "name_b", "idx_b").distinct()
+        side = lambda x: tokens.withColumnsRenamed({c: f"{c}_{x}" for c in ("name", "idx", "place", "size")})
+        met = side("a").join(side("b"), ["type", "token"]).filter(F.col("idx_a") < F.col("idx_b"))
+        pairs = met.filter(can_reach(weights.least_jaccard)).select("type", "name_a", "idx_a", "name_b", "idx_b").distinct()
     else:
         pairs = a.join(b, "type").filter("idx_a < idx_b")
     scored = pairs.withColumn("score", F.round(similarity.score(F.col("name_a"), F.col("name_b"), F.col("type"), F.col("type"), weights), 6))
     return scored.filter(F.col("score") >= weights.threshold).select("type", "idx_a", "idx_b", "name_a", "name_b", "score")
 
 
+def can_reach(least: float) -> Column:
+    """Whether two names whose first common token stands at place_a and place_b of their rarest-first tokens can have the
+    similarity: the sizes must be near enough, and enough tokens must be left. A later common token may say no; the first
+    one of a pair that is similar enough says yes."""
+    shorter, longer = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    common = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    return (shorter >= least * longer - 1e-9) & (common * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-9)
+
+
 def leading_tokens(names: DataFrame, least: float) -> DataFrame:
-    """Rows (type, name, idx, token) of the rarest tokens of each name: sets of at least this similarity share one."""
+    """Rows (type, name, idx, token, place, size) of the rarest tokens of each name: sets of at least this similarity share one."""
     tokens = names.withColumn("token", F.explode(token_set(F.col("name"))))
     counts = tokens.groupBy("type", "token").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("type", "name")
-    ranked = tokens.join(counts, ["type", "token"]).withColumn("_place", F.row_number().over(w.orderBy("_n", "token"))).withColumn("_size", F.count("*").over(w))
-    return ranked.filter(F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * least - 1e-9) + 1).drop("_n", "_place", "_size")
+    ranked = tokens.join(counts, ["type", "token"]).withColumn("place", F.row_number().over(w.orderBy("_n", "token"))).withColumn("size", F.count("*").over(w))
+    return ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).drop("_n")
 
 
 def clusters(entities: DataFrame, weights: similarity.Weights = similarity.Weights()) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import similarity
 from graphloom.operators import resolve
 
 
@@ -36,3 +37,19 @@ def test_a_cluster_of_many_members(spark):
     assert (out[1]["members"], out[1]["name"], out[1]["aliases"][:3]) == (n, "n999", ["n998", "n997", "n996"])
     assert out[1]["description"].split(" | ") == [f"d{k}" for k in range(100, n + 1, 100)]
     assert (out[2]["name"], out[2]["description"], out[2]["aliases"]) == ("n999", "No description available", [])
+
+
+@pytest.mark.parametrize("weights", [similarity.Weights(), similarity.Weights(threshold=0.66), similarity.Weights(jaccard=0.5, containment=0.1, edit=0.3, acronym=0.1, threshold=0.52)])
+def test_similar_pairs_are_those_of_all_pairs(spark, weights):
+    """Blocking by rare tokens, sizes and places loses no pair; a token that most names have is no way round."""
+    rng = random.Random(9)
+    words = ["bank", "of", "north", "south", "first", "union", "trust", "city", "home", "warren", "state", "inc"]
+    names = sorted({" ".join(["bank", *rng.sample(words, rng.randint(0, 4))]) + rng.choice(["", " Inc", ".", " ltd"]) for _ in range(120)} | {"Bank", "BANK of North", "warren home", "Warren State Home", "warren  home"})
+    rows = spark.createDataFrame([(k, n, rng.choice(["ORG", "ORG", "PLACE", None])) for k, n in enumerate(names)], "idx int, name string, type string").withColumn("description", F.lit(""))
+    assert weights.blocking_is_exact
+    got = {(r["idx_a"], r["idx_b"], r["score"]) for r in resolve.similar_pairs(rows, weights).collect()}
+    kind = resolve.entity_type(F.col("type"))
+    a, b = (rows.select(kind.alias("type"), F.col("idx").alias(f"i_{x}"), F.col("name").alias(f"n_{x}")) for x in "ab")
+    score = F.round(similarity.score(F.col("n_a"), F.col("n_b"), F.col("type"), F.col("type"), weights), 6)
+    want = a.join(b, "type").filter("i_a < i_b").withColumn("score", score).filter(F.col("score") >= weights.threshold)
+    assert got == {(r["i_a"], r["i_b"], r["score"]) for r in want.collect()} and len(got) > 1
