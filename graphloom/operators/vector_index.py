@@ -1,7 +1,8 @@
 """An index for nearest vectors: an inverted file of cells with product-quantised codes, exact scores at the end.
 
 Cells and code books are learned on a bounded sample; every row is indexed. A search reads the cells next to each query,
-ranks their codes approximately, and scores the best of them with the stored vectors. How many cells and how many
+ranks the codes of large blocks approximately, and scores the best of them with the vectors stored beside the codes. A task
+keeps the best of each query it meets, so that what is shuffled grows with the queries, not with the candidates. How many cells and how many
 candidates that takes is measured on the sample for a wanted recall. `vectors.top_k_batch` is the exact way.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from graphloom.plans.session import findable
 
-from .vectors import BLOCK_QUERIES, BLOCK_VECTORS, _best, matrix
+from .vectors import BLOCK_QUERIES, BLOCK_VECTORS, KEPT_BYTES, _best, _cosines, matrix
 
 #: The sample: rows, and values of all its vectors. Most cells, and values a code stands for.
 SAMPLE_ROWS, SAMPLE_VALUES, MAX_CELLS, SUB = 20_000, 4_000_000, 4096, 4
@@ -110,7 +111,7 @@ def sample_of(vectors: DataFrame, rows: int, dim: int) -> np.ndarray:
 
 
 class Index:
-    """Stored blocks of cells below a folder: (cell, ids, codes); with the model, and the vectors for exact scores."""
+    """Stored blocks of cells below a folder: (cell, ids, codes, vectors); with the model, and the indexed rows."""
 
     def __init__(self, model: Model, blocks: DataFrame, vectors: DataFrame):
         self.model, self.blocks, self.vectors = model, blocks, vectors
@@ -126,44 +127,76 @@ class Index:
         def place(batches):
             for batch in batches:
                 if batch.num_rows:
-                    q = _unit(matrix(batch.column(1)))
-                    near = np.argsort(-(q @ shared.value.cells.T), 1)[:, :cells].astype(np.int32)
-                    lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), pa.array(near.ravel()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in q], pa.binary()), lists], ["query_id", "q", "cells"])
+                    q = matrix(batch.column(1))
+                    near = np.argsort(-(_unit(q) @ shared.value.cells.T), 1)[:, :cells].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in q], pa.binary()), pa.array([x.tobytes() for x in near], pa.binary()), pa.array(near[:, 0])], ["query_id", "q", "near", "home"])
+
+        def pack(batches):
+            held: list[pa.RecordBatch] = []
+
+            def blocks():
+                table = pa.Table.from_batches(held).combine_chunks()
+                for k in range(0, table.num_rows, BLOCK_QUERIES):
+                    some = table.slice(k, BLOCK_QUERIES).combine_chunks()
+                    near = b"".join(some.column("near").to_pylist())
+                    wanted = np.unique(np.frombuffer(near, np.int32))
+                    names = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("query_id").chunk(0))
+                    yield pa.RecordBatch.from_arrays([names, pa.array([b"".join(some.column("q").to_pylist())], pa.binary()), pa.array([near], pa.binary()), pa.array([wanted.tolist()], pa.list_(pa.int32()))], ["query_ids", "qs", "near", "wanted"])
+                held.clear()
+
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                if sum(b.num_rows for b in held) >= BLOCK_QUERIES:
+                    yield from blocks()
+            if held:
+                yield from blocks()
 
         asked = queries.select("query_id", F.col("probe").cast("array<double>").alias("probe")).filter("probe IS NOT NULL")
-        asked = asked.mapInArrow(place, StructType([StructField("query_id", kinds[0]), *StructType.fromDDL("q binary, cells array<int>").fields]))
-        asked = asked.select("query_id", "q", F.explode("cells").alias("cell"))
-        size = asked.groupBy("cell").agg(F.count("*").alias("n"))
-        asked = asked.join(size, "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.ceil(F.col("n") / BLOCK_QUERIES)))
-        asked = asked.groupBy("cell", "part").agg(F.collect_list(F.struct("query_id", "q")).alias("x")).select("cell", F.col("x.query_id").alias("query_ids"), F.col("x.q").alias("qs"))
-        met = self.blocks.join(asked, "cell").select("cell", "ids", "codes", "query_ids", "qs")
+        asked = asked.mapInArrow(place, StructType([StructField("query_id", kinds[0]), *StructType.fromDDL("q binary, near binary, home int").fields]))
+        asked = asked.repartition("home").sortWithinPartitions("home").mapInArrow(pack, StructType([StructField("query_ids", ArrayType(kinds[0])), *StructType.fromDDL("qs binary, near binary, wanted array<int>").fields]))
+        # blocks of queries meet the stored blocks as those are read: neither queries nor guesses are written for each cell
+        met = asked.join(self.blocks, F.array_contains("wanted", F.col("cell"))).select("cell", "ids", "codes", "vectors", "query_ids", "qs", "near")
+
+        def leading(scores, mine, names, ids):
+            """Rows of at least the k-th score of each query, ties included."""
+            least = np.partition(scores, -k, 1)[:, -k, None] if k < scores.shape[1] else -9.0
+            step = max(1, (1 << 18) // scores.shape[1])
+            out = []
+            for a in range(0, len(scores), step):
+                some = scores[a : a + step]
+                who, what = np.nonzero(some >= (least if np.isscalar(least) else least[a : a + step]))
+                out.append(_best(pa.table([names.take(pa.array(mine[a + who])), ids.take(pa.array(what)), pa.array(some[who, what])], ["query_id", "id", "score"]), k))
+            return out
 
         def rank(batches):
+            model = shared.value
+            best: dict[int, pa.Table] = {}  # by block of queries
+
             for batch in batches:
                 for row in range(batch.num_rows):
-                    ids, names = batch.column(1)[row].values, batch.column(3)[row].values
-                    codes = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8).reshape(len(ids), -1)
-                    q = np.frombuffer(b"".join(batch.column(4)[row].as_py()), np.float64).reshape(len(names), -1)
-                    scores = shared.value.approximate(q, batch.column(0)[row].as_py(), codes)
-                    at = np.argsort(-scores, 1, kind="stable")[:, :take]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), at.shape[1]))), ids.take(pa.array(at.ravel())), pa.array(np.take_along_axis(scores, at, 1).ravel())], ["query_id", "id", "guess"])
-
-        guesses = met.mapInArrow(rank, StructType([StructField("query_id", kinds[0]), StructField("id", kinds[1]), StructField("guess", DoubleType())]))
-        w = Window.partitionBy("query_id").orderBy(F.desc("guess"), "id")
-        chosen = guesses.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= take).select("query_id", "id")
-        pairs = chosen.join(self.vectors.select("id", F.col("vector").cast("array<double>").alias("vector")), "id").join(queries.select("query_id", F.col("probe").cast("array<double>").alias("probe")), "query_id")
-
-        def exact(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x, q = matrix(batch.column(2)), matrix(batch.column(3))
-                    size = np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1))
-                    scores = np.round(np.divide((x * q).sum(1), size, out=np.zeros(len(x)), where=size > 0), 6)
-                    rows = pa.table([batch.column(0), batch.column(1), pa.array(scores)], ["query_id", "id", "score"])
-                    yield from _best(rows, k).combine_chunks().to_batches()
-
-        found = pairs.select("query_id", "id", "vector", "probe").mapInArrow(exact, StructType([StructField("query_id", kinds[0]), StructField("id", kinds[1]), StructField("score", DoubleType())]))
+                    cell, ids = batch.column(0)[row].as_py(), batch.column(1)[row].values
+                    names, near = batch.column(4)[row].values, batch.column(6)[row].as_buffer()
+                    mine = np.flatnonzero((np.frombuffer(near, np.int32).reshape(len(names), -1) == cell).any(1))
+                    if not len(mine):
+                        continue
+                    x = np.frombuffer(batch.column(3)[row].as_buffer(), np.float64).reshape(len(ids), -1)
+                    q = np.frombuffer(batch.column(5)[row].as_buffer(), np.float64).reshape(len(names), -1)[mine]
+                    scores = _cosines(x, q).T
+                    if len(ids) > take:  # the codes choose, their vectors give the scores
+                        codes = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8).reshape(len(ids), -1)
+                        order = np.argsort(-model.approximate(_unit(q), cell, codes), 1, kind="stable")[:, take:]
+                        np.put_along_axis(scores, order, -9.0, 1)
+                    key = hash((names[0].as_py(), len(names)))
+                    best[key] = _best(pa.concat_tables([best[key], *leading(scores, mine, names, ids)]) if key in best else pa.concat_tables(leading(scores, mine, names, ids)), k)
+                if sum(t.nbytes for t in best.values()) > KEPT_BYTES:
+                    for t in best.values():
+                        yield from t.combine_chunks().to_batches()
+                    best.clear()
+            for t in best.values():
+                yield from t.combine_chunks().to_batches()
+
+        found = met.mapInArrow(rank, StructType([StructField("query_id", kinds[0]), StructField("id", kinds[1]), StructField("score", DoubleType())]))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -184,8 +217,9 @@ def build(vectors: DataFrame, path: str, recall: float = RECALL, k: int = K) ->
     def code(batches):
         for batch in batches:
             if batch.num_rows:
-                cell, codes = shared.value.codes(_unit(matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "cell", "codes"])
+                x = matrix(batch.column(1))
+                cell, codes = shared.value.codes(_unit(x))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), *(pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (codes, x))], ["id", "cell", "codes", "v"])
 
     def pack(batches):
         held: list[pa.RecordBatch] = []
@@ -197,7 +231,7 @@ def build(vectors: DataFrame, path: str, recall: float = RECALL, k: int = K) ->
                 for k in range(0, part.num_rows, BLOCK_VECTORS):
                     some = part.slice(k, BLOCK_VECTORS).combine_chunks()
                     ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("id").combine_chunks())
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), ids, pa.array([b"".join(some.column("codes").to_pylist())], pa.binary())], ["cell", "ids", "codes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), ids, *(pa.array([b"".join(some.column(c).to_pylist())], pa.binary()) for c in ("codes", "v"))], ["cell", "ids", "codes", "vectors"])
             held.clear()
 
         for batch in batches:
@@ -207,9 +241,9 @@ def build(vectors: DataFrame, path: str, recall: float = RECALL, k: int = K) ->
         if held:
             yield from blocks()
 
-    coded = src.mapInArrow(code, StructType([StructField("id", kind), *StructType.fromDDL("cell int, codes binary").fields]))
+    coded = src.mapInArrow(code, StructType([StructField("id", kind), *StructType.fromDDL("cell int, codes binary, v binary").fields]))
     salt = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // (len(model.cells) * 16 * BLOCK_VECTORS)))))
-    packed = coded.repartition("cell", salt).sortWithinPartitions("cell").mapInArrow(pack, StructType([StructField("cell", StructType.fromDDL("c int")[0].dataType), StructField("ids", ArrayType(kind)), *StructType.fromDDL("codes binary").fields]))
+    packed = coded.repartition("cell", salt).sortWithinPartitions("cell").mapInArrow(pack, StructType([StructField("cell", StructType.fromDDL("c int")[0].dataType), StructField("ids", ArrayType(kind)), *StructType.fromDDL("codes binary, vectors binary").fields]))
     packed.write.mode("overwrite").partitionBy("cell").parquet(path)
     return Index(model, spark.read.schema(packed.schema).parquet(path), vectors)
 

@@ -70,6 +70,16 @@ def test_index_recall(spark, tmp_path, kind):
         assert "PartitionFilters: [isnotnull(cell" in read
 
 
+def test_index_search_shuffles_no_candidates(spark, tmp_path):
+    """All rows ask for their nearest: themselves; a task gives the best of each query only, whatever it looked at."""
+    x = np.random.default_rng(3).standard_normal((4000, 16))
+    index = vector_index.build(frame(spark, x), str(tmp_path / "index"))
+    found = index.search(frame(spark, x, ("query_id", "probe")), 1)
+    assert {(r["query_id"], r["id"], r["score"]) for r in found.collect()} == {(k, k, 1.0) for k in range(4000)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_index_of_nothing(spark, tmp_path):
     index = vector_index.build(spark.createDataFrame([], "id long, vector array<double>"), str(tmp_path / "index"))
     assert index.search(spark.createDataFrame([], "query_id long, probe array<double>"), 3).count() == 0
