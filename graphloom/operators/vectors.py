@@ -120,18 +120,18 @@ def blocks_of(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataF
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, groups: int | None = None) -> DataFrame:
     """The k most similar vectors (id, vector) for each of any number of queries (query_id, probe): query_id, id, score, rank.
 
-    One plan for any number of queries. Both sides are packed into blocks; blocks of vectors are dealt to groups, each block
-    of queries goes to every group, and they meet by an equi-join on the group, so that a task multiplies blocks and
-    keeps the k best of each query it meets. Those are ranked by query, again with at most k rows a task. One block of queries
-    is small enough for Spark to broadcast; many are shuffled, once for each group. Vectors and queries must have one
+    One plan for any number of queries. Both sides are packed into blocks, and blocks meet as they are read: a task multiplies
+    those of one part of the vectors and one part of the queries, without a shuffle of either, and keeps the k best of each
+    query it meets. Those are ranked by query, again with at most k rows a task. With `groups`, blocks of vectors are dealt to
+    so many groups instead, and each block of queries is sent to every group. Vectors and queries must have one
     dimension, else the run fails and says so; null vectors are passed over. A query id has one row.
     """
-    spark = vectors.sparkSession
-    groups = groups or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = blocks_of(vectors, "id", "vector", BLOCK_VECTORS).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    stored = blocks_of(vectors, "id", "vector", BLOCK_VECTORS)
     asked = blocks_of(queries, "query_id", "probe", BLOCK_QUERIES).toDF("query_ids", "probes", "probe_dim")
-    asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = stored.join(asked, "g").select("query_ids", "probes", "probe_dim", "ids", "v", "dim")
+    if groups:
+        stored = stored.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+        asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = (stored.join(asked, "g") if groups else stored.crossJoin(asked)).select("query_ids", "probes", "probe_dim", "ids", "v", "dim")
     kinds = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
 
     def run(batches):

@@ -80,6 +80,15 @@ def test_index_search_shuffles_no_candidates(spark, tmp_path):
     assert "HashJoin" not in plan and "SortMergeJoin" not in plan
 
 
+def test_batch_search_copies_no_queries(spark):
+    """Blocks meet without an exchange before them, for any number of shuffle partitions."""
+    x = np.random.default_rng(5).standard_normal((300, 8))
+    found = vectors.top_k_batch(frame(spark, x), frame(spark, x[::20], ("query_id", "probe")), 5)
+    assert ranked(found) == exact(x, x[::20], 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "explode" not in plan
+
+
 def test_index_of_nothing(spark, tmp_path):
     index = vector_index.build(spark.createDataFrame([], "id long, vector array<double>"), str(tmp_path / "index"))
     assert index.search(spark.createDataFrame([], "query_id long, probe array<double>"), 3).count() == 0
