@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import role_label, token_estimate
+from graphloom.plans.scratch import Scratch
 
 from . import budget, graph, vectors
 
@@ -232,12 +233,17 @@ def summarize(rows: DataFrame, by: list[str], order: str, model: Callable[[Colum
 
     if group < 2:
         raise ValueError("groups of less than two do not end")
-    now = rows.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("n"), "description")
-    while True:  # each round leaves a part of 1 / group of the rows of a key, or one
-        sizes = now.groupBy(*by).agg(F.count("*").alias("size"))
-        if sizes.filter("size > 1").isEmpty():
-            break
-        cell = F.when(F.col("size") <= direct, F.lit(0)).otherwise(F.floor((F.col("n") - 1) / group))
-        parts = now.join(sizes, by).groupBy(*by, cell.cast("int").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("n"), "description"))), lambda r: r["description"]).alias("d"))
-        now = parts.select(*by, (F.col("n") + 1).alias("n"), F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(model(F.col("d"))).alias("description"))
+    scratch = Scratch(rows.sparkSession, "summaries")
+    every = Window.partitionBy(*by)
+    now = scratch.save(rows.select(*by, F.row_number().over(every.orderBy(order)).alias("n"), F.count("*").over(every).alias("size"), "description"), "round0")
+    most, turn = now.agg(F.max("size")).first()[0] or 0, 0
+    while most > 1:  # each round leaves a part of 1 / group of the rows of a key, or one; it is written, so no round is run again
+        cell = F.when(F.col("size") <= direct, F.lit(0)).otherwise(F.floor((F.col("n") - 1) / group)).cast("int")
+        left = F.when(F.col("size") <= direct, F.lit(1)).otherwise(F.ceil(F.col("size") / group)).cast("long")
+        parts = now.groupBy(*by, left.alias("size"), cell.alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("n"), "description"))), lambda r: r["description"]).alias("d"))
+        parts = parts.select(*by, (F.col("n") + 1).alias("n"), "size", F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(model(F.col("d"))).alias("description"))
+        turn += 1
+        now = scratch.save(parts, f"round{turn}")
+        scratch.drop(f"round{turn - 1}")
+        most = 1 if most <= direct else -(-most // group)
     return now.select(*by, "description")

@@ -181,6 +181,14 @@ def test_summaries_reduce_in_groups(spark):
     assert out["k"] == "((d00+d01+d02+d03+d04)+(d05+d06+d07+d08+d09)+(d10+d11))"
 
 
+def test_summaries_of_many_rounds_run_each_round_once(spark):
+    rows = spark.createDataFrame([(k, i, f"d{i:03}") for k in ("a", None) for i in range(300)], "k string, i int, description string")
+    out = modes.summarize(rows, ["k"], "i", lambda parts: F.concat(F.lit("("), F.array_join(parts, "+"), F.lit(")")))
+    found = {r["k"]: r["description"] for r in out.collect()}
+    assert set(found) == {"a", None} and found["a"] == found[None] and found["a"].startswith("((((d000+d001+d002+d003+d004)+(d005") and found["a"].count("d") == 300
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_names_and_requests_of_exports():
     status = lambda *a: export.checked_request(*a)[0]
     assert export.export_name("00000012-00ab-4000", "Markdown") == "kg-export-00000012.md"
