@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import budget, cache, export, graph, legacy, lifecycle, merge, modes, resolve, vectors
 from graphloom.operators.components import components
+from graphloom.plans.scratch import Scratch
 
 
 def edges(spark, pairs):
@@ -56,6 +57,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_plans_stay_small(spark, monkeypatch):
+    """Each plan of a round reads the edges at most twice, so what the driver keeps and describes is little."""
+    reads, save = [], Scratch.save
+
+    def counted(self, df, name):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    assert components(spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "src long, dst long")).count() == 5
+    assert 1 <= max(reads) <= 2
+
+
 def items(spark, rows):
     return spark.createDataFrame([(0, *r) for r in rows], "query int, source_idx int, item_idx int, content string, tokens int")
 
